@@ -92,11 +92,19 @@ def slug(col: Column) -> Column:
     return F.lower(F.replace(col, F.lit(" "), F.lit("_")))
 
 
-def sarif_slug(col: Column) -> Column:
-    return slug(col)
+def capitalize_words(col: Column) -> Column:
+    """First character of every run of word characters in upper case, the rest as it is."""
+    runs = F.regexp_extract_all(col, F.lit(r"\w+|\W+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substring(r, 2, 1 << 30))), "")
+
+
+def title_case(col: Column) -> Column:
+    """Every run of letters with a capital first and small letters after it."""
+    runs = F.regexp_extract_all(col, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(
+        runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1 << 30)))), "")
 
 
 def title_of_rule_id(col: Column) -> Column:
     """``a.b.sql-injection`` gives ``Sql Injection``."""
-    tail = F.element_at(F.split(col, "\\."), -1)
-    return F.initcap(F.replace(tail, F.lit("-"), F.lit(" ")))
+    return title_case(F.replace(F.element_at(F.split(col, "\\."), -1), F.lit("-"), F.lit(" ")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vulnlake.functions import severity as sev
-from vulnlake.functions.text import line_excerpt, title_of_rule_id
+from vulnlake.functions.text import capitalize_words, line_excerpt, title_of_rule_id
 from vulnlake.operators.filters import is_plain_import
 from vulnlake.operators.lookups import owasp_of_rule_id, owasp_of_test, owasp_of_type
 
@@ -173,7 +173,7 @@ def verdict_text(verdicts: DataFrame) -> DataFrame:
 
 def display_findings(findings: DataFrame) -> DataFrame:
     """Display columns: title-cased rule, lower-case severity, defaults for what is missing."""
-    words = F.initcap(F.replace("rule_id", F.lit("_"), F.lit(" ")))
+    words = capitalize_words(F.replace("rule_id", F.lit("_"), F.lit(" ")))
     return findings.select(
         "file_path", F.coalesce(F.lower("severity"), F.lit("medium")).alias("severity"),
         F.coalesce("start_line", F.lit(1)).alias("line_number"),
