@@ -113,11 +113,11 @@ def split_by_rank(samples: DataFrame, key: str, seed: int = 0) -> DataFrame:
 
 def split_in_order(samples: DataFrame, order: list[str]) -> DataFrame:
     """Exact 70/15/15 split in the given order."""
-    total = samples.agg(F.count("*").alias("_total"))
-    ranked = number_rows(samples, [F.col(c) for c in order], "_rank").crossJoin(F.broadcast(total))
-    train, val = F.floor(F.col("_total") * 0.7), F.floor(F.col("_total") * 0.15)
+    total = samples.agg(F.count("*")).scalar()
+    ranked = number_rows(samples, [F.col(c) for c in order], "_rank")
+    train, val = F.floor(total * 0.7), F.floor(total * 0.15)
     split = F.when(F.col("_rank") <= train, "train").when(F.col("_rank") <= train + val, "val").otherwise("test")
-    return ranked.withColumn("split", split).drop("_rank", "_total")
+    return ranked.withColumn("split", split).drop("_rank")
 
 
 def shuffle_samples(samples: DataFrame, key: str, seed: int = 0) -> DataFrame:
@@ -209,10 +209,10 @@ def label_stats(samples: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def share_by(samples: DataFrame, column: str) -> DataFrame:
-    """Count and percent of all rows per value (the totals row comes from the counts)."""
+    """Count and percent of all rows per value."""
     counts = samples.groupBy(F.coalesce(column, F.lit("Unknown")).alias(column)).agg(F.count("*").alias("count"))
-    total = samples.agg(F.count("*").alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).select(column, "count", (F.col("count") * 100 / F.col("_total")).alias("percent"))
+    total = samples.agg(F.count("*")).scalar()
+    return counts.select(column, "count", (F.col("count") * 100 / total).alias("percent"))
 
 
 def top_types_of_vulnerable(samples: DataFrame, limit: int = 5) -> DataFrame:
@@ -228,9 +228,8 @@ def category_distribution(samples: DataFrame, column: str = "owasp_category") ->
 def class_weights(samples: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weight per class: all / (classes * rows of the class)."""
     counts = samples.groupBy(label).agg(F.count("*").alias("count"))
-    totals = counts.agg(F.sum("count").alias("_n"), F.count("*").alias("_k"))
-    return counts.crossJoin(F.broadcast(totals)).select(
-        label, "count", (F.col("_n") / (F.col("_k") * F.col("count"))).alias("weight"))
+    rows, classes = samples.agg(F.count(label)).scalar(), samples.agg(F.count_distinct(label)).scalar()
+    return counts.select(label, "count", (rows / (classes * F.col("count"))).alias("weight"))
 
 
 def positive_weight(samples: DataFrame, label: str = "label") -> DataFrame:
@@ -242,6 +241,4 @@ def positive_weight(samples: DataFrame, label: str = "label") -> DataFrame:
 
 def split_readiness(samples: DataFrame, least: int = READY_SAMPLES) -> DataFrame:
     """Samples and share per split, and whether the whole set is large enough."""
-    shares = share_by(samples, "split")
-    total = samples.agg((F.count("*") >= least).alias("ready"))
-    return shares.crossJoin(F.broadcast(total))
+    return share_by(samples, "split").withColumn("ready", samples.agg(F.count("*") >= least).scalar())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vulnlake.operators.scale import running_sums
@@ -69,9 +69,9 @@ def roc_curve(predictions: DataFrame, label: str = "label", score: str = "probab
     """(threshold, tpr, fpr) for every distinct score as threshold."""
     grouped = _by_score(predictions, label, score)
     steps = running_sums(grouped, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")})
-    totals = grouped.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    return steps.crossJoin(F.broadcast(totals)).select(
-        F.col("score").alias("threshold"), _ratio(F.col("tp"), F.col("_p")).alias("tpr"), _ratio(F.col("fp"), F.col("_n")).alias("fpr"))
+    pos, neg = grouped.agg(F.sum("pos")).scalar(), grouped.agg(F.sum("neg")).scalar()
+    return steps.select(
+        F.col("score").alias("threshold"), _ratio(F.col("tp"), pos).alias("tpr"), _ratio(F.col("fp"), neg).alias("fpr"))
 
 
 def detection_by_type(samples: DataFrame, predictions: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -137,7 +137,6 @@ def dominant_branch(structure_share: Column, sequence_share: Column) -> Column:
 
 
 def top_tokens(tokens: DataFrame, keys: list[str], limit: int = 20) -> DataFrame:
-    from pyspark.sql import Window
     order = Window.partitionBy(*keys).orderBy(F.desc("importance"), "position")
     return tokens.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
 
