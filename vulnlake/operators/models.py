@@ -1,5 +1,4 @@
 """Classifiers on indicator features, and batch scoring."""
-"""Classifiers on indicator features, and batch scoring."""
 
 from collections.abc import Iterator
 

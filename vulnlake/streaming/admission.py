@@ -46,10 +46,18 @@ def admit(times, accepted: deque, limit: int, window: float):
 
 
 def requests_in_window(requests: DataFrame, keys: list[str], window: int) -> DataFrame:
-    """Requests of the key in the last ``window`` seconds, rejected ones included: an upper bound."""
-    seconds = F.unix_micros("ts")
-    recent = Window.partitionBy(*keys).orderBy(seconds).rangeBetween(-window * 1_000_000 + 1, 0)
-    return requests.withColumn("requests", F.count("*").over(recent))
+    """Requests of the key in the last ``window`` seconds, rejected ones included: an upper bound.
+
+    A frame reaches back into one earlier slice of the window's length at most. Each row is
+    therefore counted in its own slice and lent to the next one, and a busy key is spread
+    over as many tasks as it has slices.
+    """
+    micros, width = F.unix_micros("ts"), window * 1_000_000
+    slice_no = F.floor(micros / width)
+    lent = requests.withColumn("_own", slice_no).withColumn("_slice", F.explode(F.array(slice_no, slice_no + 1)))
+    recent = Window.partitionBy(*keys, "_slice").orderBy(micros).rangeBetween(-width + 1, 0)
+    return (lent.withColumn("requests", F.count("*").over(recent)).filter(F.col("_own") == F.col("_slice"))
+            .drop("_own", "_slice"))
 
 
 def decide(requests: DataFrame, keys: list[str], limit: int, window: int, order: str) -> DataFrame:
