@@ -184,13 +184,13 @@ def csv_rows(findings: DataFrame) -> DataFrame:
         blank("asvs_requirement").alias("ASVS Requirement"), blank("pci_requirement").alias("PCI-DSS Requirement"))
 
 
-def flat_rows(findings: DataFrame) -> DataFrame:
-    """Columns of the flat report without the running number."""
+def flat_rows(findings: DataFrame, *keep: str) -> DataFrame:
+    """Columns of the flat report, and those to keep beside them."""
     message = F.col("message")
     head = F.element_at(F.split(message, "\n"), 1)
     name = F.when(F.coalesce(message, F.lit("")) != "", head).otherwise(F.col("rule_id"))
     return findings.select(
-        "file_path", "start_line", sev.report_severity(F.col("severity")).alias("severity"),
+        *keep, "file_path", "start_line", sev.report_severity(F.col("severity")).alias("severity"),
         abbreviate(name, 70, 67).alias("title"),
         F.coalesce(F.when(F.col("cwe_id") != "", F.col("cwe_id")), F.lit("N/A")).alias("cwe"),
         F.coalesce(F.when(F.col("owasp_category") != "", F.col("owasp_category")), F.lit("N/A")).alias("owasp"),
@@ -198,5 +198,5 @@ def flat_rows(findings: DataFrame) -> DataFrame:
 
 
 def flat_report(findings: DataFrame, order=("file_path", "start_line", "rule_id"), by: list[str] | None = None) -> DataFrame:
-    """Flat report with a running number from 1, per ``by`` group or over all rows."""
+    """Adds ``finding_num``, a running number from 1, per ``by`` group or over all rows."""
     return number_rows(findings, [F.col(c) for c in order], "finding_num", by)
