@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NODE_SCHEMA = ("file_id long, node_id int, node_type string, value string, start_line int, end_line int, start_col int, "
-               "end_col int, parent_id int, field string, depth int, num_children int, is_definition boolean")
+               "end_col int, parent_id int, parent_type string, field string, field_no int, depth int, num_children int, "
+               "is_definition boolean")
 VALUE_CHARS = 50
 
 # Kinds of nodes by their role.
@@ -49,18 +50,19 @@ def _nodes_of(file_id, text):
         root = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return
-    stack = [(root, None, None, 0)]
+    stack = [(root, None, None, None, 0, 0)]
     number = 0
     while stack:
-        node, parent, field, depth = stack.pop()
-        children = [(child, name) for name, part in ast.iter_fields(node)
-                    for child in (part if isinstance(part, list) else [part]) if isinstance(child, ast.AST)]
+        node, parent, parent_type, field, place, depth = stack.pop()
+        children = [(child, name, i) for name, part in ast.iter_fields(node)
+                    for i, child in enumerate(part if isinstance(part, list) else [part]) if isinstance(child, ast.AST)]
+        kind = type(node).__name__
         line, column = getattr(node, "lineno", 0), getattr(node, "col_offset", 0)
         stores = isinstance(node, ast.arg) or isinstance(getattr(node, "ctx", None), ast.Store)
-        yield (file_id, number, type(node).__name__, _value(node), line, getattr(node, "end_lineno", line) or line,
-               column, getattr(node, "end_col_offset", column) or column, parent, field, depth, len(children),
-               bool(stores))
-        stack.extend((child, number, name, depth + 1) for child, name in reversed(children))
+        yield (file_id, number, kind, _value(node), line, getattr(node, "end_lineno", line) or line,
+               column, getattr(node, "end_col_offset", column) or column, parent, parent_type, field, place, depth,
+               len(children), bool(stores))
+        stack.extend((child, number, kind, name, i, depth + 1) for child, name, i in reversed(children))
         number += 1
 
 
@@ -114,25 +116,26 @@ def dataflow_edges(nodes: DataFrame, last_only: bool = False) -> DataFrame:
 def control_edges(nodes: DataFrame) -> DataFrame:
     """Edges of conditions, loops, calls and jumps, from parent and child roles.
 
-    One self-join on (file, parent) gives all child roles; node 0 takes part like any other.
+    A node row tells its parent's type and its own role, and the condition of an ``If`` is
+    the first node below it, so every edge follows from one row: no join, no shuffle. Node 0
+    takes part like any other.
     """
-    parents = nodes.select("file_id", F.col("node_id").alias("parent_id"), F.col("node_type").alias("parent_type"))
-    linked = nodes.join(parents, ["file_id", "parent_id"])
-    kind, parent = F.col("node_type"), F.col("parent_type")
-    entering = linked.filter(kind.isin(*CONTROL[:4], "Call", *JUMPS))
-    parts = _edges(entering, F.col("parent_id"), F.col("node_id"), "control")
-    tests = linked.filter((parent == "If") & (F.col("field") == "test"))
-    parts = parts.unionByName(_edges(tests, F.col("parent_id"), F.col("node_id"), "control"))
-    branches = linked.filter((parent == "If") & F.col("field").isin("body", "orelse")).groupBy(
-        "file_id", "parent_id", "field").agg(F.min("node_id").alias("first_id"))
-    taken = branches.join(tests.select("file_id", "parent_id", F.col("node_id").alias("test_id")), ["file_id", "parent_id"])
-    parts = parts.unionByName(_edges(taken, F.col("test_id"), F.col("first_id"), "control"))
-    bodies = linked.filter(parent.isin(*LOOPS) & (F.col("field") == "body")).groupBy("file_id", "parent_id").agg(
-        F.min("node_id").alias("first_id"))
-    parts = parts.unionByName(_edges(bodies, F.col("parent_id"), F.col("first_id"), "control"))
-    parts = parts.unionByName(_edges(bodies, F.col("first_id"), F.col("parent_id"), "control"))
-    callees = linked.filter((parent == "Call") & (F.col("field") == "func"))
-    return parts.unionByName(_edges(callees, F.col("parent_id"), F.col("node_id"), "control")).distinct()
+    kind, parent, role = F.col("node_type"), F.col("parent_type"), F.col("field")
+    up, here = F.col("parent_id"), F.col("node_id")
+    first = F.col("field_no") == 0
+
+    def edge(test, source, target):
+        return F.when(test, F.struct(source.alias("source"), target.alias("target")))
+
+    loop_body = parent.isin(*LOOPS) & (role == "body") & first
+    edges = F.array(
+        edge(kind.isin(*CONTROL[:4], "Call", *JUMPS), up, here),
+        edge((parent == "If") & (role == "test"), up, here),
+        edge((parent == "If") & role.isin("body", "orelse") & first, up + 1, here),
+        edge(loop_body, up, here), edge(loop_body, here, up),
+        edge((parent == "Call") & (role == "func"), up, here))
+    return (nodes.filter(up.isNotNull()).select("file_id", F.inline(F.array_distinct(F.array_compact(edges))))
+            .withColumn("kind", F.lit("control")))
 
 
 def node_features(nodes: DataFrame) -> DataFrame:

@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.functions.code import FEATURES, indicator_features
+from vulnlake.functions.text import computed_once
 from vulnlake.operators.evaluation import prediction_columns
+from vulnlake.operators.scan import lowered
 
 LAYERS = [FEATURES, 128, 64, 32, 2]  # fixed values: layer widths
 
 
 def with_features(samples: DataFrame, code: str = "code", unicode: bool = True) -> DataFrame:
-    return samples.withColumn("features", array_to_vector(indicator_features(F.col(code), unicode)))
+    rows = computed_once(samples, _low=lowered(F.col(code), unicode))
+    return rows.withColumn("features", array_to_vector(indicator_features(F.col(code), unicode, F.col("_low")))).drop("_low")
 
 
 def train_network(samples: DataFrame, max_iter: int = 50, seed: int = 7) -> PipelineModel:

@@ -2,11 +2,14 @@
 
 The rows are range-partitioned on the order, so every task sorts only its share; the
 totals of the partitions (a few rows) are then added up in order. Range bounds come from
-sampling, therefore the partitioned rows are checkpointed once and both steps read that.
+sampling, so the partitioned rows are written once to the shared checkpoint folder and both
+steps read that table: the places stay the same whichever executor is lost.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +18,11 @@ from vulnlake.session import ensure_checkpoint_dir
 
 def _ranged(frame: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     spark = frame.sparkSession
-    ensure_checkpoint_dir(spark)
+    folder = f"{ensure_checkpoint_dir(spark)}/ranged-{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return (frame.repartitionByRange(parts, *by, *order)
-            .withColumn("_part", F.spark_partition_id()).checkpoint())
+    ranged = frame.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id())
+    ranged.write.parquet(folder)
+    return spark.read.schema(ranged.schema).parquet(folder)
 
 
 def running_sums(frame: DataFrame, order: list[Column], sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:
@@ -43,6 +47,23 @@ def number_rows(frame: DataFrame, order: list[Column], name: str = "row_no", by:
     return running_sums(frame, order, {name: F.lit(1)}, by).withColumn(name, F.col(name).cast("bigint"))
 
 
+def spread_small(frame: DataFrame) -> DataFrame:
+    """Deals a small input out to all task slots before heavy work per row.
+
+    A row group is read by one task, so a few small files keep most slots idle. Inputs large
+    enough to fill the slots are left as they are; they are never shuffled here.
+    """
+    spark = frame.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if len(frame.inputFiles()) < slots and size < slots * SLOT_BYTES:
+        return frame.repartition(slots)
+    return frame
+
+
+SLOT_BYTES = 128 << 20  # one read task's share by Spark's default
+
+
 def hash_of(col: Column) -> Column:
     """32 bits of an MD5 digest as a number; the same in every engine."""
     return F.conv(F.substring(F.md5(col.cast("string")), 1, 8), 16, 10).cast("bigint")

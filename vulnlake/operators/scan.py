@@ -8,6 +8,7 @@ that test is a plain byte search and rejects nearly all (line, rule) pairs.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -79,7 +80,7 @@ def is_safe(text: Column, language: Column, safe_patterns=SAFE_PATTERNS, unicode
     for name, patterns in safe_patterns.items():
         hit = reduce(lambda a, b: a | b, [_safe_hit(p, text, low, unicode) for p in patterns])
         cases = F.when(language == name, hit) if cases is None else cases.when(language == name, hit)
-    return F.coalesce(cases, F.lit(False))
+    return F.lit(False) if cases is None else F.coalesce(cases, F.lit(False))
 
 
 def _safe_hit(pattern: str, text: Column, low: Column, unicode: bool) -> Column:
@@ -200,15 +201,22 @@ def scan_with_rule_table(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Scan with rules given as a table (rule_id, pattern, severity, cwe_id, languages, negative).
 
     ``lines`` needs ``language`` and ``line``. The join is an equi-join on language, so a
-    line meets only its own rules; the rule side is small and its size is read from the plan.
+    line meets only its own rules; Spark broadcasts the rule side if its size allows it. A
+    pattern that changes from row to row is compiled anew each time, so a ``needles`` column
+    (texts of which a match holds one, in lower case) is used to skip most pairs.
     """
     exploded = rules.select("*", F.explode("languages").alias("language")).drop("languages")
     line = F.col("line")
-    clean = ~F.exists(F.coalesce(F.col("negative"), F.array().cast("array<string>")),
-                      lambda p: F.regexp_like(line, F.concat(F.lit("(?d)(?i)"), p)))
-    return (lines.join(exploded, "language")
-            .filter(F.regexp_like(line, F.concat(F.lit("(?d)(?i)"), F.col("pattern"))) & clean)
-            .drop("pattern", "negative"))
+    test = F.regexp_like(line, F.concat(F.lit("(?d)(?i)"), F.col("pattern")))
+    test = test & ~F.exists(F.coalesce(F.col("negative"), F.array().cast("array<string>")),
+                            lambda p: F.regexp_like(line, F.concat(F.lit("(?d)(?i)"), p)))
+    own = [c for c in lines.columns]
+    if "needles" in rules.columns:
+        lines = computed_once(lines, _low=F.lower("line"))
+        needles = F.col("needles")
+        test = ((F.size(needles) == 0) | F.exists(needles, lambda n: F.col("_low").contains(n))) & test
+    out = lines.join(exploded, "language").filter(test)
+    return out.select(*own, *[c for c in exploded.columns if c not in ("language", "pattern", "negative", "needles")])
 
 
 # ------------------------------------------------------- infrastructure scans
@@ -224,11 +232,21 @@ def infra_type(filename: Column, text: Column) -> Column:
             .otherwise("generic"))
 
 
-def _family_hits(lines: DataFrame, kept, rules, unicode: bool) -> DataFrame:
+def _family_hits(lines: DataFrame, kept, rules, unicode: bool, by_type: dict | None = None) -> DataFrame:
     line, low = F.col("line"), F.col("_low")
+
+    def build():
+        if not by_type:
+            return all_rules(rules, line, low, unicode)
+        cases = F.array().cast("array<int>")
+        for kind, family in by_type.items():
+            if kind != "secrets":
+                cases = F.when(F.col("infra_type") == kind, all_rules(family, line, low, unicode)).otherwise(cases)
+        return F.concat(cases, all_rules(by_type["secrets"], line, low, unicode)) if "secrets" in by_type else cases
+
+    numbers = remembered(("family", rules, unicode, bool(by_type)), build)
     hits = (with_marks(lines, rules, unicode)
-            .select(*kept, "line_no", F.explode(remembered(
-                ("family", rules, unicode), lambda: all_rules(rules, line, low, unicode))).alias("_rule")))
+            .select(*kept, "line_no", F.explode(numbers).alias("_rule")))
     return hits.select(
         *kept, "line_no",
         *[c.alias("type") if n == "title" else c for n, c in zip(
@@ -251,14 +269,17 @@ def scan_secrets(files: DataFrame, *, unicode: bool = True, skip_comments: bool
 
 
 def scan_infra(files: DataFrame, *, unicode: bool = True, with_secrets: bool = True) -> DataFrame:
-    """Container and orchestration rules by ``infra_type``, secrets for every type."""
+    """Container and orchestration rules by ``infra_type``, secrets for every type.
+
+    All families are tried in one pass over the lines; rules are renumbered through for that.
+    """
     kept = [c for c in files.columns if c != "text"]
-    lines = explode_lines(files)
-    parts = [_family_hits(lines.filter(F.col("infra_type") == kind), kept, rules, unicode)
-             for kind, rules in INFRA_RULES.items()]
-    if with_secrets:
-        parts.append(_family_hits(lines, kept, SECRET_RULES, unicode))
-    return reduce(DataFrame.unionByName, parts)
+    families = {**INFRA_RULES, **({"secrets": SECRET_RULES} if with_secrets else {})}
+    numbered, rules = {}, ()
+    for kind, family in families.items():
+        numbered[kind] = tuple(replace(r, number=len(rules) + i) for i, r in enumerate(family, 1))
+        rules += numbered[kind]
+    return _family_hits(explode_lines(files), kept, rules, unicode, numbered)
 
 
 def scan_absent(files: DataFrame) -> DataFrame:

@@ -43,13 +43,13 @@ def rules_frame(spark: SparkSession, rules) -> DataFrame:
     """Rules as a table, for joins and for the catalogue report."""
     rows = [
         (r.number, r.rule_id, r.title, r.severity, r.cwe_id, r.message, r.pattern,
-         list(r.languages), list(r.negative), r.remediation, r.owasp)
+         list(r.languages), list(r.negative), r.remediation, r.owasp, list(r.needles))
         for r in rules
     ]
     return spark.createDataFrame(
         rows,
         "number int, rule_id string, title string, severity string, cwe_id string, message string, "
-        "pattern string, languages array<string>, negative array<string>, remediation string, owasp string",
+        "pattern string, languages array<string>, negative array<string>, remediation string, owasp string, needles array<string>",
     )
 
 
