@@ -52,9 +52,11 @@ def with_label(samples: DataFrame) -> DataFrame:
 def read_jsonl(spark: SparkSession, path: str, fields: str = "func string, target int, project string, commit_id string",
                source: str = "codexglue") -> tuple[DataFrame, DataFrame]:
     """(samples, bad lines) of a line-wise JSON corpus; samples pass the quality filter."""
-    rows = spark.read.schema(f"{fields}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    bad = rows.filter(F.col("_bad").isNotNull()).select(F.col("_bad").alias("line"))
-    good = rows.filter(F.col("_bad").isNull())
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = F.from_json("value", f"{fields}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = lines.select("value", parsed.alias("r"))
+    bad = rows.filter(F.col("r._bad").isNotNull()).select(F.col("value").alias("line"))
+    good = rows.filter(F.col("r._bad").isNull()).select("r.*").drop("_bad")
     return unify_functions(good, source, kind="defect", language=None), bad
 
 
