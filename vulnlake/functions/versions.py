@@ -16,18 +16,27 @@ def parse_version(version: Column) -> Column:
     return F.transform(parts, lambda p: p.cast("bigint"))
 
 
-def _one_bound(current: Column, bound: Column) -> Column:
-    limit = parse_version(bound)
-    return (F.when(bound.startswith("<="), current <= limit)
-            .when(bound.startswith("<"), current < limit)
-            .when(bound.startswith(">="), current >= limit)
-            .when(bound.startswith(">"), current > limit)
-            .otherwise(current == limit))
+def bounds_of(affected: Column) -> Column:
+    """array<struct(op, numbers)> of a comma-separated range; a bare version means equality."""
+    def bound(text):
+        text = strip(text)
+        return F.struct(F.regexp_extract(text, "^([<>]=?)?", 1).alias("op"), parse_version(text).alias("numbers"))
+
+    return F.transform(F.split(affected, ","), bound)
+
+
+def within_bounds(current: Column, bounds: Column) -> Column:
+    """Whether a parsed version meets every bound."""
+    def met(bound):
+        op, limit = bound["op"], bound["numbers"]
+        return (F.when(op == "<", current < limit).when(op == "<=", current <= limit)
+                .when(op == ">", current > limit).when(op == ">=", current >= limit).otherwise(current == limit))
+
+    return F.forall(bounds, met)
 
 
 def in_range(current: Column, affected: Column) -> Column:
-    """Whether a parsed version meets every comma-separated bound."""
-    return F.forall(F.split(affected, ","), lambda bound: _one_bound(current, strip(bound)))
+    return within_bounds(current, bounds_of(affected))
 
 
 # Shapes of a dependency line.

@@ -12,7 +12,7 @@ from vulnlake.functions.severity import mapped
 from vulnlake.functions.text import contains_any
 from vulnlake.operators.filters import CONTENT_LANGUAGE_SHORT, language_by_content, length_within
 from vulnlake.operators.lookups import with_cwe_group
-from vulnlake.operators.scale import cap_per_group, first_per_group, hash_of, number_rows, shuffled_rank
+from vulnlake.operators.scale import bounded_broadcast, cap_per_group, first_per_group, hash_of, number_rows, shuffled_rank
 
 # Language of a file extension in fix records; heuristics for weak labels.
 FIX_EXTENSIONS = {"js": "javascript", "py": "python", "c": "c", "cpp": "cpp", "java": "java", "jsx": "javascript"}
@@ -161,13 +161,13 @@ def encode(samples: DataFrame, tokens: Column, vocab: DataFrame, key: str, max_l
     """(key, ids, mask): start mark, token ids (unknown 1), end mark, cut and padded.
 
     With ``keep_end`` the end mark survives the cut. Tokens beyond the cut are dropped before
-    the join; the vocabulary is limited in size when it is built, so it is broadcast.
+    the join. A vocabulary of limited size is broadcast, any other is joined as Spark sees fit.
     """
     n = F.size("_t")
     marked = F.concat(F.array(F.lit(2)), F.col("_ids"), F.array(F.lit(3)))
     whole = samples.select(key, tokens.alias("_t"))
     cut = whole.select(key, n.alias("_n"), F.posexplode_outer(F.slice("_t", 1, max_length)).alias("_p", "token"))
-    known = cut.join(F.broadcast(vocab.select("token", F.col("token_id").cast("int"))), "token", "left")
+    known = cut.join(bounded_broadcast(vocab.select("token", F.col("token_id").cast("int"))), "token", "left")
     ids = known.groupBy(key, "_n").agg(F.array_sort(F.collect_list(
         F.when(F.col("_p").isNotNull(), F.struct("_p", F.coalesce("token_id", F.lit(1)).alias("id"))))).alias("_s"))
     ids = ids.select(key, "_n", F.transform("_s", lambda s: s["id"]).alias("_ids"))
@@ -188,7 +188,7 @@ def decode(encoded: DataFrame, vocab: DataFrame, key: str, specials=SPECIALS_B,
     """(key, text): tokens of the ids joined by spaces, without the dropped specials."""
     names = F.array(*[F.lit(s) for s in specials])
     rows = encoded.select(key, F.posexplode("ids").alias("_p", "token_id"))
-    joined = rows.join(F.broadcast(vocab.select("token", F.col("token_id").cast("int"))), "token_id", "left")
+    joined = rows.join(bounded_broadcast(vocab.select("token", F.col("token_id").cast("int"))), "token_id", "left")
     token = F.coalesce(F.when(F.col("token_id") < len(specials), F.get(names, F.col("token_id"))), "token", F.lit("<UNK>"))
     kept = joined.withColumn("_w", token).filter(~F.col("_w").isin(*dropped))
     return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
@@ -232,6 +232,13 @@ def class_weights(samples: DataFrame, label: str = "label") -> DataFrame:
     return counts.select(label, "count", (rows / (classes * F.col("count"))).alias("weight"))
 
 
+def with_class_weight(samples: DataFrame, label: str = "label") -> DataFrame:
+    """Adds the balanced weight of each sample of a binary corpus, without a join."""
+    total, positive = samples.agg(F.count(label)).scalar(), samples.agg(F.count_if(F.col(label) == 1)).scalar()
+    weight = F.when(F.col(label) == 1, total / (2 * positive)).otherwise(total / (2 * (total - positive)))
+    return samples.withColumn("weight", weight)
+
+
 def positive_weight(samples: DataFrame, label: str = "label") -> DataFrame:
     """safe / vulnerable where safe samples prevail, else null."""
     counts = samples.agg(F.count_if(F.col(label) == 1).alias("vulnerable"), F.count_if(F.col(label) != 1).alias("safe"))

@@ -64,53 +64,49 @@ def _unified(frame: DataFrame, tool: str, *, line, kind, severity, confidence, s
 NEAR = 2  # fixed value: lines at this distance or nearer are one issue
 
 
-def anchor_lines(findings: DataFrame, arrival: list[str], file: str = "file_id", line: str = "line") -> DataFrame:
-    """(file, line, anchor): the anchor every line merges into.
-
-    In arrival order a line joins the earliest anchor within two lines, else it becomes an
-    anchor itself. All findings of a line go to the same anchor, so only distinct lines with
-    their first arrival are folded. Lines more than two apart from their neighbours cannot
-    affect each other, so each run of near lines is folded on its own.
-    """
-    lines = findings.groupBy(file, line).agg(F.min(F.struct(*arrival)).alias("_first"))
-    ahead = Window.partitionBy(file).orderBy(line)
-    fresh = F.coalesce((F.col(line) - F.lag(line).over(ahead) > NEAR).cast("int"), F.lit(0))
-    runs = lines.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(ahead))
-    folded = runs.groupBy(file, "_run").agg(
-        F.array_sort(F.collect_list(F.struct("_first", F.col(line).alias("line")))).alias("_lines"))
-
+def _anchors(lines: Column, kind: str) -> Column:
+    """For lines in arrival order, the anchor of each: the earliest within two lines, else itself."""
     def step(acc, item):
         near = F.get(F.filter(acc["anchors"], lambda a: F.abs(a - item["line"]) <= NEAR), 0)
         return F.struct(
             F.when(near.isNull(), F.array_append(acc["anchors"], item["line"])).otherwise(acc["anchors"]).alias("anchors"),
-            F.array_append(acc["pairs"], F.struct(item["line"].alias("line"), F.coalesce(near, item["line"]).alias("anchor"))).alias("pairs"))
+            F.array_append(acc["out"], F.coalesce(near, item["line"])).alias("out"))
 
-    kind = findings.schema[line].dataType.simpleString()
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("anchors"),
-                     F.array().cast(f"array<struct<line:{kind},anchor:{kind}>>").alias("pairs"))
-    pairs = F.aggregate("_lines", start, step, lambda acc: acc["pairs"])
-    return folded.select(file, F.inline(pairs)).withColumnRenamed("line", line)
+    none = F.array().cast(f"array<{kind}>")
+    return F.aggregate(lines, F.struct(none.alias("anchors"), none.alias("out")), step, lambda acc: acc["out"])
 
 
 def merge_near_lines(findings: DataFrame) -> DataFrame:
-    """Near findings as one: sources joined, highest severity and confidence, last details."""
-    arrival = F.struct("tool_no", "position")
-    joined = findings.join(anchor_lines(findings, ["tool_no", "position"]), ["file_id", "line"])
-    keep = ["line", "vulnerability_type", "code_snippet", "explanation", "cwe_id", "owasp_category"]
+    """Near findings as one: sources joined, highest severity and confidence, last details.
 
-    def last(name):
-        return F.max_by(F.col(name), F.when(F.col(name).isNotNull(), arrival)).alias(name)
-
-    merged = joined.groupBy("file_id", "anchor").agg(
-        F.min_by(F.struct(*keep), arrival).alias("_f"),
-        F.min(sev.severity_rank(F.col("severity"))).alias("_rank"),
-        F.max("confidence").alias("confidence"),
+    In arrival order a finding joins the earliest anchor within two lines, else it becomes an
+    anchor itself; anchors do not move. All findings of a line go to the same anchor, so they
+    are aggregated per line first. Lines more than two apart from their neighbours cannot
+    affect each other, so each run of near lines is folded on its own, and a run is never
+    longer than its file. After the first shuffle everything is partitioned by file.
+    """
+    arrival = F.struct("tool_no", "position")
+    keep = ["vulnerability_type", "code_snippet", "explanation", "cwe_id", "owasp_category"]
+    details = ["semgrep_rule", "bandit_test", "ml_probability"]
+    per_line = findings.groupBy("file_id", "line").agg(
+        F.min(F.struct("tool_no", "position", "line", *keep)).alias("first"),
+        F.min(sev.severity_rank(F.col("severity"))).alias("rank"), F.max("confidence").alias("confidence"),
         F.collect_set(F.element_at("sources", 1)).alias("sources"),
-        F.min(arrival).alias("_arrival"),
-        last("semgrep_rule"), last("bandit_test"), last("ml_probability"))
-    return merged.select("file_id", "_f.*", sev.severity_of_rank(F.col("_rank")).alias("severity"), "confidence",
-                         F.sort_array("sources").alias("sources"), "semgrep_rule", "bandit_test", "ml_probability",
-                         F.col("_arrival.tool_no").alias("tool_no"), F.col("_arrival.position").alias("position"))
+        *[F.max(F.when(F.col(d).isNotNull(), F.struct(arrival.alias("at"), F.col(d).alias("value")))).alias(d) for d in details])
+    ahead = Window.partitionBy("file_id").orderBy("line")
+    fresh = F.coalesce((F.col("line") - F.lag("line").over(ahead) > NEAR).cast("int"), F.lit(0))
+    runs = per_line.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(ahead))
+    folded = runs.groupBy("file_id", "_run").agg(F.array_sort(F.collect_list(
+        F.struct("first", "line", "rank", "confidence", "sources", *details))).alias("_lines"))
+    kind = findings.schema["line"].dataType.simpleString()
+    placed = F.zip_with("_lines", _anchors(F.col("_lines"), kind), lambda item, anchor: F.struct(item.alias("l"), anchor.alias("anchor")))
+    merged = folded.select("file_id", F.inline(placed)).groupBy("file_id", "anchor").agg(
+        F.min("l.first").alias("first"), F.min("l.rank").alias("rank"), F.max("l.confidence").alias("confidence"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("l.sources")))).alias("sources"),
+        *[F.max(f"l.{d}").alias(d) for d in details])
+    return merged.select(
+        "file_id", "first.line", *[f"first.{c}" for c in keep], sev.severity_of_rank(F.col("rank")).alias("severity"),
+        "confidence", "sources", *[F.col(f"{d}.value").alias(d) for d in details], "first.tool_no", "first.position")
 
 
 def agreed_confidence(confidence: Column, sources: Column) -> Column:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import ast
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-NODE_SCHEMA = ("file_id long, node_id int, node_type string, value string, start_line int, end_line int, start_col int, "
-               "end_col int, parent_id int, parent_type string, field string, field_no int, depth int, num_children int, "
-               "is_definition boolean")
+NODE_TYPES = {
+    "file_id": pa.int64(), "node_id": pa.int32(), "node_type": pa.string(), "value": pa.string(), "start_line": pa.int32(),
+    "end_line": pa.int32(), "start_col": pa.int32(), "end_col": pa.int32(), "parent_id": pa.int32(), "parent_type": pa.string(),
+    "field": pa.string(), "field_no": pa.int32(), "depth": pa.int32(), "num_children": pa.int32(), "is_definition": pa.bool_(),
+}
+_SQL_NAMES = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean"}
+NODE_SCHEMA = ", ".join(f"{name} {_SQL_NAMES[kind]}" for name, kind in NODE_TYPES.items())
 VALUE_CHARS = 50
 
 # Kinds of nodes by their role.
@@ -68,16 +72,15 @@ def _nodes_of(file_id, text):
 
 def parse_nodes(files: DataFrame) -> DataFrame:
     """(file_id, text) to node rows. Texts are independent, so any partitioning will do."""
-    names = [part.split()[0] for part in NODE_SCHEMA.split(", ")]
-
     def parse(batches):
         for batch in batches:
-            rows = [row for file_id, text in zip(batch["file_id"], batch["text"]) for row in _nodes_of(file_id, text or "")]
-            frame = pd.DataFrame(rows, columns=names)
-            frame["parent_id"] = frame["parent_id"].astype("Int64")
-            yield frame
+            texts = zip(batch.column("file_id").to_pylist(), batch.column("text").to_pylist())
+            rows = [row for file_id, text in texts for row in _nodes_of(file_id, text or "")]
+            columns = zip(*rows) if rows else [()] * len(NODE_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(columns, NODE_TYPES.values())],
+                                             names=list(NODE_TYPES))
 
-    return files.select("file_id", "text").mapInPandas(parse, NODE_SCHEMA)
+    return files.select("file_id", "text").mapInArrow(parse, NODE_SCHEMA)
 
 
 def _edges(frame: DataFrame, source, target, kind: str) -> DataFrame:

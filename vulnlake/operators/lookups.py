@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from vulnlake import dimensions as dim
 from vulnlake.functions.severity import mapped
-from vulnlake.functions.text import contains_any
-from vulnlake.functions.versions import in_range, parse_version
+from vulnlake.functions.text import computed_once, contains_any
+from vulnlake.functions.versions import bounds_of, parse_version, within_bounds
 
 
 def with_asvs(findings: DataFrame) -> DataFrame:
@@ -87,12 +87,14 @@ def match_advisories(dependencies: DataFrame, advisories: DataFrame | None = Non
     The built-in table has 17 rows and is broadcast. For a table handed in, Spark chooses
     the join by its size; the equi-join on the name works at any size.
     """
-    if advisories is None:
-        advisories = F.broadcast(dim.advisory_table(dependencies.sparkSession))
-    adv = advisories.withColumnRenamed("package", "_package")
-    joined = dependencies.join(adv, F.lower("name") == F.col("_package"))
-    return (joined.filter(in_range(parse_version(F.col("version")), F.col("affected")))
-            .withColumn("fixed_version", F.replace("affected", F.lit("<"), F.lit(""))).drop("_package"))
+    builtin = advisories is None
+    adv = dim.advisory_table(dependencies.sparkSession) if builtin else advisories
+    adv = adv.withColumnRenamed("package", "_package").withColumn("_bounds", bounds_of(F.col("affected")))
+    parsed = computed_once(dependencies, _version=parse_version(F.col("version")))
+    joined = parsed.join(F.broadcast(adv) if builtin else adv, F.lower("name") == F.col("_package"))
+    return (joined.filter(within_bounds(F.col("_version"), F.col("_bounds")))
+            .withColumn("fixed_version", F.replace("affected", F.lit("<"), F.lit("")))
+            .drop("_package", "_bounds", "_version"))
 
 
 def merge_findings(base: DataFrame, extra: DataFrame, keys=("file_path", "start_line", "cwe_id"),

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from vulnlake.session import ensure_checkpoint_dir
 
 
+BROADCAST_ROWS = 200_000
+
+
 def _ranged(frame: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     spark = frame.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/ranged-{uuid.uuid4().hex}"
@@ -61,6 +64,13 @@ def spread_small(frame: DataFrame) -> DataFrame:
     return frame
 
 
+def bounded_broadcast(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only where the plan itself proves an upper limit of rows (a limit or a
+    literal table); otherwise Spark chooses the join by measured size."""
+    rows = frame._jdf.queryExecution().optimizedPlan().maxRows()
+    return F.broadcast(frame) if rows.isDefined() and int(str(rows.get())) <= most else frame
+
+
 SLOT_BYTES = 128 << 20  # one read task's share by Spark's default
 
 

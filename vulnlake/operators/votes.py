@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vulnlake.operators.scale import bounded_broadcast
+
 STRATEGIES = ("majority", "weighted", "average", "max_confidence", "stacking")
 
 
@@ -61,5 +63,5 @@ def model_register(spark: SparkSession, models) -> DataFrame:
 
 
 def with_weights(predictions: DataFrame, register: DataFrame) -> DataFrame:
-    """Adds place and weight of the registered model; a register is a handful of rows."""
-    return predictions.join(F.broadcast(register.select("model", "model_no", "weight")), "model")
+    """Adds place and weight of the registered model."""
+    return predictions.join(bounded_broadcast(register.select("model", "model_no", "weight")), "model")

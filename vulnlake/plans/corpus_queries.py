@@ -505,7 +505,7 @@ def network_scores(spark, sf):
 @query("m1_weighted_model_scores")
 def weighted_scores(spark, sf):
     files = t.code_files(spark, sf).select("file_id", F.col("text").alias("code"), F.col("text").contains("eval(").cast("int").alias("label"))
-    samples = models.with_features(files).join(F.broadcast(corpus.class_weights(files).select("label", "weight")), "label")
+    samples = models.with_features(corpus.with_class_weight(files))
     return evaluation.binary_metrics(models.score(models.train_weighted(samples, 10), samples.drop("weight")))
 
 

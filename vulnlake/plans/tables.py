@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vulnlake.dimensions import ADVISORIES
+from vulnlake.operators.scale import spread_small
 
 # Lines of which the code files are composed; @@ becomes a number.
 CODE_LINES = [
@@ -118,8 +119,13 @@ def sql_pick(values, index: str) -> str:
     return f"{sql_list(values)}[1 + ({index}) % {len(values)}]"
 
 
+def read_spread(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """For heavy work per row: a table of few row groups is dealt out to all slots."""
+    return spread_small(read(spark, sf, name))
+
+
 def _composed(spark, sf, lines) -> DataFrame:
-    li = read(spark, sf, "lineitem")
+    li = read_spread(spark, sf, "lineitem")
     line = F.replace(pick(lines, F.col("l_partkey") * 7 + F.col("l_suppkey")), F.lit("@@"), F.col("l_suppkey").cast("string"))
     rows = li.select(F.col("l_orderkey").alias("file_id"),
                      F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", line.alias("line")).alias("s"))
@@ -166,7 +172,7 @@ def sql_lines(source: str, columns: str) -> str:
 
 def findings(spark, sf) -> DataFrame:
     """Findings of scans; a third of them belong to scan 0."""
-    li = read(spark, sf, "lineitem")
+    li = read_spread(spark, sf, "lineitem")
     k, p, s, n = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
     return li.select(
         F.when(k % 3 == 0, 0).otherwise(k % 400).alias("scan_id"),
@@ -278,7 +284,7 @@ PREDICTIONS = """predictions AS (SELECT sample_id, probability, CAST(probability
 
 
 def dependencies(spark, sf) -> DataFrame:
-    li = read(spark, sf, "lineitem")
+    li = read_spread(spark, sf, "lineitem")
     k, p, s, n = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
     version = F.concat_ws(".", (p % 6).cast("string"), (s % 40).cast("string"), (n % 7).cast("string"))
     return li.select(F.when(k % 3 == 0, 0).otherwise(k % 300).alias("project"), pick(PACKAGES, p + s).alias("name"),

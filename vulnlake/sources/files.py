@@ -19,6 +19,7 @@ from vulnlake.dimensions import (
     PROJECT_SKIP_DIRS,
 )
 from vulnlake.operators.filters import in_ignored_dir, language_by_extension
+from vulnlake.operators.scale import bounded_broadcast
 
 
 def read_tree(spark: SparkSession, root: str, *, languages=PROJECT_LANGUAGES, skip_dirs=PROJECT_SKIP_DIRS,
@@ -37,7 +38,7 @@ def read_tree(spark: SparkSession, root: str, *, languages=PROJECT_LANGUAGES, sk
             .filter(F.col("language").isNotNull() & ~in_ignored_dir(F.col("_rel"), skip_dirs)))
     if max_files is not None:
         first = kept.select("path").orderBy("path").limit(max_files)
-        kept = kept.join(F.broadcast(first), "path", "left_semi")
+        kept = kept.join(bounded_broadcast(first), "path", "left_semi")
     return kept.select(F.xxhash64("path").alias("file_id"), F.col("_rel").alias("path"), "language",
                        F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
 

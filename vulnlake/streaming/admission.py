@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vulnlake.dimensions import DEFAULT_RATE_LIMIT, RATE_LIMITS
+from vulnlake.operators.scale import running_sums
 
 RESULT = "allowed boolean, remaining int, retry_after int"
 KEEP_SECONDS = 3600  # fixed value: state of a client is dropped after an hour
@@ -45,32 +46,41 @@ def admit(times, accepted: deque, limit: int, window: float):
     return out
 
 
-def requests_in_window(requests: DataFrame, keys: list[str], window: int) -> DataFrame:
-    """Requests of the key in the last ``window`` seconds, rejected ones included: an upper bound.
+def _lent(requests: DataFrame, window: int) -> DataFrame:
+    """Each row in its own time slice of the window's length and once more in the next one.
 
-    A frame reaches back into one earlier slice of the window's length at most. Each row is
-    therefore counted in its own slice and lent to the next one, and a busy key is spread
+    What lies up to a window back is then found in the same slice, so a busy key is spread
     over as many tasks as it has slices.
     """
-    micros, width = F.unix_micros("ts"), window * 1_000_000
-    slice_no = F.floor(micros / width)
-    lent = requests.withColumn("_own", slice_no).withColumn("_slice", F.explode(F.array(slice_no, slice_no + 1)))
-    recent = Window.partitionBy(*keys, "_slice").orderBy(micros).rangeBetween(-width + 1, 0)
-    return (lent.withColumn("requests", F.count("*").over(recent)).filter(F.col("_own") == F.col("_slice"))
-            .drop("_own", "_slice"))
+    own = F.floor(F.unix_micros("ts") / (window * 1_000_000))
+    return requests.withColumn("_own", own).withColumn("_slice", F.explode(F.array(own, own + 1)))
+
+
+def _returned(lent: DataFrame) -> DataFrame:
+    return lent.filter(F.col("_own") == F.col("_slice")).drop("_own", "_slice")
+
+
+def requests_in_window(requests: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """Requests of the key in the last ``window`` seconds, rejected ones included: an upper bound."""
+    recent = Window.partitionBy(*keys, "_slice").orderBy(F.unix_micros("ts")).rangeBetween(-window * 1_000_000 + 1, 0)
+    return _returned(_lent(requests, window).withColumn("requests", F.count("*").over(recent)))
 
 
 def decide(requests: DataFrame, keys: list[str], limit: int, window: int, order: str) -> DataFrame:
     """Exact decisions over a whole request log.
 
     A pause of at least a window empties it, so the log of a key is cut there and the
-    parts run apart. Rows stream through a task in order with only the accepted times of
-    the current part as state, so no part is held in memory whole.
+    parts run apart; pauses are found by time slices and numbered without gathering a key.
+    Rows of a part stream through a task in order with only its accepted times as state, so
+    no part is held in memory whole. Only a key that never pauses runs in one task, because
+    each of its decisions depends on the one before.
     """
-    seconds = F.unix_micros("ts") / 1e6
-    ahead = Window.partitionBy(*keys).orderBy("ts", order)
-    fresh = F.coalesce((seconds - F.lag(seconds).over(ahead) >= window).cast("int"), F.lit(0))
-    parts = requests.withColumn("_s", seconds).withColumn("_new", fresh).withColumn("_part", F.sum("_new").over(ahead)).drop("_new")
+    ahead = Window.partitionBy(*keys, "_slice").orderBy("ts", order)
+    gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(ahead)
+    fresh = F.coalesce((gap >= window * 1_000_000).cast("int"), F.lit(1))
+    flagged = _returned(_lent(requests, window).withColumn("_new", fresh))
+    parts = running_sums(flagged, [F.col("ts"), F.col(order)], {"_part": F.col("_new")}, keys).drop("_new")
+    parts = parts.withColumn("_s", F.unix_micros("ts") / 1e6)
     ordered = parts.repartition(*keys, "_part").sortWithinPartitions(*keys, "_part", "ts", order)
     names = [*keys, "_part"]
     kept = requests.columns
