@@ -1,4 +1,7 @@
-"""Times the headline queries and prints one JSON line."""
+"""Times the headline queries and prints one JSON line.
+
+Each query runs once on the smallest tables first, unless BENCH_WARMUP=0.
+"""
 
 from __future__ import annotations
 
@@ -29,7 +32,10 @@ def main() -> None:
         "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"), "spark.sql.shuffle.partitions": cpus,
         "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
-    spark.read.parquet(f"{folder}/documents.parquet").selectExpr("sum(length(text))").collect()
+    warm = os.path.join(os.path.dirname(folder.rstrip("/")), "sf0.001")
+    if os.environ.get("BENCH_WARMUP", "1") != "0" and os.path.isdir(warm):  # the JVM compiles what it runs; time the queries, not that
+        for name in names:
+            catalog.QUERIES[name](spark, warm).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
         started = time.perf_counter()
