@@ -225,7 +225,9 @@ def encoded(spark, sf):
     return out.select("file_id", F.array_join("ids", " ").alias("ids"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("bigint").alias("used"))
 
 
-@query("z11_decoded")
+@query("z11_decoded", with_tables(t.CODE_FILES, f"toks AS (SELECT file_id, regexp_extract_all({SQL_UNCOMMENTED}, {q(code_fn.TOKENS_B)}) AS l FROM code_files)",
+                                  "vocab AS (SELECT token FROM (SELECT token, count(*) AS n FROM (SELECT unnest(l) AS token FROM toks) GROUP BY token) ORDER BY n DESC, token LIMIT 296)", body="""
+SELECT file_id, string_agg(coalesce(v.token, '<UNK>'), ' ' ORDER BY p) AS text FROM (SELECT file_id, unnest(l[1:30]) AS token, unnest(generate_series(1, least(len(l), 30))) AS p FROM toks) x LEFT JOIN vocab v ON v.token = x.token GROUP BY file_id"""))
 def decoded(spark, sf):
     files = t.code_files(spark, sf)
     toks = code_fn.tokens_b(F.col("text"), False)

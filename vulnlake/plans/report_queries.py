@@ -200,7 +200,10 @@ def filtered_findings(spark, sf):
     return filter_findings(rows, "src/f7.py", "high")
 
 
-@query("p21_unified_responses")
+@query("p21_unified_responses", with_findings("""SELECT response_id, CASE WHEN shape < 2 THEN 'code_input' ELSE 'a.py' END AS file_path, CASE WHEN shape < 2 THEN 'unknown' ELSE 'python' END AS language,
+  ['bandit,semgrep', 'ml', 'pattern', 'pattern'][1 + shape] AS tool, CASE shape WHEN 0 THEN type WHEN 1 THEN cwe ELSE rule_id END AS rule_id, severity,
+  CASE WHEN shape < 2 THEN coalesce(message, 'Potential vulnerability detected') ELSE message END AS message, line AS start_line, line AS end_line, cwe AS cwe_id
+  FROM (SELECT *, position // 1000000000 AS response_id, (position // 1000000000) % 4 AS shape FROM findings)"""))
 def unified_responses(spark, sf):
     """Finding rows out of responses of four shapes, built from the findings."""
     f = t.findings(spark, sf)
@@ -215,7 +218,7 @@ def unified_responses(spark, sf):
             .when(shape == 1, F.to_json(F.struct(F.col("items").alias("vulnerabilities"))))
             .when(shape == 2, F.to_json(F.struct(F.array(file).alias("file_results"))))
             .otherwise(F.to_json(F.struct(file.alias("file_result")))))
-    return fnd.unify_responses(grouped.select("response_id", body.alias("body")))
+    return fnd.unify_responses(grouped.select("response_id", body.alias("body"))).drop("code_snippet")
 
 
 P23_SQL = f"""WITH base AS (SELECT event_id AS file_id, (event_id * 31 % 100) / 100.0 AS probability, event_id % 4 = 0 AS is_safe FROM events),
@@ -600,7 +603,8 @@ def requirement_lines(spark, sf):
     return deps.parse_requirements(t.requirement_files(spark, sf))
 
 
-@query("z4_package_manifests")
+@query("z4_package_manifests", with_tables(t.DEPENDENCIES, body="""SELECT project, name, regexp_replace(CASE WHEN length(name) % 2 = 0 THEN max(version) ELSE min(version) END, '^[~^>=<]+', '') AS version
+  FROM dependencies GROUP BY project, name"""))
 def package_manifests(spark, sf):
     """Entries of manifests built from the dependencies of each project."""
     d = t.dependencies(spark, sf).select("project", "name", "version").distinct()

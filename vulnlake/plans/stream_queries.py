@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vulnlake.plans import tables as t
 from vulnlake.plans.registry import query
+from vulnlake.plans.scan_queries import W1_SQL
 from vulnlake.plans.tables import with_tables
 from vulnlake.session import ensure_checkpoint_dir
 from vulnlake.streaming import admission, jobs
@@ -55,10 +56,12 @@ def feedback_stream(spark, sf):
     return _drained(spark, jobs.feedback_stream, t.feedback(spark, sf), "complete")
 
 
-@query("t6_file_findings_stream")
+@query("t6_file_findings_stream", with_tables(t.CODE_FILES, body=f"SELECT file_id, start_line, rule_id, severity FROM ({W1_SQL})"))
 def file_findings_stream(spark, sf):
-    files = t.code_files(spark, sf).select("path", "language", "text", F.timestamp_seconds(F.lit(1704067200) + F.col("file_id")).alias("arrived"))
-    return _drained(spark, lambda s: jobs.file_findings(s, "30 days"), files.unionByName(files)).drop("rule_no")
+    """Every file arrives twice and is scanned once."""
+    files = t.code_files(spark, sf).select("file_id", "path", "language", "text", F.timestamp_seconds(F.lit(1704067200) + F.col("file_id")).alias("arrived"))
+    return _drained(spark, lambda s: jobs.file_findings(s, "30 days"), files.unionByName(files)).select(
+        "file_id", "start_line", "rule_id", "severity")
 
 
 @query("t7_progress_stream", with_tables(t.PROGRESS, body="""SELECT scan_id, status, files_scanned, total_files, round_even(files_scanned / CAST(greatest(total_files, 1) AS DOUBLE) * 100, 1) AS percentage
