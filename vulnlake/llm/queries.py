@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from vulnlake.llm import mixing
+from vulnlake.llm import mixing, url_filter, warc
 
-QUERIES = {"op3_mix_sources": mixing.op3_mix_sources}
-ORACLES = {"op3_mix_sources": mixing.OP3_SQL}
+QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
+    "op3_mix_sources": mixing.op3_mix_sources,
+    "op5_warc_round_trip": warc.op5_warc_round_trip,
+}
+ORACLES = {
+    "op3_mix_sources": mixing.OP3_SQL,
+    "op5_warc_round_trip": warc.OP5_SQL,
+}
