@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vulnlake.llm import mixing, pii, url_filter, warc
+from vulnlake.llm import decontaminate, mixing, pii, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op5_warc_round_trip": warc.op5_warc_round_trip,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op9_personal_data": pii.op9_personal_data,
 }
 ORACLES = {
