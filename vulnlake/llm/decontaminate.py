@@ -33,7 +33,7 @@ def spaced(text: Column) -> Column:
 
 def template(plain: Column) -> Column:
     """Word for word the template of a text from `spaced`; words of punctuation alone become empty."""
-    named = F.regexp_replace(plain, r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{L}++", "<name>")
+    named = F.regexp_replace(plain, r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}++(?![\p{L}])", "<name>")
     numbered = F.when(named.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(
         named, r"[0-9]++(?:[.,:/][0-9]++)*+", "<num>"), rf"(?i)(?<=<num> ?)(?:{'|'.join(UNITS)}|[%€$£°])(?![\p{{L}}\p{{N}}])", "<unit>")).otherwise(named)
     return F.translate(F.lower(numbered), _MARKS, "")
