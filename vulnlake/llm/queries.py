@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vulnlake.llm import decontaminate, mixing, pii, url_filter, warc
+from vulnlake.llm import decontaminate, line_dedup, mixing, pii, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op5_warc_round_trip": warc.op5_warc_round_trip,
     "op6_decontaminate": decontaminate.op6_decontaminate,
