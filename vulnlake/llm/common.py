@@ -106,3 +106,9 @@ def prefix_sums(values: Column, block: int = 256) -> Column:
     offsets = plain(F.transform(blocks, total))
     return F.when(F.size(values) <= block, plain(values)).otherwise(F.flatten(F.zip_with(
         blocks, offsets, lambda b, o: F.transform(plain(b), lambda x: x + o))))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Bounds the batches that go to Python workers, as whole texts and their sets can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vulnlake.llm import decontaminate, line_dedup, mixing, pii, url_filter, warc
+from vulnlake.llm import decontaminate, jaccard_join, line_dedup, mixing, pii, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
     "op5_warc_round_trip": warc.op5_warc_round_trip,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_personal_data": pii.op9_personal_data,
 }
 ORACLES = {
