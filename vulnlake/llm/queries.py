@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vulnlake.llm import decontaminate, jaccard_join, line_dedup, mixing, pii, url_filter, warc
+from vulnlake.llm import decontaminate, jaccard_join, line_dedup, mixing, pii, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_personal_data": pii.op9_personal_data,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op3_mix_sources": mixing.OP3_SQL,
