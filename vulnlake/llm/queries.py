@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vulnlake.llm import decontaminate, jaccard_join, line_dedup, mixing, pii, toxicity, url_filter, warc
+from vulnlake.llm import chat, decontaminate, jaccard_join, line_dedup, mixing, pii, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_chat_format": chat.op4_chat_format,
     "op5_warc_round_trip": warc.op5_warc_round_trip,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
