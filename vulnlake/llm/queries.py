@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vulnlake.llm import chat, decontaminate, jaccard_join, line_dedup, mixing, pii, toxicity, url_filter, warc
+from vulnlake.llm import chat, decontaminate, embedding_dedup, jaccard_join, line_dedup, mixing, pii, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_chat_format": chat.op4_chat_format,
     "op5_warc_round_trip": warc.op5_warc_round_trip,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_personal_data": pii.op9_personal_data,
     "op10_toxicity": toxicity.op10_toxicity,
