@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,3 +114,17 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> N
     """Bounds the batches that go to Python workers, as whole texts and their sets can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
+    """Batches of sorted rows, cut so that no key goes over the end of one."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        keys = rows.column(key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1], "left")) if len(keys) else 0
+        if cut:
+            yield rows.slice(0, cut).combine_chunks()
+        rest = rows.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import components, forget, table, written
+from vulnlake.llm.common import components, forget, runs, table, written
 from vulnlake.operators.scale import number_rows
 
 BITS = 16
@@ -41,20 +41,6 @@ def _edges(a: np.ndarray, b: np.ndarray, cosine: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cosine)], ["a", "b", "cosine"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
-    """Batches of sorted rows, cut so that no key goes over the end of one."""
-    rest = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        keys = rows.column(key).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1], "left")) if len(keys) else 0
-        if cut:
-            yield rows.slice(0, cut).combine_chunks()
-        rest = rows.slice(cut)
-    if rest is not None and rest.num_rows:
-        yield rest.combine_chunks()
-
-
 def _windows(nodes: DataFrame, order: int, seed: int, reach: int, keep: int) -> DataFrame:
     """Nearest ``keep`` of the ``reach`` nodes on either side in one order of the nodes, by label and sign hash."""
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +57,7 @@ def _windows(nodes: DataFrame, order: int, seed: int, reach: int, keep: int) ->
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], ["node", "g", "v", "key"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, 1):  # one or more whole labels of this task
+        for rows in runs(batches, 1):  # one or more whole labels of this task
             ids, groups = rows.column(0).to_numpy(), rows.column(1).to_numpy()
             for g in np.unique(groups):
                 low, high = np.searchsorted(groups, g, "left"), np.searchsorted(groups, g, "right")
@@ -111,7 +97,7 @@ def _joined(graph: DataFrame, nodes: DataFrame, k: int, threshold: float) -> Dat
     rows = rows.select("centre", "node", F.coalesce("least", F.lit(-2.0)).alias("least"), "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, 0):
+        for run in runs(batches, 0):
             centre, ids, least = (run.column(i).to_numpy() for i in range(3))
             starts = np.flatnonzero(np.append(True, centre[1:] != centre[:-1]))
             out, held = [], 0

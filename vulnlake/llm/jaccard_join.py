@@ -4,32 +4,37 @@ A document's set are the hashes of its distinct word n-grams. Sets that reach th
 elements, H following from their sizes. The universe of hashes is dealt out to segments, more of them for larger sizes: with
 allowances that add up to H + 1, two such sets agree on one segment within its allowance. An allowance of one is a segment's
 sum hash; an allowance of two adds the segment's one-deletion neighbourhood. How many of each a size band gets is chosen by
-cost. Segments without elements are not indexed; slack in the allowances makes up for them, and the few sets with more empty
-segments than slack index these too. So no pair is lost, and each candidate is verified on the whole sets.
+cost. Segments of fewer than two elements are not indexed, as these meet much that is not alike; slack in the allowances makes
+up for them, and the few sets that lose more than their slack index all. So no pair is lost, and candidates are verified on the
+whole sets, once a sketch of element counts in 64 bins (sets differ at least by what their counts differ) does not rule them out.
 
 Documents with equal sets are one class from the start, so copies are never paired. In a bucket of classes the one with the
 smallest key is the centre: first each class is verified against the centre it shares most buckets with, then against its
-other centres unless both are in one component by now, then against all classes of buckets that still hold several
-components. Every link either is verified or joins classes that are in one component anyway.
+other centres unless both are in one component by now. Buckets that still hold several components are compared inside, block
+by block on the sketches, and only pairs that may link leave a block. Every link either is verified or joins classes that are
+in one component anyway.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import components, forget, lower_ascii, small_batches, table, words, written
+from vulnlake.llm.common import components, forget, lower_ascii, runs, small_batches, table, words, written
+from vulnlake.operators.scale import number_rows
 
 BAND = 1.4
 BROADCAST_SETS = 200_000
 CHUNK = 400_000
 RARE = 1e-3
+BINS = 64
+BLOCK = 1024
 
 
 def shingles(text: Column, n: int) -> Column:
@@ -37,7 +42,7 @@ def shingles(text: Column, n: int) -> Column:
     def of(array: Column) -> Column:
         size = F.size(array)
         grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - (n - 1))), lambda i: F.xxhash64(F.slice(array, i, n)))
-        return F.when(size == 0, F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(grams)))
+        return F.when(size == 0, F.array().cast("array<bigint>")).otherwise(F.sort_array(F.array_distinct(grams)))
 
     return F.transform(F.array(words(lower_ascii(text))), of)[0]
 
@@ -50,38 +55,48 @@ def largest_difference(a: int, b: int, percent: int) -> int:
 
 @lru_cache(maxsize=None)
 def bands(percent: int, longest: int = 1 << 40) -> tuple[list[int], list[tuple[int, int, int]]]:
-    """Lower bounds of the size bands, and for each (segments, of these with a one-deletion neighbourhood, slack)."""
+    """Lower bounds of the size bands, and for each (segments, of these with a one-deletion neighbourhood, largest size)."""
     lows = [1]
     while lows[-1] < longest:
         lows.append(max(lows[-1] + 1, math.floor(lows[-1] * BAND)))
     return lows, [_allocation(low, high - 1, percent) for low, high in zip(lows, [*lows[1:], 2 * lows[-1]], strict=True)]
 
 
+def _most(size: float, high: float, percent: int) -> int:
+    """A bound of the difference between a set of a size and others up to ``high``."""
+    return math.floor((100 - percent) * (size + min(high, size * 100 // percent)) / (100 + percent))
+
+
+def _few(mean: float, most: int) -> float:
+    """The chance of at most so many elements in a segment."""
+    return math.exp(-mean) * sum(mean ** k / math.factorial(k) for k in range(most + 1))
+
+
 def _allocation(low: int, high: int, percent: int) -> tuple[int, int, int]:
     """The cheapest allowances for sets whose larger one has ``low`` to ``high`` elements.
 
-    Cost: the rows a set of usual size gives, more for segments of one element, as these meet much that is not alike. At most
-    one set in a thousand may have more empty segments than slack, if any choice attains that.
+    Cost are the rows that a set of usual size gives. At most one set in a thousand may lose more segments than its slack, if
+    any choice attains that.
     """
     h = max(largest_difference(a, high, percent) for a in range(max(1, high * percent // 100), high + 1)) if high < 1 << 16 else (
         2 * high * (100 - percent) // (100 + percent))
     if h <= 0:
-        return 0, 0, 0
-    usual = (low + high) / 2
+        return 0, 0, high
     best = None
-    for slack in range(0, 40):
+    for slack in range(0, 60):
         for d in {0, 1, 2, 4, 8, 16, h // 4, h // 2, h}:
             m = h + 1 + slack - d
             if m < 1 or d > m:
                 continue
-            mean = max(1.0, low * percent / 100) / m
-            none, one = math.exp(-mean), mean * math.exp(-mean)
-            lost = (m - d) * none + d * (2 * none + one)
-            over = 1 - sum(math.exp(-lost) * lost ** k / math.factorial(k) for k in range(slack + 1)) if lost < 30 else 1.0
-            cost = m + d * usual / m + 2 * m * one
+            over = 0.0
+            for size in (max(1, low * percent // 100), low, (low + high) // 2, high):
+                mean, spare = size / m, m + d - 1 - _most(size, high, percent)
+                lost = (m - d) * _few(mean, 1) + d * (_few(mean, 1) + _few(mean, 2))
+                over = max(over, 1.0 if spare < 0 or lost > 60 else 1 - _few(lost, spare) if spare < 100 else 0.0)
+            cost = m + d * (low + high) / 2 / m
             rank = (over > RARE, over if over > RARE else 0.0, cost)
             if best is None or rank < best[0]:
-                best = (rank, (m, d, slack))
+                best = (rank, (m, d, high))
     return best[1]
 
 
@@ -91,7 +106,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _signatures(keys: np.ndarray, values: np.ndarray, sizes: np.ndarray, band: np.ndarray, plan: np.ndarray):
+def _signatures(keys: np.ndarray, values: np.ndarray, sizes: np.ndarray, band: np.ndarray, plan: np.ndarray, percent: int):
     """(signature, key) of sets in a size band each; values are the sets' elements one after the other."""
     m = plan[band, 0]
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -106,10 +121,12 @@ def _signatures(keys: np.ndarray, values: np.ndarray, sizes: np.ndarray, band: n
     number = np.arange(first[-1]) - first[holder]
     salt = _mix((band[holder].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64) + np.uint64(1))
     deleting = number < plan[band, 1][holder]
-    lost = np.bincount(holder, weights=np.where(deleting, np.where(count == 0, 2, np.where(count == 1, 1, 0)), count == 0), minlength=len(sizes))
-    kept = (count > 0) | (lost > plan[band, 2])[holder]
+    lost = np.bincount(holder, weights=np.where(deleting, (count < 2).astype(int) + (count < 3), count < 2), minlength=len(sizes))
+    most = (100 - percent) * (sizes + np.minimum(plan[band, 2], sizes * 100 // percent)) // (100 + percent)
+    whole = lost > m + plan[band, 1] - 1 - most  # more is lost than the allowances can spare
+    kept = (count > 1) | whole[holder]
     yield _mix(total + salt)[kept], keys[holder[kept]]
-    near = deleting[place] & ((count[place] > 1) | (lost > plan[band, 2])[owner])
+    near = deleting[place] & ((count[place] > 2) | whole[owner])
     if near.any():
         at = place[near]
         yield _mix(total[at] - element[near] + salt[at]), keys[owner[near]]
@@ -142,7 +159,7 @@ def _signature_rows(percent: int):
                 while alive.any():
                     use = alive & (plan[step, 0] > 0)
                     if use.any():
-                        yield packed(_signatures(own[use], part[np.repeat(use, sizes)], sizes[use], step[use], plan))
+                        yield packed(_signatures(own[use], part[np.repeat(use, sizes)], sizes[use], step[use], plan, percent))
                     step = step + 1
                     alive &= lows[step] <= reach
                 begin = end
@@ -178,6 +195,46 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield found(rest_h, rest_c)
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds how many elements of a set fall into each of 64 bins."""
+    for batch in batches:
+        arrays = batch.column(3)
+        sizes = arrays.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        bins = (_mix(arrays.flatten().to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(58)).astype(np.int64)
+        counts = np.minimum(np.bincount(owner * BINS + bins, minlength=len(sizes) * BINS), 32767).astype(np.int16)
+        sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BINS), pa.array(counts))
+        yield pa.RecordBatch.from_arrays([*batch.columns, sketch], ["c", "d", "n", "_set", "sketch"])
+
+
+def _may_link(percent: int):
+    """Pairs (x, y) of different components in blocks of a bucket whose sizes and sketches allow a link.
+
+    Rows (part, c, g, n, block, crossing, sketch) are sorted by part; in a crossing part only pairs of its two blocks count.
+    """
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, 0):
+            part, c, g, n, block, crossing = (run.column(i).to_numpy() for i in range(6))
+            sketch = run.column(6).combine_chunks().flatten().to_numpy().reshape(len(part), BINS).astype(np.int32)
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for low, high in zip(starts, np.append(starts[1:], len(part)), strict=True):
+                for i in range(low, high):
+                    j = np.arange(i + 1, high)
+                    j = j[g[j] != g[i]]
+                    if crossing[i]:
+                        j = j[block[j] != block[i]]
+                    j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
+                    if len(j):
+                        both = n[j] + n[i]
+                        most = both - 2 * -(-percent * both // (100 + percent))
+                        j = j[np.abs(sketch[j] - sketch[i]).sum(1) <= most]
+                        out.append((np.minimum(c[j], c[i]), np.maximum(c[j], c[i])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], ["x", "y"])
+
+    return pairs
+
+
 def link_components(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, _text, n_shingles, component_id), one row per document.
 
@@ -201,25 +258,25 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str
     chosen = reps.count()
     near = docs.join(F.broadcast(reps) if chosen <= BROADCAST_SETS else reps,
                      F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(whole) == F.col("_t")), "left_semi")
-    sets = written(near.select(shingles(F.col(text), n).alias("_set")).select(*ids, F.size("_set").alias("n"), "_set").dropDuplicates(["c", "d"]), "sets")
+    whole_sets = near.select(shingles(F.col(text), n).alias("_set")).select(*ids, F.size("_set").cast("bigint").alias("n"), "_set").dropDuplicates(["c", "d"])
+    sets = written(whole_sets.mapInArrow(_sketched, "c bigint, d bigint, n bigint, _set array<bigint>, sketch array<smallint>"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b): nodes of the linked ones of pairs (x, y) of keys."""
         node = F.concat_ws(":", F.hex("c"), F.hex("d"))
-        sized = sets.select("c", "n")
-        fit = (pairs.join(sized.select(F.col("c").alias("x"), F.col("n").alias("nx")), "x")
-               .join(sized.select(F.col("c").alias("y"), F.col("n").alias("ny")), "y")
-               .filter(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).select("x", "y").distinct())
+        least_shared = F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))
+        apart_by = F.aggregate(F.zip_with("kx", "ky", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda t, v: t + v)
+        fit = (pairs.join(sets.select(F.col("c").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("kx")), "x")
+               .join(sets.select(F.col("c").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("ky")), "y")
+               .filter((100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (apart_by <= F.col("nx") + F.col("ny") - 2 * least_shared))
+               .select("x", "y").distinct())
         left = sets.select(F.col("c").alias("x"), node.alias("a"), F.col("_set").alias("sa"))
         right = sets.select(F.col("c").alias("y"), node.alias("b"), F.col("_set").alias("sb"))
         both = fit.join(left, "x").join(right, "y").withColumn("s", F.size(F.array_intersect("sa", "sb")))
         return written(both.filter(100 * F.col("s") >= percent * (F.size("sa") + F.size("sb") - F.col("s"))).select("a", "b", "x", "y"), "links")
 
     def grouped(*links: DataFrame) -> DataFrame:
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.union(more)
-        return components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        return components(reduce(DataFrame.union, links).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
         """Pairs whose ends are not in one component."""
@@ -236,17 +293,20 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str
         groups = grouped(*links)
         open_ = apart(buckets.filter("c <> centre").select("h", F.col("centre").alias("x"), F.col("c").alias("y")), groups)
         unsettled = written(open_.select("h").distinct(), "unsettled")
-        inside = buckets.join(unsettled, "h").select("h", "c").join(groups.select(F.col("id").alias("c"), "component"), "c", "left").withColumn(
-            "g", F.coalesce("component", "c"))
-        crossing = (inside.select("h", F.col("c").alias("x"), F.col("g").alias("gx")).join(
-            inside.select("h", F.col("c").alias("y"), F.col("g").alias("gy")), "h").filter("gx < gy"))
-        tried = stars.select(F.least("centre", "c").alias("p"), F.greatest("centre", "c").alias("q"))
-        pairs = crossing.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).distinct().join(tried, ["p", "q"], "left_anti")
-        links.append(verified(pairs.select(F.col("p").alias("x"), F.col("q").alias("y"))))
+        inside = written(buckets.join(unsettled, "h").select("h", "c"), "inside")
+        if not inside.isEmpty():
+            placed = number_rows(inside, [F.col("c")], "no", ["h"]).withColumn("block", F.floor((F.col("no") - 1) / BLOCK))
+            blocks = placed.groupBy("h").agg((F.max("block") + 1).alias("blocks"))
+            both = placed.join(blocks, "h").select("h", "c", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("w"))
+            both = both.withColumn("part", F.xxhash64("h", F.least("block", "w"), F.greatest("block", "w"))).withColumn("crossing", F.col("block") != F.col("w"))
+            rows = (both.join(groups.select(F.col("id").alias("c"), "component"), "c", "left").join(sets.select("c", "n", "sketch"), "c")
+                    .select("part", "c", F.coalesce("component", "c").alias("g"), "n", "block", "crossing", "sketch"))
+            met = rows.repartition("part").sortWithinPartitions("part").mapInArrow(_may_link(percent), "x bigint, y bigint")
+            tried = stars.select(F.least("centre", "c").alias("x"), F.greatest("centre", "c").alias("y"))
+            links.append(verified(met.distinct().join(tried, ["x", "y"], "left_anti")))
     node = F.concat_ws(":", F.hex("c"), F.hex("d"))
     if links:
-        edges = links[0].union(links[1]).union(links[2]).select("a", "b")
-        groups = components(edges)
+        groups = components(reduce(DataFrame.union, links).select("a", "b"))
     smallest = classes.groupBy("c", "d").agg(F.min("doc_id").alias("least"))
     if links:
         smallest = smallest.withColumn("id", node).join(groups, "id", "left").withColumn("g", F.coalesce("component", "id"))

@@ -65,7 +65,7 @@ def _holds(kind: str, value: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """All base spans by start, then kind as listed."""
-    return F.array_sort(F.concat(*[_spans_of(kind, rank, text) for rank, kind in enumerate(KINDS)]))
+    return F.sort_array(F.concat(*[_spans_of(kind, rank, text) for rank, kind in enumerate(KINDS)]))
 
 
 def _spans_of(kind: str, rank: int, text: Column) -> Column:
@@ -107,7 +107,7 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cont
     extra = (each.join(revealing, "entity").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), F.explode(added).alias("x"))
              .groupBy("_id", "_t").agg(F.collect_set("x").alias("extra")))
     joined = rows.join(extra, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")), "left")
-    return joined.select("doc_id", "_text", "base", F.array_sort(F.concat(
+    return joined.select("doc_id", "_text", "base", F.sort_array(F.concat(
         "base", F.coalesce("extra", F.array().cast(SPAN)))).alias("spans"))
 
 
