@@ -188,10 +188,10 @@ def test_large_group_is_one_component_and_one_stays(spark):
 
 def test_allowances_cover_the_largest_difference():
     lows, choices = jaccard_join.bands(85, 5000)
-    for low, high, (m, d, slack) in zip(lows, [*lows[1:], 2 * lows[-1]], choices, strict=True):
+    for low, high, (m, d, largest) in zip(lows, [*lows[1:], 2 * lows[-1]], choices, strict=True):
         most = max(jaccard_join.largest_difference(a, b, 85) for b in range(low, high) for a in range(max(1, b * 80 // 100), b + 1)) if high < 600 else None
         if most is not None:
-            assert m + d == most + 1 + slack if most > 0 else m == 0
+            assert largest == high - 1 and (m + d > most if most > 0 else m == 0)
 
 
 def test_jaccard_of_odd_rows(spark, odd):
