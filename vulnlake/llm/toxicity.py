@@ -16,6 +16,7 @@ is 0.5. Labels that are null are not used; several labels of an id are one, 1 if
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,30 +35,26 @@ class Features:
 
     def __init__(self, vocabulary: list[str]):
         self.places = {name: i for i, name in enumerate(vocabulary)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.starts = {name[2:6] for name in vocabulary}  # a word that begins otherwise has no feature
 
-    def of_word(self, word: str) -> tuple[int, ...]:
+    def of_word(self, word: str) -> list[int]:
         names = (f"w:{word}", f"4:{word[:4]}" if len(word) >= 4 else "", f"5:{word[:5]}" if len(word) >= 5 else "")
-        return tuple(self.places[n] for n in names if n in self.places)
+        return [self.places[n] for n in names if n in self.places]
 
     def counts(self, text: str | None) -> dict[int, int]:
         found: dict[int, int] = {}
-        known = self.known
-        for word in WORD.findall((text or "").lower()):
-            places = known.get(word)
-            if places is None:
-                if len(known) > 200_000:
-                    known.clear()
-                places = known[word] = self.of_word(word)
-            for p in places:
-                found[p] = found.get(p, 0) + 1
+        starts = self.starts
+        for word, times in Counter(WORD.findall((text or "").lower())).items():
+            if word[:4] in starts:
+                for p in self.of_word(word):
+                    found[p] = found.get(p, 0) + times
         return found
 
 
 class Index:
     """Examples with unit TF-IDF vectors in blocks, each with its largest weight per feature."""
 
-    def __init__(self, ids: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], size: int, block: int = 64):
+    def __init__(self, ids: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], size: int, block: int = 256):
         order = sorted(range(len(ids)), key=lambda i: (labels[i], int(vectors[i][0][np.argmax(vectors[i][1])]), ids[i]))
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.labels = np.array([labels[i] for i in order], float)
