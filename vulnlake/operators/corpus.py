@@ -79,7 +79,7 @@ def labelled_functions(rows: DataFrame, max_samples: int | None = None, order: s
 def prepare(samples: DataFrame) -> DataFrame:
     """Comments and blank lines out, length limits, identifiers normalised."""
     cleaned = samples.withColumn("code", without_comments(F.col("code"), F.col("language")))
-    return cleaned.filter(length_within(F.col("code"), "cleaned")).withColumn("code", normalize_identifiers("code"))
+    return cleaned.filter(length_within(F.col("code"), "cleaned")).withColumn("code", normalize_identifiers(F.col("code")))
 
 
 def first_of_prefix(samples: DataFrame, order: str, length: int = 200, code: str = "code") -> DataFrame:

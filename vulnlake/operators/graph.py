@@ -15,7 +15,6 @@ NODE_TYPES = {
 }
 _SQL_NAMES = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean"}
 NODE_SCHEMA = ", ".join(f"{name} {_SQL_NAMES[kind]}" for name, kind in NODE_TYPES.items())
-VALUE_CHARS = 50
 
 # Kinds of nodes by their role.
 CONTROL = ("If", "While", "For", "AsyncFor", "IfExp", "Match", "Try")
@@ -34,13 +33,13 @@ CATEGORIES = (
 )
 
 
-def _value(node):
+def _value(node, value_chars):
     if isinstance(node, ast.Name):
         return node.id
     if isinstance(node, ast.arg):
         return node.arg
     if isinstance(node, ast.Constant) and not isinstance(node.value, bool) and node.value is not None:
-        return str(node.value)[:VALUE_CHARS]
+        return str(node.value)[:value_chars]
     if isinstance(node, (ast.FunctionDef, ast.ClassDef)):
         return node.name
     if isinstance(node, ast.Call) and isinstance(node.func, ast.Name):
@@ -48,7 +47,7 @@ def _value(node):
     return None
 
 
-def _nodes_of(file_id, text):
+def _nodes_of(file_id, text, value_chars):
     """Node rows of one text in pre-order; nothing for a text that does not parse."""
     try:
         root = ast.parse(text)
@@ -63,19 +62,21 @@ def _nodes_of(file_id, text):
         kind = type(node).__name__
         line, column = getattr(node, "lineno", 0), getattr(node, "col_offset", 0)
         stores = isinstance(node, ast.arg) or isinstance(getattr(node, "ctx", None), ast.Store)
-        yield (file_id, number, kind, _value(node), line, getattr(node, "end_lineno", line) or line,
+        yield (file_id, number, kind, _value(node, value_chars), line, getattr(node, "end_lineno", line) or line,
                column, getattr(node, "end_col_offset", column) or column, parent, parent_type, field, place, depth,
                len(children), bool(stores))
         stack.extend((child, number, kind, name, i, depth + 1) for child, name, i in reversed(children))
         number += 1
 
 
-def parse_nodes(files: DataFrame) -> DataFrame:
-    """(file_id, text) to node rows. Texts are independent, so any partitioning will do."""
+def parse_nodes(files: DataFrame, value_chars: int | None = None) -> DataFrame:
+    """(file_id, text) to node rows. Texts are independent, so any partitioning will do.
+
+    Constants are kept whole unless ``value_chars`` cuts them."""
     def parse(batches):
         for batch in batches:
             texts = zip(batch.column("file_id").to_pylist(), batch.column("text").to_pylist())
-            rows = [row for file_id, text in texts for row in _nodes_of(file_id, text or "")]
+            rows = [row for file_id, text in texts for row in _nodes_of(file_id, text or "", value_chars)]
             columns = zip(*rows) if rows else [()] * len(NODE_TYPES)
             yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(columns, NODE_TYPES.values())],
                                              names=list(NODE_TYPES))

@@ -17,6 +17,7 @@ from vulnlake.session import ensure_checkpoint_dir
 
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def _ranged(frame: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -50,28 +51,13 @@ def number_rows(frame: DataFrame, order: list[Column], name: str = "row_no", by:
     return running_sums(frame, order, {name: F.lit(1)}, by).withColumn(name, F.col(name).cast("bigint"))
 
 
-def spread_small(frame: DataFrame) -> DataFrame:
-    """Deals a small input out to all task slots before heavy work per row.
-
-    A row group is read by one task, so a few small files keep most slots idle. Inputs large
-    enough to fill the slots are left as they are; they are never shuffled here.
-    """
-    spark = frame.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if len(frame.inputFiles()) < slots and size < slots * SLOT_BYTES:
-        return frame.repartition(slots)
-    return frame
-
-
 def bounded_broadcast(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only where the plan itself proves an upper limit of rows (a limit or a
-    literal table); otherwise Spark chooses the join by measured size."""
-    rows = frame._jdf.queryExecution().optimizedPlan().maxRows()
-    return F.broadcast(frame) if rows.isDefined() and int(str(rows.get())) <= most else frame
-
-
-SLOT_BYTES = 128 << 20  # one read task's share by Spark's default
+    literal table) and estimates few bytes; otherwise Spark chooses the join by measured size."""
+    plan = frame._jdf.queryExecution().optimizedPlan()
+    rows = plan.maxRows()
+    bounded = rows.isDefined() and int(str(rows.get())) <= most
+    return F.broadcast(frame) if bounded and int(str(plan.stats().sizeInBytes())) <= BROADCAST_BYTES else frame
 
 
 def hash_of(col: Column) -> Column:

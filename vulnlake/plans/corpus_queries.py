@@ -27,12 +27,12 @@ def corpus_union(spark, sf):
 
 
 @query("s20_fix_pairs", with_tables(t.SAMPLES, body="""SELECT sample_id, label, vulnerability_type, language, code FROM (
-  SELECT sample_id, code[1:sample_id % 50 + 1] AS code, 1 AS label, coalesce(vulnerability_type, 'unknown') AS vulnerability_type, CASE sample_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'cpp' ELSE 'javascript' END AS language FROM samples
-  UNION ALL SELECT sample_id, code[1:sample_id % 70 + 1], 0, 'none', CASE sample_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'cpp' ELSE 'javascript' END FROM samples) WHERE length(code) > 20"""))
+  SELECT sample_id, code, 1 AS label, coalesce(vulnerability_type, 'unknown') AS vulnerability_type, CASE sample_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'cpp' ELSE 'javascript' END AS language FROM samples
+  UNION ALL SELECT sample_id, code[sample_id % 70 + 1:], 0, 'none', CASE sample_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'cpp' ELSE 'javascript' END FROM samples) WHERE length(code) > 20"""))
 def fix_pairs(spark, sf):
     s = t.samples(spark, sf)
     i = F.col("sample_id")
-    fixes = s.select("sample_id", F.substring("code", F.lit(1), (i % 50 + 1).cast("int")).alias("func_before"), F.substring("code", F.lit(1), (i % 70 + 1).cast("int")).alias("func_after"),
+    fixes = s.select("sample_id", F.col("code").alias("func_before"), F.expr("substring(code, CAST(sample_id % 70 + 1 AS int))").alias("func_after"),
                      F.col("vulnerability_type").alias("cwe_id"), t.pick(["PY", "cpp", "xyz"], i).alias("extension"))
     return corpus.fix_pairs(fixes, "fixes").select("sample_id", "label", "vulnerability_type", "language", "code")
 
@@ -186,7 +186,16 @@ def careful_cleaning(spark, sf):
     return t.code_files(spark, sf).select("file_id", code_fn.clean_code(F.col("text"), F.col("language")).alias("code"))
 
 
-@query("z8_prepared_samples")
+SQL_RESERVED = "(" + ", ".join(q(w) for w in sorted(code_fn.RESERVED)) + ")"
+SQL_PREPARED = f"""cleaned AS (SELECT file_id, language, code FROM (SELECT file_id, language, CASE WHEN language = 'python' THEN {CLEAN_PY} WHEN language IN ('javascript', 'typescript') THEN {CLEAN_JS} ELSE '' END AS code FROM code_files) WHERE length(code) BETWEEN 50 AND 5000),
+parted AS (SELECT *, regexp_extract_all(code, {q(code_fn.IDENTIFIER)}) AS w, string_split_regex(code, {q(code_fn.IDENTIFIER)}) AS g FROM cleaned),
+kinds AS (SELECT *, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN w[i] IN {SQL_RESERVED} OR starts_with(w[i], '__') THEN 'kept' WHEN starts_with(g[i + 1], '(') THEN 'func' ELSE 'var' END) AS k FROM parted),
+named AS (SELECT *, list_transform(list_filter(range(1, len(w) + 1), lambda i: k[i] = 'func' AND list_position(w, w[i]) = i), lambda i: w[i]) AS f,
+  list_transform(list_filter(range(1, len(w) + 1), lambda i: k[i] = 'var' AND list_position(w, w[i]) = i), lambda i: w[i]) AS v FROM kinds)"""
+
+
+@query("z8_prepared_samples", with_tables(t.CODE_FILES, SQL_PREPARED, body="""SELECT file_id, language, g[1] || array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_contains(f, w[i]) THEN 'func_' || list_position(f, w[i])
+  WHEN list_contains(v, w[i]) THEN 'var_' || list_position(v, w[i]) ELSE w[i] END || g[i + 1]), '') AS code FROM named"""))
 def prepared_samples(spark, sf):
     return corpus.prepare(t.code_files(spark, sf).select("file_id", "language", F.col("text").alias("code")))
 
@@ -202,12 +211,12 @@ def tokens(spark, sf):
 
 
 SQL_TOKENS = f"(SELECT file_id, unnest(regexp_extract_all({SQL_UNCOMMENTED}, {q(code_fn.TOKENS_A)})) AS token FROM code_files)"
-SQL_VOCAB = f"(SELECT token, count, row_number() OVER (ORDER BY count DESC, token) + 3 AS token_id FROM (SELECT token, count(*) AS count FROM {SQL_TOKENS} GROUP BY token) ORDER BY count DESC, token LIMIT 296)"
+SQL_VOCAB = f"(SELECT token, count, row_number() OVER (ORDER BY count DESC, token) + 3 AS token_id FROM (SELECT token, count(*) AS count FROM {SQL_TOKENS} GROUP BY token) ORDER BY count DESC, token LIMIT 9996)"
 
 
 @query("a21_vocabulary", with_tables(t.CODE_FILES, body=f"SELECT * FROM {SQL_VOCAB}"))
 def vocabulary(spark, sf):
-    return corpus.vocabulary(t.code_files(spark, sf), code_fn.tokens_a(F.col("text"), False), 300)
+    return corpus.vocabulary(t.code_files(spark, sf), code_fn.tokens_a(F.col("text"), False), 10_000)
 
 
 @query("a21_full_vocabulary", with_tables(t.CODE_FILES, body=f"SELECT token, row_number() OVER (ORDER BY token) + 1 AS token_id FROM (SELECT DISTINCT token FROM {SQL_TOKENS})"))
@@ -216,23 +225,23 @@ def full_vocabulary(spark, sf):
 
 
 @query("z11_encoded", with_tables(t.CODE_FILES, f"vocab AS (SELECT * FROM {SQL_VOCAB})", f"toks AS (SELECT file_id, regexp_extract_all({SQL_UNCOMMENTED}, {q(code_fn.TOKENS_A)}) AS l FROM code_files)", body="""
-SELECT file_id, array_to_string(list_resize(ids, 32, 0), ' ') AS ids, least(len(ids), 32) AS used FROM (SELECT t.file_id, [2] || coalesce(e.ids, []) || [3] AS ids FROM toks t LEFT JOIN
+SELECT file_id, array_to_string(list_resize(ids, 512, 0), ' ') AS ids, least(len(ids), 512) AS used FROM (SELECT t.file_id, [2] || coalesce(e.ids, []) || [3] AS ids FROM toks t LEFT JOIN
   (SELECT file_id, list(coalesce(v.token_id, 1) ORDER BY p) AS ids FROM (SELECT file_id, unnest(l) AS token, unnest(generate_series(1, len(l))) AS p FROM toks) x LEFT JOIN vocab v ON v.token = x.token GROUP BY file_id) e ON e.file_id = t.file_id)"""))
 def encoded(spark, sf):
     files = t.code_files(spark, sf)
     toks = code_fn.tokens_a(F.col("text"), False)
-    out = corpus.encode(files, toks, corpus.vocabulary(files, toks, 300), "file_id", 32)
+    out = corpus.encode(files, toks, corpus.vocabulary(files, toks, 10_000), "file_id", 512)
     return out.select("file_id", F.array_join("ids", " ").alias("ids"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("bigint").alias("used"))
 
 
 @query("z11_decoded", with_tables(t.CODE_FILES, f"toks AS (SELECT file_id, regexp_extract_all({SQL_UNCOMMENTED}, {q(code_fn.TOKENS_B)}) AS l FROM code_files)",
-                                  "vocab AS (SELECT token FROM (SELECT token, count(*) AS n FROM (SELECT unnest(l) AS token FROM toks) GROUP BY token) ORDER BY n DESC, token LIMIT 296)", body="""
-SELECT file_id, string_agg(coalesce(v.token, '<UNK>'), ' ' ORDER BY p) AS text FROM (SELECT file_id, unnest(l[1:30]) AS token, unnest(generate_series(1, least(len(l), 30))) AS p FROM toks) x LEFT JOIN vocab v ON v.token = x.token GROUP BY file_id"""))
+                                  "vocab AS (SELECT token FROM (SELECT token, count(*) AS n FROM (SELECT unnest(l) AS token FROM toks) GROUP BY token) ORDER BY n DESC, token LIMIT 9996)", body="""
+SELECT file_id, string_agg(coalesce(v.token, '<UNK>'), ' ' ORDER BY p) AS text FROM (SELECT file_id, unnest(l[1:510]) AS token, unnest(generate_series(1, least(len(l), 510))) AS p FROM toks) x LEFT JOIN vocab v ON v.token = x.token GROUP BY file_id"""))
 def decoded(spark, sf):
     files = t.code_files(spark, sf)
     toks = code_fn.tokens_b(F.col("text"), False)
-    vocab = corpus.vocabulary(files, toks, 300, corpus.SPECIALS_B)
-    return corpus.decode(corpus.encode(files, toks, vocab, "file_id", 32, keep_end=True), vocab, "file_id")
+    vocab = corpus.vocabulary(files, toks, 10_000, corpus.SPECIALS_B)
+    return corpus.decode(corpus.encode(files, toks, vocab, "file_id", 512, keep_end=True), vocab, "file_id")
 
 
 # ------------------------------------------------------------------- statistics
@@ -363,11 +372,11 @@ def branch_shares(spark, sf):
 
 # ------------------------------------------------------------ token importances
 
-IMPORTANCES = """importances AS (SELECT l_orderkey AS sample_id, CAST(l_linenumber AS BIGINT) AS line_no, 'tok' || CAST(l_partkey AS VARCHAR) AS token, (l_partkey * 100000 + l_suppkey) * 100 + l_quantity::BIGINT AS position, ((l_partkey * 7 + l_suppkey) % 97 + 0.25) / CAST(97 AS DOUBLE) AS importance FROM lineitem WHERE l_suppkey % 3 <> 0)"""
+IMPORTANCES = """importances AS (SELECT l_orderkey AS sample_id, CAST(l_linenumber AS BIGINT) AS line_no, 'tok' || CAST(l_partkey AS VARCHAR) AS token, (l_partkey * 100000 + l_suppkey) * 100 + l_quantity::BIGINT AS position, ((l_partkey * 7 + l_suppkey) % 97 + 0.25) / CAST(97 AS DOUBLE) AS importance FROM lineitem)"""
 
 
 def _importances(spark, sf):
-    li = read(spark, sf, "lineitem").filter(F.col("l_suppkey") % 3 != 0)
+    li = read(spark, sf, "lineitem")
     return li.select(F.col("l_orderkey").alias("sample_id"), F.col("l_linenumber").cast("bigint").alias("line_no"), F.concat(F.lit("tok"), F.col("l_partkey").cast("string")).alias("token"),
                      ((F.col("l_partkey") * 100000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("bigint")).alias("position"), (((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 97 + 0.25) / 97.0).alias("importance"))
 
@@ -391,9 +400,9 @@ def high_risk_tokens(spark, sf):
     return evaluation.high_risk(_importances(spark, sf), ["sample_id"], "importance", "high_risk_tokens")
 
 
-@query("l7_top_tokens", with_tables(IMPORTANCES, body="""SELECT sample_id, token, importance, place FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY importance DESC, position) AS place FROM importances) WHERE place <= 3"""))
+@query("l7_top_tokens", with_tables(IMPORTANCES, body="""SELECT sample_id, token, importance, place FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY importance DESC, position) AS place FROM importances) WHERE place <= 20"""))
 def top_tokens(spark, sf):
-    return evaluation.top_tokens(_importances(spark, sf), ["sample_id"], 3).select("sample_id", "token", "importance", "place")
+    return evaluation.top_tokens(_importances(spark, sf), ["sample_id"], 20).select("sample_id", "token", "importance", "place")
 
 
 # ------------------------------------------------------------------------ votes

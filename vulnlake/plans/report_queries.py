@@ -180,10 +180,10 @@ def combined_tools(spark, sf):
 
 
 @query("l1_ordered_findings", with_findings("""SELECT position, severity, confidence FROM (SELECT position, severity, CAST(confidence AS DOUBLE) AS confidence,
-  list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO'], severity) AS r FROM findings) ORDER BY r NULLS LAST, confidence DESC, position LIMIT 100"""))
+  list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO'], severity) AS r FROM findings) ORDER BY r NULLS LAST, confidence DESC, position"""))
 def ordered_findings(spark, sf):
     rows = t.findings(spark, sf).select("position", "severity", "confidence")
-    return fnd.order_findings(rows, ties=["position"]).limit(100)
+    return fnd.order_findings(rows, ties=["position"])
 
 
 @query("p22_display", with_findings("""SELECT file AS file_path, lower(severity) AS severity, line AS line_number,
@@ -356,11 +356,11 @@ def top_files(spark, sf):
 
 
 @query("l6_a36_files_by_findings", with_tables(t.CODE_FILES, PROJECT_FILES, body="""SELECT file_path, total, (SELECT count(*) FROM project_files) AS files, CAST((SELECT sum(total) FROM project_files) AS BIGINT) AS findings
-  FROM project_files ORDER BY total DESC, file_path LIMIT 50"""))
+  FROM project_files ORDER BY total DESC, file_path"""))
 def files_by_findings(spark, sf):
     files = _project_files(spark, sf).select("file_path", "total")
     totals = files.agg(F.count("*").alias("files"), F.sum("total").alias("findings"))
-    return files.orderBy(F.desc("total"), "file_path").limit(50).select(
+    return files.orderBy(F.desc("total"), "file_path").select(
         "*", totals.select("files").scalar().alias("files"), totals.select("findings").scalar().alias("findings"))
 
 

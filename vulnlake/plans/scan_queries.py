@@ -9,7 +9,6 @@ from vulnlake.functions import code as code_fn
 from vulnlake.functions.text import BLANKS, computed_once, explode_lines, html_escape, line_excerpt, slug
 from vulnlake.operators import filters, scan
 from vulnlake.operators.reports import secret_summary, severity_counts
-from vulnlake.operators.scale import spread_small
 from vulnlake.plans import tables as t
 from vulnlake.plans.registry import query
 from vulnlake.plans.tables import q, read, sql_lines, sql_list, with_tables
@@ -121,7 +120,7 @@ SELECT doc_id, line_no AS start_line, r.rule_id, r.severity, {sql_strip('line')}
 FROM {sql_scan("(SELECT doc_id, 'python' AS language, text FROM documents)", 'doc_id, language', PORTABLE)} m
 JOIN {sql_rule_attrs(PORTABLE, 'rule_id', 'severity')} ON m.number = r.number""")
 def documents_scan(spark, sf):
-    files = spread_small(read(spark, sf, "documents").select("doc_id", F.lit("python").alias("language"), "text"))
+    files = read(spark, sf, "documents").select("doc_id", F.lit("python").alias("language"), "text")
     return scan.scan_code(files, PORTABLE, unicode=False).select("doc_id", "start_line", "rule_id", "severity", "code_snippet")
 
 
@@ -136,7 +135,7 @@ FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN hits h ON h.source = s.
 @query("flagship_credentials_by_source", SECRETS_BY_SOURCE_SQL)
 def credentials_by_source(spark, sf):
     """Hard-coded credentials per source of the document corpus, by severity."""
-    docs = spread_small(read(spark, sf, "documents").select("source", F.lit("python").alias("language"), "text"))
+    docs = read(spark, sf, "documents").select("source", F.lit("python").alias("language"), "text")
     hits = scan.scan_code(docs, CREDENTIALS, unicode=False)
     counted = severity_counts(hits, ["source"])
     names = ["total", "critical_count", "high_count", "medium_count"]
@@ -227,7 +226,7 @@ def secret_scan_files(spark, sf):
 
 @query("r4_documents_secrets", sql_family(sql_lines("(SELECT doc_id AS file_id, text FROM documents)", "file_id"), SECRET_RULES))
 def documents_secrets(spark, sf):
-    docs = spread_small(read(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "text"))
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "text")
     return scan.scan_secrets(docs, unicode=False).select("file_id", "line_no", "rule_id", "type", "severity")
 
 
@@ -251,7 +250,7 @@ def secrets_per_file(spark, sf):
   round(least((length(text) - length(replace(text, 'import', ''))) / 6 / 10.0, 1.0), 6) AS f48,
   round(least((length(text) - length(replace(text, 'def ', ''))) / 4 / 10.0, 1.0), 6) AS f49 FROM documents""")
 def indicators(spark, sf):
-    docs = computed_once(spread_small(read(spark, sf, "documents").select("doc_id", "text")), _low=F.lower("text"))
+    docs = computed_once(read(spark, sf, "documents").select("doc_id", "text"), _low=F.lower("text"))
     rows = computed_once(docs, v=code_fn.indicator_features(F.col("text"), False, F.col("_low")))
     return rows.select("doc_id", *[F.round(F.element_at("v", i + 1), 6).alias(f"f{i:02d}") for i in range(code_fn.FEATURES)])
 

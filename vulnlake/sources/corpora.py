@@ -92,8 +92,8 @@ def unify_any(rows: DataFrame, source: str) -> DataFrame:
     return out.filter(F.coalesce("code", F.lit("")) != "")
 
 
-def read_function_csv(spark: SparkSession, path: str, max_samples: int | None = 5000) -> DataFrame:
-    """Labelled functions of a CSV; the row limit is the loader's feature, None lifts it."""
+def read_function_csv(spark: SparkSession, path: str, max_samples: int | None = None) -> DataFrame:
+    """Labelled functions of a CSV; all of them unless a limit is given."""
     rows = (spark.read.schema("code string, target int, cwe_id string, project string")
             .option("header", True).option("multiLine", True).option("escape", '"').csv(path))
     out = labelled_functions(rows).withColumn("source", F.lit("big-vul"))
