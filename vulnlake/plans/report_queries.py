@@ -16,7 +16,7 @@ from vulnlake.plans import tables as t
 from vulnlake.plans.registry import query
 from vulnlake.plans.scan_queries import PORTABLE, W1_SQL
 from vulnlake.plans.tables import q, read, sql_list, with_tables
-from vulnlake.sources import sinks
+from vulnlake.sources import sinks, tool_reports
 from vulnlake.streaming import admission
 
 
@@ -661,3 +661,30 @@ def rate_limits(spark, sf):
     forwarded = F.when(i == 0, F.concat(F.lit(" 10.1."), F.col("client").cast("string"), F.lit(" , 10.9.9.9")))
     return t.requests(spark, sf).select("request_id", n.alias("max_requests"), s.alias("window_seconds"),
                                         admission.client_key(forwarded, F.when(i == 1, "real"), F.when(i == 2, "host")).alias("key"))
+
+
+# ------------------------------------------------------- reports of other tools
+
+@query("s7_bandit_reports", with_findings("""SELECT position, 'bandit' AS tool, test_id AS rule_id, CASE WHEN severity IN ('HIGH', 'LOW') THEN severity ELSE 'MEDIUM' END AS severity,
+  coalesce(message, '') AS message, coalesce(CASE WHEN line % 10 > 0 THEN line END, 1) AS start_line, coalesce(CASE WHEN line % 10 > 0 THEN line END, 1) AS end_line,
+  coalesce(suggestion, '') AS code_snippet, cwe AS cwe_id FROM findings WHERE position % 17 > 0"""))
+def bandit_reports(spark, sf):
+    """Reports written as JSON and read back; every 17th is broken and gives no finding."""
+    f = t.findings(spark, sf)
+    result = F.struct(F.col("test_id"), F.col("severity").alias("issue_severity"), F.col("message").alias("issue_text"), F.when(F.col("line") % 10 > 0, F.col("line")).alias("line_number"),
+                      F.concat(F.lit("  "), "suggestion", F.lit("\n")).alias("code"), F.struct(F.col("cwe").alias("id")).alias("cwe"))
+    report = F.to_json(F.struct(F.array(result).alias("results")))
+    return tool_reports.parse_bandit(f.select("position", F.when(F.col("position") % 17 > 0, report).otherwise("not json").alias("report")))
+
+
+@query("s8_semgrep_reports", with_findings("""SELECT position, 'semgrep' AS tool, rule_id, CASE severity WHEN 'CRITICAL' THEN 'HIGH' WHEN 'LOW' THEN 'LOW' ELSE 'MEDIUM' END AS severity,
+  coalesce(message, '') AS message, line AS start_line, coalesce(CASE WHEN line % 10 > 0 THEN line + 1 END, 1) AS end_line, coalesce(suggestion, '') AS code_snippet,
+  CASE WHEN position % 3 > 0 THEN cwe END AS cwe_id FROM findings"""))
+def semgrep_reports(spark, sf):
+    f = t.findings(spark, sf)
+    level = F.when(F.col("severity") == "CRITICAL", "error").when(F.col("severity") == "LOW", "info").when(F.col("severity") == "HIGH", "other")
+    cwes = F.when(F.col("position") % 3 > 0, F.array(F.col("cwe"), F.lit("CWE-0"))).otherwise(F.array().cast("array<string>"))
+    extra = F.struct(level.alias("severity"), F.col("message"), F.col("suggestion").alias("lines"), F.struct(cwes.alias("cwe")).alias("metadata"))
+    end = F.struct(F.when(F.col("line") % 10 > 0, F.col("line") + 1).alias("line"))
+    result = F.struct(F.col("rule_id").alias("check_id"), F.struct("line").alias("start"), end.alias("end"), extra.alias("extra"))
+    return tool_reports.parse_semgrep(f.select("position", F.to_json(F.struct(F.array(result).alias("results"))).alias("report")))
