@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from vulnlake.llm.common import components, forget, without, table, written
 
 BROADCAST_LINES = 200_000
+#: Groups of letters whose counts are compared before lines are.
+LETTERS = ("aA", "eE", "iI", "oO", "nN", "sS", "tT", "rR", "dlDL", "chCH", " ")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,18 +41,17 @@ def banded_distance(left: Column, right: Column, threshold: int) -> Column:
     number = lambda n: F.lit(n).cast("bigint")
     mask = number((1 << band) - 1)
     steps_down = F.length(left) - threshold
-    start = F.struct(F.lit(threshold).alias("n"), number(((1 << (threshold + 1)) - 1) << threshold).alias("up"), number(0).alias("down"),
-                     F.split(left, "").alias("a"), F.split(right, "").alias("b"))
+    start = F.struct(F.lit(threshold).alias("n"), number(((1 << (threshold + 1)) - 1) << threshold).alias("up"), number(0).alias("down"))
 
-    def column(state: Column, j: Column) -> Column:
+    def column(letters: Column, state: Column, j: Column) -> Column:
         up, down = state["up"], state["down"]
-        letter = F.get(state["b"], j)
+        letter = F.get(letters["b"], j)
 
         def equal() -> Column:
             bits = number(0)
             for bit in range(band):
                 row = j + (bit - threshold)
-                bits = bits + F.when((row >= 0) & (F.get(state["a"], F.greatest(row, F.lit(0))) == letter), number(1 << bit)).otherwise(number(0))
+                bits = bits + F.when((row >= 0) & (F.get(letters["a"], F.greatest(row, F.lit(0))) == letter), number(1 << bit)).otherwise(number(0))
             return bits
 
         def free(match: Column) -> Column:  # cells that cost nothing over their diagonal neighbour
@@ -65,34 +66,37 @@ def banded_distance(left: Column, right: Column, threshold: int) -> Column:
                 lambda bit: F.when(more.bitwiseAND(bit) != 0, 1).when(less.bitwiseAND(bit) != 0, -1).otherwise(0)))
             return F.struct(
                 (state["n"] + along).alias("n"),
-                less.bitwiseOR(fallen.bitwiseOR(more).bitwiseXOR(mask)).alias("up"), fallen.bitwiseAND(more).alias("down"),
-                state["a"].alias("a"), state["b"].alias("b"))
+                less.bitwiseOR(fallen.bitwiseOR(more).bitwiseXOR(mask)).alias("up"), fallen.bitwiseAND(more).alias("down"))
 
         return _let(_let(equal(), free), after)
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(right) - 1), start, column, lambda state: state["n"])
+    return _let(F.struct(F.split(left, "").alias("a"), F.split(right, "").alias("b")), lambda letters: F.aggregate(
+        F.sequence(F.lit(0), F.size(letters["b"]) - 1), start, lambda state, j: column(letters, state, j), lambda state: state["n"]))
 
 
-def signatures(line: Column, threshold: int) -> tuple[Column, int]:
+def signatures(line: Column, length: Column, threshold: int) -> tuple[Column, int]:
     """Hashes of the indexed segments of a line, then of the further substrings it is probed with, and how many are indexed.
 
     A probe of a line of length n concerns indexed lines of the lengths n - threshold to n; only the starts are taken at which
     the edits left and right of a segment can still add up to the threshold.
     """
-    parts, length = threshold + 1, F.length(line)
+    parts = threshold + 1
     indexed, probes = [], []
     for shorter in range(threshold + 1):
-        size = length - shorter
-        base = F.floor(size / parts).cast("int")
-        plain = parts - (size - base * parts)  # so many segments have the lower size
         for i in range(1, parts + 1):
-            start = (base * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1) - plain) + 1).cast("int")
-            extent = (base + F.when(F.lit(i) > plain, 1).otherwise(0)).cast("int")
             low, high = max(1 - i, shorter - (parts - i)), min(i - 1, shorter + (parts - i))
             for by in range(low, high + 1):
-                h = F.xxhash64(F.lit(i), size, F.substr(line, start + by, extent))
-                (indexed if shorter == 0 and by == 0 else probes).append(h)
-    return F.array(*indexed, *probes), len(indexed)
+                (indexed if shorter == 0 and by == 0 else probes).append(F.struct(
+                    F.lit(shorter).alias("shorter"), F.lit(i).alias("i"), F.lit(by).alias("by")))
+
+    def hashed(place: Column) -> Column:
+        size, i = length - place["shorter"], place["i"]
+        base = F.floor(size / parts).cast("int")
+        plain = parts - (size - base * parts)  # so many segments have the lower size
+        start = base * (i - 1) + F.greatest(F.lit(0), i - 1 - plain) + 1 + place["by"]
+        return F.xxhash64(i, size, F.substr(line, start, base + (i > plain).cast("int")))
+
+    return F.transform(F.array(*indexed, *probes), hashed), len(indexed)
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, least_chars: int) -> DataFrame:
@@ -105,8 +109,10 @@ def _lines(docs: DataFrame, doc_id: str, text: str, least_chars: int) -> DataFra
 
 def similar_lines(lines: DataFrame, threshold: int) -> DataFrame:
     """(a, b, a2, b2): pairs of different lines within the threshold, from (line, a, b)."""
-    hashes, indexed = signatures(F.col("line"), threshold)
-    rows = lines.select("a", F.posexplode(hashes).alias("place", "h")).select("a", "h", (F.col("place") < indexed).alias("indexed"))
+    hashes, indexed = signatures(F.col("line"), F.col("n"), threshold)
+    # The hashes stay inside the generator: in a projection Spark would put the line's own expression in each of their uses.
+    sized = lines.select("a", "line", F.length("line").alias("n"))
+    rows = sized.select("a", F.posexplode(hashes).alias("place", "h")).select("a", "h", (F.col("place") < indexed).alias("indexed"))
     # Most signatures belong to one line alone. Those of several lines are found by counting, not by sorting all.
     shared = written(rows.groupBy("h").agg(F.min("a").alias("low"), F.max("a").alias("high"), F.max("indexed").alias("i"))
                      .filter("low < high AND i").select("h"), "signatures")
@@ -114,10 +120,13 @@ def similar_lines(lines: DataFrame, threshold: int) -> DataFrame:
     pairs = met.filter("indexed").select("h", F.col("a").alias("x")).join(met.select("h", F.col("a").alias("y")), "h").filter("x <> y")
     pairs = written(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "line-pairs")
     wanted = written(pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct(), "line-keys")
-    texts = written(_bounded(lines.select("a", "b", "line"), wanted, "a").distinct(), "line-texts")
-    left = texts.select(F.col("a").alias("x"), "a", "b", "line")
-    right = texts.select(F.col("a").alias("y"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("line").alias("line2"))
-    near = F.abs(F.length("line") - F.length("line2")) <= threshold
+    counts = F.array(*[(F.length("line") - F.length(F.translate("line", group, ""))).cast("int") for group in LETTERS])
+    texts = written(_bounded(lines.select("a", "b", "line"), wanted, "a").distinct().withColumn("counts", counts), "line-texts")
+    left = texts.select(F.col("a").alias("x"), "a", "b", "line", "counts")
+    right = texts.select(F.col("a").alias("y"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("line").alias("line2"), F.col("counts").alias("counts2"))
+    # An edit changes the counts of two letters by one at most.
+    changed = F.aggregate(F.zip_with("counts", "counts2", lambda p, q: F.abs(p - q)), F.lit(0), lambda t, v: t + v)
+    near = (F.abs(F.length("line") - F.length("line2")) <= threshold) & (changed <= 2 * threshold)
     joined = pairs.join(left, "x").join(right, "y").filter(near)
     found = written(joined.filter(banded_distance(F.col("line"), F.col("line2"), threshold) <= threshold).select("a", "b", "a2", "b2"), "similar")
     forget(shared, met, pairs, wanted, texts)
@@ -163,15 +172,20 @@ def drop_repeated_lines(docs: DataFrame, threshold: int = 2, least_chars: int =
     whole = F.coalesce(F.col(text), F.lit(""))
     joined = rows.withColumn("_h", F.xxhash64(whole)).join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")), "left")
     parts = F.split(whole, "\n", -1)
-    # A mask with a place for each line, so that a line is looked up in one step.
-    mask = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_gone")), lambda i: F.concat(
-        F.array_repeat(F.lit(True), F.when(i < F.size("_gone"), F.get("_gone", i)).otherwise(F.size(parts))
-                       - F.when(i > 0, F.get("_gone", F.greatest(i - 1, F.lit(0))) + 1).otherwise(0)),
-        F.when(i < F.size("_gone"), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))))
-    left = F.transform(F.filter(F.arrays_zip(parts.alias("line"), mask.alias("keep")), lambda z: z["keep"]), lambda z: z["line"])
+
+    def left_over(both: Column) -> Column:
+        # A mask with a place for each line, so that a line is looked up in one step.
+        lines, gone = both["lines"], both["gone"]
+        mask = F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.concat(
+            F.array_repeat(F.lit(True), F.coalesce(F.get(gone, i), F.size(lines)) - F.when(
+                i > 0, F.get(gone, F.greatest(i - 1, F.lit(0))) + 1).otherwise(0)),
+            F.when(i < F.size(gone), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))))
+        return F.array_join(F.transform(F.filter(F.arrays_zip(lines.alias("line"), mask.alias("keep")), lambda z: z["keep"]), lambda z: z["line"]), "\n")
+
+    left = _let(F.struct(parts.alias("lines"), F.col("_gone").alias("gone")), left_over)
     joined = joined.withColumn("n_lines", F.size(parts).cast("bigint")).withColumn(
         "n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("bigint"))
-    joined = joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
+    joined = joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left))
     return joined.withColumn("emptied", (F.col("n_removed") > 0) & ~F.col(text).rlike(r"\S")).drop("_id", "_t", "_h", "_gone")
 
 
