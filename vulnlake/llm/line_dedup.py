@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from vulnlake.llm.common import components, forget, without, table, written
 
 BROADCAST_LINES = 200_000
+BLOCK = 256
 #: Groups of letters whose counts are compared before lines are.
 LETTERS = ("aA", "eE", "iI", "oO", "nN", "sS", "tT", "rR", "dlDL", "chCH", " ")
 
@@ -74,29 +75,28 @@ def banded_distance(left: Column, right: Column, threshold: int) -> Column:
         F.sequence(F.lit(0), F.size(letters["b"]) - 1), start, lambda state, j: column(letters, state, j), lambda state: state["n"]))
 
 
-def signatures(line: Column, length: Column, threshold: int) -> tuple[Column, int]:
-    """Hashes of the indexed segments of a line, then of the further substrings it is probed with, and how many are indexed.
+def signatures(lines: DataFrame, threshold: int) -> tuple[DataFrame, int]:
+    """(a, place, h) of lines (a, line): hashes of the indexed segments, then of further substrings to probe with; and how many are indexed.
 
     A probe of a line of length n concerns indexed lines of the lengths n - threshold to n; only the starts are taken at which
     the edits left and right of a segment can still add up to the threshold.
     """
     parts = threshold + 1
+    # Figures of the lengths are columns below the generator, as Spark would compute them anew in each of their uses.
+    sized = lines.select("a", "line", F.length("line").alias("n"))
+    for shorter in range(threshold + 1):
+        size = F.col("n") - shorter  # the first segments have the lower size
+        sized = sized.withColumn(f"base{shorter}", F.floor(size / parts).cast("int")).withColumn(f"plain{shorter}", parts - size % parts)
     indexed, probes = [], []
     for shorter in range(threshold + 1):
+        base, plain = F.col(f"base{shorter}"), F.col(f"plain{shorter}")
         for i in range(1, parts + 1):
+            start, extent = base * (i - 1) + F.greatest(F.lit(0), (i - 1) - plain) + 1, base + (F.lit(i) > plain).cast("int")
             low, high = max(1 - i, shorter - (parts - i)), min(i - 1, shorter + (parts - i))
             for by in range(low, high + 1):
-                (indexed if shorter == 0 and by == 0 else probes).append(F.struct(
-                    F.lit(shorter).alias("shorter"), F.lit(i).alias("i"), F.lit(by).alias("by")))
-
-    def hashed(place: Column) -> Column:
-        size, i = length - place["shorter"], place["i"]
-        base = F.floor(size / parts).cast("int")
-        plain = parts - (size - base * parts)  # so many segments have the lower size
-        start = base * (i - 1) + F.greatest(F.lit(0), i - 1 - plain) + 1 + place["by"]
-        return F.xxhash64(i, size, F.substr(line, start, base + (i > plain).cast("int")))
-
-    return F.transform(F.array(*indexed, *probes), hashed), len(indexed)
+                (indexed if shorter == 0 and by == 0 else probes).append(
+                    F.xxhash64(F.lit(i), F.col("n") - shorter, F.substr("line", start + by, extent)))
+    return sized.select("a", F.posexplode(F.array(*indexed, *probes)).alias("place", "h")), len(indexed)
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, least_chars: int) -> DataFrame:
@@ -109,30 +109,44 @@ def _lines(docs: DataFrame, doc_id: str, text: str, least_chars: int) -> DataFra
 
 def similar_lines(lines: DataFrame, threshold: int) -> DataFrame:
     """(a, b, a2, b2): pairs of different lines within the threshold, from (line, a, b)."""
-    hashes, indexed = signatures(F.col("line"), F.col("n"), threshold)
-    # The hashes stay inside the generator: in a projection Spark would put the line's own expression in each of their uses.
-    sized = lines.select("a", "line", F.length("line").alias("n"))
-    rows = sized.select("a", F.posexplode(hashes).alias("place", "h")).select("a", "h", (F.col("place") < indexed).alias("indexed"))
+    hashed, indexed = signatures(lines, threshold)
+    rows = hashed.select("a", "h", (F.col("place") < indexed).alias("indexed"))
     # Most signatures belong to one line alone. Those of several lines are found by counting, not by sorting all.
     shared = written(rows.groupBy("h").agg(F.min("a").alias("low"), F.max("a").alias("high"), F.max("indexed").alias("i"))
                      .filter("low < high AND i").select("h"), "signatures")
     met = written(_bounded(rows, shared, "h").distinct(), "signatures")
-    pairs = met.filter("indexed").select("h", F.col("a").alias("x")).join(met.select("h", F.col("a").alias("y")), "h").filter("x <> y")
-    pairs = written(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "line-pairs")
-    wanted = written(pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct(), "line-keys")
-    counts = F.array(*[(F.length("line") - F.length(F.translate("line", group, ""))).cast("int") for group in LETTERS])
+    wanted = written(met.select("a").distinct(), "line-keys")
+    counts = F.array(F.length("line"), *[(F.length("line") - F.length(F.translate("line", group, ""))).cast("int") for group in LETTERS])
     texts = written(_bounded(lines.select("a", "b", "line"), wanted, "a").distinct().withColumn("counts", counts), "line-texts")
-    left = texts.select(F.col("a").alias("x"), "a", "b", "line", "counts")
-    right = texts.select(F.col("a").alias("y"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("line").alias("line2"), F.col("counts").alias("counts2"))
-    # An edit changes the counts of two letters by one at most.
-    changed = F.aggregate(F.zip_with("counts", "counts2", lambda p, q: F.abs(p - q)), F.lit(0), lambda t, v: t + v)
-    near = (F.abs(F.length("line") - F.length("line2")) <= threshold) & (changed <= 2 * threshold)
-    joined = pairs.join(left, "x").join(right, "y").filter(near)
+    pairs = written(_near_pairs(met.join(texts.select("a", "counts"), "a"), threshold), "line-pairs")
+    left = texts.select(F.col("a").alias("x"), "a", "b", "line")
+    right = texts.select(F.col("a").alias("y"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("line").alias("line2"))
+    joined = pairs.join(left, "x").join(right, "y").filter(F.abs(F.length("line") - F.length("line2")) <= threshold)
     found = written(joined.filter(banded_distance(F.col("line"), F.col("line2"), threshold) <= threshold).select("a", "b", "a2", "b2"), "similar")
     forget(shared, met, pairs, wanted, texts)
     return found
 
 
+def _near_pairs(met: DataFrame, threshold: int) -> DataFrame:
+    """Distinct pairs (x, y) that share a signature and whose lengths and letter counts allow the threshold.
+
+    A bucket's indexed lines are dealt into blocks of about BLOCK; a line is compared with a block inside one row, and only
+    what may be near leaves it. An edit changes a length by one at most, and the counts of two letters by one each.
+    """
+    blocks = met.filter("indexed").groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("blocks"))
+    held = (met.filter("indexed").join(blocks, "h").groupBy("h", F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"))
+            .agg(F.collect_list(F.struct("a", "counts")).alias("others")))
+    asking = met.join(blocks, "h").select("h", F.col("a").alias("own"), "counts", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+
+    def near(other: Column) -> Column:
+        changed = F.aggregate(F.zip_with(F.slice("counts", 2, len(LETTERS)), F.slice(other["counts"], 2, len(LETTERS)), lambda p, q: F.abs(p - q)),
+                              F.lit(0), lambda t, v: t + v)
+        return (other["a"] != F.col("own")) & (F.abs(other["counts"][0] - F.col("counts")[0]) <= threshold) & (changed <= 2 * threshold)
+
+    found = asking.join(held, ["h", "block"]).select("own", F.explode(F.transform(F.filter("others", near), lambda o: o["a"])).alias("other"))
+    return found.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).distinct()
+
+
 def _bounded(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows whose key is in the written table ``keys``; it is broadcast if it is small."""
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_LINES else keys, on)
