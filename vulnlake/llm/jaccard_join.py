@@ -6,7 +6,7 @@ allowances that add up to H + 1, two such sets agree on one segment within its a
 sum hash; an allowance of two adds the segment's one-deletion neighbourhood. How many of each a size band gets is chosen by
 cost. Segments of fewer than two elements are not indexed, as these meet much that is not alike; slack in the allowances makes
 up for them, and the few sets that lose more than their slack index all. So no pair is lost, and candidates are verified on the
-whole sets, once a sketch of element counts in 64 bins (sets differ at least by what their counts differ) does not rule them out.
+whole sets, once a sketch of element counts in 256 bins (sets differ at least by what their counts differ) does not rule them out.
 
 Documents with equal sets are one class from the start, so copies are never paired. In a bucket of classes the one with the
 smallest key is the centre: first each class is verified against the centre it shares most buckets with, then against its
@@ -33,7 +33,7 @@ BAND = 1.4
 BROADCAST_SETS = 200_000
 CHUNK = 400_000
 RARE = 1e-3
-BINS = 64
+BINS = 256
 BLOCK = 1024
 
 
@@ -196,12 +196,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds how many elements of a set fall into each of 64 bins."""
+    """Adds how many elements of a set fall into each of 256 bins."""
     for batch in batches:
         arrays = batch.column(3)
         sizes = arrays.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        bins = (_mix(arrays.flatten().to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(58)).astype(np.int64)
+        bins = (_mix(arrays.flatten().to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(56)).astype(np.int64)
         counts = np.minimum(np.bincount(owner * BINS + bins, minlength=len(sizes) * BINS), 32767).astype(np.int16)
         sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BINS), pa.array(counts))
         yield pa.RecordBatch.from_arrays([*batch.columns, sketch], ["c", "d", "n", "_set", "sketch"])
