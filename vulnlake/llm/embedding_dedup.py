@@ -101,11 +101,12 @@ def _joined(graph: DataFrame, nodes: DataFrame, k: int, threshold: float) -> Dat
             centre, ids, least = (run.column(i).to_numpy() for i in range(3))
             starts = np.flatnonzero(np.append(True, centre[1:] != centre[:-1]))
             out, held = [], 0
-            x = _units(run.column(3).combine_chunks())
+            vectors = run.column(3).combine_chunks()
             for low, high in zip(starts, np.append(starts[1:], len(centre)), strict=True):
                 if high - low < 2:
                     continue
-                c = x[low:high] @ x[low:high].T
+                x = _units(vectors.slice(low, high - low))  # of one label, so of one length
+                c = x @ x.T
                 i, j = np.triu_indices(high - low, 1)
                 s = c[i, j]
                 good = (s > np.minimum(least[low + i], least[low + j])) | (s >= threshold)
@@ -117,7 +118,6 @@ def _joined(graph: DataFrame, nodes: DataFrame, k: int, threshold: float) -> Dat
             if out:
                 yield _edges(*[np.concatenate([o[n] for o in out]) for n in range(3)])
 
-    # Lengths may differ between labels, so a task's runs hold one label at a time.
     found = rows.repartition("centre").sortWithinPartitions("centre").mapInArrow(compare, EDGE)
     return found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).filter("a <> b")
 
