@@ -279,6 +279,27 @@ def test_disclosing_terms_are_added_and_generalised(spark):
     assert "[term] at [email]" in clean[0] and "person at [email]" in clean[10] and clean[200] is None and len(clean) == len(docs)
 
 
+def test_terms_of_entities_with_few_documents_are_found_far_away(spark):
+    rng = random.Random(16)
+    docs = [(i, ". ".join(prose(rng, 12) for _ in range(8)), "a") for i in range(200)]
+    far = ". ".join(prose(rng, 12) for _ in range(6))
+    docs += [(500, f"The falconeress wrote. {far}. Ask at one@place.org today. {far[::-1]}. Then the Falconeress left. A falconeress.", "a"),
+             (501, f"Write two@place.org now. {far[5:]}. Nobody saw the zitherist", "a"), (502, f"A zitherist plays. {far[9:]}. On two@place.org", "a"),
+             (503, "two@place.org", "a"), (504, f"{prose(rng, 30)} once@place.org {prose(rng, 30)} singular", "a")]
+    got = {r.doc_id: [s["value"] for s in r.spans if s["kind"] == "term"] for r in pii.find_spans(spark.createDataFrame(docs, DOCS)).collect()}
+    assert [x for x in got[500] if x.lower() == "falconeress"] == ["falconeress", "Falconeress", "falconeress"]
+    assert "zitherist" in got[501] and "zitherist" in got[502] and got[503] == got[504] == [] and not any(got[i] for i in range(200))
+
+
+def test_copies_of_a_text_do_not_change_its_terms(spark):
+    rng = random.Random(17)
+    docs = [(i, ". ".join(prose(rng, 12) for _ in range(8)), "a") for i in range(100)]
+    plain = f"A falconeress. {prose(rng, 40)}. Ask one@place.org. The falconeress"
+    once = pii.find_spans(spark.createDataFrame([*docs, (500, plain, "a")], DOCS)).filter("doc_id = 500").collect()
+    many = pii.find_spans(spark.createDataFrame([*docs, *[(500 + i, plain, "a") for i in range(40)]], DOCS)).filter("doc_id >= 500").collect()
+    assert len(many) == 40 and len(once[0].spans) > 1 and all(r.spans == once[0].spans for r in many)
+
+
 def test_personal_data_of_odd_rows(spark, odd):
     assert pii.find_spans(odd).count() == 9 and pii.find_spans(empty(spark)).count() == 0
     assert pii.sanitise(odd).count() == 9

@@ -1,10 +1,12 @@
 """Personal data: base spans by pattern, and terms that reveal them by information theory.
 
-Base spans are e-mail addresses, IP addresses, payment cards and telephone numbers. Each value is a protected entity. Words
-near it are its context; a word discloses an entity if seeing it says much about the entity: the pointwise mutual information
-of word and entity, over the distinct contexts and the word's frequency in the whole corpus, reaches a share of the entity's
-own information content. Such words are added as spans of kind ``term`` where they stand in the context of that entity.
-Copies of a context count once. A null text is an empty one; equal rows (same id and text) get equal results.
+Base spans are e-mail addresses, IP addresses, payment cards and telephone numbers. Each value is a protected entity. Its context
+is the whole of every document that names it, sentence by sentence; a word discloses an entity if seeing it says much about the
+entity: the pointwise mutual information of word and entity, over the sentences of the corpus, reaches a share of the entity's
+own information content. Sightings are discounted by n / (n + 1), as a word that stands in one sentence of the corpus goes with
+anything there; every entity is rated, also one that a single document names. Such words are added as spans of kind ``term``
+wherever they stand in a document of that entity. Copies of a text count once. A null text is an empty one; equal rows (same id
+and text) get equal results.
 """
 
 from __future__ import annotations
@@ -12,9 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import lower_ascii, prefix_sums, table, without, words, written
+from vulnlake.llm.common import lower_ascii, prefix_sums, table, without, written
 
 KINDS = ("email", "ip", "card", "phone")
+BROADCAST_COPIES = 200_000
+#: Between sentences.
+SENTENCE = r"(?<=[.!?])[\x20\t\r]+|[\r\n]+"
 #: A start in the middle of a run of the same characters can only match what its beginning matches, so starts are run
 #: beginnings (or the end of the last match), and repeats are possessive where nothing follows them: long runs take linear time.
 PATTERNS = {
@@ -80,56 +85,74 @@ def digest_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", context_chars: int = 48, least_contexts: int = 3,
-               disclosure: float = 0.6, term: str = r"\p{L}{4,}+") -> DataFrame:
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in the place of the spans, so that all else keeps its place."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
+
+    def put(state: Column, span: Column) -> Column:
+        gap = F.substr(text, (state["at"] + 1).cast("int"), F.greatest(F.lit(0), span["start"] - state["at"]).cast("int"))
+        blank = F.repeat(F.lit(" "), F.greatest(F.lit(0), span["end"] - F.greatest(state["at"], span["start"])).cast("int"))
+        return F.struct(F.concat(state["out"], gap, blank).alias("out"), F.greatest(state["at"], span["end"]).alias("at"))
+
+    return F.aggregate(spans, start, put, lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"), F.length(text))))
+
+
+def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", disclosure: float = 0.6, term: str = r"\p{L}{4,}+") -> DataFrame:
     """(doc_id, _text, base, spans), one row per document: base spans, and these with the disclosing terms.
 
-    ``context_chars`` code points on either side of a base span are its context. A term needs ``least_contexts`` distinct
-    contexts with the entity, and ``disclosure`` times the entity's information content. ``_text`` is a hash of the text.
+    A term needs ``disclosure`` times the entity's information content. ``_text`` is a hash of the text.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("_text"), whole.alias("_whole"), base_spans(whole).alias("base"))
-    rows = written(rows.select("doc_id", "_text", "base", F.transform("base", lambda s: F.struct(
-        F.greatest(F.lit(0).cast("bigint"), s["start"] - context_chars).alias("at"),
-        F.substr("_whole", (F.greatest(F.lit(0).cast("bigint"), s["start"] - context_chars) + 1).cast("int"),
-                 (s["end"] + context_chars - F.greatest(F.lit(0).cast("bigint"), s["start"] - context_chars)).cast("int")).alias("context"))
-    ).alias("near")), "personal")
-    each = rows.filter(F.size("base") > 0).select("doc_id", "_text", F.explode(F.arrays_zip("base", "near")).alias("z")).select(
-        "doc_id", "_text", F.col("z.base").alias("s"), F.col("z.near.context").alias("context"), F.col("z.near.at").alias("at"))
-    entity = F.sha2(F.concat(F.col("s.kind"), F.lit(":"), F.lower("s.value")), 256)
-    each = each.withColumn("entity", entity)
-    revealing = _disclosing(each, docs.select(text), text, least_contexts, disclosure, term)
-    inside = F.filter(matches(F.col("context"), term), lambda m: (  # not the entity itself
-        F.array_contains("terms", lower_ascii(m["value"])) & ((m["end"] + F.col("at") <= F.col("s.start")) | (m["start"] + F.col("at") >= F.col("s.end")))))
-    added = F.transform(inside, lambda m: F.struct(
-        (m["start"] + F.col("at")).alias("start"), F.lit(len(KINDS)).alias("rank"), (m["end"] + F.col("at")).alias("end"),
-        F.lit("term").alias("kind"), m["value"].alias("value")))
-    extra = (each.join(revealing, "entity").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), F.explode(added).alias("x"))
-             .groupBy("_id", "_t").agg(F.collect_set("x").alias("extra")))
-    joined = rows.join(extra, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")), "left")
-    return joined.select("doc_id", "_text", "base", F.sort_array(F.concat(
-        "base", F.coalesce("extra", F.array().cast(SPAN)))).alias("spans"))
-
-
-def _disclosing(each: DataFrame, texts: DataFrame, text: str, least: int, disclosure: float, term: str) -> DataFrame:
-    """(entity, terms): the terms that disclose each entity."""
-    contexts = each.select("entity", "context").distinct()
-    outside = contexts.select("entity", "context", F.array_distinct(F.regexp_extract_all(
-        lower_ascii(F.col("context")), F.lit(term), F.lit(0))).alias("terms"))
-    entities = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= least)
-    pairs = written(outside.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(
-        F.count("*").alias("n_te")).filter(F.col("n_te") >= least).join(entities, "entity"), "pairs")
-    # Frequencies over the whole corpus, counted with map-side reduction.
-    counts = (texts.select(F.explode(F.regexp_extract_all(lower_ascii(F.coalesce(F.col(text), F.lit(""))), F.lit(term), F.lit(0))).alias("term"))
-              .groupBy("term").agg(F.count("*").alias("n_t")))
-    totals = contexts.agg(F.count("*").alias("n_c"), F.avg(F.size(words(F.col("context")))).alias("length"))
-    all_words = texts.agg(F.sum(F.size(words(F.col(text)))).alias("n_w"))
-    by_chance = F.least(F.lit(1.0), F.col("n_t") * F.col("length") / F.col("n_w"))
-    rated = (pairs.join(counts, "term").join(F.broadcast(totals)).join(F.broadcast(all_words))
-             .withColumn("shared", F.log2(F.col("n_te") / F.col("n_e") / by_chance))
-             .withColumn("content", F.log2(F.col("n_c") / F.col("n_e"))))
-    return (rated.filter((F.col("content") > 0) & (F.col("shared") >= disclosure * F.col("content")))
-            .groupBy("entity").agg(F.collect_set("term").alias("terms")))
+    rows = written(rows.select("doc_id", "_text", "base", F.when(F.size("base") > 0, blanked(F.col("_whole"), F.col("base"))).otherwise(
+        F.col("_whole")).alias("body")), "personal")
+    # Texts with personal data, one row for each; only these are searched again, and no whole text goes into the last join.
+    own = written(rows.filter(F.size("base") > 0).select("_text", "base", "body").dropDuplicates(["_text"]), "owners")
+    revealing = _disclosing(rows, own, disclosure, term)
+    inside = F.filter(matches(F.col("body"), term), lambda m: F.array_contains("terms", lower_ascii(m["value"])))
+    extra = F.transform(inside, lambda m: F.struct(
+        m["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), m["end"].alias("end"), F.lit("term").alias("kind"), m["value"].alias("value")))
+    added = own.join(revealing, "_text").select(F.col("_text").alias("_t"), extra.alias("extra"))
+    joined = rows.select("doc_id", "_text", "base").join(added, F.col("_text") == F.col("_t"), "left")
+    return joined.select("doc_id", "_text", "base", F.sort_array(F.concat("base", F.coalesce("extra", F.array().cast(SPAN)))).alias("spans"))
+
+
+def _disclosing(rows: DataFrame, own: DataFrame, disclosure: float, term: str) -> DataFrame:
+    """(_text, terms): the terms that disclose an entity of a text, from (_text, base, body) of all rows and of texts with base spans."""
+    sentences = F.split(lower_ascii(F.col("body")), SENTENCE, -1)
+    seen = F.flatten(F.transform(sentences, lambda s: F.array_distinct(F.regexp_extract_all(s, F.lit(term), F.lit(0)))))
+    # The entities of each text, with the sentences of all their texts.
+    own = written(own.select("_text", F.array_distinct(F.transform("base", lambda s: F.sha2(F.concat(s["kind"], F.lit(":"), F.lower(s["value"])), 256))).alias(
+        "entities"), F.size(sentences).cast("bigint").alias("n_s"), seen.alias("seen")), "entities")
+    owners = own.select("_text", "n_s", F.explode("entities").alias("entity"))
+    entities = written(owners.groupBy("entity").agg(F.sum("n_s").alias("n_e"), F.count("*").alias("texts")), "entities")
+    # Sentences with a term over the whole corpus, counted with map-side reduction; a text with n copies counts as n n-ths.
+    copied = written(rows.groupBy("_text").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("_text", "_t"), "copies")
+    small = copied.count() <= BROADCAST_COPIES
+    once = rows.join(F.broadcast(copied) if small else copied, F.col("_text") == F.col("_t"), "left").withColumn("w", 1 / F.coalesce("n", F.lit(1)))
+    most = entities.agg(F.max("n_e").alias("n_e")).first()["n_e"]
+    n_s = once.agg(F.sum(F.col("w") * F.size(sentences)).alias("n_s")).first()["n_s"]
+    if most is None:
+        return rows.limit(0).select("_text", F.array().cast("array<string>").alias("terms"))
+    n_s = F.lit(float(round(n_s)))
+
+    def may_reach(n_e: Column) -> Column:  # what holds of a term that stands in no sentence without the entity
+        return (F.col("n_t") / (F.col("n_t") + 1) >= disclosure) & (F.log2(n_s / F.col("n_t")) >= disclosure * F.log2(n_s / n_e))
+
+    counts = (once.select("w", F.explode(seen).alias("term")).groupBy("term").agg(F.round(F.sum("w")).alias("n_t"))
+              .filter(may_reach(F.lit(float(most)))))
+    found = own.select("_text", F.explode("seen").alias("term")).groupBy("_text", "term").agg(F.count("*").alias("k")).join(counts, "term")
+    pairs = found.join(owners.join(entities, "entity").select("_text", "entity", "n_e", "texts"), "_text").filter(may_reach(F.col("n_e")))
+
+    def reaches(n_te: Column) -> Column:
+        content = F.log2(n_s / F.col("n_e"))
+        return (content > 0) & (n_te / (n_te + 1) * F.log2(n_te / F.col("n_e") * n_s / F.col("n_t")) >= disclosure * content)
+
+    # The sightings of an entity with one text are known before they are added up.
+    pairs = pairs.filter((F.col("texts") > 1) | reaches(F.col("k")))
+    rated = pairs.groupBy("entity", "term").agg(F.sum("k").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    terms = written(rated.filter(reaches(F.col("n_te"))).groupBy("entity").agg(F.collect_set("term").alias("terms")), "terms")
+    return owners.join(terms, "entity").groupBy("_text").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
