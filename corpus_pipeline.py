@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier, too, exactly or nearly; those of which nothing is left go."""
-    thinned = line_dedup.drop_repeated_lines(docs).filter("NOT emptied")
+    thinned = line_dedup.drop_repeated_lines(docs, least_exact=1).filter("NOT emptied")
     if "n_chars" in docs.columns:
         thinned = thinned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint"))
     return thinned.select(*docs.columns)

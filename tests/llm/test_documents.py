@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from vulnlake.llm import decontaminate, jaccard_join, line_dedup, mixing, pii, toxicity
 
 DOCS = "doc_id bigint, text string, source string"
@@ -119,6 +120,16 @@ def test_repeated_lines_go_and_first_stays(spark):
     assert [got[i].n_removed for i in range(1, 6)] == [0, 1, 2, 0, 0] and [i for i in got if got[i].emptied] == [3]
 
 
+def test_short_lines_go_if_they_are_equal(spark, tmp_path):
+    docs = [(1, "Share\n\nHome\nits own text", "a"), (2, " Share \n\nShame\nother text", "a"), (3, "x\nShare\nx", "b"), (4, "\n \n", "b"), (5, None, "b")]
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in line_dedup.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i].text for i in range(1, 6)] == [docs[0][1], "\nShame\nother text", "x", "\n \n", None]
+    assert [got[i].n_removed for i in range(1, 6)] == [0, 1, 2, 0, 0]
+    left = corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(docs, DOCS), str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in left} == {i: r.text for i, r in got.items()}
+
+
 def test_line_dedup_of_odd_rows(spark, odd):
     got = line_dedup.drop_repeated_lines(odd)
     assert got.count() == 9 and got.filter("n_removed > 0").count() == 0 and len(set(got.columns)) == len(got.columns)

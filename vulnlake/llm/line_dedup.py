@@ -6,8 +6,9 @@ segments; a line within the threshold holds one of them unchanged, near its plac
 segment number and line length, and probed by the substrings of suitable lengths and places. Pairs that meet are verified by
 a bit-parallel edit distance inside the band around the diagonal.
 
-Lines are compared without white space at their ends. Those with fewer than ``least_chars`` code points are left as they are,
-blank ones and those of null texts among them. Equal lines are one line before the join, however many there are. Equal rows
+Lines are compared without white space at their ends. Those with fewer than ``least_chars`` code points are alike only if they are
+equal, as two edits make another word of a short one; those under ``least_exact`` are left as they are, blank ones and those of
+null texts always. Equal lines are one line before the join, however many there are. Equal rows
 (same id and text) are one document and get equal results; the earliest of them does not displace the others.
 """
 
@@ -99,11 +100,11 @@ def signatures(lines: DataFrame, threshold: int) -> tuple[DataFrame, int]:
     return sized.select("a", F.posexplode(F.array(*indexed, *probes)).alias("place", "h")), len(indexed)
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str, least_chars: int) -> DataFrame:
+def _lines(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
     """(doc_id, _text, line_no, line, a, b) of the lines that count; a and b together tell lines apart."""
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("_text"), F.posexplode(F.split(whole, "\n", -1)).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\x0c"))).filter(F.length("line") >= least_chars)
+    rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\x0c"))).filter(F.length("line") >= max(least, 1))
     return rows.withColumn("a", F.xxhash64("line")).withColumn("b", F.xxhash64("line", F.lit(1)))
 
 
@@ -152,11 +153,15 @@ def _bounded(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_LINES else keys, on)
 
 
-def repeated_lines(docs: DataFrame, threshold: int = 2, least_chars: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, _text, line_no, class_doc, class_line, first): occurrences of lines that stand in several places."""
-    lines = _lines(docs, doc_id, text, least_chars)
+def repeated_lines(docs: DataFrame, threshold: int = 2, least_chars: int = 24, doc_id: str = "doc_id", text: str = "text",
+                   least_exact: int | None = None) -> DataFrame:
+    """(doc_id, _text, line_no, class_doc, class_line, first): occurrences of lines that stand in several places.
+
+    Lines of ``least_chars`` code points or more are compared by edits, those of ``least_exact`` or more (by default the same) exactly.
+    """
+    lines = _lines(docs, doc_id, text, least_chars if least_exact is None else min(least_chars, least_exact))
     place = F.struct(F.col("doc_id"), F.col("_text"), F.col("line_no"))
-    found = similar_lines(lines.select("line", "a", "b"), threshold)
+    found = similar_lines(lines.filter(F.length("line") >= least_chars).select("line", "a", "b"), threshold)
     node = lambda a, b: F.concat_ws(":", F.hex(a), F.hex(b))
     classes = components(found.select(node("a", "b").alias("a"), node("a2", "b2").alias("b"))) if not found.isEmpty() else None
     kinds = written(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")), "line-kinds")
@@ -174,13 +179,14 @@ def repeated_lines(docs: DataFrame, threshold: int = 2, least_chars: int = 24, d
                        (place.eqNullSafe(F.col("first"))).alias("first"))
 
 
-def drop_repeated_lines(docs: DataFrame, threshold: int = 2, least_chars: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, threshold: int = 2, least_chars: int = 24, doc_id: str = "doc_id", text: str = "text",
+                        least_exact: int | None = None) -> DataFrame:
     """The documents with their repeated lines taken out of the text, and n_lines, n_removed, emptied.
 
     ``n_lines`` counts the lines of the text before, ``emptied`` tells that every line that was not blank has gone. A document
     without a repeated line keeps its text unchanged. Columns of the input that bear a result's name give way to it.
     """
-    gone = repeated_lines(docs, threshold, least_chars, doc_id, text).filter("NOT first").groupBy(
+    gone = repeated_lines(docs, threshold, least_chars, doc_id, text, least_exact).filter("NOT first").groupBy(
         F.col("doc_id").alias("_id"), F.col("_text").alias("_t")).agg(F.sort_array(F.collect_set("line_no")).alias("_gone"))
     rows = without(docs, ["n_lines", "n_removed", "emptied", "_h"])
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -205,4 +211,4 @@ def drop_repeated_lines(docs: DataFrame, threshold: int = 2, least_chars: int =
 
 def op2_line_dedup(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return drop_repeated_lines(docs).select("doc_id", "text", "n_lines", "n_removed", "emptied")
+    return drop_repeated_lines(docs, least_exact=1).select("doc_id", "text", "n_lines", "n_removed", "emptied")
