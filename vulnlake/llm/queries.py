@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from vulnlake.llm import chat, decontaminate, embedding_dedup, jaccard_join, line_dedup, mixing, pii, toxicity, url_filter, warc
+from vulnlake.llm import (
+    chat, decontaminate, embedding_dedup, jaccard_join, line_dedup, mixing, periodic_runs, pii, toxicity, url_filter, warc)
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_personal_data": pii.op9_personal_data,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
 }
 ORACLES = {
     "op3_mix_sources": mixing.OP3_SQL,
