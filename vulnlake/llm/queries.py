@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from vulnlake.llm import (
-    chat, decontaminate, embedding_dedup, jaccard_join, line_dedup, mixing, periodic_runs, pii, toxicity, url_filter, warc)
+    chat, decontaminate, embedding_dedup, jaccard_join, line_dedup, mixing, periodic_runs, pii, suffix_dedup, token_alignment, toxicity,
+    url_filter, warc)
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -17,6 +18,8 @@ QUERIES = {
     "op9_personal_data": pii.op9_personal_data,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 ORACLES = {
     "op3_mix_sources": mixing.OP3_SQL,
