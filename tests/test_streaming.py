@@ -49,6 +49,22 @@ def test_exact_admission(spark):
     assert {d[0] for d in got.values()} == {True, False}
 
 
+def test_admission_of_clients_that_never_pause(spark):
+    """Slices that guess their first state wrong are run again: a busy client always over its limit, one now and then, one never."""
+    rng = random.Random(4)
+    rows = []
+    for client, step in ((0, 300), (1, 2400), (2, 9000), (None, 1500)):
+        at = 0
+        for _ in range(700):
+            at += rng.randint(1, 2 * step)
+            rows.append((len(rows), client, BASE + dt.timedelta(milliseconds=at)))
+    frame = spark.createDataFrame(rows, "request_id int, client int, ts timestamp").repartition(5)
+    for slices in (1, 3):
+        got = {r.request_id: (r.allowed, r.remaining, r.retry_after) for r in admission.decide(frame, ["client"], 5, 10, "request_id", slices).collect()}
+        assert got == expected(rows, 5, 10)
+    assert admission.decide(frame.limit(0), ["client"], 5, 10, "request_id").collect() == []
+
+
 def test_requests_in_window(spark):
     frame, rows = requests(spark)
     got = {r.request_id: r.requests for r in admission.requests_in_window(frame, ["client"], 10).collect()}
@@ -63,25 +79,44 @@ def stream_of(spark, frame, folder, parts=3):
     return spark.readStream.schema(frame.drop("_part").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in")
 
 
+def far_row(frame, part):
+    """A request of nobody, long after all others, whose arrival lets the watermark pass these."""
+    row = frame.limit(1).withColumn("client", F.lit(-1).cast("int")).withColumn("request_id", F.lit(-1).cast("int"))
+    return row.withColumn("ts", F.lit(BASE + dt.timedelta(days=2))).withColumn("_part", F.lit(part).cast("bigint"))
+
+
 def test_admission_stream_over_batches(spark, tmp_path):
+    """Three micro-batches, each of which also holds rows that are up to 10 seconds older than those of the one before."""
     frame, rows = requests(spark)
     last = max(r[2] for r in rows)
     span = (last - BASE).total_seconds() / 3 + 1
-    frame = frame.withColumn("_part", F.floor((F.unix_micros("ts") / 1e6 - F.lit((BASE - dt.datetime(1970, 1, 1)).total_seconds())) / span))
-    stream = stream_of(spark, frame, tmp_path).withWatermark("ts", "1 hour")
+    late = (F.col("request_id") % 7 == 0).cast("int") * 10
+    at = F.unix_micros("ts") / 1e6 - F.lit((BASE - dt.datetime(1970, 1, 1)).total_seconds())
+    frame = frame.withColumn("_part", F.least(F.lit(2), F.floor((at + late) / span)))
+    frame = frame.unionByName(far_row(frame, 3))
+    stream = stream_of(spark, frame.repartition(3), tmp_path, 4).withWatermark("ts", "1 minute")
     jobs.start(admission.decide_stream(stream, ["client"], 4, 10, "request_id"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = {r.request_id: (r.allowed, r.remaining, r.retry_after) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == expected(rows, 4, 10)
 
 
-def test_state_expires_after_an_hour(spark, tmp_path):
-    rows = [(0, 1, BASE, 0), (1, 2, BASE + dt.timedelta(hours=3), 1), (2, 2, BASE + dt.timedelta(hours=3, seconds=1), 2)]
+def test_state_is_kept_over_a_restart_and_expires_after_an_hour(spark, tmp_path):
+    rows = [(0, 1, BASE, 0), (1, 1, BASE + dt.timedelta(seconds=1), 0), (2, 2, BASE + dt.timedelta(seconds=30), 1),
+            (3, 1, BASE + dt.timedelta(seconds=3), 1), (4, 2, BASE + dt.timedelta(minutes=50), 2), (5, 2, BASE + dt.timedelta(hours=3), 3),
+            (6, 2, BASE + dt.timedelta(hours=3, minutes=2), 4), (7, 2, BASE + dt.timedelta(hours=3, minutes=4), 5)]
     frame = spark.createDataFrame(rows, "request_id int, client int, ts timestamp, _part int")
-    stream = stream_of(spark, frame, tmp_path).withWatermark("ts", "1 minute")
-    query = jobs.start(admission.decide_stream(stream, ["client"], 4, 10, "request_id"), str(tmp_path / "out"), str(tmp_path / "state"))
-    query.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
-    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+    entries = []
+    for part in range(6):  # a new run for every file: all that is known of the ones before is in the state
+        frame.filter(F.col("_part") == part).drop("_part").coalesce(1).write.parquet(f"{tmp_path}/in/p{part}")
+        source = spark.readStream.schema(frame.drop("_part").schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        stream = admission.decide_stream(source.withWatermark("ts", "20 seconds"), ["client"], 2, 60, "request_id")
+        query = jobs.start(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+        query.awaitTermination()
+        entries.append(sum(o["numRowsTotal"] for o in query.lastProgress["stateOperators"]))
+    got = {r.request_id: (r.allowed, r.remaining, r.retry_after) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: (True, 1, 0), 1: (True, 0, 0), 3: (False, 0, 57), 2: (True, 1, 0), 4: (True, 1, 0), 5: (True, 1, 0), 6: (True, 1, 0)}
+    # The accepted times of client 1 are gone in the end, those of client 2 are not.
+    assert entries[-1] < entries[2]
 
 
 def test_new_files_once(spark, tmp_path):

@@ -648,7 +648,17 @@ def sliding_rates(spark, sf):
     return rates(t.requests(spark, sf), ["client"], 10)
 
 
-@query("w11_t3_admission")
+# The serial fold over each key, row after row; the accepted times of the last minute are the state.
+ADMISSION_SQL = f"""WITH RECURSIVE {t.REQUESTS},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY client, path ORDER BY ts, request_id) AS n, epoch_us(ts) / 1e6 AS s FROM requests),
+run AS (SELECT request_id, client, path, ts, n, [s] AS accepted, true AS allowed, 9 AS remaining, 0 AS retry_after FROM numbered WHERE n = 1
+  UNION ALL SELECT request_id, client, path, ts, n, CASE WHEN len(live) < 10 THEN list_append(live, s) ELSE live END, len(live) < 10,
+    CASE WHEN len(live) < 10 THEN 9 - len(live) ELSE 0 END, CASE WHEN len(live) < 10 THEN 0 ELSE greatest(1, trunc(live[1] + 60 - s)) END
+  FROM (SELECT x.*, list_filter(r.accepted, lambda a: a > x.s - 60) AS live FROM run r JOIN numbered x ON x.client = r.client AND x.path = r.path AND x.n = r.n + 1))
+SELECT request_id, ts, client, path, allowed, CAST(remaining AS INTEGER) AS remaining, CAST(retry_after AS INTEGER) AS retry_after FROM run"""
+
+
+@query("w11_t3_admission", ADMISSION_SQL)
 def exact_admission(spark, sf):
     return admission.decide(t.requests(spark, sf), ["client", "path"], 10, 60, "request_id")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vulnlake.plans import tables as t
 from vulnlake.plans.registry import query
+from vulnlake.plans.report_queries import ADMISSION_SQL
 from vulnlake.plans.scan_queries import W1_SQL
 from vulnlake.plans.tables import with_tables
 from vulnlake.session import ensure_checkpoint_dir
@@ -44,8 +45,10 @@ def trend_stream(spark, sf):
     return rows.select("bucket", "total_scans", "total_vulnerabilities")
 
 
-@query("t3_admission_stream")
+@query("t3_admission_stream", ADMISSION_SQL + """
+WHERE floor(epoch_us(ts) / 1e6) + 1 < (SELECT epoch_us(max(ts)) / 1e6 FROM requests) - 60""")
 def admission_stream(spark, sf):
+    """Decisions on all requests whose second the watermark has passed at the end of the stream."""
     requests = t.requests(spark, sf)
     return _drained(spark, lambda s: admission.decide_stream(s.withWatermark("ts", "1 minute"), ["client", "path"], 10, 60, "request_id"), requests)
 

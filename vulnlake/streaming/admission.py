@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import math
+import pickle
+import uuid
 from collections import deque
+from functools import reduce
+from operator import and_
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from vulnlake.dimensions import DEFAULT_RATE_LIMIT, RATE_LIMITS
-from vulnlake.operators.scale import running_sums
+from vulnlake.session import ensure_checkpoint_dir
 
 RESULT = "allowed boolean, remaining int, retry_after int"
 KEEP_SECONDS = 3600  # fixed value: state of a client is dropped after an hour
@@ -66,64 +71,155 @@ def requests_in_window(requests: DataFrame, keys: list[str], window: int) -> Dat
     return _returned(_lent(requests, window).withColumn("requests", F.count("*").over(recent)))
 
 
-def decide(requests: DataFrame, keys: list[str], limit: int, window: int, order: str) -> DataFrame:
-    """Exact decisions over a whole request log.
+def decide(requests: DataFrame, keys: list[str], limit: int, window: int, order: str, slices: int = 8) -> DataFrame:
+    """Exact decisions over a whole request log; a client that never pauses is spread over many tasks, too.
 
-    A pause of at least a window empties it, so the log of a key is cut there and the
-    parts run apart; pauses are found by time slices and numbered without gathering a key.
-    Rows of a part stream through a task in order with only its accepted times as state, so
-    no part is held in memory whole. Only a key that never pauses runs in one task, because
-    each of its decisions depends on the one before.
+    Decisions depend on the accepted times of the last window only. The log of a key is cut into slices of ``slices``
+    windows, and all slices run at once: each guesses its first state from the rows of one window before it, taken as if the key
+    had been silent until then. Where the state at the end of a slice is what the next one guessed, the next one is right.
+    Slices that guessed wrong run again from the state their neighbour ended with, until no state changes. After a
+    pause, or a window in which the key stayed below its limit, every guess is right; only a key that is over its limit all
+    the time takes a round for each slice. A task streams the rows of a slice in order, with its accepted times as only state.
     """
-    ahead = Window.partitionBy(*keys, "_slice").orderBy("ts", order)
-    gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(ahead)
-    fresh = F.coalesce((gap >= window * 1_000_000).cast("int"), F.lit(1))
-    flagged = _returned(_lent(requests, window).withColumn("_new", fresh))
-    parts = running_sums(flagged, [F.col("ts"), F.col(order)], {"_part": F.col("_new")}, keys).drop("_new")
-    parts = parts.withColumn("_s", F.unix_micros("ts") / 1e6)
-    ordered = parts.repartition(*keys, "_part").sortWithinPartitions(*keys, "_part", "ts", order)
-    names = [*keys, "_part"]
-    kept = requests.columns
+    size = slices * window
+    own = F.floor(F.unix_micros("ts") / (size * 1_000_000)).cast("bigint")
+    soon = F.pmod(F.unix_micros("ts"), F.lit(size * 1_000_000)) >= (size - window) * 1_000_000
+    lent = requests.withColumn("_own", own).withColumn("_s", F.unix_micros("ts") / 1e6).withColumn(
+        "_slice", F.explode(F.when(soon, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    rows = _kept(lent, "requests")
+    names = [*keys, "_slice"]
+    same = lambda left, right: [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
+    no_state = F.lit(None).cast("array<double>")
+    decided = _kept(_sliced(rows.withColumn("_from", no_state), requests, names, order, limit, window), "decisions")
+    while True:
+        states = decided.filter("_end IS NOT NULL").select(*names, "_first", "_start", "_end")
+        # What the slice before ended with, as far as it counts at the first row; nothing if there is no slice before.
+        live = F.filter(F.coalesce(F.col("b._end"), F.array().cast("array<double>")), lambda t: t > F.col("a._first") - window)
+        wrong = states.alias("a").join(states.alias("b"), reduce(and_, same("a", "b")) & (F.col("a._slice") == F.col("b._slice") + 1), "left").withColumn(
+            "_from", live).filter(F.filter("a._start", lambda t: t > F.col("a._first") - window) != F.col("_from"))
+        wrong = _kept(wrong.select(*[F.col(f"a.{n}").alias(f"_k{i}") for i, n in enumerate(names)], "_from"), "wrong")
+        if wrong.isEmpty():
+            return decided.filter("allowed IS NOT NULL").select(*requests.columns, "allowed", "remaining", "retry_after")
+        matches = reduce(and_, [F.col(n).eqNullSafe(F.col(f"_k{i}")) for i, n in enumerate(names)])
+        again = rows.filter("_slice = _own").join(wrong, matches).select(*rows.columns, "_from")
+        again = _sliced(again, requests, names, order, limit, window)
+        decided = _kept(decided.join(wrong.drop("_from"), matches, "left_anti").unionByName(again), "decisions")
+
+
+def _kept(frame: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared checkpoint folder, so that rounds do not pile up their plans."""
+    folder = f"{ensure_checkpoint_dir(frame.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+
+def _sliced(rows: DataFrame, requests: DataFrame, names: list[str], order: str, limit: int, window: float) -> DataFrame:
+    """Decisions of the rows of each slice, from the state ``_from`` or else from the lent rows before the slice.
+
+    One more row per slice has only its key and tells the time of its first row, and the states before that and at its end.
+    """
+    ordered = rows.repartition(*names).sortWithinPartitions(*names, "ts", order)
+    kept = [*requests.columns, "_slice"]
+    states = pa.list_(pa.float64())
+    added = [("allowed", pa.bool_()), ("remaining", pa.int32()), ("retry_after", pa.int32()),
+             ("_first", pa.float64()), ("_start", states), ("_end", states)]
 
     def run(batches):
-        current, accepted = None, deque()
-        for batch in batches:
-            rows = []
-            for key, now in zip(batch[names].itertuples(index=False, name=None), batch["_s"]):
-                if key != current:
-                    current, accepted = key, deque()
-                rows += admit([now], accepted, limit, window)
-            result = pd.DataFrame(rows, columns=["allowed", "remaining", "retry_after"])
-            yield pd.concat([batch[kept].reset_index(drop=True), result], axis=1)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema.fields) + ", " + RESULT
-    return ordered.mapInPandas(run, schema)
+        current = first = start = types = None
+        accepted = deque()
 
+        def ended():
+            own = dict(zip(names, current, strict=True))
+            figures = {"_first": first, "_start": start, "_end": list(accepted)}
+            columns = [pa.array([own.get(c)], t) for c, t in types] + [pa.array([figures.get(c)], t) for c, t in added]
+            return pa.RecordBatch.from_arrays(columns, [*kept, *(c for c, _ in added)])
 
-def decide_stream(requests: DataFrame, keys: list[str], limit: int, window: int, order: str) -> DataFrame:
-    """Exact decisions on a stream with an event-time watermark.
+        for batch in batches:
+            types = [(c, batch.schema.field(c).type) for c in kept]
+            keys = zip(*[batch.column(n).to_pylist() for n in names], strict=True)
+            places, decisions = [], []
+            for i, (key, now, own) in enumerate(zip(keys, batch.column("_s").to_pylist(), batch.column("_own").to_pylist(), strict=True)):
+                if key != current:
+                    if first is not None:
+                        yield ended()
+                    given = batch.column("_from")[i].as_py()
+                    current, first, accepted = key, None, deque(given or [])
+                if own < key[-1]:
+                    admit([now], accepted, limit, window)
+                    continue
+                if first is None:
+                    first, start = now, list(accepted)
+                decisions += admit([now], accepted, limit, window)
+                places.append(i)
+            figures = list(zip(*decisions, strict=True)) or [(), (), ()]
+            taken = batch.take(pa.array(places, pa.int64()))
+            columns = [taken.column(c) for c in kept] + [pa.array(v, t) for v, (_, t) in zip(figures, added)]
+            columns += [pa.nulls(len(places), t) for _, t in added[3:]]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *(c for c, _ in added)])
+        if first is not None:
+            yield ended()
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
+    return ordered.mapInArrow(run, f"{fields}, _slice bigint, {RESULT}, _first double, _start array<double>, _end array<double>")
+
+
+class Admission(StatefulProcessor):
+    """Decides the requests of a key in order of time, whatever the order and the micro-batches in which they come.
+
+    Rows wait in state, by time slice, until the watermark has passed their slice; a timer then decides the slice in order. Kept
+    are the waiting rows and the accepted times, which are dropped by a timer an hour after the last decision. In memory is one
+    slice of one key at a time.
+    """
 
-    State per key is at most ``limit`` accepted times. It is dropped when the watermark has
-    passed the last accepted time by an hour.
+    def __init__(self, limit: int, window: float, order: str, slice_ms: int):
+        self.limit, self.window, self.order, self.slice_ms = limit, window, order, slice_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "slice long", "part binary")
+        self.accepted = handle.getListState("accepted", "time double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for frame in rows:
+            slices = frame["ts"].astype("datetime64[us]").astype("int64") // (self.slice_ms * 1000)
+            for number, part in frame.groupby(slices):
+                place = (int(number),)
+                if self.waiting.containsKey(place):
+                    part = pd.concat([pickle.loads(self.waiting.getValue(place)[0]), part])
+                else:
+                    self.handle.registerTimer((int(number) + 1) * self.slice_ms)
+                self.waiting.updateValue(place, (pickle.dumps(part),))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        place = (now // self.slice_ms - 1,)
+        times = [row[0] for row in self.accepted.get()]
+        if now % self.slice_ms == 0 and self.waiting.containsKey(place):
+            rows = pickle.loads(self.waiting.getValue(place)[0])
+            self.waiting.removeKey(place)
+            rows = rows.sort_values(["ts", self.order], kind="stable").reset_index(drop=True)
+            accepted = deque(times)
+            seconds = rows["ts"].astype("datetime64[us]").astype("int64") / 1e6
+            result = pd.DataFrame(admit(seconds, accepted, self.limit, self.window), columns=["allowed", "remaining", "retry_after"])
+            self.accepted.put([(t,) for t in accepted])
+            self.handle.registerTimer(now + KEEP_SECONDS * 1000)
+            yield pd.concat([rows, result], axis=1)
+        elif times and times[-1] * 1000 <= now - KEEP_SECONDS * 1000:
+            self.accepted.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def decide_stream(requests: DataFrame, keys: list[str], limit: int, window: int, order: str, slice_seconds: float = 1) -> DataFrame:
+    """Exact decisions on a stream with an event-time watermark, equal to those of `decide` over the same rows.
+
+    A request is decided when the watermark has passed the end of its slice; rows that come later than the watermark are dropped
+    by Spark. Needs the RocksDB state store, which this sets for the session.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema.fields) + ", " + RESULT
-
-    def run(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        accepted = deque(state.get[0] if state.exists else [])
-        frames = list(batches)
-        if not frames:
-            return
-        rows = pd.concat(frames).sort_values(["ts", order], kind="stable").reset_index(drop=True)
-        times = rows["ts"].astype("datetime64[us]").astype("int64") / 1e6
-        result = pd.DataFrame(admit(times, accepted, limit, window), columns=["allowed", "remaining", "retry_after"])
-        state.update((list(accepted),))
-        newest = int((accepted[-1] + KEEP_SECONDS) * 1000) if accepted else 0
-        if newest > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(newest)
-        yield pd.concat([rows, result], axis=1)
-
-    return requests.groupBy(*keys).applyInPandasWithState(
-        run, schema, "accepted array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    spark = requests.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
+    return requests.groupBy(*keys).transformWithStateInPandas(
+        Admission(limit, window, order, int(slice_seconds * 1000)), f"{fields}, {RESULT}", "append", "eventTime")
