@@ -37,7 +37,7 @@ from vulnlake.llm.common import forget, small_batches, table, without, written
 
 GRAM = 32
 #: Bytes that are hashed at once, and bytes of a block.
-CHUNK, BLOCK = 1 << 20, 4 << 20
+CHUNK, BLOCK = 1 << 20, 2 << 20
 #: A byte that no UTF-8 text holds.
 BREAK = 0xFF
 
@@ -138,23 +138,32 @@ def _cutter(length: int, gram: int, chunk: int, narrow: bool):
     return rows
 
 
+def order_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """A stable argsort of keys of so many bits; plain sorts of packed numbers are several times faster where they fit."""
+    places = max(1, int(len(keys) - 1).bit_length())
+    if bits + places > 64:
+        return np.argsort(keys, kind="stable")
+    packed = (keys.astype(np.uint64) << np.uint64(places)) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    return (packed & np.uint64((1 << places) - 1)).astype(np.int64)
+
+
 def rotations(data: np.ndarray, depth: int) -> np.ndarray:
     """Places of an array of bytes, in the order of the (at least ``depth``) bytes that start there; the array is a ring."""
-    n = len(data)
-    place = np.arange(n)
+    n, known = len(data), 5
     words = np.zeros(n, np.uint64)
-    for i in range(8):
+    for i in range(known):
         words = (words << np.uint64(8)) | np.roll(data, -i).astype(np.uint64)
-    known = 8
+    bits, of_rank = 8 * known, max(1, int(n - 1).bit_length())
     while True:
-        order = np.argsort(words)
+        order = order_of(words, bits)
         ordered = words[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1]))).astype(np.uint64)
         if known >= depth:
             return order
-        words = (rank * n + rank[(place + known) % n]).astype(np.uint64)
-        known *= 2
+        words = (rank << np.uint64(of_rank)) | np.roll(rank, -known)
+        bits, known = 2 * of_rank, 2 * known
 
 
 def shared_prefixes(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -162,8 +171,8 @@ def shared_prefixes(data: np.ndarray, order: np.ndarray, length: int) -> np.ndar
 
     The values come in increasing order, from backward extension on the Burrows-Wheeler transform.
     """
-    n = len(order)
-    before = data[order - 1]
+    n, places = len(order), int(len(order)).bit_length()
+    before, letter = data[order - 1], data[order]
     step = np.empty(n, np.int64)  # the place in the order of the rotation one byte to the left
     step[np.argsort(before, kind="stable")] = np.arange(n)
     shared = np.full(n + 1, -1, np.int16)
@@ -174,11 +183,11 @@ def shared_prefixes(data: np.ndarray, order: np.ndarray, length: int) -> np.ndar
             break
         sizes = high - low
         within = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        to, owner = step[within], np.repeat(np.arange(len(low)), sizes)
-        by = np.argsort(to)
-        to, owner = to[by], owner[by]
+        packed = (step[within] << places) | np.repeat(np.arange(len(low)), sizes)
+        packed.sort()
+        to, owner = packed >> places, packed & ((1 << places) - 1)
         new = np.ones(len(to), bool)
-        new[1:] = (to[1:] != to[:-1] + 1) | (owner[1:] != owner[:-1]) | (data[order[to[1:]]] != data[order[to[:-1]]])
+        new[1:] = (to[1:] != to[:-1] + 1) | (owner[1:] != owner[:-1]) | (letter[to[1:]] != letter[to[:-1]])
         first = np.flatnonzero(new)
         low, high = to[first], to[np.append(first[1:], len(to)) - 1] + 1
         fresh = shared[high] < 0
@@ -199,16 +208,16 @@ def _covered(texts: list[bytes], owner: np.ndarray, low: np.ndarray, length: int
     left = (ends - 1)[piece] - np.arange(len(data))  # bytes to the end of the piece
     whole = left[order] >= length
     places, group = order[whole], group[whole]
-    start = places - (ends - sizes)[piece[places]] + low[piece[places]]
-    rank = owner[piece[places]]
-    by = np.lexsort((start, rank, group))
-    repeated = np.zeros(len(data) + 1, bool)
-    again = group[by][1:] == group[by][:-1]
-    # The same place may stand in two pieces; it is not earlier than itself.
-    lead = np.flatnonzero(np.append(True, ~again)) if len(by) else np.zeros(0, np.int64)
+    by = order_of(places, len(data).bit_length())  # pieces lie in the order of what is earlier, and so do their strings
+    by = by[order_of(group[by], len(data).bit_length())]
+    places, group = places[by], group[by]
+    where = low[piece[places]] + places - (ends - sizes)[piece[places]]
+    lead = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(by) else np.zeros(0, np.int64)
     head = np.repeat(lead, np.diff(np.append(lead, len(by))))
-    later = (rank[by] != rank[by][head]) | (start[by] != start[by][head])
-    repeated[places[by][later]] = True
+    # Of equal rows the same place may stand in two pieces; it is not earlier than itself.
+    later = (owner[piece[places]] != owner[piece[places[head]]]) | (where != where[head])
+    repeated = np.zeros(len(data) + 1, bool)
+    repeated[places[later]] = True
     edge = np.diff(np.concatenate(([False], repeated)).astype(np.int8))
     for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
         yield int(piece[a]), int(a - (ends - sizes)[piece[a]]), int(b - 1 - (ends - sizes)[piece[a]])
