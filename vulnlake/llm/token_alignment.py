@@ -12,12 +12,16 @@ they are at most ``broadcast_pairs`` (they cannot exceed the product of the two
 
 Texts that are null, empty, or not given back byte by byte by both tokenizers have no tokens: zeros and ''. Rows are worked on
 alone, whatever their ids: repeated rows count each, empty tables give none. The tokenizers are read by the driver and sent to
-the tasks. A task holds the tokens of one text, however long, and of about SLICE bytes of short ones.
+the tasks. Where neither tokenizer
+reaches over a space between words, a task encodes each word once. It holds the tokens of one text, however long, and of about SLICE
+characters of short ones.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,23 +68,67 @@ def piece_tokens(model: bytes) -> tuple[object, list[bytes]]:
                        else name.replace("▁", " ").encode() for i, name in enumerate(names)]
 
 
+#: A space between two characters that are no white space, where both tokenizers may cut (see `cuts_at_spaces`).
+CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Words of up to this many characters are encoded once and remembered, so many at a time.
+WORD, REMEMBERED = 64, 400_000
+
+
+def cuts_at_spaces(model: str, b_names: list[str]) -> bool:
+    """Whether tokens of neither side reach over the beginning of a space inside a text, so that words can be encoded alone.
+
+    A byte-level pattern starts a new stretch at a space between other characters. Pieces do not reach over it if none holds the
+    mark of a space after another character.
+    """
+    settings = json.loads(model)
+    splitter = settings.get("pre_tokenizer") or {}
+    plain = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not settings.get("normalizer")
+    return bool(plain) and not any("▁" in name.lstrip("▁") for name in b_names)
+
+
+class Encoder:
+    """Ids of texts by both tokenizers, as bytes of 32-bit numbers; None where the bytes of the text are not given back."""
+
+    def __init__(self, a_model: str, b_model: bytes):
+        self.a, self.a_bytes = byte_level_tokens(a_model)
+        self.b, self.b_bytes = piece_tokens(b_model)
+        self.by_word = cuts_at_spaces(a_model, [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())])
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def whole(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        out = []
+        first = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        for text, found, b in zip(texts, first, self.b.encode(texts, num_threads=1), strict=True):
+            a, want = found.ids, b" " + text.encode()
+            same = b"".join(map(self.a_bytes.__getitem__, a)) == want and b"".join(map(self.b_bytes.__getitem__, b)) == want
+            out.append((np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()) if same else None)
+        return out
+
+    def encoded(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        if not self.by_word:
+            return [found if text else None for text, found in zip(texts, self.whole(texts), strict=True)]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        words = [CUT.split(text) for text in texts]
+        fresh = list({w for part in words for w in part}.difference(self.known))
+        now = dict(zip(fresh, self.whole(fresh), strict=True)) if fresh else {}
+        self.known.update((w, found) for w, found in now.items() if len(w) <= WORD)
+        out = []
+        for text, part in zip(texts, words, strict=True):
+            pairs = [self.known[w] if w in self.known else now[w] for w in part] if text else [None]
+            out.append(None if None in pairs else (b"".join([a for a, _ in pairs]), b"".join([b for _, b in pairs])))
+        return out
+
+
 def _encoder(a_file, b_file):
     """Adds the ids of both tokenizers to rows whose last column is the text."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer, a_bytes = byte_level_tokens(a_file.value)
-        processor, b_bytes = piece_tokens(b_file.value)
-
-        def encoded(texts: list[str]):
-            first = [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-            for text, a, b in zip(texts, first, processor.encode(texts, num_threads=1), strict=True):
-                whole = b" " + text.encode()
-                same = text and b"".join(map(a_bytes.__getitem__, a)) == whole and b"".join(map(b_bytes.__getitem__, b)) == whole
-                yield (np.array(a, np.int32), np.array(b, np.int32)) if same else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+        encoder = Encoder(a_file.value, b_file.value)
 
-        def lists(arrays):
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)])))
+        def lists(parts: list[bytes]):
+            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in parts]))).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
@@ -88,9 +136,10 @@ def _encoder(a_file, b_file):
             for i, text in enumerate(texts):
                 size += len(text)
                 if size > SLICE or i == len(texts) - 1:
-                    done.extend(encoded(texts[begin:i + 1]))
+                    done.extend(encoder.encoded(texts[begin:i + 1]))
                     begin, size = i + 1, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists([a for a, _ in done]), lists([b for _, b in done])],
+            pairs = [d or (b"", b"") for d in done]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists([a for a, _ in pairs]), lists([b for _, b in pairs])],
                                              [*batch.schema.names[:-1], "a", "b"])
 
     return rows
@@ -137,23 +186,24 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _pair_counts(sizes):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_size, b_size = sizes.value
-        pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held, size = [], 0
 
         def packed():
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], ["pair", "n"])
+            pairs = np.concatenate([p for p, _ in held])
+            order = np.argsort(pairs, kind="stable")
+            pairs, counts = pairs[order], np.concatenate([n for _, n in held])[order]
+            first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+            return pa.RecordBatch.from_arrays([pa.array(pairs[first]), pa.array(np.add.reduceat(counts, first))], ["pair", "n"])
 
         for batch in batches:
             a, _, b, _, found = _aligned(batch, a_size, b_size)
-            fresh, n = np.unique(_pair(a[found.link_a], b[found.link_b]), return_counts=True)
-            keys = np.concatenate((pairs, fresh))
-            pairs, place = np.unique(keys, return_inverse=True)
-            total = np.zeros(len(pairs), np.int64)
-            np.add.at(total, place, np.concatenate((counts, n)))
-            counts = total
-            if len(pairs) > HELD_PAIRS:
+            held.append(np.unique(_pair(a[found.link_a], b[found.link_b]), return_counts=True))
+            size += len(held[-1][0])
+            if size > HELD_PAIRS:
                 yield packed()
-                pairs, counts = pairs[:0], counts[:0]
-        yield packed()
+                held, size = [], 0
+        if size:
+            yield packed()
 
     return rows
 
