@@ -62,13 +62,15 @@ def test_counts_reduce_before_the_shuffle(spark, folder):
     assert "partial_count" in shown and shown.count("Exchange") == 1
 
 
-def test_near_line_merge_shuffles_twice(spark, folder):
+def test_near_line_merge_is_spread_by_anchor(spark, folder):
+    """Lines and their pieces are shuffled before the written table; only anchors are afterwards, never files."""
     f = spark.read.parquet(folder).select(
         F.col("file_path").alias("file_id"), F.lit(0).alias("tool_no"), F.col("file_id").alias("position"), F.col("total").cast("int").alias("line"),
         F.col("type").alias("vulnerability_type"), "severity", F.lit(0.5).alias("confidence"), F.array(F.lit("semgrep")).alias("sources"),
         F.lit("").alias("code_snippet"), F.lit("").alias("explanation"), F.lit("r").alias("semgrep_rule"), F.lit(None).cast("string").alias("bandit_test"),
         F.lit(None).cast("double").alias("ml_probability"), F.lit("").alias("cwe_id"), F.lit("").alias("owasp_category"))
-    assert plan(findings.merge_near_lines(f)).count("Exchange hashpartitioning") == 2
+    shown = plan(findings.merge_near_lines(f))
+    assert shown.count("Exchange hashpartitioning(file_id") == 1 and "Exchange hashpartitioning(file_id" in shown and ", anchor#" in shown
 
 
 def test_broadcast_needs_a_bound(spark, folder):

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.functions import severity as sev
 from vulnlake.functions.text import capitalize_words, line_excerpt, title_of_rule_id
 from vulnlake.operators.filters import is_plain_import
 from vulnlake.operators.lookups import owasp_of_rule_id, owasp_of_test, owasp_of_type
+from vulnlake.operators.near_lines import with_anchors
 
 AI_TYPE = "AI-Detected Vulnerability"
 TOOL_ORDER = {"semgrep": 0, "bandit": 1, "ml": 2}
@@ -61,29 +62,12 @@ def _unified(frame: DataFrame, tool: str, *, line, kind, severity, confidence, s
         opt(owasp).alias("owasp_category"))
 
 
-NEAR = 2  # fixed value: lines at this distance or nearer are one issue
-
-
-def _anchors(lines: Column, kind: str) -> Column:
-    """For lines in arrival order, the anchor of each: the earliest within two lines, else itself."""
-    def step(acc, item):
-        near = F.get(F.filter(acc["anchors"], lambda a: F.abs(a - item["line"]) <= NEAR), 0)
-        return F.struct(
-            F.when(near.isNull(), F.array_append(acc["anchors"], item["line"])).otherwise(acc["anchors"]).alias("anchors"),
-            F.array_append(acc["out"], F.coalesce(near, item["line"])).alias("out"))
-
-    none = F.array().cast(f"array<{kind}>")
-    return F.aggregate(lines, F.struct(none.alias("anchors"), none.alias("out")), step, lambda acc: acc["out"])
-
-
 def merge_near_lines(findings: DataFrame) -> DataFrame:
     """Near findings as one: sources joined, highest severity and confidence, last details.
 
     In arrival order a finding joins the earliest anchor within two lines, else it becomes an
     anchor itself; anchors do not move. All findings of a line go to the same anchor, so they
-    are aggregated per line first. Lines more than two apart from their neighbours cannot
-    affect each other, so each run of near lines is folded on its own, and a run is never
-    longer than its file. After the first shuffle everything is partitioned by file.
+    are aggregated per line first; `near_lines` then finds the anchors, in pieces of a file.
     """
     arrival = F.struct("tool_no", "position")
     keep = ["vulnerability_type", "code_snippet", "explanation", "cwe_id", "owasp_category"]
@@ -93,17 +77,11 @@ def merge_near_lines(findings: DataFrame) -> DataFrame:
         F.min(sev.severity_rank(F.col("severity"))).alias("rank"), F.max("confidence").alias("confidence"),
         F.collect_set(F.element_at("sources", 1)).alias("sources"),
         *[F.max(F.when(F.col(d).isNotNull(), F.struct(arrival.alias("at"), F.col(d).alias("value")))).alias(d) for d in details])
-    ahead = Window.partitionBy("file_id").orderBy("line")
-    fresh = F.coalesce((F.col("line") - F.lag("line").over(ahead) > NEAR).cast("int"), F.lit(0))
-    runs = per_line.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(ahead))
-    folded = runs.groupBy("file_id", "_run").agg(F.array_sort(F.collect_list(
-        F.struct("first", "line", "rank", "confidence", "sources", *details))).alias("_lines"))
-    kind = findings.schema["line"].dataType.simpleString()
-    placed = F.zip_with("_lines", _anchors(F.col("_lines"), kind), lambda item, anchor: F.struct(item.alias("l"), anchor.alias("anchor")))
-    merged = folded.select("file_id", F.inline(placed)).groupBy("file_id", "anchor").agg(
-        F.min("l.first").alias("first"), F.min("l.rank").alias("rank"), F.max("l.confidence").alias("confidence"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("l.sources")))).alias("sources"),
-        *[F.max(f"l.{d}").alias(d) for d in details])
+    placed = with_anchors(per_line, F.struct("first.tool_no", "first.position"))
+    merged = placed.groupBy("file_id", "anchor").agg(
+        F.min("first").alias("first"), F.min("rank").alias("rank"), F.max("confidence").alias("confidence"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
+        *[F.max(d).alias(d) for d in details])
     return merged.select(
         "file_id", "first.line", *[f"first.{c}" for c in keep], sev.severity_of_rank(F.col("rank")).alias("severity"),
         "confidence", "sources", *[F.col(f"{d}.value").alias(d) for d in details], "first.tool_no", "first.position")

@@ -169,12 +169,37 @@ def _tool_findings(spark, sf):
         F.col("cwe").alias("cwe_id"), lookups.owasp_of_type(F.col("type")).alias("owasp_category"))
 
 
-@query("w5_near_line_merge")
+# The serial fold: lines of a file one after the other in order of arrival, with the anchors so far as state.
+NEAR_LINES_SQL = f"""WITH RECURSIVE {t.FINDINGS},
+unified AS (SELECT *, file AS file_id, CASE WHEN position % 5 = 0 THEN 1 WHEN position % 7 = 0 THEN 2 ELSE 0 END AS tool_no,
+  CASE WHEN severity IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO') THEN severity ELSE 'MEDIUM' END AS unified_severity, {SQL_TYPE_OWASP} AS owasp_category FROM findings),
+ordered AS (SELECT file_id, line, row_number() OVER (PARTITION BY file_id ORDER BY arrival, line) AS n
+  FROM (SELECT file_id, line, min((tool_no, position)) AS arrival FROM unified GROUP BY file_id, line)),
+fold AS (SELECT file_id, line, n, [line] AS anchors, line AS anchor FROM ordered WHERE n = 1
+  UNION ALL SELECT file_id, line, n, CASE WHEN near IS NULL THEN list_append(anchors, line) ELSE anchors END, coalesce(near, line)
+  FROM (SELECT o.file_id, o.line, o.n, f.anchors, list_filter(f.anchors, lambda a: abs(a - o.line) <= 2)[1] AS near
+    FROM fold f JOIN ordered o ON o.file_id = f.file_id AND o.n = f.n + 1)),
+merged AS (SELECT u.file_id, min((tool_no, position)) AS arrival,
+  arg_min(u.line, (tool_no, position)) AS line, arg_min(type, (tool_no, position)) AS vulnerability_type, '' AS code_snippet,
+  arg_min((message, 1), (tool_no, position))[1] AS explanation, arg_min((cwe, 1), (tool_no, position))[1] AS cwe_id,
+  arg_min((owasp_category, 1), (tool_no, position))[1] AS owasp_category, min(list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO'], unified_severity)) AS rank,
+  max(CAST(confidence AS DOUBLE)) AS confidence, list_sort(list_distinct(list(CASE tool_no WHEN 0 THEN 'semgrep' WHEN 1 THEN 'bandit' ELSE 'ml' END))) AS sources,
+  arg_max(rule_id, (tool_no, position)) FILTER (tool_no = 0) AS semgrep_rule, arg_max(test_id, (tool_no, position)) FILTER (tool_no = 1) AS bandit_test,
+  arg_max(CAST(confidence AS DOUBLE), (tool_no, position)) FILTER (tool_no = 2) AS ml_probability
+  FROM unified u JOIN fold f ON u.file_id = f.file_id AND u.line = f.line GROUP BY u.file_id, f.anchor)
+SELECT file_id, line, vulnerability_type, code_snippet, explanation, cwe_id, owasp_category, ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO'][rank] AS severity,
+  confidence, sources, semgrep_rule, bandit_test, ml_probability, arrival[1] AS tool_no, arrival[2] AS position FROM merged"""
+
+
+@query("w5_near_line_merge", NEAR_LINES_SQL)
 def near_line_merge(spark, sf):
     return fnd.merge_near_lines(_tool_findings(spark, sf))
 
 
-@query("m5_combined_tools")
+@query("m5_combined_tools", f"""SELECT * EXCLUDE (several) REPLACE (CASE WHEN len(sources) > 1 AND list_contains(sources, 'ml') THEN least(several + 0.05, 1.0) ELSE several END AS confidence,
+  CASE WHEN len(sources) >= 3 THEN list_append(sources, 'hybrid') ELSE sources END AS sources)
+  FROM (SELECT *, CASE WHEN len(sources) = 2 THEN least(confidence + 0.10, 1.0) WHEN len(sources) >= 3 THEN least(confidence + 0.15, 1.0) ELSE confidence END AS several
+    FROM ({NEAR_LINES_SQL}))""")
 def combined_tools(spark, sf):
     return fnd.combine_tools(_tool_findings(spark, sf))
 
