@@ -1,5 +1,6 @@
 """Rules against Python's own regex engine, and the scan's special cases."""
 
+import random
 import re
 
 import pytest
@@ -175,6 +176,37 @@ def test_rule_table_scan(spark):
         assert sorted(map(tuple, got)) == [(1, "python", "code_injection_via_eval()"), (2, "javascript", "code_injection_via_eval()")]
 
 
+def test_rule_table_scan_equals_every_pattern_on_every_line(spark):
+    """Random rules: several needles, short and missing ones, negatives, two languages; and lines of all lengths."""
+    rng = random.Random(6)
+    words = ["eval", "exec", "load", "ab", "x==y", "é(", "password", "open", "a.b"]
+    rules = []
+    for i in range(60):
+        own = rng.sample(words, rng.randint(1, 3))
+        pattern = "|".join(re.escape(w) for w in own) + ("" if i % 5 else r"|\d\d")
+        rules.append((f"r{i}", pattern, "HIGH", None, rng.choice([["python"], ["python", "java"]]), [re.escape(rng.choice(words))] if i % 4 == 0 else None,
+                      [] if i % 5 == 0 else own))
+    lines = [(i, rng.choice(["python", "java", "go"]), rng.choice(["", " ", "\t"]).join(rng.choice([*words, "Zz", "12", "EVAL"]) for _ in range(rng.choice([0, 1, 3, 8]))))
+             for i in range(300)]
+    lines.append((999, "python", "y" * 50000 + "pass" + "word" + "z" * 50000))
+    table = spark.createDataFrame(rules, "rule_id string, pattern string, severity string, cwe_id string, languages array<string>, negative array<string>, needles array<string>")
+    frame = spark.createDataFrame(lines, "id int, language string, line string").repartition(3)
+    want = {(i, r[0]) for i, language, line in lines for r in rules if language in r[4] and re.search(r[1], line, re.I)
+            and not any(re.search(n, line, re.I) for n in r[5] or [])}
+    got = [(r.id, r.rule_id) for r in scan.scan_with_rule_table(frame, table).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+    assert (999, next(r[0] for r in rules if "password" in r[6] and not r[5])) in want
+    assert scan.scan_with_rule_table(frame, table.limit(0)).collect() == []
+
+
+def test_lines_are_not_shuffled_by_a_rule_table(spark):
+    table = rules_frame(spark, CODE_RULES).select("rule_id", "pattern", "severity", "cwe_id", "languages", "negative", "needles")
+    lines = spark.range(1000).select("id", F.lit("python").alias("language"), F.lit("eval(x)").alias("line"))
+    plan = scan.scan_with_rule_table(lines, table)._jdf.queryExecution().executedPlan().toString()
+    main = plan.split("BroadcastHashJoin")[0] + plan.split("Range (")[0]
+    assert "Exchange hashpartitioning(id" not in plan and "BroadcastHashJoin" in main
+
+
 def test_infra_scan_and_absence(spark):
     files = spark.createDataFrame([
         (1, "Dockerfile", "FROM a:latest\nRUN ls"), (2, "compose.yml", "pid: host"), (3, "x.yaml", "kind: Pod\nhostPID: true"),

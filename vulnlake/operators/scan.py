@@ -197,26 +197,65 @@ def best_per_line(findings: DataFrame, keys: list[str], line: str = "start_line"
     return findings.groupBy(*keys, line).agg(best.alias("_b")).select(*keys, line, "_b.*")
 
 
+GRAM = 3
+#: The gram that every line holds besides its own.
+EVERY_LINE = 0
+#: Rows of a rule table that are sent to all tasks; larger ones are joined by shuffle.
+BROADCAST_GRAMS = 200_000
+
+
+def _gram(text: Column, at: Column) -> Column:
+    """A number for the bytes of a gram; bytes are cut out in one step, however long the text."""
+    return F.xxhash64(F.substring(text.cast("binary"), at, F.lit(GRAM)))
+
+
+def _grams(text: Column) -> Column:
+    """Numbers of all grams of a text; none if it is shorter than one."""
+    last = F.octet_length(text) - (GRAM - 1)
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: _gram(text, i))).otherwise(
+        F.array().cast("array<bigint>"))
+
+
+def _indexed(rules: DataFrame) -> DataFrame:
+    """(language, gram, nth, rule): for every needle of a rule one of its grams, the rarest in the table."""
+    rows = rules.select("language", "rule", F.posexplode("rule.needles").alias("nth", "needle")).select(
+        "*", F.explode(F.array_distinct(_grams(F.col("needle")))).alias("gram"))
+    uses = rows.groupBy("gram").agg(F.count("*").alias("uses"))
+    rarest = F.min_by("gram", F.struct("uses", "gram"))
+    return rows.join(uses, "gram").groupBy("language", "rule", "nth").agg(rarest.alias("gram"))
+
+
 def scan_with_rule_table(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """Scan with rules given as a table (rule_id, pattern, severity, cwe_id, languages, negative).
+    """Scan with rules given as a table (rule_id, pattern, severity, cwe_id, languages, negative, needles); one row per rule that fires.
 
-    ``lines`` needs ``language`` and ``line``. The join is an equi-join on language, so a
-    line meets only its own rules; Spark broadcasts the rule side if its size allows it. A
-    pattern that changes from row to row is compiled anew each time, so a ``needles`` column
-    (texts of which a match holds one, in lower case) is used to skip most pairs.
+    ``lines`` needs ``language`` and ``line``; ``needles`` are texts, in lower case, of which a match of the pattern holds
+    one. Every needle stands in an index under one gram, and a line looks up each of its grams once: it meets only
+    rules of its language whose gram it holds, however many rules there are. Rules without needles, or with one shorter than a
+    gram, meet all lines of their languages. What is left is sorted by rule within its task, as Spark compiles the
+    pattern of `regexp_instr` anew only when it changes. The sort is the only step besides the lookup; lines are not shuffled.
     """
-    exploded = rules.select("*", F.explode("languages").alias("language")).drop("languages")
-    line = F.col("line")
-    test = F.regexp_like(line, F.concat(F.lit("(?d)(?i)"), F.col("pattern")))
-    test = test & ~F.exists(F.coalesce(F.col("negative"), F.array().cast("array<string>")),
-                            lambda p: F.regexp_like(line, F.concat(F.lit("(?d)(?i)"), p)))
-    own = [c for c in lines.columns]
-    if "needles" in rules.columns:
-        lines = computed_once(lines, _low=F.lower("line"))
-        needles = F.col("needles")
-        test = ((F.size(needles) == 0) | F.exists(needles, lambda n: F.col("_low").contains(n))) & test
-    out = lines.join(exploded, "language").filter(test)
-    return out.select(*own, *[c for c in exploded.columns if c not in ("language", "pattern", "negative", "needles")])
+    have = set(rules.columns)
+    none = F.array().cast("array<string>")
+    lists = {name: F.coalesce(F.col(name), none) if name in have else none for name in ("needles", "negative")}
+    given = [c for c in rules.columns if c not in ("languages", *lists)]
+    table = rules.select(F.explode("languages").alias("language"), F.struct(*given, *[v.alias(k) for k, v in lists.items()]).alias("rule")).distinct()
+    short = (F.size("rule.needles") == 0) | F.exists("rule.needles", lambda n: F.octet_length(n) < GRAM)
+    always = table.filter(short).select("language", "rule", F.lit(None).cast("int").alias("nth"), F.lit(EVERY_LINE).alias("gram"))
+    index = _indexed(table.filter(~short)).unionByName(always)
+    if index.count() <= BROADCAST_GRAMS:
+        index = F.broadcast(index)
+    low = computed_once(lines, _low=F.lower("line"))
+    grams = F.concat(F.array_distinct(_grams(F.col("_low"))), F.array(F.lit(EVERY_LINE)))
+    met = low.select("*", F.explode(grams).alias("gram")).join(index, ["language", "gram"])
+    holds = lambda needle: F.col("_low").contains(needle)
+    # A rule of several needles is met by the first one that the line holds.
+    by_gram = holds(F.get("rule.needles", F.col("nth"))) & ~F.exists(F.slice("rule.needles", 1, F.col("nth")), holds)
+    met = met.filter(F.when(F.col("nth").isNotNull(), by_gram).otherwise((F.size("rule.needles") == 0) | F.exists("rule.needles", holds)))
+    fires = lambda pattern: F.concat(F.lit("(?d)(?i)"), pattern)
+    ordered = met.select(*lines.columns, "rule").sortWithinPartitions(F.xxhash64("rule.pattern"))
+    hits = ordered.filter(F.regexp_instr("line", fires(F.col("rule.pattern"))) > 0)
+    hits = hits.filter(~F.exists("rule.negative", lambda p: F.regexp_like("line", fires(p))))
+    return hits.select(*lines.columns, *[F.col(f"rule.{c}") for c in given if c != "pattern"])
 
 
 # ------------------------------------------------------- infrastructure scans

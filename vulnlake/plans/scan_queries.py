@@ -143,16 +143,14 @@ def credentials_by_source(spark, sf):
     return sources.join(counted, "source", "left").select("source", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
 
 
-R9_RULES = [r for r in PORTABLE if r.number in (7, 17, 30, 37, 41, 50, 67, 71, 73, 82, 87)]
-
-
 @query("r9_rules_from_table", with_tables(t.CODE_FILES, body=f"""
-SELECT file_id, line_no, r.rule_id, r.severity, r.cwe_id FROM (SELECT * FROM {sql_lines('code_files', 'file_id, language')}) l,
-  (VALUES {", ".join(f"({q(r.rule_id)}, {q(r.severity)}, {q(r.cwe_id)}, {r.number}, {sql_list(r.languages)})" for r in R9_RULES)}) r(rule_id, severity, cwe_id, number, languages)
-WHERE list_contains(r.languages, l.language) AND (CASE r.number {" ".join(f"WHEN {r.number} THEN {sql_fires(r)}" for r in R9_RULES)} END)"""))
+SELECT file_id, line_no, r.rule_id, r.severity, r.cwe_id FROM (SELECT file_id, line_no, unnest(list_filter([{", ".join(
+    f"CASE WHEN {sql_lang(r)} AND {sql_fires(r)} THEN {r.number} END" for r in PORTABLE)}], lambda x: x IS NOT NULL)) AS number
+  FROM {sql_lines('code_files', 'file_id, language')}) m JOIN {sql_rule_attrs(PORTABLE, 'rule_id', 'severity', 'cwe_id')} ON m.number = r.number"""))
 def rules_from_table(spark, sf):
+    """All rules as a table; unlike the code scan it keeps comments and safe lines, and every rule that fires."""
     lines = explode_lines(t.code_files(spark, sf).select("file_id", "language", "text"))
-    table = rules_frame(spark, R9_RULES).select("rule_id", "pattern", "severity", "cwe_id", "languages", "negative", "needles")
+    table = rules_frame(spark, PORTABLE).select("rule_id", "pattern", "severity", "cwe_id", "languages", "negative", "needles")
     return scan.scan_with_rule_table(lines, table).select("file_id", "line_no", "rule_id", "severity", "cwe_id")
 
 
