@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from vulnlake.operators import corpus, history
-from vulnlake.sources import corpora, files, sinks, tool_reports
+from vulnlake.sources import corpora, documents, files, sinks, tool_reports
 
 GOOD = "def f(x):\n    return x + 1\nprint(f(2))"
 
@@ -127,25 +127,61 @@ def test_documents(spark, tmp_path):
     f = spark.createDataFrame([("s", 1, "SQL Injection", "HIGH", "CWE-89", None, "m", None, "a.py", 3, 1, 0.5), ("s", 2, "SQL Injection", None, "", None, None, "fix it", None, None, None, None),
                                ("s", 3, "XSS", "INFO", None, "o", "n", None, "b.py", 9, 2, 0.25)],
                               "scan_id string, position int, type string, severity string, cwe string, owasp string, message string, suggestion string, file string, line int, column int, confidence double")
-    doc = json.loads(sinks.sarif_documents(f, "scan_id", "position").collect()[0].document)
+    doc = written_documents(sinks.sarif_lines(f, "scan_id", "position"), tmp_path / "sarif")["s"]
     run = doc["runs"][0]
     assert doc["version"] == "2.1.0" and [r["id"] for r in run["tool"]["driver"]["rules"]] == ["sql_injection", "xss"]
     assert run["tool"]["driver"]["rules"][0]["properties"] == {"tags": ["CWE-89", "A03:2021 - Injection"], "security-severity": "7.0"}
     assert [r["level"] for r in run["results"]] == ["error", "warning", "note"]
     assert run["results"][1]["fixes"][0]["description"]["text"] == "fix it" and "fixes" not in run["results"][0]
     assert run["results"][1]["locations"][0]["physicalLocation"] == {"artifactLocation": {"uri": "unknown"}, "region": {"startLine": 1, "startColumn": 1}}
-    summary = json.loads(sinks.compliance_documents(f, "scan_id").collect()[0].document)["summary"]
-    assert summary["total_findings"] == 3 and summary["high_count"] == 1
+    export = written_documents(sinks.compliance_lines(f, "scan_id", "position", generated="now"), tmp_path / "compliance")["s"]
+    assert list(export) == ["report_metadata", "summary", "findings", "compliance_report", "recommendations"]
+    assert export["report_metadata"]["scan_id"] == "s" and export["summary"]["total_findings"] == 3
+    assert export["summary"]["frameworks_checked"] == ["OWASP_ASVS", "PCI_DSS"] and 0 < export["summary"]["compliance_score"] < 100
+    assert [x["position"] for x in export["findings"]] == [1, 2, 3] and export["findings"][1]["suggestion"] == "fix it"
+    report = export["compliance_report"]
+    assert [r.split(":")[0] for r in report["findings_by_requirement"]] == ["OWASP_ASVS", "PCI_DSS", "OWASP_ASVS"]
+    assert [len(x) for x in report["findings_by_requirement"].values()] == [2, 3, 1]
+    assert [x["type"] for x in list(report["findings_by_requirement"].values())[1]] == ["SQL Injection", "SQL Injection", "XSS"]
+    assert report["gaps"] == [] and report["recommendations"] == export["recommendations"] and len(export["recommendations"]) == 2
     sinks.write_findings_csv(f, str(tmp_path / "csv"))
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert back.columns == ["Line", "Type", "Severity", "CWE", "OWASP", "Message", "ASVS Requirement", "PCI-DSS Requirement"]
     assert back.filter("Type = 'XSS'").first()["ASVS Requirement"] == "5.3.3"
     parts = spark.createDataFrame([("p", "b", "1", "MIT"), ("p", "a", "2", "")], "project string, name string, version string, license string")
     from vulnlake.operators.dependencies import components
-    bill = json.loads(sinks.sbom_documents(components(parts), "project", "now").collect()[0].document)
+    bill = written_documents(sinks.sbom_lines(components(parts), "project", "now"), tmp_path / "bills")["p"]
     assert bill["bomFormat"] == "CycloneDX" and [(c["purl"], c["licenses"]) for c in bill["components"]] == [("pkg:pypi/a@2", []), ("pkg:pypi/b@1", ["MIT"])]
 
 
+def written_documents(lines, path):
+    """Documents by key, written and parsed whole."""
+    sizes = {r.key: r.bytes for r in documents.write_documents(lines, str(path)).collect()}
+    found = {}
+    for key, size in sizes.items():
+        text = (path / documents.file_name(key)).read_text()
+        assert len(text.encode()) == size
+        found[key] = json.loads(text)
+    return found
+
+
+def test_large_documents_are_written_by_many_tasks(spark, tmp_path):
+    """One key holds nearly all rows, others few; odd keys name files too."""
+    rows = spark.range(5000).select(
+        F.when(F.col("id") % 50 > 0, "hot").otherwise(F.element_at(F.array(F.lit("a/b"), F.lit("é %"), F.lit("c")), (F.col("id") % 3 + 1).cast("int"))).alias("k"),
+        "id", F.concat(F.lit('line\n"'), F.col("id")).alias("message"))
+    item = F.to_json(F.struct("id", "message"))
+    table = documents.frame_lines(rows.select("k").distinct(), "k", {0: '{"items":[', 2: "]}"}).unionByName(
+        documents.lines(rows, "k", 1, item, F.col("id")))
+    found = written_documents(table, tmp_path / "docs")
+    assert {k: len(v["items"]) for k, v in found.items()} == {r.k: r["count"] for r in rows.groupBy("k").count().collect()}
+    assert [x["id"] for x in found["hot"]["items"]] == [i for i in range(5000) if i % 50] and found["c"]["items"][0]["message"].startswith('line\n"')
+    parts = spark.read.schema(documents.PART).json(str(tmp_path / "docs" / "_listed"))
+    assert parts.filter("key = 'hot'").count() > 1
+    back = documents.read_lines(spark, str(tmp_path / "docs"))
+    assert back.filter("text LIKE '{\"id\"%'").count() == 5000 and {r.key for r in back.select("key").distinct().collect()} == set(found)
+
+
 def test_split_output(spark, tmp_path):
     frame = spark.range(40).select(F.col("id").cast("string").alias("fingerprint"), (F.col("id") % 2).cast("int").alias("label"))
     sinks.write_splits(corpus.split_by_hash(frame), str(tmp_path / "out"))

@@ -14,14 +14,13 @@ down the same levels, and every piece finds its anchors alone. No task holds mor
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.session import ensure_checkpoint_dir
+from vulnlake.operators.scale import kept
 
 NEAR = 2  # fixed value: lines at this distance or nearer are one issue
 SIZE, GROUP = 4096, 1024
@@ -175,12 +174,6 @@ def _anchors_of(size: int):
     return found
 
 
-def _kept(frame: DataFrame, label: str) -> DataFrame:
-    folder = f"{ensure_checkpoint_dir(frame.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(folder)
-    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
-
-
 def with_anchors(lines: DataFrame, order: Column, size: int = SIZE, group: int = GROUP) -> DataFrame:
     """Adds ``anchor`` to lines (file_id, line, ..), of which each file holds a number once; ``order`` tells which comes first.
 
@@ -195,7 +188,7 @@ def with_anchors(lines: DataFrame, order: Column, size: int = SIZE, group: int =
     mine = F.col("_own") == F.col("_piece")
     folded = rows.groupBy("file_id", "_piece").agg(F.sort_array(F.collect_list(F.struct(
         "_at", "_line", F.when(mine, F.struct(*columns)).alias("row")))).alias("_rows"), F.max(~mine).alias("_crossing"))
-    folded = _kept(folded.withColumn("_lines", F.transform("_rows", lambda r: r["_line"])).withColumn(
+    folded = kept(folded.withColumn("_lines", F.transform("_rows", lambda r: r["_line"])).withColumn(
         "_rows", F.transform("_rows", lambda r: r["row"])), "near-lines")
     bits = _bits_of_pieces(folded.filter("_crossing").select("file_id", "_piece", "_lines"), size, group)
     if bits is None:
@@ -213,14 +206,14 @@ def with_anchors(lines: DataFrame, order: Column, size: int = SIZE, group: int =
 
 def _bits_of_pieces(crossing: DataFrame, size: int, group: int) -> DataFrame | None:
     """(file_id, piece, before, after) of pieces with lines of their neighbours; None if there are none."""
-    level = _kept(crossing.select("file_id", F.col("_piece").alias("piece"), _function_of(size)("_lines", "_piece").alias("function")), "functions")
+    level = kept(crossing.select("file_id", F.col("_piece").alias("piece"), _function_of(size)("_lines", "_piece").alias("function")), "functions")
     if level.isEmpty():
         return None
     levels = []
     while True:
         both = F.sort_array(F.collect_list(F.struct("piece", "function")))
         grouped = level.groupBy("file_id", F.floor(F.col("piece") / group).alias("number")).agg(both.alias("both"))
-        grouped = _kept(grouped.select("file_id", "number", F.col("both.piece").alias("pieces"), F.col("both.function").alias("functions")), "groups")
+        grouped = kept(grouped.select("file_id", "number", F.col("both.piece").alias("pieces"), F.col("both.function").alias("functions")), "groups")
         levels.append(grouped)
         if grouped.groupBy("file_id").count().filter("count > 1").isEmpty():
             break

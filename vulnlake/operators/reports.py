@@ -113,6 +113,26 @@ def requirement_violations(findings: DataFrame, keys: list[str], frameworks=("OW
             .groupBy(*keys, "requirement").agg(F.count("*").alias("findings")))
 
 
+def with_requirements(findings: DataFrame, frameworks=("OWASP_ASVS", "PCI_DSS")) -> DataFrame:
+    """A row for each requirement a finding maps to: ``requirement`` as framework:id, ``framework_no``, and ``compliance`` with its details."""
+    def entry(number, name, title, requirement, section, description, level=None):
+        return F.when(F.col(requirement).isNotNull(), F.struct(
+            F.lit(number).alias("framework_no"), F.concat(F.lit(f"{name}:"), F.col(requirement)).alias("requirement"),
+            F.struct(F.lit(title).alias("framework"), F.col(requirement).alias("requirement_id"), F.col(section).alias("section"), description.alias("description"),
+                     (F.lit(None) if level is None else F.col(level)).cast("string").alias("level")).alias("compliance")))
+
+    known = {
+        "OWASP_ASVS": (with_asvs, lambda i: entry(i, "OWASP_ASVS", "OWASP ASVS 4.0", "asvs_requirement", "asvs_section", F.col("asvs_description"), "asvs_level")),
+        "PCI_DSS": (with_pci, lambda i: entry(i, "PCI_DSS", "PCI-DSS 4.0", "pci_requirement", "pci_category", F.col("pci_description"))),
+        "OWASP_TOP_10": (with_owasp_2021, lambda i: entry(i, "OWASP_TOP_10", "OWASP Top 10 2021", "owasp_id", "owasp_2021",
+                                                          F.concat(F.lit("Maps to "), F.col("owasp_2021"))))}
+    frame = findings
+    for name in frameworks:
+        frame = known[name][0](frame)
+    entries = F.array_compact(F.array(*[known[name][1](i) for i, name in enumerate(frameworks)]))
+    return frame.select(*findings.columns, F.inline(entries))
+
+
 def framework_compliance(findings: DataFrame, keys: list[str], frameworks=("OWASP_ASVS", "PCI_DSS")) -> DataFrame:
     """Share of the frameworks' listed types without a violated requirement, in percent.
 

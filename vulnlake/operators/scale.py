@@ -20,13 +20,17 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
 
-def _ranged(frame: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+def kept(frame: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared checkpoint folder: computed once, and still there if executors are lost."""
     spark = frame.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/ranged-{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = frame.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id())
-    ranged.write.parquet(folder)
-    return spark.read.schema(ranged.schema).parquet(folder)
+    folder = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    frame.write.parquet(folder)
+    return spark.read.schema(frame.schema).parquet(folder)
+
+
+def _ranged(frame: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return kept(frame.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()), "ranged")
 
 
 def running_sums(frame: DataFrame, order: list[Column], sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vulnlake.functions import code as code_fn
 from vulnlake.operators import corpus, evaluation, graph, lookups, models, votes
-from vulnlake.operators.scale import number_rows
+from vulnlake.operators.scale import kept, number_rows
 from vulnlake.plans import tables as t
 from vulnlake.plans.registry import query
 from vulnlake.plans.report_queries import SQL_GROUPS
@@ -505,19 +505,24 @@ def next_line_edges(spark, sf):
 # ------------------------------------------------------------------------ models
 
 
+def _model_samples(spark, sf, label):
+    """(training rows, held-out rows): every fifth file is held out; features are computed once."""
+    files = t.code_files(spark, sf).select("file_id", F.col("text").alias("code"), label.cast("int").alias("label"))
+    samples = kept(models.with_features(files).drop("code"), "features")
+    held_out = F.col("file_id") % 5 == 0
+    return samples.filter(~held_out), samples.filter(held_out)
+
+
 @query("m1_m2_network_scores")
 def network_scores(spark, sf):
-    files = t.code_files(spark, sf).select("file_id", F.col("text").alias("code"), (F.col("text").contains("eval(") | F.col("text").contains("pickle")).cast("int").alias("label"))
-    samples = models.with_features(files)
-    scored = models.score(models.train_network(samples, max_iter=15), samples)
-    return evaluation.binary_metrics(scored)
+    train, held_out = _model_samples(spark, sf, F.col("text").contains("eval(") | F.col("text").contains("pickle"))
+    return evaluation.binary_metrics(models.score(models.train_network(train), held_out))
 
 
 @query("m1_weighted_model_scores")
 def weighted_scores(spark, sf):
-    files = t.code_files(spark, sf).select("file_id", F.col("text").alias("code"), F.col("text").contains("eval(").cast("int").alias("label"))
-    samples = models.with_features(corpus.with_class_weight(files))
-    return evaluation.binary_metrics(models.score(models.train_weighted(samples, 10), samples.drop("weight")))
+    train, held_out = _model_samples(spark, sf, F.col("text").contains("eval("))
+    return evaluation.binary_metrics(models.score(models.train_weighted(corpus.with_class_weight(train)), held_out))
 
 
 @query("row_numbers_over_order", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS n FROM lineitem")

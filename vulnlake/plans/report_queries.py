@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vulnlake import dimensions as dim
@@ -16,7 +18,8 @@ from vulnlake.plans import tables as t
 from vulnlake.plans.registry import query
 from vulnlake.plans.scan_queries import PORTABLE, W1_SQL
 from vulnlake.plans.tables import q, read, sql_list, with_tables
-from vulnlake.sources import sinks, tool_reports
+from vulnlake.session import ensure_checkpoint_dir
+from vulnlake.sources import documents, sinks, tool_reports
 from vulnlake.streaming import admission
 
 
@@ -409,10 +412,29 @@ def sarif_results(spark, sf):
     return reports.sarif_results(t.findings(spark, sf), ["scan_id"], "position")
 
 
-@query("s14_sarif_documents")
+def _read_back(spark, table):
+    """(key, text) of the lines of documents that are written and read again."""
+    folder = f"{ensure_checkpoint_dir(spark)}/documents-{uuid.uuid4().hex}"
+    documents.write_documents(table, folder)
+    return documents.read_lines(spark, folder)
+
+
+@query("s14_sarif_documents", with_findings("""SELECT CAST(scan_id AS VARCHAR) AS scan_id, lower(replace(type, ' ', '_')) AS rule_id,
+  CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'LOW' THEN 'note' WHEN 'INFO' THEN 'note' ELSE 'warning' END AS level,
+  coalesce(message, 'Security vulnerability detected') AS text, file AS uri, line AS start_line, "column" AS start_column, CAST(confidence AS DOUBLE) AS confidence,
+  cwe, coalesce(owasp, '') AS owasp, suggestion AS fix FROM findings"""))
 def sarif_documents(spark, sf):
-    files = t.findings(spark, sf).withColumn("scan_id", F.floor(F.col("position") / 16000000000000))
-    return sinks.sarif_documents(files, "scan_id", "position")
+    """The results in the documents of all scans; scan 0 holds a third of them."""
+    back = _read_back(spark, sinks.sarif_lines(t.findings(spark, sf), "scan_id", "position"))
+    result = F.from_json("text", """ruleId string, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<
+      artifactLocation:struct<uri:string>, region:struct<startLine:int,startColumn:int>>>>, properties struct<confidence:double,cwe:string,owasp:string>,
+      fixes array<struct<description:struct<text:string>>>""")
+    rows = back.filter(F.col("text").startswith('{"ruleId"')).select(F.col("key").alias("scan_id"), result.alias("r"))
+    place = F.col("r.locations")[0]["physicalLocation"]
+    return rows.select(
+        "scan_id", F.col("r.ruleId").alias("rule_id"), "r.level", "r.message.text", place["artifactLocation"]["uri"].alias("uri"),
+        place["region"]["startLine"].alias("start_line"), place["region"]["startColumn"].alias("start_column"), "r.properties.confidence",
+        "r.properties.cwe", "r.properties.owasp", F.get("r.fixes", F.lit(0))["description"]["text"].alias("fix"))
 
 
 @query("s15_findings_csv", with_findings(f"""SELECT CAST(line AS VARCHAR) AS "Line", f.type AS "Type", severity AS "Severity", cwe AS "CWE", coalesce(owasp, '') AS "OWASP", coalesce(message, '') AS "Message",
@@ -421,9 +443,21 @@ def findings_csv(spark, sf):
     return reports.csv_rows(t.findings(spark, sf))
 
 
-@query("s16_compliance_documents")
+@query("s16_compliance_documents", with_findings(f"""SELECT CAST(f.scan_id AS VARCHAR) AS scan_id, f.n AS total_findings, f.n AS findings,
+  round_even(greatest(0.0, (22 - coalesce(r.requirements, 0)) / CAST(22 AS DOUBLE) * 100), 1) AS compliance_score,
+  coalesce(r.requirements, 0) AS requirements, coalesce(r.mapped, 0) AS mapped, 2 * least(10, coalesce(a.n, 0)) AS recommendations
+  FROM (SELECT scan_id, count(*) AS n FROM findings GROUP BY scan_id) f
+  LEFT JOIN (SELECT scan_id, count(DISTINCT requirement) AS requirements, count(*) AS mapped FROM ({SQL_REQUIREMENTS}) GROUP BY scan_id) r ON r.scan_id = f.scan_id
+  LEFT JOIN (SELECT scan_id, count(DISTINCT f.type) AS n FROM findings f JOIN {SQL_ASVS} ON a.type = f.type GROUP BY scan_id) a ON a.scan_id = f.scan_id"""))
 def compliance_documents(spark, sf):
-    return sinks.compliance_documents(t.findings(spark, sf), "scan_id")
+    """What the exports of all scans hold, counted from the written documents."""
+    text = F.col("text")
+    summary = F.from_json(F.regexp_replace(text, '^"summary":', ""), "total_findings bigint, compliance_score double")
+    is_summary = text.startswith('"summary":')
+    return _read_back(spark, sinks.compliance_lines(t.findings(spark, sf), "scan_id", "position")).groupBy(F.col("key").alias("scan_id")).agg(
+        F.max(F.when(is_summary, summary["total_findings"])).alias("total_findings"), F.max(F.when(is_summary, summary["compliance_score"])).alias("compliance_score"),
+        F.count_if(text.startswith('{"position"')).alias("findings"), F.count_if(text.rlike(r'^"[A-Z_]+:.*":\[$')).alias("requirements"),
+        F.count_if(text.startswith('{"type"')).alias("mapped"), F.count_if(text.startswith('"Implement ')).alias("recommendations"))
 
 
 @query("s17_w8_flat_report", with_findings("""SELECT file AS file_path, line AS start_line, CASE WHEN severity = 'CRITICAL' THEN 'CRITICAL' WHEN severity IN ('INFO', 'LOW') THEN 'LOW' ELSE 'MEDIUM' END AS severity,
@@ -590,9 +624,9 @@ RANGES = ["<2.5", "<=2.5.1", ">=1.0,<3", ">2.20.3", "2.3.1", ">=2,<=3.7"]
 
 @query("z2_version_ranges", with_tables(t.DEPENDENCIES, body="SELECT version, " + ", ".join(
     "(" + " AND ".join(f"{sql_version('version')} {op} {list(num)}" for op, num in bounds) + f") AS r{i}" for i, bounds in enumerate([
-        [("<", (2, 5))], [("<=", (2, 5, 1))], [(">=", (1, 0)), ("<", (3,))], [(">", (2, 20, 3))], [("=", (2, 3, 1))], [(">=", (2,)), ("<=", (3, 7))]])) + " FROM (SELECT DISTINCT version FROM dependencies WHERE version NOT IN ('*', 'latest'))"))
+        [("<", (2, 5))], [("<=", (2, 5, 1))], [(">=", (1, 0)), ("<", (3,))], [(">", (2, 20, 3))], [("=", (2, 3, 1))], [(">=", (2,)), ("<=", (3, 7))]])) + " FROM (SELECT DISTINCT version FROM dependencies)"))
 def version_ranges(spark, sf):
-    rows = t.dependencies(spark, sf).select("version").distinct().filter(~F.col("version").isin("*", "latest"))
+    rows = t.dependencies(spark, sf).select("version").distinct()
     return rows.select("version", *[versions.in_range(versions.parse_version(F.col("version")), F.lit(r)).alias(f"r{i}") for i, r in enumerate(RANGES)])
 
 
@@ -652,10 +686,14 @@ def package_urls(spark, sf):
     return t.dependencies(spark, sf).select("name", "version").distinct().select("name", "version", versions.package_url(n, v).alias("python_url"), versions.package_url(n, v, "node").alias("node_url"))
 
 
-@query("s19_bill_of_materials")
+@query("s19_bill_of_materials", with_tables(t.DEPENDENCIES, body="""SELECT DISTINCT CAST(project AS VARCHAR) AS project, 'library' AS type, name, version,
+  'pkg:pypi/' || name || '@' || version AS purl, CASE WHEN license <> '' THEN [license] ELSE [] END AS licenses FROM dependencies"""))
 def bill_of_materials(spark, sf):
+    """The components in the written bills of all projects; project 0 holds a third of them."""
     d = t.dependencies(spark, sf).distinct()
-    return sinks.sbom_documents(deps.components(d), "project", "2024-01-01T00:00:00Z")
+    back = _read_back(spark, sinks.sbom_lines(deps.components(d), "project", "2024-01-01T00:00:00Z"))
+    row = F.from_json("text", "type string, name string, version string, purl string, licenses array<string>")
+    return back.filter(F.col("text").startswith('{"type"')).select(F.col("key").alias("project"), row.alias("r")).select("project", "r.*")
 
 
 # ----------------------------------------------------------------- request limits

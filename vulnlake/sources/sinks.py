@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +12,12 @@ from vulnlake.operators.history import feedback_label, scan_record
 from vulnlake.operators.reports import (
     csv_rows,
     framework_compliance,
+    recommendations,
     sarif_results,
     sarif_rules,
-    severity_counts,
+    with_requirements,
 )
+from vulnlake.sources import documents
 
 # Names and versions that the document formats ask for.
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
@@ -54,19 +58,13 @@ def identifiers(prefix: str, ts: Column) -> Column:
     return F.concat(F.lit(prefix + "_"), F.date_format(ts, "yyyyMMddHHmmss"))
 
 
-def sarif_documents(findings: DataFrame, key: str, order: str, tool: str = "vulnlake", version: str = "1.0.0") -> DataFrame:
-    """(key, document): one SARIF document per scan.
-
-    A document is one value by nature; a scan is one project of bounded size. For scans
-    beyond that, use ``sarif_rules`` and ``sarif_results``, which stay tables.
-    """
-    rules = sarif_rules(findings, [key], order)
+def sarif_lines(findings: DataFrame, key: str, order: str, tool: str = "vulnlake", version: str = "1.0.0") -> DataFrame:
+    """Lines of one SARIF document per key, for `documents.write_documents`."""
     rule = F.struct(
         "id", "name", F.struct(F.col("short_description").alias("text")).alias("shortDescription"),
         F.struct(F.col("full_description").alias("text")).alias("fullDescription"),
         F.struct(F.col("help_text").alias("text"), F.col("help_markdown").alias("markdown")).alias("help"),
         F.struct("tags", F.col("security_severity").alias("security-severity")).alias("properties"))
-    results = sarif_results(findings, [key], order)
     result = F.struct(
         F.col("rule_id").alias("ruleId"), "level", F.struct("text").alias("message"),
         F.array(F.struct(F.struct(F.struct("uri").alias("artifactLocation"), F.struct(
@@ -74,37 +72,57 @@ def sarif_documents(findings: DataFrame, key: str, order: str, tool: str = "vuln
             .alias("physicalLocation"))).alias("locations"),
         F.struct("confidence", "cwe", "owasp").alias("properties"),
         F.when(F.col("fix").isNotNull(), F.array(F.struct(F.struct(F.col("fix").alias("text")).alias("description")))).alias("fixes"))
-
-    def listed(frame, place, row, name):
-        return frame.groupBy(key).agg(F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col(place).alias("_p"), F.to_json(row).alias("_r")))),
-            lambda s: s["_r"]).alias(name))
-
-    joined = listed(rules, "first_position", rule, "_rules").join(listed(results, "position", result, "_results"), key)
     head = f'{{"$schema":"{SARIF_SCHEMA}","version":"{SARIF_VERSION}","runs":[{{"tool":{{"driver":{{"name":"{tool}","version":"{version}","rules":['
-    return joined.select(key, F.concat(
-        F.lit(head), F.array_join("_rules", ","), F.lit(']}},"results":['), F.array_join("_results", ","),
-        F.lit('],"invocations":[{"executionSuccessful":true}]}]}')).alias("document"))
-
-
-def sbom_documents(components: DataFrame, key: str, created: str) -> DataFrame:
-    """(key, document): one bill of materials per project, components in name order."""
-    row = F.struct("type", "name", "version", "purl", "licenses")
-    grouped = components.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("name", "version", row.alias("c")))).alias("_c"))
-    return grouped.select(key, F.to_json(F.struct(
-        F.lit(SBOM_FORMAT).alias("bomFormat"), F.lit(SBOM_VERSION).alias("specVersion"), F.lit(1).alias("version"),
-        F.struct(F.lit(created).alias("timestamp"),
-                 F.struct(F.col(key).cast("string").alias("name"), F.lit("application").alias("type")).alias("component")).alias("metadata"),
-        F.transform("_c", lambda c: c["c"]).alias("components"))).alias("document"))
-
-
-def compliance_documents(findings: DataFrame, key: str) -> DataFrame:
-    """(key, document): metadata and summary of a scan's compliance."""
-    summary = severity_counts(findings, [key]).join(framework_compliance(findings, [key]), key)
-    return summary.select(key, F.to_json(F.struct(
-        F.struct(F.col(key).cast("string").alias("scan_id")).alias("metadata"),
-        F.struct("total_findings", "compliance_score", *[c for c in summary.columns if c.endswith("_count")]).alias("summary"))
-    ).alias("document"))
+    fixed = documents.frame_lines(findings.select(key).distinct(), key, {
+        0: head, 2: ']}},"results":[', 4: '],"invocations":[{"executionSuccessful":true}]}]}'})
+    rules = documents.lines(sarif_rules(findings, [key], order), key, 1, F.to_json(rule), F.col("first_position"))
+    results = documents.lines(sarif_results(findings, [key], order), key, 3, F.to_json(result), F.col("position"))
+    return fixed.unionByName(rules).unionByName(results)
+
+
+def sbom_lines(components: DataFrame, key: str, created: str) -> DataFrame:
+    """Lines of one bill of materials per project, components in the order of their names and versions."""
+    about = F.to_json(F.struct(F.lit(created).alias("timestamp"), F.struct(
+        F.col(key).cast("string").alias("name"), F.lit("application").alias("type")).alias("component")))
+    head = F.concat(F.lit(f'{{"bomFormat":"{SBOM_FORMAT}","specVersion":"{SBOM_VERSION}","version":1,"metadata":'), about, F.lit(',"components":['))
+    fixed = documents.frame_lines(components.select(key).distinct(), key, {0: head, 2: "]}"})
+    row = F.to_json(F.struct("type", "name", "version", "purl", "licenses"))
+    order = F.concat_ws("\x00", "name", "version")
+    return fixed.unionByName(documents.lines(components, key, 1, row, F.lit(0), order))
+
+
+def compliance_lines(findings: DataFrame, key: str, order: str, frameworks: tuple[str, ...] = ("OWASP_ASVS", "PCI_DSS"), generated: str = "",
+                     tool: str = "vulnlake", version: str = "1.0.0") -> DataFrame:
+    """Lines of one compliance export per scan: metadata, summary, findings, the report by requirement, and recommendations."""
+    scores = framework_compliance(findings, [key], frameworks)
+    checked = F.array(*[F.lit(f) for f in frameworks])
+    scan = F.col(key).cast("string").alias("scan_id")
+    figures = [F.col("total_findings"), F.col("compliance_score"), checked.alias("frameworks_checked")]
+    metadata = F.to_json(F.struct(F.lit(generated).alias("generated_at"), scan, F.lit(tool).alias("tool"), F.lit(version).alias("version")))
+    report = F.to_json(F.struct(scan, F.lit(generated).alias("generated_at"), *figures))
+    fixed = documents.frame_lines(scores, key, {
+        0: F.concat(F.lit('{"report_metadata":'), metadata, F.lit(",")), 1: F.concat(F.lit('"summary":'), F.to_json(F.struct(*figures)), F.lit(",")),
+        2: '"findings":[', 4: "],", 5: F.concat(F.lit('"compliance_report":'), F.regexp_replace(report, r"\}$", ""), F.lit(',"findings_by_requirement":{')),
+        7: '},"gaps":[],"recommendations":[', 9: ']},"recommendations":[', 11: "]}"})
+    own = F.to_json(F.struct(*[c for c in findings.columns if c != key]))
+    listed = documents.lines(findings, key, 3, own, F.col(order))
+    mapped = with_requirements(findings, frameworks)
+    item = F.to_json(F.struct("type", "severity", "line", "message", "compliance"))
+    firsts = mapped.groupBy(key, "requirement").agg(F.min(order).alias("first"), F.min("framework_no").alias("framework_no"))
+    # Requirements come in the order in which findings first name them.
+    place = F.lpad(F.hex(F.col("first").cast("bigint").bitwiseXOR(F.lit(-1 << 63))), 16, "0")
+    part = F.concat(place, F.lit(" "), F.col("framework_no").cast("string"), F.lit(" "), F.col("requirement"))
+    parts = firsts.select(F.col(key).alias("_key"), F.col("requirement").alias("_requirement"), part.alias("part"))
+    items = mapped.join(parts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("requirement") == F.col("_requirement")))
+    edges = F.array(F.struct(F.lit(-1 << 63).alias("place"), F.concat(F.to_json(F.array("_requirement")), F.lit(":[")).alias("text"), F.lit(True).alias("opens"), F.lit(False).alias("closes")),
+                    F.struct(F.lit((1 << 63) - 1).alias("place"), F.lit("]").alias("text"), F.lit(False).alias("opens"), F.lit(True).alias("closes")))
+    framed = parts.select(F.col("_key").alias("key"), "part", F.inline(edges)).withColumn("text", F.regexp_replace("text", r"^\[(.*)\]:\[$", "$1:["))
+    by_requirement = documents.lines(items, key, 6, item, F.col(order), F.col("part")).unionByName(
+        documents.lines(framed, "key", 6, F.col("text"), F.col("place"), F.col("part"), F.col("opens"), F.col("closes")))
+    advice = recommendations(findings, [key], order)
+    quoted = F.regexp_replace(F.to_json(F.array("recommendation")), r"^\[(.*)\]$", "$1")
+    said = [documents.lines(advice, key, section, quoted, F.col("place")) for section in (8, 10)]
+    return reduce(DataFrame.unionByName, [fixed, listed, by_requirement, *said])
 
 
 def write_findings_csv(findings: DataFrame, path: str) -> None:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import pickle
-import uuid
 from collections import deque
 from functools import reduce
 from operator import and_
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from vulnlake.dimensions import DEFAULT_RATE_LIMIT, RATE_LIMITS
-from vulnlake.session import ensure_checkpoint_dir
+from vulnlake.operators.scale import kept as kept_table
 
 RESULT = "allowed boolean, remaining int, retry_after int"
 KEEP_SECONDS = 3600  # fixed value: state of a client is dropped after an hour
@@ -86,31 +85,24 @@ def decide(requests: DataFrame, keys: list[str], limit: int, window: int, order:
     soon = F.pmod(F.unix_micros("ts"), F.lit(size * 1_000_000)) >= (size - window) * 1_000_000
     lent = requests.withColumn("_own", own).withColumn("_s", F.unix_micros("ts") / 1e6).withColumn(
         "_slice", F.explode(F.when(soon, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
-    rows = _kept(lent, "requests")
+    rows = kept_table(lent, "requests")
     names = [*keys, "_slice"]
     same = lambda left, right: [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
     no_state = F.lit(None).cast("array<double>")
-    decided = _kept(_sliced(rows.withColumn("_from", no_state), requests, names, order, limit, window), "decisions")
+    decided = kept_table(_sliced(rows.withColumn("_from", no_state), requests, names, order, limit, window), "decisions")
     while True:
         states = decided.filter("_end IS NOT NULL").select(*names, "_first", "_start", "_end")
         # What the slice before ended with, as far as it counts at the first row; nothing if there is no slice before.
         live = F.filter(F.coalesce(F.col("b._end"), F.array().cast("array<double>")), lambda t: t > F.col("a._first") - window)
         wrong = states.alias("a").join(states.alias("b"), reduce(and_, same("a", "b")) & (F.col("a._slice") == F.col("b._slice") + 1), "left").withColumn(
             "_from", live).filter(F.filter("a._start", lambda t: t > F.col("a._first") - window) != F.col("_from"))
-        wrong = _kept(wrong.select(*[F.col(f"a.{n}").alias(f"_k{i}") for i, n in enumerate(names)], "_from"), "wrong")
+        wrong = kept_table(wrong.select(*[F.col(f"a.{n}").alias(f"_k{i}") for i, n in enumerate(names)], "_from"), "wrong")
         if wrong.isEmpty():
             return decided.filter("allowed IS NOT NULL").select(*requests.columns, "allowed", "remaining", "retry_after")
         matches = reduce(and_, [F.col(n).eqNullSafe(F.col(f"_k{i}")) for i, n in enumerate(names)])
         again = rows.filter("_slice = _own").join(wrong, matches).select(*rows.columns, "_from")
         again = _sliced(again, requests, names, order, limit, window)
-        decided = _kept(decided.join(wrong.drop("_from"), matches, "left_anti").unionByName(again), "decisions")
-
-
-def _kept(frame: DataFrame, label: str) -> DataFrame:
-    """The frame as a table in the shared checkpoint folder, so that rounds do not pile up their plans."""
-    folder = f"{ensure_checkpoint_dir(frame.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(folder)
-    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+        decided = kept_table(decided.join(wrong.drop("_from"), matches, "left_anti").unionByName(again), "decisions")
 
 
 def _sliced(rows: DataFrame, requests: DataFrame, names: list[str], order: str, limit: int, window: float) -> DataFrame:
