@@ -11,6 +11,8 @@ from vulnlake import dimensions as dim
 from vulnlake.functions.severity import mapped
 from vulnlake.functions.text import computed_once, contains_any
 from vulnlake.functions.versions import bounds_of, parse_version, within_bounds
+from vulnlake.operators.grams import EVERY_TEXT, GRAM, grams, looked_up, rarest_grams, sent_if_small
+from vulnlake.operators.scale import kept, number_rows
 
 
 def with_asvs(findings: DataFrame) -> DataFrame:
@@ -57,6 +59,22 @@ def owasp_of_type(kind: Column) -> Column:
     return _first_contained(kind, _parts(4), dim.TYPE_FALLBACKS)
 
 
+def first_contained(rows: DataFrame, text: str, catalogue: DataFrame, result: str = "category") -> DataFrame:
+    """Adds the category of the first part, by ``place``, that a text holds in any case; null if it holds none.
+
+    ``catalogue`` (place, part, category) may have any number of parts. Each stands in an index under its rarest gram, a part
+    shorter than a gram under one that all texts have. Equal texts are looked up once, and meet only parts whose gram they hold.
+    """
+    parts = catalogue.select("place", F.lower("part").alias("part"), F.col("category").alias("_category"))
+    short = F.octet_length("part") < GRAM
+    long = rarest_grams(parts.filter(~short).select("*", F.explode(F.array_distinct(grams(F.col("part")))).alias("gram")), parts.columns)
+    index = sent_if_small(long.unionByName(parts.filter(short).withColumn("gram", F.lit(EVERY_TEXT))))
+    texts = computed_once(rows.select(F.lower(text).alias("_text")).distinct(), _low=F.col("_text"))
+    met = texts.select("_low", F.explode(looked_up(F.col("_low"))).alias("gram")).join(index, "gram").filter(F.col("_low").contains(F.col("part")))
+    found = met.groupBy("_low").agg(F.min_by("_category", "place").alias(result))
+    return rows.join(found, F.lower(text) == F.col("_low"), "left").drop("_low")
+
+
 def owasp_of_test(test_id: Column) -> Column:
     lookup = {test: category for category, row in dim.OWASP_CATEGORIES.items() for test in row[3]}
     return mapped(test_id, lookup)
@@ -97,6 +115,72 @@ def match_advisories(dependencies: DataFrame, advisories: DataFrame | None = Non
             .drop("_package", "_bounds", "_version"))
 
 
+def _version_key(numbers: Column) -> Column:
+    """A text that sorts as the numbers of a version do: digits of equal width, so a version comes before those it begins."""
+    return F.array_join(F.transform(numbers, lambda n: F.lpad(F.hex(n), 16, "0")), "")
+
+
+def _interval(bounds: Column) -> list[Column]:
+    """(low, low_open, high, high_open) of bounds that hold together, as version keys; null where there is no bound."""
+    def tightest(ops: tuple[str, ...], choose, open_op: str):
+        limits = F.transform(F.filter(bounds, lambda b: b["op"].isin(*ops)), lambda b: F.struct(
+            _version_key(b["numbers"]).alias("key"), (b["op"] == open_op).cast("int").alias("open")))
+        return choose(limits)
+
+    # Of equal limits the open one is the tighter: it sorts last among low ones, and first among high ones when turned round.
+    low = tightest((">", ">=", "=", ""), F.array_max, ">")
+    high = F.array_min(F.transform(F.filter(bounds, lambda b: b["op"].isin("<", "<=", "=", "")), lambda b: F.struct(
+        _version_key(b["numbers"]).alias("key"), (b["op"] != "<").cast("int").alias("closed"))))
+    return [low["key"].alias("_low"), low["open"].alias("_low_open"), high["key"].alias("_high"), (1 - high["closed"]).alias("_high_open")]
+
+
+def _dyadic(low: Column, high: Column, levels: int) -> Column:
+    """Blocks (level, block) of 2 ** level numbers that together are the numbers from low to high, each once."""
+    start = F.struct(low.alias("a"), high.alias("b"), F.array().cast("array<struct<level:int,block:bigint>>").alias("out"))
+
+    def step(state, level):
+        a, b, none = state["a"], state["b"], F.array().cast("array<struct<level:int,block:bigint>>")
+        block = lambda n: F.array(F.struct(level.alias("level"), n.alias("block")))
+        left = F.when((a <= b) & (a % 2 == 1), block(a)).otherwise(none)
+        right = F.when((a <= b) & (b % 2 == 0) & ~((a == b) & (a % 2 == 1)), block(b)).otherwise(none)
+        return F.struct(F.shiftright(a + 1, 1).alias("a"), F.shiftright(b - 1, 1).alias("b"), F.concat(state["out"], left, right).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda s: s["out"])
+
+
+def match_advisory_ranges(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
+    """As `match_advisories` for large tables: a package may have any number of ranges and versions, and only pairs that match are made.
+
+    Versions become texts that sort like them. The versions and limits of a package are numbered in order; a range is then an
+    interval of numbers, cut into the few blocks of a binary tree that make it up, and a version asks for the block of each
+    level it lies in. The join on (package, level, block) so yields each matching pair once and no other. Equal versions of a
+    package ask once.
+    """
+    adv = advisories.withColumnRenamed("package", "_package").filter(F.col("_package").isNotNull())
+    ranges = kept(adv.select("*", *_interval(bounds_of(F.col("affected")))), "ranges")
+    points = dependencies.select(F.lower("name").alias("_package"), F.col("version").alias("_version")).distinct().withColumn(
+        "_key", _version_key(parse_version(F.col("_version")))).filter("_key IS NOT NULL").join(ranges.select("_package").distinct(), "_package", "left_semi")
+    points = kept(points, "versions")
+    marks = points.select("_package", "_key")
+    for limit in ("_low", "_high"):
+        marks = marks.unionByName(ranges.filter(F.col(limit).isNotNull()).select("_package", F.col(limit).alias("_key")))
+    places = kept(number_rows(marks.distinct(), [F.col("_key")], "_no", ["_package"]), "places")
+    most = places.agg(F.max("_no")).first()[0] or 0
+    levels = int(most).bit_length()
+    known = ranges
+    for limit in ("_low", "_high"):
+        at = places.select("_package", F.col("_key").alias(limit), F.col("_no").alias(f"{limit}_no"))
+        known = known.join(at, ["_package", limit], "left")
+    first = F.coalesce(F.col("_low_no") + F.col("_low_open"), F.lit(1)).cast("bigint")
+    last = F.coalesce(F.col("_high_no") - F.col("_high_open"), F.lit((1 << levels) - 1)).cast("bigint")
+    blocks = known.select(*adv.columns, F.inline(_dyadic(first, last, levels)))
+    asking = points.join(places, ["_package", "_key"]).select("_package", "_version", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"), "_no")
+    asking = asking.withColumn("block", F.call_function("shiftright", "_no", "level").cast("bigint")).drop("_no")
+    hits = asking.join(blocks, ["_package", "level", "block"]).drop("level", "block")
+    out = dependencies.join(hits, (F.lower("name") == F.col("_package")) & (F.col("version") == F.col("_version")))
+    return out.withColumn("fixed_version", F.replace("affected", F.lit("<"), F.lit(""))).drop("_package", "_version")
+
+
 def merge_findings(base: DataFrame, extra: DataFrame, keys=("file_path", "start_line", "cwe_id"),
                    order: str = "rule_no") -> DataFrame:
     """All base findings plus those of other tools whose key the base lacks, one per key.

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from vulnlake.functions.caching import remembered
 from vulnlake.functions.severity import severity_rank
 from vulnlake.functions.text import computed_once, contains_any, explode_lines, regex, strip
+from vulnlake.operators.grams import EVERY_TEXT, GRAM, grams, looked_up, rarest_grams, sent_if_small
 from vulnlake.rules.code_rules import CODE_RULES, SAFE_PATTERNS
 from vulnlake.rules.infra_rules import (
     DOCKERFILE_REQUIRED,
@@ -197,32 +198,11 @@ def best_per_line(findings: DataFrame, keys: list[str], line: str = "start_line"
     return findings.groupBy(*keys, line).agg(best.alias("_b")).select(*keys, line, "_b.*")
 
 
-GRAM = 3
-#: The gram that every line holds besides its own.
-EVERY_LINE = 0
-#: Rows of a rule table that are sent to all tasks; larger ones are joined by shuffle.
-BROADCAST_GRAMS = 200_000
-
-
-def _gram(text: Column, at: Column) -> Column:
-    """A number for the bytes of a gram; bytes are cut out in one step, however long the text."""
-    return F.xxhash64(F.substring(text.cast("binary"), at, F.lit(GRAM)))
-
-
-def _grams(text: Column) -> Column:
-    """Numbers of all grams of a text; none if it is shorter than one."""
-    last = F.octet_length(text) - (GRAM - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: _gram(text, i))).otherwise(
-        F.array().cast("array<bigint>"))
-
-
 def _indexed(rules: DataFrame) -> DataFrame:
     """(language, gram, nth, rule): for every needle of a rule one of its grams, the rarest in the table."""
     rows = rules.select("language", "rule", F.posexplode("rule.needles").alias("nth", "needle")).select(
-        "*", F.explode(F.array_distinct(_grams(F.col("needle")))).alias("gram"))
-    uses = rows.groupBy("gram").agg(F.count("*").alias("uses"))
-    rarest = F.min_by("gram", F.struct("uses", "gram"))
-    return rows.join(uses, "gram").groupBy("language", "rule", "nth").agg(rarest.alias("gram"))
+        "*", F.explode(F.array_distinct(grams(F.col("needle")))).alias("gram"))
+    return rarest_grams(rows, ["language", "rule", "nth"])
 
 
 def scan_with_rule_table(lines: DataFrame, rules: DataFrame) -> DataFrame:
@@ -240,13 +220,11 @@ def scan_with_rule_table(lines: DataFrame, rules: DataFrame) -> DataFrame:
     given = [c for c in rules.columns if c not in ("languages", *lists)]
     table = rules.select(F.explode("languages").alias("language"), F.struct(*given, *[v.alias(k) for k, v in lists.items()]).alias("rule")).distinct()
     short = (F.size("rule.needles") == 0) | F.exists("rule.needles", lambda n: F.octet_length(n) < GRAM)
-    always = table.filter(short).select("language", "rule", F.lit(None).cast("int").alias("nth"), F.lit(EVERY_LINE).alias("gram"))
+    always = table.filter(short).select("language", "rule", F.lit(None).cast("int").alias("nth"), F.lit(EVERY_TEXT).alias("gram"))
     index = _indexed(table.filter(~short)).unionByName(always)
-    if index.count() <= BROADCAST_GRAMS:
-        index = F.broadcast(index)
+    index = sent_if_small(index)
     low = computed_once(lines, _low=F.lower("line"))
-    grams = F.concat(F.array_distinct(_grams(F.col("_low"))), F.array(F.lit(EVERY_LINE)))
-    met = low.select("*", F.explode(grams).alias("gram")).join(index, ["language", "gram"])
+    met = low.select("*", F.explode(looked_up(F.col("_low"))).alias("gram")).join(index, ["language", "gram"])
     holds = lambda needle: F.col("_low").contains(needle)
     # A rule of several needles is met by the first one that the line holds.
     by_gram = holds(F.get("rule.needles", F.col("nth"))) & ~F.exists(F.slice("rule.needles", 1, F.col("nth")), holds)

@@ -78,6 +78,21 @@ def owasp_of_finding(spark, sf):
                                         lookups.owasp_of_type(F.col("type")).alias("by_type"), lookups.owasp_of_test(F.col("test_id")).alias("by_test"))
 
 
+# A catalogue that grows with the parts: number k stands at a scattered place and is found in messages about parts that begin with it.
+CATALOGUE_SQL = "catalogue AS (SELECT p_partkey * 7919 % 1000003 AS place, 'Issue ' || CAST(p_partkey AS VARCHAR) AS part, 'C' || CAST(p_partkey % 97 AS VARCHAR) AS category FROM part)"
+
+
+@query("x4_x5_large_catalogue", f"""WITH {t.FINDINGS}, {CATALOGUE_SQL}, texts AS (SELECT DISTINCT lower(message) AS m FROM findings),
+  found AS (SELECT m, arg_min(category, place) AS category FROM texts JOIN catalogue ON contains(m, lower(part)) GROUP BY m)
+  SELECT position, category FROM findings LEFT JOIN found ON m = lower(message)""")
+def large_catalogue(spark, sf):
+    """First part of a large catalogue that each message holds."""
+    k = F.col("p_partkey")
+    catalogue = read(spark, sf, "part").select((k * 7919 % 1000003).alias("place"), F.concat(F.lit("Issue "), k.cast("string")).alias("part"),
+                                               F.concat(F.lit("C"), (k % 97).cast("string")).alias("category"))
+    return lookups.first_contained(t.findings(spark, sf).select("position", "message"), "message", catalogue).select("position", "category")
+
+
 SQL_GROUPS = sql_values([(n, g) for g, ns in reversed(list(dim.CWE_GROUPS.items())) for n in ns], "g(cwe_id, owasp_category)")
 
 
@@ -639,6 +654,28 @@ def advisory_hits(spark, sf):
     return lookups.match_advisories(t.dependencies(spark, sf)).select("project", "name", "version", "cve_id", "severity", "fixed_version")
 
 
+# Ranges that grow with the parts; every third is about one package. Low and high limits, and what meets "*" and "latest", are among them.
+RANGES_SQL = f"""ranges AS (SELECT 'CVE-' || CAST(p_partkey AS VARCHAR) AS cve_id, CASE WHEN p_partkey % 3 = 0 THEN {q(t.PACKAGES[0])} ELSE {t.sql_pick(t.PACKAGES, 'p_partkey')} END AS package,
+  [CAST(p_partkey % 5 AS BIGINT), p_partkey % 37] AS low, [CAST(p_partkey % 5 AS BIGINT), p_partkey % 37 + 1, 3] AS high, p_partkey % 4 AS kind FROM part)"""
+
+
+@query("x8_advisory_ranges", f"""WITH {t.DEPENDENCIES}, {RANGES_SQL},
+  versions AS (SELECT DISTINCT lower(name) AS name, version, {SQL_VERSION.replace("{v}", "version")} AS v FROM dependencies)
+  SELECT name, version, count(*) AS hits, min(cve_id) AS first_cve FROM versions JOIN ranges ON name = package AND
+  CASE kind WHEN 0 THEN v < low WHEN 1 THEN v >= low AND v < high WHEN 2 THEN v > low AND v <= high ELSE v = high END GROUP BY name, version""")
+def advisory_ranges(spark, sf):
+    """Hits of many ranges of one package, without comparing each of them with each dependency."""
+    k = F.col("p_partkey")
+    low = F.concat_ws(".", (k % 5).cast("string"), (k % 37).cast("string"))
+    high = F.concat_ws(".", (k % 5).cast("string"), (k % 37 + 1).cast("string"), F.lit("3"))
+    affected = F.when(k % 4 == 0, F.concat(F.lit("<"), low)).when(k % 4 == 1, F.concat(F.lit(">="), low, F.lit(",<"), high)).when(
+        k % 4 == 2, F.concat(F.lit(">"), low, F.lit(",<="), high)).otherwise(F.concat(F.lit("="), high))
+    package = F.when(k % 3 == 0, t.PACKAGES[0]).otherwise(t.pick(t.PACKAGES, k))
+    ranges = read(spark, sf, "part").select(F.concat(F.lit("CVE-"), k.cast("string")).alias("cve_id"), package.alias("package"), affected.alias("affected"))
+    names = t.dependencies(spark, sf).select(F.lower("name").alias("name"), "version").distinct()
+    return lookups.match_advisory_ranges(names, ranges).groupBy("name", "version").agg(F.count("*").alias("hits"), F.min("cve_id").alias("first_cve"))
+
+
 @query("a9_a14_audit_summary", with_tables(t.DEPENDENCIES, body=f"""SELECT t.project, t.n AS total_dependencies, coalesce(h.p, 0) AS vulnerable_count, coalesce(h.n, 0) AS vulnerabilities, coalesce(h.risk, 0) AS risk_score
   FROM (SELECT project, count(*) AS n FROM dependencies GROUP BY 1) t LEFT JOIN (SELECT project, count(DISTINCT name) AS p, count(*) AS n,
   CAST(least(100, sum(CASE severity WHEN 'CRITICAL' THEN 25 WHEN 'HIGH' THEN 15 WHEN 'MEDIUM' THEN 5 WHEN 'LOW' THEN 1 ELSE 0 END)) AS BIGINT) AS risk FROM ({SQL_HITS}) GROUP BY 1) h ON h.project = t.project"""))
