@@ -71,7 +71,7 @@ def piece_tokens(model: bytes) -> tuple[object, list[bytes]]:
 #: A space between two characters that are no white space, where both tokenizers may cut (see `cuts_at_spaces`).
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Words of up to this many characters are encoded once and remembered, so many at a time.
-WORD, REMEMBERED = 64, 400_000
+WORD, REMEMBERED = 64, 250_000
 
 
 def cuts_at_spaces(model: str, b_names: list[str]) -> bool:
@@ -92,8 +92,11 @@ class Encoder:
     def __init__(self, a_model: str, b_model: bytes):
         self.a, self.a_bytes = byte_level_tokens(a_model)
         self.b, self.b_bytes = piece_tokens(b_model)
+        self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.by_word = cuts_at_spaces(a_model, [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())])
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.known_a: dict[str, bytes] = {}
+        self.known_b: dict[str, bytes] = {}
+        self.lost: set[str] = set()
 
     def whole(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         out = []
@@ -104,19 +107,45 @@ class Encoder:
             out.append((np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()) if same else None)
         return out
 
+    def learn(self, words: list[str]) -> None:
+        """Encodes words that are not known yet; those without white space at their ends all at once."""
+        plain = [w for w in words if len(w) <= WORD and w and not w[0].isspace() and not w[-1].isspace()]
+        left = words
+        if plain:
+            want = b" " + " ".join(plain).encode()
+            a = self.a.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)[0].ids
+            b = self.b.encode(plain, num_threads=1)
+            flat = [i for ids in b for i in ids]
+            word_ends = np.cumsum([1 + len(w.encode()) for w in plain])
+            a_ends = np.cumsum(self.a_size[a])
+            last = np.searchsorted(a_ends, word_ends)
+            fits = len(a_ends) and a_ends[-1] == len(want) and np.array_equal(a_ends[np.minimum(last, len(a) - 1)], word_ends)
+            if fits and b"".join(map(self.a_bytes.__getitem__, a)) == want == b"".join(map(self.b_bytes.__getitem__, flat)):
+                for known, ids, stops in ((self.known_a, a, last + 1), (self.known_b, flat, np.cumsum([len(ids) for ids in b]))):
+                    packed, begin = np.array(ids, np.int32).tobytes(), 0
+                    for word, stop in zip(plain, (4 * stops).tolist(), strict=True):
+                        known[word] = packed[begin:stop]
+                        begin = stop
+                left = [w for w in words if w not in self.known_a]
+        for word, found in zip(left, self.whole(left) if left else [], strict=True):
+            self.known_a[word], self.known_b[word] = found or (b"", b"")
+            if found is None:
+                self.lost.add(word)
+
     def encoded(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         if not self.by_word:
             return [found if text else None for text, found in zip(texts, self.whole(texts), strict=True)]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known_a) > REMEMBERED:
+            self.known_a, self.known_b, self.lost = {}, {}, set()
         words = [CUT.split(text) for text in texts]
-        fresh = list({w for part in words for w in part}.difference(self.known))
-        now = dict(zip(fresh, self.whole(fresh), strict=True)) if fresh else {}
-        self.known.update((w, found) for w, found in now.items() if len(w) <= WORD)
-        out = []
-        for text, part in zip(texts, words, strict=True):
-            pairs = [self.known[w] if w in self.known else now[w] for w in part] if text else [None]
-            out.append(None if None in pairs else (b"".join([a for a, _ in pairs]), b"".join([b for _, b in pairs])))
+        fresh = list(set().union(*words).difference(self.known_a))
+        self.learn(fresh)
+        out = [None if not text or not self.lost.isdisjoint(part) else (
+            b"".join(map(self.known_a.__getitem__, part)), b"".join(map(self.known_b.__getitem__, part))) for text, part in zip(texts, words, strict=True)]
+        for word in fresh:
+            if len(word) > WORD:  # long words come once; they are not worth keeping
+                del self.known_a[word], self.known_b[word]
+                self.lost.discard(word)
         return out
 
 
@@ -265,7 +294,7 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_i
     is the most frequent one of its B id, ties included; ``count_sum`` adds the counts of the links' pairs.
     """
     spark = docs.sparkSession
-    small_batches(spark, rows=500, size="4m")
+    small_batches(spark, rows=200, size="1m")
     with open(a_path, encoding="utf-8") as a, open(b_path, "rb") as b:
         a_file, b_file = a.read(), b.read()
     send = spark.sparkContext.broadcast
