@@ -410,3 +410,19 @@ def test_digest_is_of_the_joined_spans(spark):
     text = "mail a@b.c now"
     row = spark.createDataFrame([(text,)], "text string").select(F.sha2(pii.digest_text(pii.base_spans(F.col("text"))), 256).alias("d")).first()
     assert row.d == hashlib.sha256(b"email:5:10").hexdigest()
+
+
+def test_one_of_near_copies_under_one_id_stays(spark):
+    base = " ".join(f"word{i}" for i in range(200))
+    rows = [(7, base, "a"), (7, base + " more", "a"), (7, base + " other end", "b"), (None, "x " + base, "b"), (8, "alone here", "b"), (None, None, None), (None, "", None)]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, DOCS))
+    assert sorted((str(r.doc_id), (r.text or "")[:5]) for r in kept.collect()) == [("7", "word0"), ("8", "alone"), ("None", ""), ("None", "")]
+    nulls = jaccard_join.keep_one(spark.createDataFrame([(None, base, "a"), (None, base + " more", "a")], DOCS))
+    assert nulls.count() == 1
+
+
+def test_ids_of_examples_may_be_strings(spark):
+    docs, labels, _ = toxic_fixture(spark)
+    named = [f.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id"))) for f in (docs, labels)]
+    rows = toxicity.score_texts(named[0], toxicity.fit(*named)).filter("size(evidence) > 0").collect()
+    assert rows and all(e.startswith("d") for r in rows for e in r.evidence)

@@ -215,3 +215,11 @@ def test_pipeline_stages_do_their_work(spark, tmp_path):
 
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_turns_that_tie_keep_their_lines_together(spark):
+    rows = [(1, 0, "user", "Hello there\nsecond line of A"), (1, 0, "user", "Other message\nsecond line of B"), (1, 1, "assistant", "x\ny"), (1, 1, "assistant", "x\ny")]
+    lines = chat.transcript_lines(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string"), marked=0.0)
+    texts = [r.text for r in lines.orderBy("line_no").collect()]
+    first = [texts[0:2], texts[2:4]]
+    assert sorted(first) == [["Hello there", "second line of A"], ["Other message", "second line of B"]] and texts[4:] == ["x", "y", "x", "y"]

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import table, without, written
+from vulnlake.llm.common import sent, table, without, written
 from vulnlake.operators.scale import number_rows, running_sums
 
 ROLES = ("system", "user", "assistant")
@@ -135,7 +135,7 @@ def _state() -> Column:
 def tag_lines(lines: DataFrame, model: Model) -> DataFrame:
     """The lines (conv_id, line_no, text) with role and start; line numbers count from 0 without gaps in each transcript."""
     spark = lines.sparkSession
-    shared, size = spark.sparkContext.broadcast(model), len(STATES)
+    shared, size = sent(spark, model), len(STATES)
     kind = dict(lines.dtypes)["conv_id"]
     lines = without(lines, ["role", "start", "_pos", "_state", "_code"])
     key = f"conv_id {kind}, pos bigint"
@@ -147,9 +147,10 @@ def tag_lines(lines: DataFrame, model: Model) -> DataFrame:
         return written(dealt.select("conv_id", F.col("pos_").alias("pos"), F.transform("_i", lambda x: x[item]).alias("items")), "chunks")
 
     def of_codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared()
         for batch in batches:
             yield batch[["conv_id", "pos"]].assign(matrix=[
-                shared.value.product(np.array(c), p == 0).ravel() for c, p in zip(batch["items"], batch["pos"], strict=True)])
+                known.product(np.array(c), p == 0).ravel() for c, p in zip(batch["items"], batch["pos"], strict=True)])
 
     def of_matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -177,10 +178,11 @@ def tag_lines(lines: DataFrame, model: Model) -> DataFrame:
             yield pd.concat(parts) if parts else pd.DataFrame(columns=["conv_id", "pos", "before", "after"])
 
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared()
         for batch in batches:
             parts = []
             for conv, pos, items, before, after in batch[["conv_id", "pos", "items", "before", "after"]].itertuples(index=False):
-                states = shared.value.path(np.array(items), pos == 0, before, after)
+                states = known.path(np.array(items), pos == 0, before, after)
                 parts.append(pd.DataFrame({"conv_id": conv, "pos": pos * CHUNK + np.arange(len(states)), "state": states}))
             yield pd.concat(parts) if parts else pd.DataFrame(columns=["conv_id", "pos", "state"])
 
@@ -240,9 +242,12 @@ def transcript_lines(turns: DataFrame, marked: float = 0.7) -> DataFrame:
         F.concat(F.lit("### "), F.initcap("role"), F.lit(": ")))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = turns.withColumn("_t", F.when(draw < 1000 * marked, F.concat(F.coalesce(name, F.lit("")), text)).otherwise(text))
-    lines = rows.select("conv_id", "turn", "role", F.posexplode(F.split("_t", "\n", -1)).alias("_k", "text"))
+    # Turns that tie are told apart by their texts, and repeated rows by a running number, so no turn's lines are mixed with another's.
+    rows = rows.withColumn("_message", F.struct(F.xxhash64("_t").alias("h"), F.monotonically_increasing_id().alias("n")))
+    lines = rows.select("conv_id", "turn", "role", "_message", F.posexplode(F.split("_t", "\n", -1)).alias("_k", "text"))
     keyed = lines.withColumn("start", F.col("_k") == 0).withColumn("_key", F.xxhash64("conv_id"))
-    numbered = number_rows(keyed, [F.col("turn"), F.col("role"), F.col("_k"), F.col("text")], "line_no", ["_key"])
+    order = ["turn", "role", "_message.h", "_message.n", "_k"]
+    numbered = number_rows(keyed, [F.col(c) for c in order], "line_no", ["_key"])
     return numbered.select("conv_id", (F.col("line_no") - 1).alias("line_no"), "turn", "role", "start", "text")
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +117,15 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def sent(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Sends a value of bounded size to all tasks; the function gives it there.
+
+    It is pickled here, where the classes of this package go along by value, so tasks need not be able to import the package.
+    """
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(data.value)
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
     """Batches of sorted rows, cut so that no key goes over the end of one."""
     rest = None

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +53,6 @@ def largest_difference(a: int, b: int, percent: int) -> int:
     return a + b - 2 * least_shared if least_shared <= min(a, b) else -1
 
 
-@lru_cache(maxsize=None)
 def bands(percent: int, longest: int = 1 << 40) -> tuple[list[int], list[tuple[int, int, int]]]:
     """Lower bounds of the size bands, and for each (segments, of these with a one-deletion neighbourhood, largest size)."""
     lows = [1]
@@ -133,9 +132,9 @@ def _signatures(keys: np.ndarray, values: np.ndarray, sizes: np.ndarray, band: n
 
 
 def _signature_rows(percent: int):
+    lows, plan = map(np.array, bands(percent))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lows, choices = bands(percent)
-        lows, plan = np.array(lows), np.array(choices)
 
         def packed(parts):
             found = list(parts)
@@ -236,7 +235,7 @@ def _may_link(percent: int):
 
 
 def link_components(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, _text, n_shingles, component_id), one row per document.
+    """(doc_id, _text, n_shingles, component_id, component_text), one row per document.
 
     Documents link when 100 * shared >= ``percent`` * united n-grams; ``component_id`` is the smallest doc_id that links reach.
     Null texts and texts without words have no n-gram and no link, and are their own component, even if their ids are equal.
@@ -307,23 +306,23 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str
     node = F.concat_ws(":", F.hex("c"), F.hex("d"))
     if links:
         groups = components(reduce(DataFrame.union, links).select("a", "b"))
-    smallest = classes.groupBy("c", "d").agg(F.min("doc_id").alias("least"))
+    # The first document of a component: the smallest id that is not null, and of equal ids the smallest hash of the text.
+    smallest = classes.groupBy("c", "d").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")).alias("least"))
     if links:
         smallest = smallest.withColumn("id", node).join(groups, "id", "left").withColumn("g", F.coalesce("component", "id"))
-        of_group = smallest.groupBy("g").agg(F.min("least").alias("component_id"))
-        smallest = smallest.join(of_group, "g").select(F.col("c").alias("_c"), F.col("d").alias("_d"), "component_id")
-    else:
-        smallest = smallest.select(F.col("c").alias("_c"), F.col("d").alias("_d"), F.col("least").alias("component_id"))
+        smallest = smallest.drop("least").join(smallest.groupBy("g").agg(F.min("least").alias("least")), "g")
+    smallest = smallest.select(F.col("c").alias("_c"), F.col("d").alias("_d"), "least")
     out = classes.join(smallest, (F.col("c") == F.col("_c")) & (F.col("d") == F.col("_d")))
-    alone = F.col("n_shingles") == 0
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")
+    least = F.when(F.col("n_shingles") == 0, own).otherwise(F.col("least"))
     forget(buckets, stars, reps, sets)
-    return out.select("doc_id", "_text", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "_text", "n_shingles", least["doc_id"].alias("component_id"), least["_text"].alias("component_text"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are alone or have the smallest id of their component; rows that repeat it in full stay too."""
+    """The documents that are alone or the first of their component, by id and hash of the text; rows that repeat it in full stay too."""
     found = link_components(docs, n, percent, doc_id, text)
-    dropped = found.filter("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t")).distinct()
+    dropped = found.filter("NOT (doc_id <=> component_id AND _text = component_text)").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t")).distinct()
     return docs.join(dropped, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_t")), "left_anti")
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import small_batches, table, without, written
+from vulnlake.llm.common import sent, small_batches, table, without, written
 
 WORD = re.compile(r"[^\W_]+")
 THRESHOLD = 0.7
@@ -56,7 +56,7 @@ class Index:
 
     def __init__(self, ids: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], size: int, block: int = 256):
         order = sorted(range(len(ids)), key=lambda i: (labels[i], int(vectors[i][0][np.argmax(vectors[i][1])]), ids[i]))
-        self.ids = np.array([ids[i] for i in order], np.int64)
+        self.ids = np.array([ids[i] for i in order])
         self.labels = np.array([labels[i] for i in order], float)
         self.blocks = []
         for at in range(0, len(order), block):
@@ -96,6 +96,9 @@ class Index:
 class Model:
     """Scores texts; made by `fit`."""
 
+    #: The type of the examples' ids.
+    id_kind = "bigint"
+
     def __init__(self, vocabulary: list[str], idf: np.ndarray, k: int, prior: float, weight: float, rest: float = 1.0):
         self.features, self.idf, self.k, self.prior, self.weight = Features(vocabulary), idf, k, prior, weight
         self.rest = rest * float(idf.mean()) if len(idf) else rest
@@ -180,6 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 24_000, max_exam
     learn, aside = order[::2], order[1::2]
     bare = [r["_y"] for r in order if not r["places"]]
     model = Model(vocabulary, idf, k, (sum(bare) + 0.5) / (len(bare) + 1) if bare else n_pos / (n_pos + n_neg), weight, rest)
+    model.id_kind = sample.schema["_id"].dataType.simpleString()
     held = [r for r in learn if r["places"]][:max_examples]
     counts = [dict(zip(r["places"], r["times"], strict=True)) for r in held]
     model.index = Index([r["_id"] for r in held], [model.vector(c) for c in counts], [r["_y"] for r in held], len(vocabulary) + 1)
@@ -217,7 +221,7 @@ def _vectors(sample: DataFrame, vocabulary: list[str]) -> list:
                                 "places": [list(c) for c in counts], "times": [list(c.values()) for c in counts]})
 
     return sample.withColumn("_key", F.xxhash64("_id", F.lit(7))).mapInPandas(
-        vectors, "_id bigint, _y int, _key bigint, places array<bigint>, times array<bigint>").collect()
+        vectors, f"_id {sample.schema['_id'].dataType.simpleString()}, _y int, _key bigint, places array<bigint>, times array<bigint>").collect()
 
 
 def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -226,11 +230,13 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Columns of the input that bear a result's name give way to it.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, kind = sent(docs.sparkSession, model), model.id_kind
 
-    @F.pandas_udf("score double, evidence array<bigint>, cosines array<double>")
-    def scores(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.score(t) for t in texts], columns=["score", "evidence", "cosines"])
+    @F.pandas_udf(f"score double, evidence array<{kind}>, cosines array<double>")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = shared()
+        for texts in batches:
+            yield pd.DataFrame([known.score(t) for t in texts], columns=["score", "evidence", "cosines"])
 
     rows = without(docs, ["score", "predicted", "evidence", "cosines", "_s"]).withColumn("_s", scores(F.col(text)))
     return rows.withColumn("score", F.col("_s.score")).withColumn("predicted", (F.col("_s.score") >= THRESHOLD).cast("int")).withColumn(
