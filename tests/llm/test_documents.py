@@ -222,7 +222,7 @@ def test_verbatim_and_changed_questions_leak(spark):
     other = prose(random.Random(3), 60)
     docs = spark.createDataFrame([(1, f"intro words here. {QUESTION.upper()} more", "a"), (2, f"{other} {changed} {other}", "a"), (3, other, "a"),
                                   (4, None, "a"), (5, "12 30 5 7 12 30 5 7 12 30 5 7", "a")], DOCS)
-    bench = spark.createDataFrame([(10, QUESTION), (11, None), (12, "1 2 3 4 5 6 7 8 9"), (13, "too short")], "item_id bigint, text string")
+    bench = spark.createDataFrame([(10, QUESTION), (11, None), (12, "1 2 3 4 5 6 7 8 9"), (13, "too short"), (14, "5 7 12 31")], "item_id bigint, text string")
     got = {r.doc_id: r for r in decontaminate.flag_leaks(docs, bench).collect()}
     assert [got[i].contaminated for i in range(1, 6)] == [True, True, False, False, False]
     assert got[2].changed and list(got[2]["items"]) == [10]
@@ -246,6 +246,30 @@ def test_decontamination_of_odd_rows(spark, odd):
     assert decontaminate.decontaminate(odd, nothing).count() == 9 and decontaminate.flag_leaks(empty(spark), bench).count() == 0
 
 
+def test_verbatim_quotes_are_found_whatever_they_hold(spark):
+    """Items of 3 to 200 words, prose and arithmetic; documents with a whole item, with a run of its words, or with shorter runs only."""
+    rng = random.Random(9)
+    signs = lambda n: " ".join(rng.choice(["+", "*", "=", "?", "x", str(rng.randint(0, 99)), f"{rng.randint(2, 9)}x"]) for _ in range(n))
+    items = [(0, "What is 12 * 7 ?"), (1, "Solve 2 x + 3 = 11")]
+    items += [(i, f"{prose(rng, 1)} {signs(n - 1)}" if i % 3 == 0 else prose(rng, n)) for i, n in enumerate([3, 4, 5, 7, 8, 9, 12, 20, 59, 120, 200] * 3, 2)]
+    docs, want = [], set()
+    for i, text in items:
+        words, around = text.split(" "), (prose(rng, 20), prose(rng, 20))
+        docs.append((10 * i, f"{around[0]} {text} {around[1]}", "whole"))
+        want.add((10 * i, i))
+        if len(words) >= 50:
+            at = rng.randrange(len(words) - 50)
+            docs += [(10 * i + 1, f"{around[1]} {' '.join(words[at:at + 13])} {around[0]}", "run"), (10 * i + 2, f"{around[1]} {' '.join(words[at:at + 7])} {around[0]}", "short")]
+            want.add((10 * i + 1, i))
+        docs.append((10 * i + 3, " ".join(around), "clean"))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, DOCS), bench).collect()}
+    texts = {i: t for i, t, _ in docs}
+    # What was not put there on purpose may still stand there: short items in longer ones.
+    extra = {(d, i) for d, i in got - want if f" {dict(items)[i]} " not in f" {texts[d]} "}
+    assert want <= got and not extra
+
+
 # Personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

@@ -4,11 +4,11 @@ Numbers, units after them and names inside sentences become typed placeholders;
 words are hashed and looked up among the benchmark's windows, so a question is found verbatim and with other values put in.
 Windows of one item on one diagonal (same shift between item and document) are an alignment. Along it every value of a slot
 has to be replaced by one value throughout; alignments that fail this are no match. An item leaks into a document when the
-windows of its good alignments cover a given share of the item's windows.
+windows of its good alignments cover a given share of the item's windows, or ``least_run`` consecutive words of it.
 
-Null texts have no words. Windows that are mostly placeholders identify nothing and are left out; an item without another
-window cannot be found, nor can one with fewer than ``least_words`` words. Items shorter than a window are looked for by a
-window of their own length. Equal rows of the documents (same id and text) get equal results.
+Null texts have no words. Windows that are mostly placeholders and signs identify nothing as templates and are looked up word for
+word instead, but for case. Items shorter than a window are looked for by a window of their own length, those with fewer than
+``least_words`` words not at all. Equal rows of the documents (same id and text) get equal results.
 """
 
 from __future__ import annotations
@@ -39,64 +39,74 @@ def template(plain: Column) -> Column:
     return F.translate(F.lower(numbered), _MARKS, "")
 
 
-def _windows(words: Column, length: int) -> Column:
-    """Hashes of all windows, by their first word."""
-    return F.when(F.size(words) >= length, F.transform(
-        F.sequence(F.lit(1), F.size(words) - (length - 1)), lambda i: F.xxhash64(F.slice(words, i, length)))).otherwise(
-        F.array().cast("array<bigint>"))
+def _hash(form: Column, raw: Column) -> Column:
+    """Of a window's template if at least half of its words are fixed ones, else of the words themselves."""
+    fixed = F.aggregate(form, F.lit(0), lambda n, w: n + F.when(w.startswith("<") | (w == ""), 0).otherwise(1))
+    return F.when(2 * fixed >= F.size(form), F.xxhash64(form)).otherwise(F.xxhash64(F.lit("words"), F.transform(raw, F.lower)))
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, least_words: int = 4, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(h, length, item_id, pos, n_windows, form, raw): distinct items' windows that hold enough fixed words."""
+def _windows(length: int) -> Column:
+    """(length, at, h) of all windows of a length, ``at`` counted from 1."""
+    return F.when(F.size("_form") >= length, F.transform(F.sequence(F.lit(1), F.size("_form") - (length - 1)), lambda i: F.struct(
+        F.lit(length).alias("length"), i.alias("at"), _hash(F.slice("_form", i, length), F.slice("_raw", i, length)).alias("h")))).otherwise(
+        F.array().cast("array<struct<length:int,at:int,h:bigint>>"))
+
+
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, least_words: int = 3, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(h, length, item_id, pos, n_windows, form, raw): the windows of distinct items."""
     plain = spaced(F.col(text))
     items = benchmark.select(F.col(item_id).alias("item_id"), F.split(plain, " ").alias("_raw"), F.split(template(plain), " ").alias("_form"))
     items = items.distinct().filter(F.size("_form") >= least_words).withColumn("length", F.least(F.lit(window), F.size("_form")))
     at = F.explode(F.sequence(F.lit(1), F.size("_form") - F.col("length") + 1))
     rows = items.select("item_id", "length", "_raw", "_form", at.alias("pos")).select(
         "item_id", "length", "pos", F.slice("_form", F.col("pos"), F.col("length")).alias("form"), F.slice("_raw", F.col("pos"), F.col("length")).alias("raw"))
-    fixed = F.size(F.filter("form", lambda w: ~w.startswith("<") & (w != "")))
-    rows = rows.filter(2 * fixed >= F.col("length")).withColumn("h", F.xxhash64("form"))
     counts = rows.groupBy("item_id").agg(F.countDistinct("pos").alias("n_windows"))
-    return rows.join(counts, "item_id").select("h", "length", "item_id", "pos", "n_windows", "form", "raw")
+    return rows.withColumn("h", _hash(F.col("form"), F.col("raw"))).join(counts, "item_id").select("h", "length", "item_id", "pos", "n_windows", "form", "raw")
+
+
+def _longest(places: Column) -> Column:
+    """The most consecutive numbers in a sorted array."""
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(state, place):
+        run = F.when(place == state["last"] + 1, state["run"] + 1).otherwise(F.lit(1))
+        return F.struct(place.alias("last"), run.alias("run"), F.greatest(state["most"], run).alias("most"))
+
+    return F.aggregate(places, start, step, lambda state: state["most"])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.3, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text",
-          **options) -> DataFrame:
-    """(doc_id, _text, item_id, covered, changed, start, end): items of which a document covers at least a share ``coverage``.
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.3, least_run: int = 13, window: int = WINDOW, doc_id: str = "doc_id",
+          text: str = "text", **options) -> DataFrame:
+    """(doc_id, _text, item_id, covered, changed, start, end): items of which a document covers a share ``coverage`` or a run of words.
 
     ``covered`` is the share of the item's windows, ``changed`` tells that a slot holds another value than the item's, and
     ``start`` and ``end`` are the first and last word of the passage in the document. ``_text`` is a hash of the text.
     """
     known = written(benchmark_windows(benchmark, window, **options), "windows")
     lengths = [r["length"] for r in known.select("length").distinct().collect()]  # window lengths up to `window`
-    small = known.count() <= BROADCAST_WINDOWS
     plain = spaced(F.col(text))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text"),
                        F.split(plain, " ").alias("_raw"), F.split(template(plain), " ").alias("_form"))
-    hits = None
-    for length in sorted(lengths):
-        wanted = known.filter(F.col("length") == length).drop("length")
-        seen = rows.select("doc_id", "_text", "_raw", F.posexplode(_windows(F.col("_form"), length)).alias("_at", "h"))
-        found = seen.join(F.broadcast(wanted) if small else wanted, "h").select(
-            "doc_id", "_text", "item_id", "pos", "n_windows", "form", "raw", (F.col("_at") + 1 - F.col("pos")).alias("shift"),
-            F.lit(length).alias("length"), F.slice("_raw", F.col("_at") + 1, length).alias("here"))
-        hits = found if hits is None else hits.union(found)
-    if hits is None:
+    if not lengths:
         return rows.limit(0).select("doc_id", "_text", F.lit(None).cast("bigint").alias("item_id"), F.lit(0.0).alias("covered"),
                                     F.lit(False).alias("changed"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    seen = rows.select("doc_id", "_text", "_raw", F.inline(F.concat(*[_windows(length) for length in sorted(lengths)])))
+    found = seen.join(F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known, ["h", "length"])
+    hits = found.select("doc_id", "_text", "item_id", "pos", "n_windows", "form", "raw", "length", (F.col("at") - F.col("pos")).alias("shift"),
+                        F.slice("_raw", F.col("at"), F.col("length")).alias("here"))
     bare = lambda w: F.translate(w, _MARKS, "")
     slots = F.filter(F.zip_with("form", F.arrays_zip("raw", "here"), lambda w, p: F.when(
         w.startswith("<"), F.struct(bare(p["raw"]).alias("item"), bare(p["here"]).alias("doc")))), lambda s: s.isNotNull())
     aligned = (hits.withColumn("_slots", slots).groupBy("doc_id", "_text", "item_id", "shift").agg(
-        F.collect_set("pos").alias("_pos"), F.array_distinct(F.flatten(F.collect_set("_slots"))).alias("_slots"),
+        F.sort_array(F.collect_set("pos")).alias("_pos"), F.array_distinct(F.flatten(F.collect_set("_slots"))).alias("_slots"),
         F.first("n_windows").alias("n_windows"), F.min(F.col("pos") + F.col("shift")).alias("start"),
-        F.max(F.col("pos") + F.col("shift") + F.col("length") - 1).alias("end"))
-        .filter(F.size("_slots") == F.size(F.array_distinct(F.transform("_slots", lambda s: s["item"])))))
+        F.max(F.col("pos") + F.col("shift") + F.col("length") - 1).alias("end"), F.first("length").alias("length"))
+        .withColumn("_run", _longest(F.col("_pos")) + F.col("length") - 1).filter(F.size("_slots") == F.size(F.array_distinct(F.transform("_slots", lambda s: s["item"])))))
     changed = F.exists("_slots", lambda s: s["item"] != s["doc"])
     return (aligned.groupBy("doc_id", "_text", "item_id").agg(
         (F.size(F.array_distinct(F.flatten(F.collect_list("_pos")))) / F.first("n_windows")).alias("covered"),
-        F.max(changed).alias("changed"), F.min("start").alias("start"), F.max("end").alias("end"))
-        .filter(F.col("covered") >= coverage))
+        F.max(changed).alias("changed"), F.min("start").alias("start"), F.max("end").alias("end"), F.max("_run").alias("_run"))
+        .filter((F.col("covered") >= coverage) | (F.col("_run") >= least_run)).drop("_run"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
