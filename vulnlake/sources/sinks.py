@@ -29,8 +29,9 @@ def record_scans(scans: DataFrame, findings: DataFrame, path: str) -> None:
     """Appends scans (with counts) and findings, both partitioned by scan date."""
     rows = scan_record(findings, scans).withColumn("scan_date", F.to_date("ts"))
     dated = findings.join(scans.select("scan_id", F.to_date("ts").alias("scan_date")), "scan_id")
-    rows.write.mode("append").partitionBy("scan_date").parquet(f"{path}/scans")
-    dated.write.mode("append").partitionBy("scan_date").parquet(f"{path}/findings")
+    # Rows of a date meet before they are written, so a date gets few files; a date with very many rows is split.
+    rows.hint("rebalance", "scan_date").write.mode("append").partitionBy("scan_date").parquet(f"{path}/scans")
+    dated.hint("rebalance", "scan_date").write.mode("append").partitionBy("scan_date").parquet(f"{path}/findings")
 
 
 def remove_old_scans(spark: SparkSession, path: str, cutoff_date: str, target: str) -> None:
@@ -40,7 +41,7 @@ def remove_old_scans(spark: SparkSession, path: str, cutoff_date: str, target: s
     """
     for name in ("scans", "findings"):
         kept = spark.read.parquet(f"{path}/{name}").filter(F.col("scan_date") >= F.lit(cutoff_date).cast("date"))
-        kept.write.mode("overwrite").partitionBy("scan_date").parquet(f"{target}/{name}")
+        kept.hint("rebalance", "scan_date").write.mode("overwrite").partitionBy("scan_date").parquet(f"{target}/{name}")
 
 
 def append_feedback(feedback: DataFrame, path: str) -> None:
