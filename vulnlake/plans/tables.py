@@ -114,6 +114,11 @@ def pick(values, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values)).cast("int") + 1)
 
 
+def whole_quotient(number: Column, by: int) -> Column:
+    """Division of whole numbers; ``/`` would go through doubles, which are not exact beyond 2 ** 53."""
+    return F.call_function("div", number, F.lit(by))
+
+
 def sql_pick(values, index: str) -> str:
     return f"{sql_list(values)}[1 + ({index}) % {len(values)}]"
 
