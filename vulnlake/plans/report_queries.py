@@ -253,7 +253,7 @@ def unified_responses(spark, sf):
     item = F.struct("severity", "message", F.col("line").alias("line"), F.col("line").alias("start_line"), F.col("line").alias("end_line"), "rule_id",
                     F.col("type").alias("vulnerability_type"), F.col("message").alias("explanation"), F.array(F.lit("bandit"), F.lit("semgrep")).alias("sources"),
                     F.col("cwe").alias("cwe_id"), F.lit("pattern").alias("tool"))
-    key = F.floor(F.col("position") / 1000000000)
+    key = whole_quotient(F.col("position"), 1_000_000_000)
     grouped = f.groupBy(key.alias("response_id")).agg(F.array_sort(F.collect_list(item)).alias("items"))
     shape = F.col("response_id") % 4
     file = F.struct(F.lit("a.py").alias("file_path"), F.lit("python").alias("language"), F.col("items").alias("findings"))
