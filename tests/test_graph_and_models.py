@@ -110,3 +110,15 @@ def test_outside_model(spark):
         return lambda batch: pd.Series(batch.str.len() / 5)
 
     assert sorted((r.code, r.prediction) for r in models.score_with(frame, load).collect()) == [("a", 0), ("aaaa", 1)]
+
+
+def test_the_register_is_sent_to_the_predictions(spark, tmp_path):
+    """However small the predictions look: only the register has a known number of rows."""
+    predictions(spark, [(0.9, 1.0), (0.4, 3.0)]).select(F.lit("net").alias("model"), "probability").write.parquet(str(tmp_path / "p"))
+    register = votes.model_register(spark, [("net", "mlp", 1.5, 0.9), ("tree", "gbt", 1.0, None)])
+    assert [tuple(r) for r in register.collect()] == [(0, "net", "mlp", 1.5, 0.9), (1, "tree", "gbt", 1.0, None)]
+    joined = votes.with_weights(spark.read.parquet(str(tmp_path / "p")), register)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "ExistingRDD" not in plan
+    assert sorted((r.model, r.model_no, r.weight, r.probability) for r in joined.collect()) == [("net", 0, 1.5, 0.4), ("net", 0, 1.5, 0.9)]
+    assert votes.model_register(spark, []).count() == 0

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vulnlake.session import ensure_checkpoint_dir
@@ -55,6 +56,13 @@ def number_rows(frame: DataFrame, order: list[Column], name: str = "row_no", by:
     return running_sums(frame, order, {name: F.lit(1)}, by).withColumn(name, F.col(name).cast("bigint"))
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], types: dict[str, pa.DataType]) -> DataFrame:
+    """A few rows as a table whose number of rows and bytes the plan knows; rows from Python lists have no known size,
+    and a join then sends the other side to all tasks."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(types)
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types)))
+
+
 def bounded_broadcast(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only where the plan itself proves an upper limit of rows (a limit or a
     literal table) and estimates few bytes; otherwise Spark chooses the join by measured size."""

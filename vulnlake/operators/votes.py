@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.operators.scale import bounded_broadcast
+from vulnlake.operators.scale import bounded_broadcast, literal_table
 
 STRATEGIES = ("majority", "weighted", "average", "max_confidence", "stacking")
 
@@ -58,8 +59,8 @@ def combine(predictions: DataFrame, strategy: str = "weighted", key: str = "samp
 
 def model_register(spark: SparkSession, models) -> DataFrame:
     """(model_no, model, kind, weight, accuracy) from rows in registration order."""
-    return spark.createDataFrame([(i, *m) for i, m in enumerate(models)],
-                                 "model_no int, model string, kind string, weight double, accuracy double")
+    return literal_table(spark, [(i, *m) for i, m in enumerate(models)], {
+        "model_no": pa.int32(), "model": pa.string(), "kind": pa.string(), "weight": pa.float64(), "accuracy": pa.float64()})
 
 
 def with_weights(predictions: DataFrame, register: DataFrame) -> DataFrame:
