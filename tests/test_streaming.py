@@ -146,3 +146,17 @@ def test_secret_stream_and_retention(spark, tmp_path):
     ticks = spark.readStream.schema("path string, language string, text string, arrived timestamp").option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
     jobs.retention_stream(ticks.withColumnRenamed("arrived", "ts"), str(tmp_path / "r"), seen.append).awaitTermination()
     assert seen == [BASE]
+
+
+def test_a_client_has_one_timer_however_many_seconds_wait(spark, tmp_path):
+    """Each second of a client had a timer, state reads and a frame of its own; what arrives together is now decided together, in any chunks."""
+    frame, rows = requests(spark)
+    frame = frame.withColumn("_part", F.lit(0).cast("bigint")).unionByName(far_row(frame, 1))
+    source = stream_of(spark, frame.repartition(3), tmp_path, 2).withWatermark("ts", "1 minute")
+    for seconds in (7, 86400):
+        query = jobs.start(admission.decide_stream(source, ["client"], 4, 10, "request_id", chunk_seconds=seconds), str(tmp_path / f"out{seconds}"), str(tmp_path / f"state{seconds}"))
+        query.awaitTermination()
+        got = {r.request_id: (r.allowed, r.remaining, r.retry_after) for r in spark.read.parquet(str(tmp_path / f"out{seconds}")).collect()}
+        assert got == expected(rows, 4, 10)
+        timers = sum(o["customMetrics"].get("numRegisteredTimers", 0) for p in query.recentProgress for o in p["stateOperators"])
+        assert 0 < timers <= 3 * 4  # an arrival, a decision and a drop for each of four clients

@@ -158,60 +158,92 @@ def _sliced(rows: DataFrame, requests: DataFrame, names: list[str], order: str,
 class Admission(StatefulProcessor):
     """Decides the requests of a key in order of time, whatever the order and the micro-batches in which they come.
 
-    Rows wait in state, by time slice, until the watermark has passed their slice; a timer then decides the slice in order. Kept
-    are the waiting rows and the accepted times, which are dropped by a timer an hour after the last decision. In memory is one
-    slice of one key at a time.
+    Rows wait in state, by chunks of ``chunk_ms`` of their time, until the watermark has passed their slice. A key has one timer, at the
+    end of the first slice that waits; when it fires, all slices that the watermark has passed are decided in order, chunk by
+    chunk. Kept are the waiting rows and the accepted times, which another timer drops an hour after the last of them. In
+    memory is one chunk of one key at a time.
     """
 
-    def __init__(self, limit: int, window: float, order: str, slice_ms: int):
-        self.limit, self.window, self.order, self.slice_ms = limit, window, order, slice_ms
+    def __init__(self, limit: int, window: float, order: str, slice_ms: int, chunk_ms: int):
+        self.limit, self.window, self.order, self.slice_ms, self.chunk_ms = limit, window, order, slice_ms, chunk_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "slice long", "part binary")
+        self.waiting = handle.getMapState("waiting", "chunk long", "part binary")
         self.accepted = handle.getListState("accepted", "time double")
+        self.due = handle.getValueState("due", "time long")
+
+    def _ends(self, rows: pd.DataFrame):
+        """When the slices of the rows end, in milliseconds."""
+        return (rows["ts"].astype("datetime64[us]").astype("int64").to_numpy() // (self.slice_ms * 1000) + 1) * self.slice_ms
+
+    def _expect(self, time: int) -> None:
+        self.handle.registerTimer(time)
+        self.due.update((time,))
 
     def handleInputRows(self, key, rows, timerValues):
+        first = None
         for frame in rows:
-            slices = frame["ts"].astype("datetime64[us]").astype("int64") // (self.slice_ms * 1000)
-            for number, part in frame.groupby(slices):
+            ends = self._ends(frame)
+            chunks = (ends - self.slice_ms) // self.chunk_ms
+            first = min(int(ends.min()), first) if first is not None else int(ends.min())
+            for number, part in [(chunks[0], frame)] if (chunks == chunks[0]).all() else frame.groupby(chunks):
                 place = (int(number),)
-                if self.waiting.containsKey(place):
-                    part = pd.concat([pickle.loads(self.waiting.getValue(place)[0]), part])
-                else:
-                    self.handle.registerTimer((int(number) + 1) * self.slice_ms)
+                before = self.waiting.getValue(place)
+                if before is not None:
+                    part = pd.concat([pickle.loads(before[0]), part])
                 self.waiting.updateValue(place, (pickle.dumps(part),))
+        due = self.due.get()
+        if first is not None and (due is None or first < due[0]):
+            if due is not None:
+                self.handle.deleteTimer(due[0])
+            self._expect(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = expiredTimerInfo.getExpiryTimeInMs()
-        place = (now // self.slice_ms - 1,)
-        times = [row[0] for row in self.accepted.get()]
-        if now % self.slice_ms == 0 and self.waiting.containsKey(place):
+        accepted = deque(row[0] for row in self.accepted.get())
+        due = self.due.get()
+        if due is None or due[0] != now:
+            if accepted and accepted[-1] * 1000 <= now - KEEP_SECONDS * 1000:
+                self.accepted.clear()
+            return
+        self.due.clear()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for number in sorted(place[0] for place in self.waiting.keys()):
+            place = (number,)
             rows = pickle.loads(self.waiting.getValue(place)[0])
-            self.waiting.removeKey(place)
-            rows = rows.sort_values(["ts", self.order], kind="stable").reset_index(drop=True)
-            accepted = deque(times)
-            seconds = rows["ts"].astype("datetime64[us]").astype("int64") / 1e6
-            result = pd.DataFrame(admit(seconds, accepted, self.limit, self.window), columns=["allowed", "remaining", "retry_after"])
+            passed = self._ends(rows) < watermark
+            left = rows[~passed]
+            if len(left) < len(rows):
+                rows = rows[passed].sort_values(["ts", self.order], kind="stable").reset_index(drop=True)
+                seconds = rows["ts"].astype("datetime64[us]").astype("int64") / 1e6
+                result = pd.DataFrame(admit(seconds, accepted, self.limit, self.window), columns=["allowed", "remaining", "retry_after"])
+                yield pd.concat([rows, result], axis=1)
+                if len(left):
+                    self.waiting.updateValue(place, (pickle.dumps(left),))
+                else:
+                    self.waiting.removeKey(place)
+            if len(left):
+                self._expect(int(self._ends(left).min()))
+                break
+        if accepted:
             self.accepted.put([(t,) for t in accepted])
-            self.handle.registerTimer(now + KEEP_SECONDS * 1000)
-            yield pd.concat([rows, result], axis=1)
-        elif times and times[-1] * 1000 <= now - KEEP_SECONDS * 1000:
-            self.accepted.clear()
+            self.handle.registerTimer(math.ceil(accepted[-1] * 1000) + KEEP_SECONDS * 1000)
 
     def close(self) -> None:
         pass
 
 
-def decide_stream(requests: DataFrame, keys: list[str], limit: int, window: int, order: str, slice_seconds: float = 1) -> DataFrame:
+def decide_stream(requests: DataFrame, keys: list[str], limit: int, window: int, order: str, slice_seconds: float = 1,
+                  chunk_seconds: float = 86400) -> DataFrame:
     """Exact decisions on a stream with an event-time watermark, equal to those of `decide` over the same rows.
 
     A request is decided when the watermark has passed the end of its slice; rows that come later than the watermark are dropped
-    by Spark. Needs the RocksDB state store, which this sets for the session.
+    by Spark. Rows of a key wait in chunks of ``chunk_seconds``, of which one is in memory at a time. Needs the RocksDB state store, which this sets for the session.
     """
     spark = requests.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
     return requests.groupBy(*keys).transformWithStateInPandas(
-        Admission(limit, window, order, int(slice_seconds * 1000)), f"{fields}, {RESULT}", "append", "eventTime")
+        Admission(limit, window, order, int(slice_seconds * 1000), int(chunk_seconds * 1000)), f"{fields}, {RESULT}", "append", "eventTime")
