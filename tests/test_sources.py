@@ -1,5 +1,6 @@
 """Readers and writers on small files."""
 
+import gzip
 import json
 import zipfile
 
@@ -182,6 +183,25 @@ def test_large_documents_are_written_by_many_tasks(spark, tmp_path):
     assert back.filter("text LIKE '{\"id\"%'").count() == 5000 and {r.key for r in back.select("key").distinct().collect()} == set(found)
 
 
+def test_compressed_documents_hold_the_same_and_are_read_by_members(spark, tmp_path):
+    """Megabytes of lines: several gzip members in a part, read back by several tasks; no second copy stays beside the documents."""
+    rows = spark.range(48000).select(F.when(F.col("id") % 50 > 0, "hot").otherwise("é %").alias("k"), "id", F.repeat(F.lit("module "), 150).alias("message"))
+    table = documents.frame_lines(rows.select("k").distinct(), "k", {0: '{"items":[', 2: "]}"}).unionByName(
+        documents.lines(rows, "k", 1, F.to_json(F.struct("id", "message")), F.col("id"))).coalesce(4)
+    plain = written_documents(table, tmp_path / "plain")
+    sizes = {r.key: r.bytes for r in documents.write_documents(table, str(tmp_path / "packed"), compressed=True).collect()}
+    assert set(sizes) == set(plain)
+    for key, size in sizes.items():
+        packed = (tmp_path / "packed" / documents.file_name(key, compressed=True)).read_bytes()
+        assert len(packed) == size and gzip.decompress(packed) == (tmp_path / "plain" / documents.file_name(key)).read_bytes()
+    members = spark.read.schema(documents.DOCUMENT).json(str(tmp_path / "packed" / "_documents")).filter("key = 'hot'").first().members
+    parts = spark.read.schema(documents.PART).json(str(tmp_path / "packed" / "_listed")).filter("key = 'hot'").count()
+    assert len(members) > parts > 1
+    both = [documents.read_lines(spark, str(tmp_path / f), c) for f, c in (("plain", False), ("packed", True))]
+    assert both[0].exceptAll(both[1]).count() == 0 and both[1].exceptAll(both[0]).count() == 0 and both[0].count() == 48004
+    assert not (tmp_path / "plain" / "_parts").exists() and not (tmp_path / "packed" / "_parts").exists()
+
+
 def test_split_output(spark, tmp_path):
     frame = spark.range(40).select(F.col("id").cast("string").alias("fingerprint"), (F.col("id") % 2).cast("int").alias("label"))
     sinks.write_splits(corpus.split_by_hash(frame), str(tmp_path / "out"))

@@ -430,8 +430,8 @@ def sarif_results(spark, sf):
 def _read_back(spark, table):
     """(key, text) of the lines of documents that are written and read again."""
     folder = f"{ensure_checkpoint_dir(spark)}/documents-{uuid.uuid4().hex}"
-    documents.write_documents(table, folder)
-    return documents.read_lines(spark, folder)
+    documents.write_documents(table, folder, compressed=True)
+    return documents.read_lines(spark, folder, compressed=True)
 
 
 @query("s14_sarif_documents", with_findings("""SELECT CAST(scan_id AS VARCHAR) AS scan_id, lower(replace(type, ' ', '_')) AS rule_id,
