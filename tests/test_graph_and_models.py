@@ -122,3 +122,22 @@ def test_the_register_is_sent_to_the_predictions(spark, tmp_path):
     assert "BuildRight" in plan and "BuildLeft" not in plan and "ExistingRDD" not in plan
     assert sorted((r.model, r.model_no, r.weight, r.probability) for r in joined.collect()) == [("net", 0, 1.5, 0.4), ("net", 0, 1.5, 0.9)]
     assert votes.model_register(spark, []).count() == 0
+
+
+def test_nodes_leave_a_task_in_small_batches(spark):
+    """However many texts come in one batch, a task never holds all their nodes."""
+    import pyarrow as pa
+
+    texts = [TEXT] * 2000 + ["def broken(:", "", None, "z = " + "+".join(map(str, range(90)))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["file_id", "text"])
+    parts = list(graph._node_batches([batch], None))
+    assert len(parts) > 5 and max(p.num_rows for p in parts) <= graph.BATCH_NODES
+    assert sum(p.num_rows for p in parts) == sum(sum(1 for _ in ast.walk(ast.parse(t or ""))) for t in texts if t != "def broken(:")
+
+
+def test_edges_of_several_kinds_parse_texts_once(spark):
+    from vulnlake.plans import catalog
+
+    for name in ("g4_dataflow_edges", "a35_graph_stats"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and "nodes-" in plan

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ast
+from functools import partial
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -16,6 +18,8 @@ NODE_TYPES = {
 _SQL_NAMES = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean"}
 NODE_SCHEMA = ", ".join(f"{name} {_SQL_NAMES[kind]}" for name, kind in NODE_TYPES.items())
 
+BATCH_NODES = 8192
+
 # Kinds of nodes by their role.
 CONTROL = ("If", "While", "For", "AsyncFor", "IfExp", "Match", "Try")
 LOOPS = ("While", "For", "AsyncFor")
@@ -47,6 +51,17 @@ def _value(node, value_chars):
     return None
 
 
+def _children(node):
+    found = []
+    for name in node._fields:
+        part = getattr(node, name, None)
+        if isinstance(part, ast.AST):
+            found.append((part, name, 0))
+        elif isinstance(part, list):
+            found += [(child, name, i) for i, child in enumerate(part) if isinstance(child, ast.AST)]
+    return found
+
+
 def _nodes_of(file_id, text, value_chars):
     """Node rows of one text in pre-order; nothing for a text that does not parse."""
     try:
@@ -57,31 +72,35 @@ def _nodes_of(file_id, text, value_chars):
     number = 0
     while stack:
         node, parent, parent_type, field, place, depth = stack.pop()
-        children = [(child, name, i) for name, part in ast.iter_fields(node)
-                    for i, child in enumerate(part if isinstance(part, list) else [part]) if isinstance(child, ast.AST)]
         kind = type(node).__name__
+        if not node._fields and not node._attributes:  # contexts and operators: no children, value or place
+            yield (file_id, number, kind, None, 0, 0, 0, 0, parent, parent_type, field, place, depth, 0, False)
+            number += 1
+            continue
+        children = _children(node)
         line, column = getattr(node, "lineno", 0), getattr(node, "col_offset", 0)
         stores = isinstance(node, ast.arg) or isinstance(getattr(node, "ctx", None), ast.Store)
         yield (file_id, number, kind, _value(node, value_chars), line, getattr(node, "end_lineno", line) or line,
                column, getattr(node, "end_col_offset", column) or column, parent, parent_type, field, place, depth,
-               len(children), bool(stores))
+               len(children), stores)
         stack.extend((child, number, kind, name, i, depth + 1) for child, name, i in reversed(children))
         number += 1
 
 
+def _node_batches(batches, value_chars):
+    for batch in batches:
+        texts = zip(batch.column("file_id").to_pylist(), batch.column("text").to_pylist())
+        rows = (row for file_id, text in texts for row in _nodes_of(file_id, text or "", value_chars))
+        while part := list(islice(rows, BATCH_NODES)):
+            yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*part), NODE_TYPES.values())],
+                                             names=list(NODE_TYPES))
+
+
 def parse_nodes(files: DataFrame, value_chars: int | None = None) -> DataFrame:
     """(file_id, text) to node rows. Texts are independent, so any partitioning will do.
 
-    Constants are kept whole unless ``value_chars`` cuts them."""
-    def parse(batches):
-        for batch in batches:
-            texts = zip(batch.column("file_id").to_pylist(), batch.column("text").to_pylist())
-            rows = [row for file_id, text in texts for row in _nodes_of(file_id, text or "", value_chars)]
-            columns = zip(*rows) if rows else [()] * len(NODE_TYPES)
-            yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(columns, NODE_TYPES.values())],
-                                             names=list(NODE_TYPES))
-
-    return files.select("file_id", "text").mapInArrow(parse, NODE_SCHEMA)
+    Constants are kept whole unless ``value_chars`` cuts them. A task holds the tree of one text and a few thousand node rows."""
+    return files.select("file_id", "text").mapInArrow(partial(_node_batches, value_chars=value_chars), NODE_SCHEMA)
 
 
 def _edges(frame: DataFrame, source, target, kind: str) -> DataFrame:

@@ -470,7 +470,7 @@ def sequence_edges(spark, sf):
 
 @query("g4_dataflow_edges")
 def dataflow_edges(spark, sf):
-    n = _nodes(spark, sf)
+    n = kept(_nodes(spark, sf), "nodes")  # texts are parsed once for all edges
     return graph.dataflow_edges(n).withColumn("form", F.lit("all")).unionByName(graph.dataflow_edges(n, True).withColumn("form", F.lit("last")))
 
 
@@ -491,7 +491,7 @@ def leaf_tokens(spark, sf):
 
 @query("a35_graph_stats")
 def graph_stats(spark, sf):
-    n = _nodes(spark, sf)
+    n = kept(_nodes(spark, sf), "nodes")  # texts are parsed once for all edges
     edges = graph.tree_edges(n).unionByName(graph.sequence_edges(n)).unionByName(graph.dataflow_edges(n))
     return graph.graph_stats(n, edges)
 
