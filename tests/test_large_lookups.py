@@ -62,3 +62,25 @@ def test_blocks_make_up_the_interval(spark):
     for r in frame.select("a", "b", lookups._dyadic(F.col("a"), F.col("b"), 5).alias("blocks")).collect():
         covered = [n for x in r.blocks for n in range(x.block << x.level, (x.block + 1) << x.level)]
         assert sorted(covered) == list(range(r.a, r.b + 1))
+
+
+def test_parts_that_differ_in_their_last_letters_meet_few_texts(spark):
+    """Each part has a gram of its own, so the texts make about as many pairs as they have hits; a gram of three bytes met a tenth of all."""
+    from vulnlake.operators import grams
+
+    n = 3000
+    parts = spark.range(n).select(F.concat(F.lit("issue "), (F.col("id") + 10000).cast("string")).alias("part"))
+    index = grams.rarest_grams(parts.select("part", F.explode(grams.long_grams(F.col("part"))).alias("gram")), ["part"])
+    texts = parts.select(F.concat("part", F.lit(" in module module é")).alias("text"), "part")
+    met = texts.select("text", F.explode(grams.grams_of(F.col("text"), 8)).alias("gram")).join(index, "gram")
+    assert met.count() <= 3 * n and met.filter(F.col("text").contains(F.col("part"))).count() == n
+
+
+def test_parts_of_every_length_are_found(spark):
+    names = ["", "é", "abc", "abcd", "abcde", "x" * 8, "y" * 15 + "z", "q" * 100, "Ä" * 20]
+    catalogue = spark.createDataFrame([(i, p, f"c{i}") for i, p in enumerate(names) if p], "place int, part string, category string")
+    texts = [f"-{p.upper()}-" for p in names] + ["", "abce", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = {r.id: r.category for r in lookups.first_contained(rows, "text", catalogue).collect()}
+    want = {i: None if t is None else next((f"c{j}" for j, p in enumerate(names) if p and p.lower() in t.lower()), None) for i, t in enumerate(texts)}
+    assert got == want

@@ -29,6 +29,27 @@ def looked_up(text: Column) -> Column:
     return F.concat(F.array_distinct(grams(text)), F.array(F.lit(EVERY_TEXT)))
 
 
+#: Lengths of grams for tables of many parts that are alike; a part stands under grams of the greatest length it holds.
+LENGTHS = (4, 8, 16, 32, 64)
+
+
+def long_grams(text: Column) -> Column:
+    """Numbers of the grams of a text that are of its greatest length in `LENGTHS`; none if it is shorter than all of them."""
+    size, length = F.octet_length(text), F.lit(None).cast("int")
+    for n in LENGTHS:
+        length = F.when(size >= n, n).otherwise(length)
+    return F.when(length.isNotNull(), grams_of(text, length)).otherwise(F.array().cast("array<bigint>"))
+
+
+def grams_of(text: Column, length: Column | int) -> Column:
+    """Numbers of all grams of one length, each once."""
+    length = F.lit(length) if isinstance(length, int) else length
+    last = F.octet_length(text) - length + 1
+    data = text.cast("binary")
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(
+        F.substring(data, i, length))))).otherwise(F.array().cast("array<bigint>"))
+
+
 def rarest_grams(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Of several rows (keys, gram) the one whose gram is the rarest in the table."""
     uses = rows.groupBy("gram").agg(F.count("*").alias("uses"))

@@ -11,7 +11,7 @@ from vulnlake import dimensions as dim
 from vulnlake.functions.severity import mapped
 from vulnlake.functions.text import computed_once, contains_any
 from vulnlake.functions.versions import bounds_of, parse_version, within_bounds
-from vulnlake.operators.grams import EVERY_TEXT, GRAM, grams, looked_up, rarest_grams, sent_if_small
+from vulnlake.operators.grams import EVERY_TEXT, LENGTHS, grams_of, long_grams, rarest_grams, sent_if_small
 from vulnlake.operators.scale import kept, number_rows
 
 
@@ -62,15 +62,20 @@ def owasp_of_type(kind: Column) -> Column:
 def first_contained(rows: DataFrame, text: str, catalogue: DataFrame, result: str = "category") -> DataFrame:
     """Adds the category of the first part, by ``place``, that a text holds in any case; null if it holds none.
 
-    ``catalogue`` (place, part, category) may have any number of parts. Each stands in an index under its rarest gram, a part
-    shorter than a gram under one that all texts have. Equal texts are looked up once, and meet only parts whose gram they hold.
+    ``catalogue`` (place, part, category) may have any number of parts. Each stands in an index under its rarest gram of the
+    greatest length (`grams.LENGTHS`) that fits into it, so that parts that differ in their last letters only do not share one; a
+    part shorter than all of them stands under a gram of every text. Equal texts are looked up once, and meet only parts whose
+    gram they hold.
     """
     parts = catalogue.select("place", F.lower("part").alias("part"), F.col("category").alias("_category"))
-    short = F.octet_length("part") < GRAM
-    long = rarest_grams(parts.filter(~short).select("*", F.explode(F.array_distinct(grams(F.col("part")))).alias("gram")), parts.columns)
-    index = sent_if_small(long.unionByName(parts.filter(short).withColumn("gram", F.lit(EVERY_TEXT))))
+    short = F.octet_length("part") < LENGTHS[0]
+    long = rarest_grams(parts.filter(~short).select("*", F.explode(long_grams(F.col("part"))).alias("gram")), parts.columns)
+    index = kept(long.unionByName(parts.filter(short).withColumn("gram", F.lit(EVERY_TEXT))), "index")
+    sizes = sorted(r[0] for r in index.select(F.octet_length("part").alias("n")).distinct().select(
+        F.greatest(*[F.when(F.col("n") >= m, m).otherwise(0) for m in (0, *LENGTHS)])).distinct().collect())
     texts = computed_once(rows.select(F.lower(text).alias("_text")).distinct(), _low=F.col("_text"))
-    met = texts.select("_low", F.explode(looked_up(F.col("_low"))).alias("gram")).join(index, "gram").filter(F.col("_low").contains(F.col("part")))
+    asked = F.concat(F.array(F.lit(EVERY_TEXT).cast("bigint")), *[grams_of(F.col("_low"), n) for n in sizes if n])
+    met = texts.select("_low", F.explode(asked).alias("gram")).join(sent_if_small(index), "gram").filter(F.col("_low").contains(F.col("part")))
     found = met.groupBy("_low").agg(F.min_by("_category", "place").alias(result))
     return rows.join(found, F.lower(text) == F.col("_low"), "left").drop("_low")
 
