@@ -141,3 +141,27 @@ def test_edges_of_several_kinds_parse_texts_once(spark):
     for name in ("g4_dataflow_edges", "a35_graph_stats"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" not in plan and "nodes-" in plan
+
+
+def test_equal_samples_are_one_row_of_the_training(spark):
+    """A pass over the network costs what distinct samples cost; their number counts in the loss."""
+    import numpy as np
+
+    frame = spark.createDataFrame([(i, "eval(x)" if i % 3 == 0 else "y = 1", int(i % 3 == 0)) for i in range(90)], "id int, code string, label int")
+    samples = models.with_features(frame)
+    assert sorted(r.n for r in models.merged_samples(samples).collect()) == [30, 60]
+    rows = [(r.features.toArray(), r.label, 1) for r in samples.collect()]
+    merged = [(r.x, r.label, r.n) for r in models.merged_samples(samples).collect()]
+    network = models.train_network(samples, 5).stages[0]
+    weights = network.weights.toArray()
+    all_rows, few_rows = (models.loss_and_gradient(weights, models._arrays(part)) for part in (rows, merged))
+    assert np.allclose(all_rows, few_rows)
+    # Spark's network gives the same probabilities, and the gradient is that of the loss.
+    shares = np.array([network.predictProbability(r.features)[r.label] for r in samples.collect()])
+    assert np.isclose(-np.log(shares).sum(), all_rows[0])
+    for at in (3, 6600, len(weights) - 1):
+        moved = [weights + step * (np.arange(len(weights)) == at) for step in (1e-5, -1e-5)]
+        up, down = (models.loss_and_gradient(w, models._arrays(merged))[0] for w in moved)
+        assert np.isclose((up - down) / 2e-5, few_rows[at + 1], atol=1e-5)
+    again = models.train_network(samples.unionByName(samples), 5).stages[0]
+    assert np.allclose(again.weights.toArray(), weights, atol=1e-6)
