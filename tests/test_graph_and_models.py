@@ -165,3 +165,24 @@ def test_equal_samples_are_one_row_of_the_training(spark):
         assert np.isclose((up - down) / 2e-5, few_rows[at + 1], atol=1e-5)
     again = models.train_network(samples.unionByName(samples), 5).stages[0]
     assert np.allclose(again.weights.toArray(), weights, atol=1e-6)
+
+
+def test_edges_and_features_have_only_their_columns_sent(spark):
+    from vulnlake.plans import catalog
+
+    for name, columns, unused in (("g5_control_edges", graph.CONTROL_COLUMNS, ("end_col", "value")), ("g6_g7_node_features", graph.FEATURE_COLUMNS, ("end_col", "field_no"))):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and not any(f"{column}#" in plan for column in unused)
+    texts = spark.createDataFrame([(7, TEXT), (8, "def broken(:")], "file_id long, text string")
+    for columns, step in ((graph.CONTROL_COLUMNS, graph.control_edges), (graph.FEATURE_COLUMNS, graph.node_features)):
+        few, every = (step(graph.parse_nodes(texts, columns=c)) for c in (columns, tuple(graph.NODE_TYPES)))
+        assert sorted(map(tuple, few.collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_only_numbers_of_lines_are_shuffled(spark):
+    """The lines of a text are made after the shuffle that brings their numbers together."""
+    from vulnlake.plans import tables
+
+    plan = tables.code_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange"):]
+    assert "l_suppkey" in below and "element_at" not in below

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import gc
 from functools import partial
 from itertools import islice
 
@@ -16,9 +17,13 @@ NODE_TYPES = {
     "field": pa.string(), "field_no": pa.int32(), "depth": pa.int32(), "num_children": pa.int32(), "is_definition": pa.bool_(),
 }
 _SQL_NAMES = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean"}
-NODE_SCHEMA = ", ".join(f"{name} {_SQL_NAMES[kind]}" for name, kind in NODE_TYPES.items())
+
+#: What the edges and features read; a step that needs no more has no other columns built and sent.
+CONTROL_COLUMNS = ("file_id", "node_id", "node_type", "parent_id", "parent_type", "field", "field_no")
+FEATURE_COLUMNS = ("file_id", "node_id", "node_type", "value", "start_line", "end_line", "depth", "num_children")
 
 BATCH_NODES = 8192
+GC_THRESHOLD = (200_000, 20, 100)
 
 # Kinds of nodes by their role.
 CONTROL = ("If", "While", "For", "AsyncFor", "IfExp", "Match", "Try")
@@ -51,15 +56,10 @@ def _value(node, value_chars):
     return None
 
 
-def _children(node):
-    found = []
-    for name in node._fields:
-        part = getattr(node, name, None)
-        if isinstance(part, ast.AST):
-            found.append((part, name, 0))
-        elif isinstance(part, list):
-            found += [(child, name, i) for i, child in enumerate(part) if isinstance(child, ast.AST)]
-    return found
+# What a kind of node says of all its nodes: name, fields, whether it has a place, may have a value, is an argument.
+_VALUED = (ast.Name, ast.arg, ast.Constant, ast.FunctionDef, ast.ClassDef, ast.Call)
+_KINDS = {kind: (kind.__name__, kind._fields, bool(kind._attributes), issubclass(kind, _VALUED), issubclass(kind, ast.arg))
+          for kind in vars(ast).values() if isinstance(kind, type) and issubclass(kind, ast.AST) and (kind is ast.Constant or not issubclass(kind, ast.Constant))}
 
 
 def _nodes_of(file_id, text, value_chars):
@@ -69,38 +69,56 @@ def _nodes_of(file_id, text, value_chars):
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return
     stack = [(root, None, None, None, 0, 0)]
+    pop = stack.pop
     number = 0
     while stack:
-        node, parent, parent_type, field, place, depth = stack.pop()
-        kind = type(node).__name__
-        if not node._fields and not node._attributes:  # contexts and operators: no children, value or place
+        node, parent, parent_type, field, place, depth = pop()
+        kind, fields, placed, valued, stores = _KINDS[node.__class__]
+        if not fields and not placed:  # contexts and operators: no children, value or place
             yield (file_id, number, kind, None, 0, 0, 0, 0, parent, parent_type, field, place, depth, 0, False)
             number += 1
             continue
-        children = _children(node)
-        line, column = getattr(node, "lineno", 0), getattr(node, "col_offset", 0)
-        stores = isinstance(node, ast.arg) or isinstance(getattr(node, "ctx", None), ast.Store)
-        yield (file_id, number, kind, _value(node, value_chars), line, getattr(node, "end_lineno", line) or line,
-               column, getattr(node, "end_col_offset", column) or column, parent, parent_type, field, place, depth,
-               len(children), stores)
-        stack.extend((child, number, kind, name, i, depth + 1) for child, name, i in reversed(children))
+        children = []
+        below = depth + 1
+        for name in fields:
+            part = getattr(node, name, None)
+            if part.__class__ is list:
+                children += [(child, number, kind, name, i, below) for i, child in enumerate(part) if child.__class__ in _KINDS]
+            elif part.__class__ in _KINDS:
+                children.append((part, number, kind, name, 0, below))
+                stores = stores or part.__class__ is ast.Store
+        if placed:
+            line, column = node.lineno, node.col_offset
+            end_line, end_column = node.end_lineno or line, node.end_col_offset or column
+        else:
+            line = column = end_line = end_column = 0
+        yield (file_id, number, kind, _value(node, value_chars) if valued else None, line, end_line, column, end_column,
+               parent, parent_type, field, place, depth, len(children), stores)
+        children.reverse()
+        stack += children
         number += 1
 
 
-def _node_batches(batches, value_chars):
-    for batch in batches:
-        texts = zip(batch.column("file_id").to_pylist(), batch.column("text").to_pylist())
-        rows = (row for file_id, text in texts for row in _nodes_of(file_id, text or "", value_chars))
-        while part := list(islice(rows, BATCH_NODES)):
-            yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*part), NODE_TYPES.values())],
-                                             names=list(NODE_TYPES))
+def _node_batches(batches, value_chars, columns=tuple(NODE_TYPES)):
+    usual = gc.get_threshold()
+    gc.set_threshold(*GC_THRESHOLD)  # trees hold no cycles; looking for some after every few hundred nodes takes a tenth of the time
+    try:
+        for batch in batches:
+            texts = zip(batch.column("file_id").to_pylist(), batch.column("text").to_pylist())
+            rows = (row for file_id, text in texts for row in _nodes_of(file_id, text or "", value_chars))
+            while part := list(islice(rows, BATCH_NODES)):
+                values = dict(zip(NODE_TYPES, zip(*part)))
+                yield pa.RecordBatch.from_arrays([pa.array(values[name], NODE_TYPES[name]) for name in columns], names=list(columns))
+    finally:
+        gc.set_threshold(*usual)
 
 
-def parse_nodes(files: DataFrame, value_chars: int | None = None) -> DataFrame:
+def parse_nodes(files: DataFrame, value_chars: int | None = None, columns: tuple[str, ...] = tuple(NODE_TYPES)) -> DataFrame:
     """(file_id, text) to node rows. Texts are independent, so any partitioning will do.
 
     Constants are kept whole unless ``value_chars`` cuts them. A task holds the tree of one text and a few thousand node rows."""
-    return files.select("file_id", "text").mapInArrow(partial(_node_batches, value_chars=value_chars), NODE_SCHEMA)
+    schema = ", ".join(f"{name} {_SQL_NAMES[NODE_TYPES[name]]}" for name in columns)
+    return files.select("file_id", "text").mapInArrow(partial(_node_batches, value_chars=value_chars, columns=columns), schema)
 
 
 def _edges(frame: DataFrame, source, target, kind: str) -> DataFrame:

@@ -448,9 +448,9 @@ def ranked_search(spark, sf):
 # ------------------------------------------------------------------------ graphs
 
 
-def _nodes(spark, sf):
+def _nodes(spark, sf, columns=tuple(graph.NODE_TYPES)):
     """Nodes of the single lines and whole texts that parse."""
-    return graph.parse_nodes(t.code_files(spark, sf).select("file_id", "text"))
+    return graph.parse_nodes(t.code_files(spark, sf).select("file_id", "text"), columns=columns)
 
 
 @query("g1_nodes")
@@ -476,12 +476,12 @@ def dataflow_edges(spark, sf):
 
 @query("g5_control_edges")
 def control_edges(spark, sf):
-    return graph.control_edges(_nodes(spark, sf))
+    return graph.control_edges(_nodes(spark, sf, graph.CONTROL_COLUMNS))
 
 
 @query("g6_g7_node_features")
 def node_features(spark, sf):
-    return graph.node_features(_nodes(spark, sf))
+    return graph.node_features(_nodes(spark, sf, graph.FEATURE_COLUMNS))
 
 
 @query("g8_leaf_tokens")

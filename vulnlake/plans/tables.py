@@ -124,12 +124,14 @@ def sql_pick(values, index: str) -> str:
 
 
 def _composed(spark, sf, lines) -> DataFrame:
+    """One text per order; only the numbers of which its lines are made are shuffled and sorted, not the lines."""
     li = read(spark, sf, "lineitem")
-    line = F.replace(pick(lines, F.col("l_partkey") * 7 + F.col("l_suppkey")), F.lit("@@"), F.col("l_suppkey").cast("string"))
-    rows = li.select(F.col("l_orderkey").alias("file_id"),
-                     F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", line.alias("line")).alias("s"))
-    return rows.groupBy("file_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["line"]), "\n").alias("text"))
+    rows = li.select(F.col("l_orderkey").alias("file_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("s"))
+
+    def line(s):
+        return F.replace(pick(lines, s["l_partkey"] * 7 + s["l_suppkey"]), F.lit("@@"), s["l_suppkey"].cast("string"))
+
+    return rows.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), line), "\n").alias("text"))
 
 
 def _sql_composed(lines) -> str:
