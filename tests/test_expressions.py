@@ -212,3 +212,24 @@ def test_encode_and_decode(spark):
     assert kept[1] == [2, 4, 5, 4, 3]
     words = corpus.decode(corpus.encode(frame, toks, vocab, "id", 5, keep_end=True), vocab, "id")
     assert {r.id: r.text for r in words.collect()} == {1: "a b a", 2: "a"}
+
+
+def test_a_small_vocabulary_is_looked_up_without_a_shuffle(spark, tmp_path):
+    """Tokens stay in their text; a vocabulary of unknown size is joined and gives the same rows."""
+    from vulnlake.operators import corpus
+
+    frame = spark.createDataFrame([(1, "a b c"), (2, ""), (3, None), (4, "z z"), (5, "<PAD> a"), (6, "a b c a b c")], "id int, text string")
+    toks = F.filter(F.split("text", " "), lambda w: w != "")
+    small = spark.createDataFrame([("a", 4), ("b", 5), ("<EOS>", 6)], "token string, token_id int").limit(3)
+    small.write.parquet(str(tmp_path / "vocab"))
+    large = spark.read.parquet(str(tmp_path / "vocab"))
+    for keep_end in (False, True):
+        for pad in (False, True):
+            near, far = (corpus.encode(frame, toks, v, "id", 5, keep_end, pad) for v in (small, large))
+            assert sorted(map(tuple, near.collect())) == sorted(map(tuple, far.collect()))
+            plan = near._jdf.queryExecution().executedPlan().toString()
+            assert "Join" not in plan and "Exchange" not in plan
+            words, slow = (corpus.decode(near, v, "id") for v in (small, large))
+            assert sorted(map(tuple, words.collect())) == sorted(map(tuple, slow.collect()))
+            plan = words._jdf.queryExecution().executedPlan().toString()
+            assert "Join" not in plan and "Exchange" not in plan

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from vulnlake.functions.severity import mapped
 from vulnlake.functions.text import contains_any
 from vulnlake.operators.filters import CONTENT_LANGUAGE_SHORT, language_by_content, length_within
 from vulnlake.operators.lookups import with_cwe_group
-from vulnlake.operators.scale import bounded_broadcast, cap_per_group, first_per_group, hash_of, number_rows, shuffled_rank
+from vulnlake.operators.scale import cap_per_group, first_per_group, hash_of, is_bounded, number_rows, shuffled_rank
 
 # Language of a file extension in fix records; heuristics for weak labels.
 FIX_EXTENSIONS = {"js": "javascript", "py": "python", "c": "c", "cpp": "cpp", "java": "java", "jsx": "javascript"}
@@ -156,21 +159,43 @@ def full_vocabulary(samples: DataFrame, tokens: Column) -> DataFrame:
     return number_rows(distinct, [F.col("token")], "_n").select("token", (F.col("_n") + 1).alias("token_id"))
 
 
+def _looked_up(lists: Column, keys: pa.Array, values: pa.Array, default, kind: str) -> Column:
+    """Each element's value of a small table, or the default; elements stay in their list, so nothing is shuffled."""
+    @F.arrow_udf(f"array<{kind}>")
+    def found(batch: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False))
+        places = pc.index_in(batch.flatten(), value_set=keys)
+        given = pc.take(values, pc.fill_null(places, 0)) if len(values) else pa.nulls(len(places), values.type)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pc.if_else(pc.is_valid(places), given, pa.scalar(default, values.type)))
+
+    return found(lists)
+
+
+def _vocabulary_arrays(vocab: DataFrame) -> tuple[pa.Array, pa.Array]:
+    rows = vocab.select("token", F.col("token_id").cast("int")).toArrow()
+    return rows.column("token").combine_chunks(), rows.column("token_id").combine_chunks()
+
+
 def encode(samples: DataFrame, tokens: Column, vocab: DataFrame, key: str, max_length: int = 512,
            keep_end: bool = False, pad: bool = True) -> DataFrame:
     """(key, ids, mask): start mark, token ids (unknown 1), end mark, cut and padded.
 
     With ``keep_end`` the end mark survives the cut. Tokens beyond the cut are dropped before
-    the join. A vocabulary of limited size is broadcast, any other is joined as Spark sees fit.
+    the lookup. In a vocabulary of limited size the tokens of a text are looked up where they are; any other is joined as
+    Spark sees fit.
     """
     n = F.size("_t")
     marked = F.concat(F.array(F.lit(2)), F.col("_ids"), F.array(F.lit(3)))
     whole = samples.select(key, tokens.alias("_t"))
-    cut = whole.select(key, n.alias("_n"), F.posexplode_outer(F.slice("_t", 1, max_length)).alias("_p", "token"))
-    known = cut.join(bounded_broadcast(vocab.select("token", F.col("token_id").cast("int"))), "token", "left")
-    ids = known.groupBy(key, "_n").agg(F.array_sort(F.collect_list(
-        F.when(F.col("_p").isNotNull(), F.struct("_p", F.coalesce("token_id", F.lit(1)).alias("id"))))).alias("_s"))
-    ids = ids.select(key, "_n", F.transform("_s", lambda s: s["id"]).alias("_ids"))
+    if is_bounded(vocab):
+        words, numbers = _vocabulary_arrays(vocab)
+        ids = whole.select(key, n.alias("_n"), _looked_up(F.slice("_t", 1, max_length), words, numbers, 1, "int").alias("_ids"))
+    else:
+        cut = whole.select(key, n.alias("_n"), F.posexplode_outer(F.slice("_t", 1, max_length)).alias("_p", "token"))
+        known = cut.join(vocab.select("token", F.col("token_id").cast("int")), "token", "left")
+        ids = known.groupBy(key, "_n").agg(F.array_sort(F.collect_list(
+            F.when(F.col("_p").isNotNull(), F.struct("_p", F.coalesce("token_id", F.lit(1)).alias("id"))))).alias("_s"))
+        ids = ids.select(key, "_n", F.transform("_s", lambda s: s["id"]).alias("_ids"))
     full = F.slice(marked, 1, max_length)
     if keep_end:
         full = F.when(F.col("_n") + 2 > max_length,
@@ -186,9 +211,17 @@ def encode(samples: DataFrame, tokens: Column, vocab: DataFrame, key: str, max_l
 def decode(encoded: DataFrame, vocab: DataFrame, key: str, specials=SPECIALS_B,
            dropped=("<PAD>", "<BOS>", "<EOS>")) -> DataFrame:
     """(key, text): tokens of the ids joined by spaces, without the dropped specials."""
+    left_out = [i for i, s in enumerate(specials) if s in dropped]
+    if is_bounded(vocab):
+        words, numbers = _vocabulary_arrays(vocab)
+        names = {**dict(zip(numbers.to_pylist(), words.to_pylist())), **dict(enumerate(specials))}
+        values = pa.array([None if w in dropped else w for w in names.values()], pa.string())
+        ids = F.filter("ids", lambda i: ~i.isin(*left_out)) if left_out else F.col("ids")
+        found = _looked_up(ids, pa.array(list(names), pa.int32()), values, "<UNK>", "string")
+        return encoded.select(key, found.alias("_w")).filter(F.exists("_w", lambda w: w.isNotNull())).select(key, F.array_join("_w", " ").alias("text"))
     names = F.array(*[F.lit(s) for s in specials])
     rows = encoded.select(key, F.posexplode("ids").alias("_p", "token_id"))
-    joined = rows.join(bounded_broadcast(vocab.select("token", F.col("token_id").cast("int"))), "token_id", "left")
+    joined = rows.join(vocab.select("token", F.col("token_id").cast("int")), "token_id", "left")
     token = F.coalesce(F.when(F.col("token_id") < len(specials), F.get(names, F.col("token_id"))), "token", F.lit("<UNK>"))
     kept = joined.withColumn("_w", token).filter(~F.col("_w").isin(*dropped))
     return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(

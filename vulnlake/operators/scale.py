@@ -63,13 +63,16 @@ def literal_table(spark: SparkSession, rows: list[tuple], types: dict[str, pa.Da
     return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types)))
 
 
-def bounded_broadcast(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only where the plan itself proves an upper limit of rows (a limit or a
-    literal table) and estimates few bytes; otherwise Spark chooses the join by measured size."""
+def is_bounded(frame: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether the plan itself proves an upper limit of rows (a limit or a literal table) and estimates few bytes."""
     plan = frame._jdf.queryExecution().optimizedPlan()
     rows = plan.maxRows()
-    bounded = rows.isDefined() and int(str(rows.get())) <= most
-    return F.broadcast(frame) if bounded and int(str(plan.stats().sizeInBytes())) <= BROADCAST_BYTES else frame
+    return rows.isDefined() and int(str(rows.get())) <= most and int(str(plan.stats().sizeInBytes())) <= BROADCAST_BYTES
+
+
+def bounded_broadcast(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only where the frame `is_bounded`; otherwise Spark chooses the join by measured size."""
+    return F.broadcast(frame) if is_bounded(frame, most) else frame
 
 
 def hash_of(col: Column) -> Column:

@@ -231,7 +231,7 @@ def encoded(spark, sf):
     files = t.code_files(spark, sf)
     toks = code_fn.tokens_a(F.col("text"), False)
     out = corpus.encode(files, toks, corpus.vocabulary(files, toks, 10_000), "file_id", 512)
-    return out.select("file_id", F.array_join("ids", " ").alias("ids"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("bigint").alias("used"))
+    return out.select("file_id", F.array_join("ids", " ").alias("ids"), F.size(F.array_remove("mask", F.lit(0))).cast("bigint").alias("used"))
 
 
 @query("z11_decoded", with_tables(t.CODE_FILES, f"toks AS (SELECT file_id, regexp_extract_all({SQL_UNCOMMENTED}, {q(code_fn.TOKENS_B)}) AS l FROM code_files)",
@@ -240,8 +240,8 @@ SELECT file_id, string_agg(coalesce(v.token, '<UNK>'), ' ' ORDER BY p) AS text F
 def decoded(spark, sf):
     files = t.code_files(spark, sf)
     toks = code_fn.tokens_b(F.col("text"), False)
-    vocab = corpus.vocabulary(files, toks, 10_000, corpus.SPECIALS_B)
-    return corpus.decode(corpus.encode(files, toks, vocab, "file_id", 512, keep_end=True), vocab, "file_id")
+    vocab = spark.createDataFrame(corpus.vocabulary(files, toks, 10_000, corpus.SPECIALS_B).toArrow())  # counted once, used twice
+    return corpus.decode(corpus.encode(files, toks, vocab, "file_id", 512, keep_end=True, pad=False), vocab, "file_id")
 
 
 # ------------------------------------------------------------------- statistics
