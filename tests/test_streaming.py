@@ -160,3 +160,20 @@ def test_a_client_has_one_timer_however_many_seconds_wait(spark, tmp_path):
         assert got == expected(rows, 4, 10)
         timers = sum(o["customMetrics"].get("numRegisteredTimers", 0) for p in query.recentProgress for o in p["stateOperators"])
         assert 0 < timers <= 3 * 4  # an arrival, a decision and a drop for each of four clients
+
+
+def test_slices_of_few_rows_leave_a_task_together(spark, monkeypatch):
+    """A task sends one batch with the states of all slices that ended in its batch, not one batch for each."""
+    import pyarrow as pa
+
+    rows = [(i, f"c{i % 500}", 1704067200 + i) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "request_id int, client string, s long").select("request_id", "client", F.timestamp_seconds("s").alias("ts"))
+    run = []
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, function, schema: run.append((self, function)) or self)
+    lent = frame.selectExpr("*", "0L AS _own", "unix_micros(ts) / 1e6 AS _s", "0L AS _slice", "CAST(NULL AS array<double>) AS _from")
+    admission._sliced(lent, frame, ["client", "_slice"], "request_id", 4, 10)
+    ordered, function = run[0]
+    batch = ordered.toArrow().sort_by([("client", "ascending"), ("_s", "ascending")]).combine_chunks().to_batches()
+    out = list(function(iter(batch)))
+    ends = pa.Table.from_batches(out).column("_end")
+    assert len(ends) - ends.null_count == 500 and len(out) <= 3 * len(batch)

@@ -118,12 +118,18 @@ def _sliced(rows: DataFrame, requests: DataFrame, names: list[str], order: str,
 
     def run(batches):
         current = first = start = types = None
-        accepted = deque()
+        accepted, closed = deque(), []
+
+        def end():
+            closed.append((current, first, start, list(accepted)))
 
         def ended():
-            own = dict(zip(names, current, strict=True))
-            figures = {"_first": first, "_start": start, "_end": list(accepted)}
-            columns = [pa.array([own.get(c)], t) for c, t in types] + [pa.array([figures.get(c)], t) for c, t in added]
+            """The rows of the slices that ended since the last batch, as one batch: most slices have few rows."""
+            own = dict(zip(names, zip(*[c[0] for c in closed]), strict=True))
+            figures = dict(zip(("_first", "_start", "_end"), list(zip(*closed))[1:], strict=True))
+            columns = [pa.array(own[c], t) if c in own else pa.nulls(len(closed), t) for c, t in types]
+            columns += [pa.array(figures[c], t) if c in figures else pa.nulls(len(closed), t) for c, t in added]
+            closed.clear()
             return pa.RecordBatch.from_arrays(columns, [*kept, *(c for c, _ in added)])
 
         for batch in batches:
@@ -133,7 +139,7 @@ def _sliced(rows: DataFrame, requests: DataFrame, names: list[str], order: str,
             for i, (key, now, own) in enumerate(zip(keys, batch.column("_s").to_pylist(), batch.column("_own").to_pylist(), strict=True)):
                 if key != current:
                     if first is not None:
-                        yield ended()
+                        end()
                     given = batch.column("_from")[i].as_py()
                     current, first, accepted = key, None, deque(given or [])
                 if own < key[-1]:
@@ -148,7 +154,10 @@ def _sliced(rows: DataFrame, requests: DataFrame, names: list[str], order: str,
             columns = [taken.column(c) for c in kept] + [pa.array(v, t) for v, (_, t) in zip(figures, added)]
             columns += [pa.nulls(len(places), t) for _, t in added[3:]]
             yield pa.RecordBatch.from_arrays(columns, [*kept, *(c for c, _ in added)])
+            if closed:
+                yield ended()
         if first is not None:
+            end()
             yield ended()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
