@@ -14,6 +14,7 @@ from vulnlake.operators import dependencies as deps
 from vulnlake.operators import findings as fnd
 from vulnlake.operators import history, lookups, reports, scan
 from vulnlake.operators.filters import filter_findings
+from vulnlake.operators.scale import kept
 from vulnlake.plans import tables as t
 from vulnlake.plans.registry import query
 from vulnlake.plans.scan_queries import PORTABLE, W1_SQL
@@ -401,7 +402,7 @@ def top_files(spark, sf):
 @query("l6_a36_files_by_findings", with_tables(t.CODE_FILES, PROJECT_FILES, body="""SELECT file_path, total, (SELECT count(*) FROM project_files) AS files, CAST((SELECT sum(total) FROM project_files) AS BIGINT) AS findings
   FROM project_files ORDER BY total DESC, file_path"""))
 def files_by_findings(spark, sf):
-    files = _project_files(spark, sf).select("file_path", "total")
+    files = kept(_project_files(spark, sf).select("file_path", "total"), "files")  # read for the totals, the bounds of the sort and the sort
     totals = files.agg(F.count("*").alias("files"), F.sum("total").alias("findings"))
     return files.orderBy(F.desc("total"), "file_path").select(
         "*", totals.select("files").scalar().alias("files"), totals.select("findings").scalar().alias("findings"))
@@ -673,7 +674,8 @@ def advisory_ranges(spark, sf):
     package = F.when(k % 3 == 0, t.PACKAGES[0]).otherwise(t.pick(t.PACKAGES, k))
     ranges = read(spark, sf, "part").select(F.concat(F.lit("CVE-"), k.cast("string")).alias("cve_id"), package.alias("package"), affected.alias("affected"))
     names = t.dependencies(spark, sf).select(F.lower("name").alias("name"), "version").distinct()
-    return lookups.match_advisory_ranges(names, ranges).groupBy("name", "version").agg(F.count("*").alias("hits"), F.min("cve_id").alias("first_cve"))
+    ranges = ranges.groupBy("package", "affected").agg(F.count("*").alias("n"), F.min("cve_id").alias("first"))  # equal ranges are met once
+    return lookups.match_advisory_ranges(names, ranges).groupBy("name", "version").agg(F.sum("n").alias("hits"), F.min("first").alias("first_cve"))
 
 
 @query("a9_a14_audit_summary", with_tables(t.DEPENDENCIES, body=f"""SELECT t.project, t.n AS total_dependencies, coalesce(h.p, 0) AS vulnerable_count, coalesce(h.n, 0) AS vulnerabilities, coalesce(h.risk, 0) AS risk_score
