@@ -84,3 +84,21 @@ def test_parts_of_every_length_are_found(spark):
     got = {r.id: r.category for r in lookups.first_contained(rows, "text", catalogue).collect()}
     want = {i: None if t is None else next((f"c{j}" for j, p in enumerate(names) if p and p.lower() in t.lower()), None) for i, t in enumerate(texts)}
     assert got == want
+
+
+def test_equal_ranges_are_met_once(spark, tmp_path, monkeypatch):
+    """Ranges that differ in their number only are one row of the join; their number still counts."""
+    from vulnlake.plans import catalog, tables
+
+    lines = [(k, p, s, n) for k, (p, s, n) in enumerate((p, s, n) for p in (1, 7, 29) for s in (3, 4) for n in (1, 2))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen, match = [], lookups.match_advisory_ranges
+    monkeypatch.setattr(lookups, "match_advisory_ranges", lambda names, ranges: seen.append(ranges.count()) or match(names, ranges))
+    results = []
+    period = 60 * 37 * len(tables.PACKAGES)  # part keys this far apart have equal ranges of one package
+    for copies in (1, 3):
+        parts = spark.range(600).crossJoin(spark.range(copies).withColumnRenamed("id", "copy"))
+        parts.select((F.col("id") + F.col("copy") * period).alias("p_partkey")).write.mode("overwrite").parquet(str(tmp_path / "part.parquet"))
+        results.append({(r.name, r.version): r.hits for r in catalog.QUERIES["x8_advisory_ranges"](spark, str(tmp_path)).collect()})
+    assert results[0] and results[1] == {k: 3 * n for k, n in results[0].items()}
+    assert seen[0] == seen[1] <= 600
