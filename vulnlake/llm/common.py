@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from vulnlake.session import ensure_checkpoint_dir
 
 SPACE = r"[\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,9 +37,18 @@ def without(frame: DataFrame, names: Iterable[str]) -> DataFrame:
 
 
 def written(frame: DataFrame, label: str) -> DataFrame:
-    """The frame as a table in the shared checkpoint folder: computed once, and still there if executors are lost."""
+    """The frame as a table in the shared checkpoint folder: computed once, and still there if executors are lost.
+
+    The shuffle files of the write are of no use after it and are removed at once.
+    """
     folder = f"{ensure_checkpoint_dir(frame.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(folder)
+    conf = frame.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        frame.write.parquet(folder)
+    finally:
+        conf.set(CLEANUP, before)
     table = frame.sparkSession.read.schema(frame.schema).parquet(folder)
     table._written_to = folder
     return table
