@@ -111,6 +111,27 @@ def test_edit_join_loses_no_pair(spark):
     assert want and got == want
 
 
+def test_links_of_large_groups_join_what_all_pairs_join(spark):
+    """Pairs grow with a group's lines; variants of one line and lines that only share a part made all pairs before."""
+    rng = random.Random(9)
+    base = [rng.choice("abcdefgh ") for _ in range(90)]
+    lines = {"".join(base)}
+    for i in range(300):
+        line, at = base[:], rng.randrange(30, 85)
+        if i % 2:  # one edit off the base
+            line[at] = rng.choice("xyzuvw")
+        else:  # farther off, alike in letters
+            line[at], line[(at + 17) % 55 + 30] = "q", "r"
+            line[(at + 31) % 55 + 30] = rng.choice("ab")
+        lines.add("".join(line))
+    frame = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("a", F.xxhash64("line")).withColumn("b", F.xxhash64("line", F.lit(1)))
+    links = line_dedup.linked_lines(frame, 2)
+    all_pairs = line_dedup.similar_lines(frame, 2)
+    classes = [{r.id: r.component for r in line_dedup.components(pairs.select("a", F.col("a2").alias("b"))).collect()} for pairs in (links, all_pairs)]
+    assert classes[0] == classes[1] and len(classes[0]) > 100
+    assert links.count() <= 6 * len(lines) < all_pairs.count() / 2
+
+
 def test_repeated_lines_go_and_first_stays(spark):
     first, near = "the very first line of some length", "the very first lines of some length"
     docs = [(1, f"{first}\nshort\nanother line that nobody else has", "a"), (2, f"short\n{near}\nand a line that is long and its own", "a"),

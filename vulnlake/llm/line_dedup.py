@@ -1,10 +1,13 @@
 """Line dedup by a segment-partition edit join.
 
 Lines within an edit distance of ``threshold`` of each other are one class, and so is what a chain of such lines joins; of a
-class only the line that comes first (by document id, hash of the text, line number) stays. A line is cut into threshold + 1
-segments; a line within the threshold holds one of them unchanged, near its place. So lines are indexed by their segments with
-segment number and line length, and probed by the substrings of suitable lengths and places. Pairs that meet are verified by
-a bit-parallel edit distance inside the band around the diagonal.
+class only the line that comes first (by document id, hash of the text, line number) stays. Lines of about one length are cut into
+threshold + 1 segments at the same places; a line within the threshold holds one of them unchanged, near its place. So lines are
+indexed by their segments with segment number and band of lengths, and probed by the substrings at suitable places. Pairs that
+meet are verified by a bit-parallel edit distance inside the band around the diagonal, after cheaper tests that no near pair fails.
+
+For the classes not all pairs are needed. Lines of a bucket are first compared with a few of its lines (stars); what these leave in
+different classes is compared in blocks, where a line keeps one verified partner of each class.
 
 Lines are compared without white space at their ends. Those with fewer than ``least_chars`` code points are alike only if they are
 equal, as two edits make another word of a short one; those under ``least_exact`` are left as they are, blank ones and those of
@@ -23,6 +26,10 @@ from vulnlake.llm.common import components, forget, without, table, written
 
 BROADCAST_LINES = 200_000
 BLOCK = 256
+#: Characters of the lines of a block, at most, unless one line has more.
+BLOCK_CHARS = 1 << 20
+#: Lengths that share their segments.
+BAND = 8
 #: Groups of letters whose counts are compared before lines are.
 LETTERS = ("aA", "eE", "iI", "oO", "nN", "sS", "tT", "rR", "dlDL", "chCH", " ")
 
@@ -76,28 +83,38 @@ def banded_distance(left: Column, right: Column, threshold: int) -> Column:
         F.sequence(F.lit(0), F.size(letters["b"]) - 1), start, lambda state, j: column(letters, state, j), lambda state: state["n"]))
 
 
-def signatures(lines: DataFrame, threshold: int) -> tuple[DataFrame, int]:
-    """(a, place, h) of lines (a, line): hashes of the indexed segments, then of further substrings to probe with; and how many are indexed.
+def near(left: Column, right: Column, threshold: int) -> Column:
+    """Whether the edit distance is at most the threshold. Most pairs are not near and are told so by Spark's bounded distance, at less cost."""
+    return (F.levenshtein(left, right, threshold) >= 0) & (banded_distance(left, right, threshold) <= threshold)
+
+
+def signatures(line: Column, threshold: int) -> tuple[Column, int, int]:
+    """Hashes of a line's segments and probes; how many there are for a band of lengths, and how many of these, the first ones, are segments.
 
-    A probe of a line of length n concerns indexed lines of the lengths n - threshold to n; only the starts are taken at which
-    the edits left and right of a segment can still add up to the threshold.
+    A line stands in the band of its length and, where a longer one within the threshold is in the next, in that too. Segment i
+    of the left half is counted from the start and of the right half from the end, so that fewer than i edits (from that side) lie
+    before an unchanged one: it moves by i - 1 letters at most. Room is left for that behind each segment, so one direction of
+    probes is enough: of two lines, the one in which the segment stands farther in probes for the other's.
     """
     parts = threshold + 1
-    # Figures of the lengths are columns below the generator, as Spark would compute them anew in each of their uses.
-    sized = lines.select("a", "line", F.length("line").alias("n"))
-    for shorter in range(threshold + 1):
-        size = F.col("n") - shorter  # the first segments have the lower size
-        sized = sized.withColumn(f"base{shorter}", F.floor(size / parts).cast("int")).withColumn(f"plain{shorter}", parts - size % parts)
-    indexed, probes = [], []
-    for shorter in range(threshold + 1):
-        base, plain = F.col(f"base{shorter}"), F.col(f"plain{shorter}")
-        for i in range(1, parts + 1):
-            start, extent = base * (i - 1) + F.greatest(F.lit(0), (i - 1) - plain) + 1, base + (F.lit(i) > plain).cast("int")
-            low, high = max(1 - i, shorter - (parts - i)), min(i - 1, shorter + (parts - i))
-            for by in range(low, high + 1):
-                (indexed if shorter == 0 and by == 0 else probes).append(
-                    F.xxhash64(F.lit(i), F.col("n") - shorter, F.substr("line", start + by, extent)))
-    return sized.select("a", F.posexplode(F.array(*indexed, *probes)).alias("place", "h")), len(indexed)
+    band = max(BAND, parts)
+    moves = [min(i, threshold - i) for i in range(parts)]
+    n = F.length(line)
+
+    def of_band(k: Column) -> list[Column]:
+        base = F.greatest(F.lit(0), F.floor((k * band - threshold - sum(moves)) / parts)).cast("int")
+        indexed, probes = [], []
+        for i, move in enumerate(moves):
+            left = 2 * i <= threshold
+            begin = base * i + sum(moves[:i]) if left else base * (threshold - i) + sum(moves[i + 1:])
+            for by in range(move + 1):
+                start = begin + by + 1 if left else n - begin - by - base + 1
+                (probes if by else indexed).append(F.xxhash64(F.lit(i), k, F.substr(line, start, base)))
+        return [*indexed, *probes]
+
+    own, next_one = F.floor(n / band).cast("int"), F.floor((n + threshold) / band).cast("int")
+    first, second = of_band(own), of_band(next_one)
+    return F.concat(F.array(*first), F.when(own < next_one, F.array(*second)).otherwise(F.array().cast("array<bigint>"))), len(first), parts
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
@@ -108,47 +125,115 @@ def _lines(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
     return rows.withColumn("a", F.xxhash64("line")).withColumn("b", F.xxhash64("line", F.lit(1)))
 
 
-def similar_lines(lines: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, a2, b2): pairs of different lines within the threshold, from (line, a, b)."""
-    hashed, indexed = signatures(lines, threshold)
-    rows = hashed.select("a", "h", (F.col("place") < indexed).alias("indexed"))
+def _signed(lines: DataFrame, threshold: int, *carried: str, least_chars: int = 0) -> DataFrame:
+    """A written table of the carried columns, a and the signatures of lines of ``least_chars`` or more."""
+    return written(lines.select(*carried, "a", F.when(F.length("line") >= least_chars, signatures(F.col("line"), threshold)[0]).alias("hs")), "signatures")
+
+
+def _met(signed: DataFrame, threshold: int) -> DataFrame:
+    """(a, h, indexed): lines under the signatures that they share with others."""
+    _, each, indexed = signatures(F.lit(""), threshold)
+    rows = signed.select("a", F.posexplode("hs").alias("place", "h")).select("a", "h", (F.col("place") % each < indexed).alias("indexed"))
     # Most signatures belong to one line alone. Those of several lines are found by counting, not by sorting all.
     shared = written(rows.groupBy("h").agg(F.min("a").alias("low"), F.max("a").alias("high"), F.max("indexed").alias("i"))
                      .filter("low < high AND i").select("h"), "signatures")
-    met = written(_bounded(rows, shared, "h").distinct(), "signatures")
+    met = written(_bounded(rows, shared, "h").groupBy("a", "h").agg(F.max("indexed").alias("indexed")), "signatures")
+    forget(shared)
+    return met
+
+
+def _texts(lines: DataFrame, met: DataFrame) -> DataFrame:
+    """(a, b, line, counts) of the lines in ``met``."""
     wanted = written(met.select("a").distinct(), "line-keys")
     counts = F.array(F.length("line"), *[(F.length("line") - F.length(F.translate("line", group, ""))).cast("int") for group in LETTERS])
-    texts = written(_bounded(lines.select("a", "b", "line"), wanted, "a").distinct().withColumn("counts", counts), "line-texts")
-    pairs = written(_near_pairs(met.join(texts.select("a", "counts"), "a"), threshold), "line-pairs")
-    left = texts.select(F.col("a").alias("x"), "a", "b", "line")
-    right = texts.select(F.col("a").alias("y"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("line").alias("line2"))
-    joined = pairs.join(left, "x").join(right, "y").filter(F.abs(F.length("line") - F.length("line2")) <= threshold)
-    found = written(joined.filter(banded_distance(F.col("line"), F.col("line2"), threshold) <= threshold).select("a", "b", "a2", "b2"), "similar")
-    forget(shared, met, pairs, wanted, texts)
+    texts = written(_bounded(lines.select("a", "b", "line"), wanted, "a").dropDuplicates(["a", "b"]).withColumn("counts", counts), "line-texts")
+    forget(wanted)
+    return texts
+
+
+def _may_be_near(counts: Column, others: Column, threshold: int) -> Column:
+    """An edit changes a length by one at most, and the counts of two letters by one each."""
+    changed = F.aggregate(F.zip_with(F.slice(counts, 2, len(LETTERS)), F.slice(others, 2, len(LETTERS)), lambda p, q: F.abs(p - q)),
+                          F.lit(0), lambda t, v: t + v)
+    return (F.abs(others[0] - counts[0]) <= threshold) & (changed <= 2 * threshold)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, a2, b2): the pairs (x, y) of lines within the threshold."""
+    left = texts.select(F.col("a").alias("x"), "a", "b", "line", "counts")
+    right = texts.select(F.col("a").alias("y"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("line").alias("line2"), F.col("counts").alias("counts2"))
+    joined = pairs.join(left, "x").join(right, "y").filter(_may_be_near(F.col("counts"), F.col("counts2"), threshold))
+    return written(joined.filter(near(F.col("line"), F.col("line2"), threshold)).select("a", "b", "a2", "b2"), "similar")
+
+
+def similar_lines(lines: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, a2, b2): all pairs of different lines within the threshold, from (line, a, b)."""
+    signed = _signed(lines, threshold)
+    met = _met(signed, threshold)
+    texts = _texts(lines, met)
+    held = met.filter("indexed").select("h", F.col("a").alias("other"))
+    pairs = met.join(held, "h").filter("a <> other").select(F.least("a", "other").alias("x"), F.greatest("a", "other").alias("y")).distinct()
+    found = _verified(pairs, texts, threshold)
+    forget(signed, met, texts)
     return found
 
 
-def _near_pairs(met: DataFrame, threshold: int) -> DataFrame:
-    """Distinct pairs (x, y) that share a signature and whose lengths and letter counts allow the threshold.
+def linked_lines(lines: DataFrame, threshold: int, signed: DataFrame | None = None) -> DataFrame:
+    """(a, b, a2, b2): pairs of lines within the threshold, enough of them to join what chains of all such pairs join.
 
-    A bucket's indexed lines are dealt into blocks of about BLOCK; a line is compared with a block inside one row, and only
-    what may be near leaves it. An edit changes a length by one at most, and the counts of two letters by one each.
+    ``signed`` may hold the signatures of the lines. The pairs of a bucket grow with its lines, not with their square.
     """
-    blocks = met.filter("indexed").groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("blocks"))
-    held = (met.filter("indexed").join(blocks, "h").groupBy("h", F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"))
-            .agg(F.collect_list(F.struct("a", "counts")).alias("others")))
-    asking = met.join(blocks, "h").select("h", F.col("a").alias("own"), "counts", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    own = signed is None
+    signed = _signed(lines, threshold) if own else signed
+    met = _met(signed, threshold)
+    texts = _texts(lines, met)
+    a = F.col("a")
+    buckets = met.filter("indexed").groupBy("h").agg(F.array_distinct(F.array(
+        F.min("a"), F.max("a"), F.min_by("a", F.xxhash64(a, F.lit(1))), F.min_by("a", F.xxhash64(a, F.lit(2))))).alias("hubs"))
+    spokes = met.join(buckets, "h").select("a", F.explode("hubs").alias("hub")).filter("a <> hub")
+    stars = _verified(spokes.select(F.least("a", "hub").alias("x"), F.greatest("a", "hub").alias("y")).distinct(), texts, threshold)
+    rest = _verified_in_blocks(met, texts, stars, threshold)
+    found = stars.unionByName(rest)
+    forget(met, texts, *([signed] if own else []))
+    return found
+
 
-    def near(other: Column) -> Column:
-        changed = F.aggregate(F.zip_with(F.slice("counts", 2, len(LETTERS)), F.slice(other["counts"], 2, len(LETTERS)), lambda p, q: F.abs(p - q)),
-                              F.lit(0), lambda t, v: t + v)
-        return (other["a"] != F.col("own")) & (F.abs(other["counts"][0] - F.col("counts")[0]) <= threshold) & (changed <= 2 * threshold)
+def _verified_in_blocks(met: DataFrame, texts: DataFrame, stars: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, a2, b2): for each line and each other class of a bucket a partner within the threshold, if there is one.
 
-    found = asking.join(held, ["h", "block"]).select("own", F.explode(F.transform(F.filter("others", near), lambda o: o["a"])).alias("other"))
-    return found.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).distinct()
+    A bucket's indexed lines are dealt into blocks; a line is compared with a block inside one row, and only partners leave it.
+    Buckets of one class, and those in which every line has been compared with every indexed one, are left out.
+    """
+    if stars.isEmpty():
+        classed = met.withColumn("class", F.col("a"))
+    else:
+        classes = components(stars.select("a", F.col("a2").alias("b"))).select(F.col("id").alias("a"), "component")
+        classed = met.join(classes, "a", "left").select("a", "h", "indexed", F.coalesce("component", "a").alias("class"))
+    open_ones = classed.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count_if("indexed").alias("n")).filter(
+        "low < high AND n > 2").select("h")  # up to two indexed lines are both hubs
+    left = written(classed.join(open_ones, "h").join(texts, "a"), "open-lines")
+    blocks = left.filter("indexed").groupBy("h").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("line")) / BLOCK_CHARS)).cast("bigint").alias("blocks"))
+    held = (left.filter("indexed").join(blocks, "h").groupBy("h", F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"))
+            .agg(F.collect_list(F.struct("a", "b", "class", "counts", "line")).alias("others")))
+    asking = left.join(blocks, "h").select("h", "a", "b", "class", "counts", "line", "indexed", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+
+    def partner(other: Column) -> Column:  # of two indexed lines, one asks
+        return (other["class"] != F.col("class")) & (~F.col("indexed") | (other["a"] > F.col("a"))) & _may_be_near(F.col("counts"), other["counts"], threshold) & near(F.col("line"), other["line"], threshold)
+
+    def one_of_each(partners: Column) -> Column:
+        return F.map_values(F.map_from_entries(F.transform(F.array_distinct(F.transform(partners, lambda p: p["class"])), lambda c: F.struct(
+            c.alias("class"), F.filter(partners, lambda p: p["class"] == c)[0].alias("p")))))
+
+    met_in_block = asking.join(held, ["h", "block"]).select("a", "b", F.filter("others", partner).alias("partners")).filter(F.size("partners") > 0)
+    found = met_in_block.select("a", "b", F.explode(one_of_each(F.col("partners"))).alias("p")).select(
+        "a", "b", F.col("p.a").alias("a2"), F.col("p.b").alias("b2")).distinct()
+    found = written(found, "similar")
+    forget(left)
+    return found
 
 
-def _bounded(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+def _bounded(rows: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows whose key is in the written table ``keys``; it is broadcast if it is small."""
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_LINES else keys, on)
 
@@ -160,11 +245,20 @@ def repeated_lines(docs: DataFrame, threshold: int = 2, least_chars: int = 24, d
     Lines of ``least_chars`` code points or more are compared by edits, those of ``least_exact`` or more (by default the same) exactly.
     """
     lines = _lines(docs, doc_id, text, least_chars if least_exact is None else min(least_chars, least_exact))
+    # Texts are cut into lines once for all that needs no text of a line.
+    places = _signed(lines, threshold, "doc_id", "_text", "line_no", "b", least_chars=least_chars)
     place = F.struct(F.col("doc_id"), F.col("_text"), F.col("line_no"))
-    found = similar_lines(lines.filter(F.length("line") >= least_chars).select("line", "a", "b"), threshold)
+    found = linked_lines(lines.filter(F.length("line") >= least_chars).select("line", "a", "b"), threshold, places)
     node = lambda a, b: F.concat_ws(":", F.hex(a), F.hex(b))
     classes = components(found.select(node("a", "b").alias("a"), node("a2", "b2").alias("b"))) if not found.isEmpty() else None
-    kinds = written(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")), "line-kinds")
+    # Places are compared for lines only that stand several times or near others.
+    counted = places.groupBy("a", "b").agg(F.count("*").alias("n"))
+    wanted = counted.filter("n > 1").select("a", "b")
+    if classes is not None:
+        wanted = wanted.union(found.select("a", "b")).union(found.select("a2", "b2")).distinct()
+    wanted = written(wanted, "line-keys")
+    rows = places.select("doc_id", "_text", "line_no", "a", "b")
+    kinds = written(_bounded(rows, wanted, ["a", "b"]).groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")), "line-kinds")
     if classes is None:
         several = kinds.filter("first <> last").select("a", "b", "first")
     else:
@@ -173,10 +267,8 @@ def repeated_lines(docs: DataFrame, threshold: int = 2, least_chars: int = 24, d
             F.min("first").alias("class_first"), F.max("last").alias("class_last")).filter("class_first <> class_last")
         several = known.select("a", "b", "component").join(firsts, "component").select("a", "b", F.col("class_first").alias("first"))
     several = written(several, "repeated")
-    small = several.count() <= BROADCAST_LINES
-    rows = lines.select("doc_id", "_text", "line_no", "a", "b").join(F.broadcast(several) if small else several, ["a", "b"])
-    return rows.select("doc_id", "_text", "line_no", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"),
-                       (place.eqNullSafe(F.col("first"))).alias("first"))
+    return _bounded(rows, several, ["a", "b"]).select("doc_id", "_text", "line_no", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"),
+                                                      (place.eqNullSafe(F.col("first"))).alias("first"))
 
 
 def drop_repeated_lines(docs: DataFrame, threshold: int = 2, least_chars: int = 24, doc_id: str = "doc_id", text: str = "text",
