@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vulnlake.functions.bitmaps import bitmap
+
 GRAM = 3
 #: The gram that every text holds besides its own.
 EVERY_TEXT = 0
@@ -24,9 +26,11 @@ def grams(text: Column) -> Column:
         F.array().cast("array<bigint>"))
 
 
-def looked_up(text: Column) -> Column:
-    """The grams under which a text looks for what it may hold, each once."""
-    return F.concat(F.array_distinct(grams(text)), F.array(F.lit(EVERY_TEXT)))
+def looked_up(text: Column, index: DataFrame) -> Column:
+    """The grams under which a text looks for what it may hold, each once; of those that a small index cannot hold, few."""
+    asked = F.concat(grams(text), F.array(F.lit(EVERY_TEXT).cast("bigint")))
+    count = index.count()
+    return F.array_distinct(F.filter(asked, bitmap(index.select("gram"), count)) if count <= BROADCAST_GRAMS else asked)
 
 
 #: Lengths of grams for tables of many parts that are alike; a part stands under grams of the greatest length it holds.

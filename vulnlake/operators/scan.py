@@ -222,9 +222,8 @@ def scan_with_rule_table(lines: DataFrame, rules: DataFrame) -> DataFrame:
     short = (F.size("rule.needles") == 0) | F.exists("rule.needles", lambda n: F.octet_length(n) < GRAM)
     always = table.filter(short).select("language", "rule", F.lit(None).cast("int").alias("nth"), F.lit(EVERY_TEXT).alias("gram"))
     index = _indexed(table.filter(~short)).unionByName(always)
-    index = sent_if_small(index)
     low = computed_once(lines, _low=F.lower("line"))
-    met = low.select("*", F.explode(looked_up(F.col("_low"))).alias("gram")).join(index, ["language", "gram"])
+    met = low.select("*", F.explode(looked_up(F.col("_low"), index)).alias("gram")).join(sent_if_small(index), ["language", "gram"])
     holds = lambda needle: F.col("_low").contains(needle)
     # A rule of several needles is met by the first one that the line holds.
     by_gram = holds(F.get("rule.needles", F.col("nth"))) & ~F.exists(F.slice("rule.needles", 1, F.col("nth")), holds)
