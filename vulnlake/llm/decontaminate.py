@@ -13,9 +13,13 @@ word instead, but for case. Items shorter than a window are looked for by a wind
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vulnlake.functions.bitmaps import bitmap
 from vulnlake.llm.common import SPACE, table, without, written
 
 WINDOW = 8
@@ -45,9 +49,34 @@ def _hash(form: Column, raw: Column) -> Column:
     return F.when(2 * fixed >= F.size(form), F.xxhash64(form)).otherwise(F.xxhash64(F.lit("words"), F.transform(raw, F.lower)))
 
 
-def _windows(length: int) -> Column:
-    """(length, at, h) of all windows of a length, ``at`` counted from 1."""
-    return F.when(F.size("_form") >= length, F.transform(F.sequence(F.lit(1), F.size("_form") - (length - 1)), lambda i: F.struct(
+def _start(hashes: Column, at: Column, words: int) -> Column:
+    """A hash of the first words of a window from the hashes of single words."""
+    return F.xxhash64(*[F.get(hashes, at + i) for i in range(words)])
+
+
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _known_starts(known: DataFrame, words: int) -> Callable[[Column], Column]:
+    """Whether a window from place ``at`` of a text with ``_fh`` and ``_rh`` may be known; it is hashed whole only then.
+
+    Templates begin like known templates, windows looked up word for word like those, of which there may be none.
+    """
+    tests = []
+    for kind, column, own in ((F.col("h") == F.xxhash64("form"), F.col("form"), "_fh"), (F.col("h") != F.xxhash64("form"), F.transform("raw", F.lower), "_rh")):
+        starts = known.filter(kind).select(_start(_hashes(column), F.lit(0), words).alias("start")).distinct()
+        count = starts.count()
+        if count:
+            tests.append((bitmap(starts, count), own))
+    return lambda at: reduce(lambda p, q: p | q, [test(_start(F.col(own), at - 1, words)) for test, own in tests])
+
+
+def _windows(length: int, may_be_known: Callable[[Column], Column] | None) -> Column:
+    """(length, at, h) of all windows of a length that may be known, ``at`` counted from 1."""
+    places = F.sequence(F.lit(1), F.size("_form") - (length - 1))
+    places = places if may_be_known is None else F.filter(places, may_be_known)
+    return F.when(F.size("_form") >= length, F.transform(places, lambda i: F.struct(
         F.lit(length).alias("length"), i.alias("at"), _hash(F.slice("_form", i, length), F.slice("_raw", i, length)).alias("h")))).otherwise(
         F.array().cast("array<struct<length:int,at:int,h:bigint>>"))
 
@@ -90,8 +119,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.3, least_ru
     if not lengths:
         return rows.limit(0).select("doc_id", "_text", F.lit(None).cast("bigint").alias("item_id"), F.lit(0.0).alias("covered"),
                                     F.lit(False).alias("changed"), F.lit(0).alias("start"), F.lit(0).alias("end"))
-    seen = rows.select("doc_id", "_text", "_raw", F.inline(F.concat(*[_windows(length) for length in sorted(lengths)])))
-    found = seen.join(F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known, ["h", "length"])
+    small = known.count() <= BROADCAST_WINDOWS
+    rows = rows.withColumn("_fh", _hashes(F.col("_form"))).withColumn("_rh", _hashes(F.split(F.lower(F.array_join("_raw", " ")), " ")))
+    may_be_known = _known_starts(known, min(3, *lengths)) if small else None
+    seen = rows.select("doc_id", "_text", "_raw", F.inline(F.concat(*[_windows(length, may_be_known) for length in sorted(lengths)])))
+    found = seen.join(F.broadcast(known) if small else known, ["h", "length"])
     hits = found.select("doc_id", "_text", "item_id", "pos", "n_windows", "form", "raw", "length", (F.col("at") - F.col("pos")).alias("shift"),
                         F.slice("_raw", F.col("at"), F.col("length")).alias("here"))
     bare = lambda w: F.translate(w, _MARKS, "")
