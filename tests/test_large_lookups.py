@@ -102,3 +102,22 @@ def test_equal_ranges_are_met_once(spark, tmp_path, monkeypatch):
         results.append({(r.name, r.version): r.hits for r in catalog.QUERIES["x8_advisory_ranges"](spark, str(tmp_path)).collect()})
     assert results[0] and results[1] == {k: 3 * n for k, n in results[0].items()}
     assert seen[0] == seen[1] <= 600
+
+
+def test_exploded_grams_are_not_broadcast(spark, tmp_path):
+    """The plan takes the grams of a packed table for a few bytes; they went through the driver."""
+    from vulnlake.operators import grams
+
+    spark.range(5000).select(F.concat(F.lit("issue "), (F.col("id") + 10000).cast("string")).alias("part")).write.parquet(str(tmp_path / "parts"))
+    parts = spark.read.parquet(str(tmp_path / "parts"))
+    index = grams.rarest_grams(parts.select("part", F.explode(grams.long_grams(F.col("part"))).alias("gram")), ["part"])
+    assert index.count() == 5000
+    assert "Broadcast" not in index._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_one_place_are_told_apart_by_value(spark):
+    texts = spark.createDataFrame([(0, "aaaa bbbb cccc"), (1, "cccc bbbb"), (2, "cccc")], "id int, text string")
+    rows = [(7, "cccc", "c"), (7, "aaaa", "a"), (7, "bbbb", "b")]
+    for ordered in (rows, rows[::-1]):
+        parts = spark.createDataFrame(ordered, "place int, part string, category string").coalesce(1)
+        assert {r.id: r.category for r in lookups.first_contained(texts, "text", parts).collect()} == {0: "a", 1: "b", 2: "c"}

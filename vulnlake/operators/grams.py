@@ -55,9 +55,11 @@ def grams_of(text: Column, length: Column | int) -> Column:
 
 
 def rarest_grams(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Of several rows (keys, gram) the one whose gram is the rarest in the table."""
+    """Of several rows (keys, gram) the one whose gram is the rarest in the table.
+
+    Exploded grams are many times what the plan estimates from the file they come from, so neither side may be broadcast."""
     uses = rows.groupBy("gram").agg(F.count("*").alias("uses"))
-    return rows.join(uses, "gram").groupBy(*keys).agg(F.min_by("gram", F.struct("uses", "gram")).alias("gram"))
+    return rows.hint("merge").join(uses, "gram").groupBy(*keys).agg(F.min_by("gram", F.struct("uses", "gram")).alias("gram"))
 
 
 def sent_if_small(index: DataFrame) -> DataFrame:

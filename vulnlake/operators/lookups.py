@@ -60,7 +60,7 @@ def owasp_of_type(kind: Column) -> Column:
 
 
 def first_contained(rows: DataFrame, text: str, catalogue: DataFrame, result: str = "category") -> DataFrame:
-    """Adds the category of the first part, by ``place``, that a text holds in any case; null if it holds none.
+    """Adds the category of the first part, by ``place`` and then by value, that a text holds in any case; null if it holds none.
 
     ``catalogue`` (place, part, category) may have any number of parts. Each stands in an index under its rarest gram of the
     greatest length (`grams.LENGTHS`) that fits into it, so that parts that differ in their last letters only do not share one; a
@@ -76,7 +76,7 @@ def first_contained(rows: DataFrame, text: str, catalogue: DataFrame, result: st
     texts = computed_once(rows.select(F.lower(text).alias("_text")).distinct(), _low=F.col("_text"))
     asked = F.concat(F.array(F.lit(EVERY_TEXT).cast("bigint")), *[grams_of(F.col("_low"), n) for n in sizes if n])
     met = texts.select("_low", F.explode(asked).alias("gram")).join(sent_if_small(index), "gram").filter(F.col("_low").contains(F.col("part")))
-    found = met.groupBy("_low").agg(F.min_by("_category", "place").alias(result))
+    found = met.groupBy("_low").agg(F.min_by("_category", F.struct("place", "part")).alias(result))
     return rows.join(found, F.lower(text) == F.col("_low"), "left").drop("_low")
 
 
