@@ -177,3 +177,21 @@ def test_slices_of_few_rows_leave_a_task_together(spark, monkeypatch):
     out = list(function(iter(batch)))
     ends = pa.Table.from_batches(out).column("_end")
     assert len(ends) - ends.null_count == 500 and len(out) <= 3 * len(batch)
+
+
+def test_clients_share_the_timers_of_their_bucket(spark, tmp_path):
+    """Each client had timers, frames and state reads of its own, however few its rows; a window may be longer than clients are kept."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(600):
+        client = rng.choice([None, *range(60)])
+        rows.append((i, client, BASE + dt.timedelta(milliseconds=rng.randrange(6 * 3600 * 1000))))
+    frame = spark.createDataFrame(rows, "request_id int, client int, ts timestamp").withColumn("_part", F.floor((F.unix_micros("ts") / 1e6) % 86400 / 10800))
+    source = stream_of(spark, frame.unionByName(far_row(frame, 2)).repartition(3), tmp_path).withWatermark("ts", "1 minute")
+    stream = admission.decide_stream(source.withColumn("path", F.when(F.col("client") % 2 == 0, "/a")), ["client", "path"], 2, 7200, "request_id", buckets=4)
+    query = jobs.start(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    got = {r.request_id: (r.allowed, r.remaining, r.retry_after) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == expected(rows, 2, 7200)
+    assert {d[0] for d in got.values()} == {True, False}
+    assert 0 < max(o["customMetrics"].get("numRegisteredTimers", 0) for p in query.recentProgress for o in p["stateOperators"]) <= 2 * 4

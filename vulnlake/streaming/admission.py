@@ -19,6 +19,8 @@ from vulnlake.operators.scale import kept as kept_table
 
 RESULT = "allowed boolean, remaining int, retry_after int"
 KEEP_SECONDS = 3600  # fixed value: state of a client is dropped after an hour
+PART_ROWS = 50_000  # rows that a task of the stream holds before it writes them to its state
+CLIENT, BUCKET = "_client", "_bucket"
 
 
 def client_key(forwarded: Column, real_ip: Column, host: Column) -> Column:
@@ -165,22 +167,25 @@ def _sliced(rows: DataFrame, requests: DataFrame, names: list[str], order: str,
 
 
 class Admission(StatefulProcessor):
-    """Decides the requests of a key in order of time, whatever the order and the micro-batches in which they come.
+    """Decides the requests of a bucket of clients in order of time, whatever the order and the micro-batches in which they come.
 
-    Rows wait in state, by chunks of ``chunk_ms`` of their time, until the watermark has passed their slice. A key has one timer, at the
-    end of the first slice that waits; when it fires, all slices that the watermark has passed are decided in order, chunk by
-    chunk. Kept are the waiting rows and the accepted times, which another timer drops an hour after the last of them. In
-    memory is one chunk of one key at a time.
+    Rows wait in state, by chunks of ``chunk_ms`` of their time, until the watermark has passed their slice; what arrives together
+    is one part of a chunk. A bucket has one timer for decisions, at the end of the first slice that waits; when it fires, all slices that the
+    watermark has passed are decided in order, chunk by chunk. Kept are the waiting rows and the accepted times of each client; another
+    timer drops those of clients that paused for an hour. In memory are one chunk of one bucket and the accepted times it needs.
     """
 
-    def __init__(self, limit: int, window: float, order: str, slice_ms: int, chunk_ms: int):
-        self.limit, self.window, self.order, self.slice_ms, self.chunk_ms = limit, window, order, slice_ms, chunk_ms
+    def __init__(self, columns: list[str], limit: int, window: float, order: str, slice_ms: int, chunk_ms: int):
+        self.columns, self.limit, self.window, self.order, self.slice_ms, self.chunk_ms = columns, limit, window, order, slice_ms, chunk_ms
+        self.keep_ms = math.ceil(max(KEEP_SECONDS, window) * 1000)
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "chunk long", "part binary")
-        self.accepted = handle.getListState("accepted", "time double")
+        self.waiting = handle.getMapState("waiting", "chunk long, number long", "part binary")
+        self.parts = handle.getValueState("parts", "number long")
+        self.accepted = handle.getMapState("accepted", "client string", "times binary")
         self.due = handle.getValueState("due", "time long")
+        self.idle = handle.getValueState("idle", "time long")
 
     def _ends(self, rows: pd.DataFrame):
         """When the slices of the rows end, in milliseconds."""
@@ -190,69 +195,122 @@ class Admission(StatefulProcessor):
         self.handle.registerTimer(time)
         self.due.update((time,))
 
+    def _drop_at(self, time: int) -> None:
+        self.handle.registerTimer(time)
+        self.idle.update((time,))
+
+    def _store(self, frames: list[pd.DataFrame], number: int) -> tuple[int, int]:
+        """Adds rows to their chunks; returns the end of their first slice and the next number of a part."""
+        frame = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
+        ends = self._ends(frame)
+        chunks = (ends - self.slice_ms) // self.chunk_ms
+        for chunk, part in [(chunks[0], frame)] if (chunks == chunks[0]).all() else frame.groupby(chunks):
+            self.waiting.updateValue((int(chunk), number), (pickle.dumps(part, 5),))
+            number += 1
+        return int(ends.min()), number
+
     def handleInputRows(self, key, rows, timerValues):
-        first = None
+        firsts, frames, size = [], [], 0
+        before = self.parts.get()
+        number = before[0] if before is not None else 0
         for frame in rows:
-            ends = self._ends(frame)
-            chunks = (ends - self.slice_ms) // self.chunk_ms
-            first = min(int(ends.min()), first) if first is not None else int(ends.min())
-            for number, part in [(chunks[0], frame)] if (chunks == chunks[0]).all() else frame.groupby(chunks):
-                place = (int(number),)
-                before = self.waiting.getValue(place)
-                if before is not None:
-                    part = pd.concat([pickle.loads(before[0]), part])
-                self.waiting.updateValue(place, (pickle.dumps(part),))
-        due = self.due.get()
-        if first is not None and (due is None or first < due[0]):
-            if due is not None:
-                self.handle.deleteTimer(due[0])
-            self._expect(first)
+            if len(frame):
+                frames.append(frame.set_axis(self.columns, axis=1).drop(columns=BUCKET))  # Spark does not tell the names of computed columns
+                size += len(frame)
+            if size >= PART_ROWS:
+                first, number = self._store(frames, number)
+                firsts.append(first)
+                frames, size = [], 0
+        if frames:
+            first, number = self._store(frames, number)
+            firsts.append(first)
+        if firsts:
+            self.parts.update((number,))
+            due, first = self.due.get(), min(firsts)
+            if due is None or first < due[0]:
+                idle = self.idle.get()
+                if due is not None and due != idle:
+                    self.handle.deleteTimer(due[0])
+                self._expect(first)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        accepted = deque(row[0] for row in self.accepted.get())
-        due = self.due.get()
-        if due is None or due[0] != now:
-            if accepted and accepted[-1] * 1000 <= now - KEEP_SECONDS * 1000:
-                self.accepted.clear()
-            return
-        self.due.clear()
-        watermark = timerValues.getCurrentWatermarkInMs()
-        for number in sorted(place[0] for place in self.waiting.keys()):
-            place = (number,)
-            rows = pickle.loads(self.waiting.getValue(place)[0])
+    def _decided(self, rows: pd.DataFrame, held: dict) -> pd.DataFrame:
+        """The rows of one chunk with their decisions; ``held`` gathers the accepted times of their clients."""
+        rows = rows.sort_values(["ts", self.order], kind="stable").reset_index(drop=True)
+        seconds = (rows["ts"].astype("datetime64[us]").astype("int64") / 1e6).tolist()
+        decisions = []
+        for client, now in zip(rows.pop(CLIENT).tolist(), seconds, strict=True):
+            accepted = held.get(client)
+            if accepted is None:
+                before = self.accepted.getValue((client,))
+                accepted = held[client] = deque(pickle.loads(before[0]) if before is not None else ())
+            decisions += admit((now,), accepted, self.limit, self.window)
+        return pd.concat([rows, pd.DataFrame(decisions, columns=["allowed", "remaining", "retry_after"])], axis=1)
+
+    def _decide(self, watermark: int):
+        parts, held = {}, {}
+        for chunk, number in self.waiting.keys():
+            parts.setdefault(chunk, []).append(number)
+        for chunk in sorted(parts):
+            numbers = sorted(parts[chunk])
+            frames = [pickle.loads(self.waiting.getValue((chunk, n))[0]) for n in numbers]
+            rows = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
             passed = self._ends(rows) < watermark
             left = rows[~passed]
             if len(left) < len(rows):
-                rows = rows[passed].sort_values(["ts", self.order], kind="stable").reset_index(drop=True)
-                seconds = rows["ts"].astype("datetime64[us]").astype("int64") / 1e6
-                result = pd.DataFrame(admit(seconds, accepted, self.limit, self.window), columns=["allowed", "remaining", "retry_after"])
-                yield pd.concat([rows, result], axis=1)
+                yield self._decided(rows[passed], held)
+                for n in numbers:
+                    self.waiting.removeKey((chunk, n))
                 if len(left):
-                    self.waiting.updateValue(place, (pickle.dumps(left),))
-                else:
-                    self.waiting.removeKey(place)
+                    self.waiting.updateValue((chunk, numbers[0]), (pickle.dumps(left, 5),))
             if len(left):
                 self._expect(int(self._ends(left).min()))
                 break
-        if accepted:
-            self.accepted.put([(t,) for t in accepted])
-            self.handle.registerTimer(math.ceil(accepted[-1] * 1000) + KEEP_SECONDS * 1000)
+        for client, accepted in held.items():
+            if accepted:
+                self.accepted.updateValue((client,), (pickle.dumps(list(accepted), 5),))
+        last = max((accepted[-1] for accepted in held.values() if accepted), default=None)
+        if last is not None and self.idle.get() is None:
+            self._drop_at(math.ceil(last * 1000) + self.keep_ms)
+
+    def _drop_idle(self, now: int) -> None:
+        """Drops clients without an accepted request in the last hour; looks again when the last of the others may have to go."""
+        last = {client[0]: pickle.loads(times[0])[-1] for client, times in self.accepted.iterator()}
+        for client, time in last.items():
+            if time * 1000 <= now - self.keep_ms:
+                self.accepted.removeKey((client,))
+        active = [time for time in last.values() if time * 1000 > now - self.keep_ms]
+        if active:
+            self._drop_at(math.ceil(max(active) * 1000) + self.keep_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        due, idle = self.due.get(), self.idle.get()
+        if idle is not None and idle[0] == now:
+            self.idle.clear()
+            self._drop_idle(now)
+        if due is not None and due[0] == now:
+            self.due.clear()
+            yield from self._decide(timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
 def decide_stream(requests: DataFrame, keys: list[str], limit: int, window: int, order: str, slice_seconds: float = 1,
-                  chunk_seconds: float = 86400) -> DataFrame:
+                  chunk_seconds: float = 86400, buckets: int = 256) -> DataFrame:
     """Exact decisions on a stream with an event-time watermark, equal to those of `decide` over the same rows.
 
     A request is decided when the watermark has passed the end of its slice; rows that come later than the watermark are dropped
-    by Spark. Rows of a key wait in chunks of ``chunk_seconds``, of which one is in memory at a time. Needs the RocksDB state store, which this sets for the session.
+    by Spark. Clients are dealt to ``buckets``, whose rows wait, have a timer and are decided together: what a task does for a key
+    of its state costs far more than a row, and most clients have few rows. Rows wait in chunks of ``chunk_seconds``, of
+    which one is in memory at a time. Like the partitions of the state, the number of buckets must stay the same for
+    a checkpoint. Needs the RocksDB state store, which this sets for the session.
     """
     spark = requests.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
-    return requests.groupBy(*keys).transformWithStateInPandas(
-        Admission(limit, window, order, int(slice_seconds * 1000), int(chunk_seconds * 1000)), f"{fields}, {RESULT}", "append", "eventTime")
+    dealt = requests.withColumn(CLIENT, F.to_json(F.array(*[F.col(k).cast("string") for k in keys]))).withColumn(
+        BUCKET, F.pmod(F.xxhash64(CLIENT), F.lit(buckets)))
+    return dealt.groupBy(BUCKET).transformWithStateInPandas(
+        Admission(dealt.columns, limit, window, order, int(slice_seconds * 1000), int(chunk_seconds * 1000)), f"{fields}, {RESULT}", "append", "eventTime")
