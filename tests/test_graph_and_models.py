@@ -186,3 +186,50 @@ def test_only_numbers_of_lines_are_shuffled(spark):
     plan = tables.code_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("Exchange"):]
     assert "l_suppkey" in below and "element_at" not in below
+
+
+def named(spark, text, **options):
+    """Edges of the names of a text as (name, line of the definition, line of the use), of all definitions and the last one."""
+    n = graph.parse_nodes(spark.createDataFrame([(1, text)], "file_id long, text string"), columns=(*graph.DATAFLOW_COLUMNS, "start_line"), **options).cache()
+    at = {r.node_id: (r.value, r.start_line) for r in n.collect()}
+    return [sorted((at[r.source][0], at[r.source][1], at[r.target][1]) for r in graph.dataflow_edges(n, last).collect()) for last in (False, True)]
+
+
+def test_names_of_texts_that_do_not_parse(spark):
+    """A line that does not parse hid all names of its text."""
+    text = "x = 1\nconst v = x\nif (v == 1) { run(v.x) }\nx += v\nprint(x)\n"
+    every, last = named(spark, text, recover=True)
+    assert every == [("v", 2, 3), ("v", 2, 3), ("v", 2, 4), ("x", 1, 2), ("x", 1, 4), ("x", 1, 5), ("x", 4, 5)]
+    assert last == [e for e in every if e != ("x", 1, 5)]
+    assert named(spark, text) == [[], []]
+    blocks = "def f(a):\n    b = a\n    c = = b\n    return b\ntry:\n    d = f(\n        b)\nexcept E as e:\n    $ e\nelse:\n    g = d\n"
+    assert named(spark, blocks, recover=True)[1] == [("a", 1, 2), ("b", 2, 3), ("b", 2, 4), ("b", 2, 7), ("d", 6, 11)]
+    script = "let a = 1; /* a\n a */ // a\nlet s = `a ${a}\n a`;\nfunction f(p) {\n  'a';\n  return s + a;\n}\n"
+    assert named(spark, script, recover=True)[0] == [("a", 1, 3), ("a", 1, 7), ("s", 3, 7)]
+
+
+def test_recovered_texts_keep_what_parses():
+    """A text that parses has the same nodes; one more line that does not leaves those of the others as they are."""
+    texts = [TEXT, "", "@d\ndef f(a, *b: int):\n    '''t\n t'''\n    return [\na, b]\n", "class A:\n\tx = 1\n\n\tdef m(self): pass\nif A: y = A\nelse: y = 2\n", "é = 'ü'; z = é\n"]
+    for text in texts:
+        rows = list(graph._nodes_of(1, text, None))
+        assert rows and list(graph._nodes_of(1, text, None, True)) == rows
+        more = list(graph._nodes_of(1, text + "?\n", None, True))
+        assert list(graph._nodes_of(1, text + "?\n", None)) == [] and more[1:] == rows[1:]
+    for odd in ("\0", "(" * 5000, "\ud800 = 1", "if 1:\n" + "".join(" " * i + "if x:\n" for i in range(1, 300)), "'" * 7, "`${`", "a = 1\r\nb = ? a\rc", "x = \\"):
+        assert len(list(graph._nodes_of(1, odd, None, True))) >= 1
+
+
+def test_dataflow_edges_of_all_texts(spark, tmp_path, monkeypatch):
+    """The query reads the texts that do not parse, too."""
+    from vulnlake.plans import catalog, tables
+
+    place = tables.CODE_LINES.index
+    numbers = [place("const v@@ = require(\"x\")"), place("cfg = yaml.load(stream_@@)"), place("n = random.randint(1, @@)"), place("cfg = yaml.load(stream_@@)")]
+    n = len(tables.CODE_LINES)
+    parts = [next(p for p in range(n) if (p * 7 + 3) % n == k) for k in numbers]
+    spark.createDataFrame([(5, i, p, 3, 1.0) for i, p in enumerate(parts)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen, edges = [], graph.dataflow_edges
+    monkeypatch.setattr(graph, "dataflow_edges", lambda nodes, last=False: seen.append(nodes) or edges(nodes, last))
+    catalog.QUERIES["g4_dataflow_edges"](spark, str(tmp_path))
+    assert sorted(r["value"] for r in seen[0].filter("is_definition").collect()) == ["cfg", "cfg", "n", "v3"]

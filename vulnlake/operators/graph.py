@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ast
 import gc
+import keyword
+import re
 from functools import partial
 from itertools import islice
 
@@ -21,6 +23,8 @@ _SQL_NAMES = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.b
 #: What the edges and features read; a step that needs no more has no other columns built and sent.
 CONTROL_COLUMNS = ("file_id", "node_id", "node_type", "parent_id", "parent_type", "field", "field_no")
 FEATURE_COLUMNS = ("file_id", "node_id", "node_type", "value", "start_line", "end_line", "depth", "num_children")
+NAMED = ("Name", "arg")
+DATAFLOW_COLUMNS = ("file_id", "node_id", "node_type", "value", "parent_type", "field", "is_definition")
 
 BATCH_NODES = 8192
 GC_THRESHOLD = (200_000, 20, 100)
@@ -56,17 +60,166 @@ def _value(node, value_chars):
     return None
 
 
+class Error(ast.stmt):
+    """A line that no statement can be read from; its names are its children."""
+
+    _fields = ("names",)
+
+
+PARSE_ERRORS = (SyntaxError, ValueError, RecursionError, MemoryError)
+MOST_NESTED, MOST_PADDED = 50, 200
+# Words that are no names in Python or JavaScript, and those that go on with the statement before.
+WORDS = frozenset(keyword.kwlist) | frozenset(
+    "const let var function new typeof instanceof void delete this super export default case switch do catch throw extends static null undefined "
+    "true false interface enum implements private public protected readonly abstract declare namespace of debugger".split())
+CLAUSES = ("else", "elif", "except", "finally")
+_LINES = re.compile(r"\r\n|\r|\n")
+_SPANS = re.compile(r'''"{3}(?:[^\\]|\\.)*?"{3}|\'{3}(?:[^\\]|\\.)*?\'{3}|"(?:[^"\\\r\n]|\\.)*"|\'(?:[^\'\\\r\n]|\\.)*\'|`(?:[^`\\]|\\.)*`|/\*.*?\*/|//[^\r\n]*|\#[^\r\n]*|[(\[{]|[)\]}]''', re.S)
+_NAMES = re.compile(
+    r'''"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|\#.*|//.*|\d\w*|(?P<dot>\.\s*)?(?P<name>[^\W\d][\w$]*|\$[\w$]*)'''
+    r"(?:(?P<assigned>\s*(?::\s*[\w.<>\[\]]+\s*)?=(?![=>]))|(?P<changed>\s*(?:\*\*|//|>>>?|<<|&&|\|\||\?\?|[-+*/%&|^@])=))?")
+
+
+def _error(line: str, number: int) -> list[ast.stmt]:
+    """The names of a line in their order: what is assigned is a definition, what follows a dot or stands in a text or comment is no name."""
+    at = {"lineno": number, "end_lineno": number}
+    names, begin, seen = [], 0, 0
+    for found in _NAMES.finditer(line):
+        name = found["name"]
+        if name is None or found["dot"] or name in WORDS:
+            continue
+        begin += len(line[seen:found.start("name")].encode(errors="replace"))
+        seen = found.start("name")
+        place = at | {"col_offset": begin, "end_col_offset": begin + len(name.encode(errors="replace"))}
+        defined = found["assigned"] or found["changed"]
+        node = ast.Name(id=name, ctx=ast.Store() if defined else ast.Load(), **place)
+        names.append(ast.AugAssign(target=node, **place) if found["changed"] else node)
+    return [Error(names=names, col_offset=0, end_col_offset=len(line.encode(errors="replace")), **at)] if names else []
+
+
+def _blanked(span) -> str:
+    """JavaScript's block comments and templates as blanks, but for the expressions of a template."""
+    if span[0][:2] != "/*" and span[0][0] != "`":
+        return span[0]
+    kept = [False] * len(span[0])
+    for inner in re.finditer(r"\$\{([^{}]*)\}", span[0]) if span[0][0] == "`" else ():
+        kept[inner.start(1):inner.end(1)] = [True] * len(inner[1])
+    return "".join(c if keep or c in "\r\n" else " " for c, keep in zip(span[0], kept))
+
+
+def _units(text: str) -> list[tuple[int, int, list[str]]]:
+    """(indentation, number of the first line, lines) of the logical lines of a text: open brackets and long texts go on over lines."""
+    if "`" in text or "/*" in text:
+        text = _SPANS.sub(_blanked, text)
+    lines = _LINES.split(text)
+    starts, ends = [0], []
+    for end in _LINES.finditer(text):
+        starts.append(end.end())
+        ends.append(end.start())
+    joined, line, opened = set(), 0, []  # line numbers that go on with the line before
+    for span in _SPANS.finditer(text):
+        while line + 1 < len(starts) and starts[line + 1] <= span.start():
+            line += 1
+        token = span[0]
+        if token in "([{":
+            opened.append(line)
+        elif token in ")]}":
+            if opened:
+                joined.update(range(opened.pop() + 1, line + 1))
+        elif token[:3] in ('"""', "'''") and len(token) >= 6:
+            joined.update(range(line + 1, line + 1 + len(_LINES.findall(token))))
+    units = []
+    for number, content in enumerate(lines):
+        if units and (number in joined or lines[number - 1].endswith("\\")):
+            units[-1][2].append(content)
+        elif content.strip():
+            units.append((len(content) - len(content.lstrip()), number + 1, [content]))
+    return units
+
+
+def _statements(lines: list[str], number: int, indented: bool) -> list[ast.stmt] | None:
+    """Statements of lines at their places, if they parse."""
+    above = min(number - 1, MOST_PADDED) - indented  # empty lines cost less than a walk over the nodes, if they are few
+    try:
+        tree = ast.parse("\n" * above + "\n".join(["if 1:", *lines] if indented else lines))
+    except PARSE_ERRORS:
+        return None
+    body = tree.body[0].body if indented and tree.body else tree.body
+    if number - 1 - indented != max(above, 0):
+        for node in body:
+            ast.increment_lineno(node, number - 1 - indented - max(above, 0))
+    return body
+
+
+def _read(units: list) -> list[ast.stmt] | None:
+    """Statements of a whole block, if it parses."""
+    lines = []
+    for _, number, more in units:
+        lines += [""] * (number - units[0][1] - len(lines)) + more  # empty lines are in no unit
+    return _statements(lines, units[0][1], units[0][0] > 0)
+
+
+def _recovered(units: list, nested: int = 0) -> list[ast.stmt]:
+    """Statements of the logical lines, block by block; a block that does not parse is its head and the statements below it."""
+    body, i = [], 0
+    while i < len(units):
+        indent, number, first = units[i]
+        cuts, j = [i], i + 1
+        while j < len(units):
+            word = units[j][2][0].lstrip()
+            if units[j][0] <= indent:
+                if units[j][0] < indent or not (word.startswith(CLAUSES) or units[cuts[-1]][2][0].lstrip().startswith("@")):
+                    break
+                cuts.append(j)
+            j += 1
+        found = _read(units[i:j])
+        if found is None:
+            found = []
+            for a, b in zip(cuts, [*cuts[1:], j]):
+                found += (_read(units[a:b]) if len(cuts) > 1 else None) or _headed(units[a], units[a + 1:b], nested, b > a + 1)
+        body += found
+        i = j
+    return body
+
+
+def _headed(head: tuple, below: list, nested: int, may_parse: bool) -> list[ast.stmt]:
+    """The statement that a line begins, with the statements below it as its body; else its names, and those statements after them."""
+    indent, number, lines = head
+    under = _recovered(below, nested + 1) if below and nested < MOST_NESTED else [
+        node for _, at, more in below for k, line in enumerate(more) for node in _error(line, at + k)]
+    begun = _statements(lines, number, indent > 0) if may_parse else None
+    if begun is None and lines[-1].split("#")[0].rstrip().endswith(":"):
+        begun = _statements([*lines, " " * (indent + 1) + "pass"], number, indent > 0)
+        if begun:
+            begun[-1].body = under
+            return begun
+    if begun is None:
+        if len(lines) > 1:  # brackets that do not belong together
+            begun = _recovered([(len(x) - len(x.lstrip()), number + k, [x]) for k, x in enumerate(lines) if x.strip()], nested + 1) if nested < MOST_NESTED else [
+                node for k, x in enumerate(lines) for node in _error(x, number + k)]
+        else:
+            begun = _error(lines[0], number)
+    return begun + under
+
+
+def _tree(text: str, recover: bool):
+    """The syntax tree of a text; of one that does not parse nothing, or what can be read of it."""
+    try:
+        return ast.parse(text)
+    except PARSE_ERRORS:
+        return ast.Module(body=_recovered(_units(text)), type_ignores=[]) if recover else None
+
+
 # What a kind of node says of all its nodes: name, fields, whether it has a place, may have a value, is an argument.
 _VALUED = (ast.Name, ast.arg, ast.Constant, ast.FunctionDef, ast.ClassDef, ast.Call)
 _KINDS = {kind: (kind.__name__, kind._fields, bool(kind._attributes), issubclass(kind, _VALUED), issubclass(kind, ast.arg))
-          for kind in vars(ast).values() if isinstance(kind, type) and issubclass(kind, ast.AST) and (kind is ast.Constant or not issubclass(kind, ast.Constant))}
+          for kind in [*vars(ast).values(), Error] if isinstance(kind, type) and issubclass(kind, ast.AST) and (kind is ast.Constant or not issubclass(kind, ast.Constant))}
 
 
-def _nodes_of(file_id, text, value_chars):
-    """Node rows of one text in pre-order; nothing for a text that does not parse."""
-    try:
-        root = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+def _nodes_of(file_id, text, value_chars, recover=False):
+    """Node rows of one text in pre-order; nothing for a text that does not parse, unless it is to be recovered."""
+    root = _tree(text, recover)
+    if root is None:
         return
     stack = [(root, None, None, None, 0, 0)]
     pop = stack.pop
@@ -99,13 +252,13 @@ def _nodes_of(file_id, text, value_chars):
         number += 1
 
 
-def _node_batches(batches, value_chars, columns=tuple(NODE_TYPES)):
+def _node_batches(batches, value_chars, columns=tuple(NODE_TYPES), recover=False, kinds=None):
     usual = gc.get_threshold()
     gc.set_threshold(*GC_THRESHOLD)  # trees hold no cycles; looking for some after every few hundred nodes takes a tenth of the time
     try:
         for batch in batches:
             texts = zip(batch.column("file_id").to_pylist(), batch.column("text").to_pylist())
-            rows = (row for file_id, text in texts for row in _nodes_of(file_id, text or "", value_chars))
+            rows = (row for file_id, text in texts for row in _nodes_of(file_id, text or "", value_chars, recover) if kinds is None or row[2] in kinds)
             while part := list(islice(rows, BATCH_NODES)):
                 values = dict(zip(NODE_TYPES, zip(*part)))
                 yield pa.RecordBatch.from_arrays([pa.array(values[name], NODE_TYPES[name]) for name in columns], names=list(columns))
@@ -113,12 +266,15 @@ def _node_batches(batches, value_chars, columns=tuple(NODE_TYPES)):
         gc.set_threshold(*usual)
 
 
-def parse_nodes(files: DataFrame, value_chars: int | None = None, columns: tuple[str, ...] = tuple(NODE_TYPES)) -> DataFrame:
+def parse_nodes(files: DataFrame, value_chars: int | None = None, columns: tuple[str, ...] = tuple(NODE_TYPES), recover: bool = False,
+                kinds: tuple[str, ...] | None = None) -> DataFrame:
     """(file_id, text) to node rows. Texts are independent, so any partitioning will do.
 
-    Constants are kept whole unless ``value_chars`` cuts them. A task holds the tree of one text and a few thousand node rows."""
+    Constants are kept whole unless ``value_chars`` cuts them. A task holds the tree of one text and a few thousand node rows. A text
+    that does not parse has no rows; with ``recover`` it has the statements that can be read on their own, in their blocks, and for
+    every other line, of whatever language, a node `Error` over its names. Only nodes of the given ``kinds`` are sent, if there are some."""
     schema = ", ".join(f"{name} {_SQL_NAMES[NODE_TYPES[name]]}" for name in columns)
-    return files.select("file_id", "text").mapInArrow(partial(_node_batches, value_chars=value_chars, columns=columns), schema)
+    return files.select("file_id", "text").mapInArrow(partial(_node_batches, value_chars=value_chars, columns=columns, recover=recover, kinds=kinds), schema)
 
 
 def _edges(frame: DataFrame, source, target, kind: str) -> DataFrame:
@@ -141,13 +297,15 @@ def sequence_edges(nodes: DataFrame) -> DataFrame:
 
 
 def dataflow_edges(nodes: DataFrame, last_only: bool = False) -> DataFrame:
-    """Definition to use of the same name: from all earlier definitions, or the last one only."""
-    names = nodes.filter(F.col("node_type").isin("Name", "arg") & F.col("value").isNotNull())
-    uses = names.filter(~F.col("is_definition")).select("file_id", "value", F.col("node_id").alias("use_id"))
+    """Definition to use of the same name: from all earlier definitions, or the last one only. What `x += 1` names is both."""
+    names = nodes.filter(F.col("node_type").isin(*NAMED) & F.col("value").isNotNull())
+    changed = F.coalesce((F.col("parent_type") == "AugAssign") & (F.col("field") == "target"), F.lit(False))
+    used = ~F.col("is_definition") | changed
+    uses = names.filter(used).select("file_id", "value", F.col("node_id").alias("use_id"))
     if last_only:
         before = Window.partitionBy("file_id", "value").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
         last = F.last(F.when(F.col("is_definition"), F.col("node_id")), ignorenulls=True).over(before)
-        found = names.withColumn("_def", last).filter(~F.col("is_definition") & F.col("_def").isNotNull())
+        found = names.withColumn("_def", last).filter(used & F.col("_def").isNotNull())
         return _edges(found, F.col("_def"), F.col("node_id"), "dataflow")
     defs = names.filter("is_definition").select("file_id", "value", F.col("node_id").alias("def_id"))
     return _edges(uses.join(defs, ["file_id", "value"]).filter(F.col("def_id") < F.col("use_id")),

@@ -448,9 +448,9 @@ def ranked_search(spark, sf):
 # ------------------------------------------------------------------------ graphs
 
 
-def _nodes(spark, sf, columns=tuple(graph.NODE_TYPES)):
-    """Nodes of the single lines and whole texts that parse."""
-    return graph.parse_nodes(t.code_files(spark, sf).select("file_id", "text"), columns=columns)
+def _nodes(spark, sf, columns=tuple(graph.NODE_TYPES), **options):
+    """Nodes of the texts that parse, or with ``recover`` of all texts."""
+    return graph.parse_nodes(t.code_files(spark, sf).select("file_id", "text"), columns=columns, **options)
 
 
 @query("g1_nodes")
@@ -470,7 +470,8 @@ def sequence_edges(spark, sf):
 
 @query("g4_dataflow_edges")
 def dataflow_edges(spark, sf):
-    n = kept(_nodes(spark, sf), "nodes")  # texts are parsed once for all edges
+    """Edges between the names of all texts, also of those that do not parse as a whole."""
+    n = kept(_nodes(spark, sf, graph.DATAFLOW_COLUMNS, recover=True, kinds=graph.NAMED), "nodes")  # texts are parsed once for all edges
     return graph.dataflow_edges(n).withColumn("form", F.lit("all")).unionByName(graph.dataflow_edges(n, True).withColumn("form", F.lit("last")))
 
 
