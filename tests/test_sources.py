@@ -208,3 +208,40 @@ def test_split_output(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "samples")).count() == 40
     assert spark.read.json(str(tmp_path / "out" / "metadata")).agg(F.sum("samples")).first()[0] == 40
     assert spark.read.json(str(tmp_path / "out" / "class_weights")).count() == 2
+
+
+def compliance_findings(spark, n=4000):
+    """Findings of two scans, one of which holds most."""
+    i = F.col("id")
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("SQL Injection", "XSS", "Weak Cryptography", "AUTH bypass")]), (i % 4 + 1).cast("int"))
+    return spark.range(n).repartition(4).select(
+        F.when(i % 9 == 0, "b/1").otherwise("a").alias("scan_id"), i.alias("position"), kinds.alias("type"), F.lit("HIGH").alias("severity"), F.lit("CWE-89").alias("cwe"),
+        F.lit(None).cast("string").alias("owasp"), F.when(i % 7 > 0, F.sha2(i.cast("string"), 512)).alias("message"), F.lit("s").alias("suggestion"), F.lit("f").alias("file"), i.cast("int").alias("line"))
+
+
+def test_documents_written_in_passes_are_the_same(spark, tmp_path):
+    table = sinks.compliance_lines(compliance_findings(spark), "scan_id", "position")
+    whole, passes = tmp_path / "whole", tmp_path / "passes"
+    documents.write_documents(table, str(whole))
+    documents.write_documents(table, str(passes), passes=sinks.COMPLIANCE_PASSES, shares=2)
+    names = sorted(f.name for f in whole.glob("*.json"))
+    assert len(names) == 2 and names == sorted(f.name for f in passes.glob("*.json"))
+    for name in names:
+        assert (whole / name).read_bytes() == (passes / name).read_bytes()
+        assert len(json.loads((passes / name).read_text())["findings"]) > 400
+
+
+def test_a_compliance_export_leaves_little_on_disk(spark, tmp_path):
+    """Findings were shuffled once more to find their requirements, and all shuffle files stayed beside the documents."""
+    table = sinks.compliance_lines(compliance_findings(spark), "scan_id", "position")
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [coalesce(scan_id" in plan and "SortMergeJoin [coalesce(scan_id" not in plan
+
+    def shuffled():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        files = [found.apply(i) for i in range(found.size())]
+        return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_")}
+
+    before = shuffled()
+    documents.write_documents(table, str(tmp_path / "docs"), compressed=True, passes=sinks.COMPLIANCE_PASSES)
+    assert sum(size for name, size in shuffled().items() if name not in before) < 100_000 < (tmp_path / "docs" / documents.file_name("a", True)).stat().st_size

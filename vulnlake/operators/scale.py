@@ -9,6 +9,8 @@ steps read that table: the places stay the same whichever executor is lost.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +21,18 @@ from vulnlake.session import ensure_checkpoint_dir
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files: they go as soon as a write has ended."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def kept(frame: DataFrame, label: str) -> DataFrame:

@@ -428,10 +428,10 @@ def sarif_results(spark, sf):
     return reports.sarif_results(t.findings(spark, sf), ["scan_id"], "position")
 
 
-def _read_back(spark, table):
+def _read_back(spark, table, **steps):
     """(key, text) of the lines of documents that are written and read again."""
     folder = f"{ensure_checkpoint_dir(spark)}/documents-{uuid.uuid4().hex}"
-    documents.write_documents(table, folder, compressed=True)
+    documents.write_documents(table, folder, compressed=True, **steps)
     return documents.read_lines(spark, folder, compressed=True)
 
 
@@ -470,7 +470,7 @@ def compliance_documents(spark, sf):
     text = F.col("text")
     summary = F.from_json(F.regexp_replace(text, '^"summary":', ""), "total_findings bigint, compliance_score double")
     is_summary = text.startswith('"summary":')
-    return _read_back(spark, sinks.compliance_lines(t.findings(spark, sf), "scan_id", "position")).groupBy(F.col("key").alias("scan_id")).agg(
+    return _read_back(spark, sinks.compliance_lines(t.findings(spark, sf), "scan_id", "position"), passes=sinks.COMPLIANCE_PASSES, shares=3).groupBy(F.col("key").alias("scan_id")).agg(
         F.max(F.when(is_summary, summary["total_findings"])).alias("total_findings"), F.max(F.when(is_summary, summary["compliance_score"])).alias("compliance_score"),
         F.count_if(text.startswith('{"position"')).alias("findings"), F.count_if(text.rlike(r'^"[A-Z_]+:.*":\[$')).alias("requirements"),
         F.count_if(text.startswith('{"type"')).alias("mapped"), F.count_if(text.startswith('"Implement ')).alias("recommendations"))

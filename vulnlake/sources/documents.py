@@ -5,7 +5,8 @@ large document is sorted and rendered by many tasks; each of them streams its li
 names the files of the tasks that counted, and a second pass joins the files of each document as a stream of bytes. Neither a task
 nor the driver holds a document, and what the driver sees are two file names per task. Parts are written as gzip members of some
 megabytes of lines and removed when the documents stand. Documents are plain text, or with ``compressed`` those members as they
-are: one gzip file per document, whose members are listed, so that many tasks read a large one.
+are: one gzip file per document, whose members are listed, so that many tasks read a large one. Sections may be written one pass after
+the other; the shuffle files of a pass are gone before the next one begins.
 
 Each line is a line of the file, so documents can be read back in splits (`read_lines`). Between two lines of one section
 stands a comma, unless the first one opens something or the second one closes it.
@@ -23,7 +24,9 @@ from urllib.parse import quote
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+
+from vulnlake.operators.scale import shuffles_removed
 
 COPY_BYTES = 8 << 20
 MEMBER_BYTES = 8 << 20  # of text, before compression
@@ -72,13 +75,14 @@ class _Message(WriterCommitMessage):
         self.listing = listing
 
 
-class LinesWriter(DataSourceWriter):
+class LinesWriter(DataSourceArrowWriter):
     """Writes sorted lines of documents as the parts of one task, and lists these parts in a file."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, first: int = 0):
+        self.path, self.first = path, first
 
-    def write(self, rows: Iterator) -> _Message:
+    def write(self, batches: Iterator) -> _Message:
+        rows = (row for batch in batches for row in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)], strict=True))
         files, root = _file_system(self.path)
         task = TaskContext.get()
         name = f"{task.partitionId():08d}-{uuid.uuid4().hex}"
@@ -86,23 +90,22 @@ class LinesWriter(DataSourceWriter):
         listed, out, key, last = [], None, None, None
         with files.open_output_stream(f"{root}/_parts/{name}") as file:
             stream = _Members(file)
-            for row in rows:
-                if out is None or row["key"] != key:
+            for own, section, _part, _place, text, opens, closes in rows:
+                if out is None or own != key:
                     if out is not None:
-                        out["members"] += stream.ended()
-                    key = row["key"]
-                    out = {"key": key, "task": task.partitionId(), "name": name, "section": row["section"], "closes": row["closes"], "members": []}
+                        out |= {"last_section": last[0], "opens": last[1], "members": out["members"] + stream.ended()}
+                    key = own
+                    out = {"key": key, "task": self.first + task.partitionId(), "name": name, "section": section, "closes": closes, "members": []}
                     listed.append(out)
                     last = None
                 if last is not None:
-                    stream.write(b",\n" if last[0] == row["section"] and not last[1] and not row["closes"] else b"\n")
+                    stream.write(b",\n" if last[0] == section and not last[1] and not closes else b"\n")
                     if stream.plain >= MEMBER_BYTES:
                         out["members"] += stream.ended()
-                stream.write(row["text"].encode())
-                last = (row["section"], row["opens"])
-                out |= {"last_section": last[0], "opens": last[1]}
+                stream.write(text.encode())
+                last = (section, opens)
             if out is not None:
-                out["members"] += stream.ended()
+                out |= {"last_section": last[0], "opens": last[1], "members": out["members"] + stream.ended()}
         with files.open_output_stream(f"{root}/_parts/{name}.json") as stream:
             stream.write("".join(json.dumps(part) + "\n" for part in listed).encode())
         return _Message(f"{name}.json")
@@ -118,16 +121,19 @@ class LinesWriter(DataSourceWriter):
         """What failed attempts wrote is in no list and is never read."""
 
 
+LINE = "key string, section int, part string, place bigint, text string, opens boolean, closes boolean"
+
+
 class LinesSource(DataSource):
     @classmethod
     def name(cls) -> str:
         return "document_lines"
 
     def schema(self) -> str:
-        return "key string, section int, part string, place bigint, text string, opens boolean, closes boolean"
+        return LINE
 
     def writer(self, schema, overwrite) -> LinesWriter:
-        return LinesWriter(self.options["path"])
+        return LinesWriter(self.options["path"], int(self.options.get("first", 0)))
 
 
 MEMBERS = "array<struct<begin:bigint,size:bigint>>"
@@ -180,14 +186,23 @@ def _joined(path: str, compressed: bool):
     return documents
 
 
-def write_documents(lines: DataFrame, path: str, compressed: bool = False) -> DataFrame:
-    """Writes ``path``/`file_name(key)` for every key of ``lines``; returns (key, bytes). The folder must be new."""
+def write_documents(lines: DataFrame, path: str, compressed: bool = False, passes: tuple[int, ...] = (), shares: int = 1) -> DataFrame:
+    """Writes ``path``/`file_name(key)` for every key of ``lines``; returns (key, bytes). The folder must be new.
+
+    ``passes`` are the sections with which a new pass begins, and each pass has ``shares`` of the keys one after the other: only
+    what is written in one of these steps is shuffled at a time."""
     spark = lines.sparkSession
     spark.dataSource.register(LinesSource)
     order = ["key", "section", "part", "place"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ordered.write.format("document_lines").mode("append").option("path", path).save()
+    share = F.pmod(F.xxhash64("key"), F.lit(shares))
+    for number, (low, high, turn) in enumerate((low, high, turn) for low, high in zip([None, *passes], [*passes, None]) for turn in range(shares)):
+        own = lines if low is None else lines.filter(F.col("section") >= low)
+        own = own if high is None else own.filter(F.col("section") < high)
+        own = own if shares == 1 else own.filter(share == turn)
+        ordered = own.select(*[c.split()[0] for c in LINE.split(", ")]).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        with shuffles_removed(spark):
+            ordered.write.format("document_lines").mode("append").option("path", path).option("first", number << 20).save()
     listed = spark.read.schema(PART).json(f"{path}/_listed")
     grouped = listed.groupBy("key").agg(F.collect_list(F.struct("task", "name", "section", "closes", "last_section", "opens", "members")).alias("parts"))
     done = grouped.mapInArrow(_joined(path, compressed), DOCUMENT)

@@ -17,12 +17,15 @@ from vulnlake.operators.reports import (
     sarif_rules,
     with_requirements,
 )
+from vulnlake.operators.scale import BROADCAST_ROWS, kept
 from vulnlake.sources import documents
 
 # Names and versions that the document formats ask for.
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
 SARIF_VERSION = "2.1.0"
 SBOM_FORMAT, SBOM_VERSION = "CycloneDX", "1.5"
+#: The findings of a compliance export are written before its report, so that their lines are not on disk twice at once.
+COMPLIANCE_PASSES = (4,)
 
 
 def record_scans(scans: DataFrame, findings: DataFrame, path: str) -> None:
@@ -113,8 +116,10 @@ def compliance_lines(findings: DataFrame, key: str, order: str, frameworks: tupl
     # Requirements come in the order in which findings first name them.
     place = F.lpad(F.hex(F.col("first").cast("bigint").bitwiseXOR(F.lit(-1 << 63))), 16, "0")
     part = F.concat(place, F.lit(" "), F.col("framework_no").cast("string"), F.lit(" "), F.col("requirement"))
-    parts = firsts.select(F.col(key).alias("_key"), F.col("requirement").alias("_requirement"), part.alias("part"))
-    items = mapped.join(parts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("requirement") == F.col("_requirement")))
+    parts = kept(firsts.select(F.col(key).alias("_key"), F.col("requirement").alias("_requirement"), part.alias("part")), "requirements")
+    # A few requirements per document: findings with their messages are not shuffled to find theirs, unless there are very many documents.
+    sent = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts.hint("merge")
+    items = mapped.join(sent, F.col(key).eqNullSafe(F.col("_key")) & (F.col("requirement") == F.col("_requirement")))
     edges = F.array(F.struct(F.lit(-1 << 63).alias("place"), F.concat(F.to_json(F.array("_requirement")), F.lit(":[")).alias("text"), F.lit(True).alias("opens"), F.lit(False).alias("closes")),
                     F.struct(F.lit((1 << 63) - 1).alias("place"), F.lit("]").alias("text"), F.lit(False).alias("opens"), F.lit(True).alias("closes")))
     framed = parts.select(F.col("_key").alias("key"), "part", F.inline(edges)).withColumn("text", F.regexp_replace("text", r"^\[(.*)\]:\[$", "$1:["))
